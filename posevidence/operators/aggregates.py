@@ -102,87 +102,91 @@ def quality_summary(cot: DataFrame, params: ExportParams) -> DataFrame:
 # Each level splits a cell of the one before; the last is finer than the
 # spacing of doubles at map scale, so a final cell holds a handful of values.
 _LEVEL_SCALES = (1e2, 1e6, 1e10, 1e14)
+# A cell with at most this many rows is sorted as it is.
+_SMALL_CELL = 200_000
 
 
-def exact_percentiles(
-    values: DataFrame, fractions: tuple[float, ...], series: str = "series", value: str = "v"
-) -> DataFrame:
-    """Interpolated percentiles per series: (series, p, value).
+def _cell(level: int) -> Column:
+    return F.floor(F.col("v") * F.lit(_LEVEL_SCALES[level])).cast("bigint").alias(f"cell{level}")
 
-    ``values`` has a few series of degree-sized numbers. Equal values are
-    counted first, so no value is heavy afterwards. The wanted ranks are then
-    located by counting fixed-width cells and descending into only the cells
-    that hold a wanted rank; every level looks at a bounded number of cells,
-    and no task ever holds a whole column.
+
+def _paths(level: int) -> list[str]:
+    return [f"cell{i}" for i in range(level + 1)]
+
+
+def exact_percentiles(values: DataFrame, fractions: tuple[float, ...]) -> DataFrame:
+    """Interpolated percentiles of ``v`` per ``series``: (series, p, value).
+
+    For a few series of degree-sized numbers, of any length. Rows are counted
+    per fixed-width cell, which combines map-side to a bounded number of cells;
+    the cells that hold a wanted rank (two per fraction and series) are then
+    looked into, by finer cells until they are small. No task and no driver
+    step ever holds a column. Locating the cells runs one or two narrow jobs
+    when this is called; the result itself is lazy.
     """
-    counted = values.filter(F.col(value).isNotNull()).groupBy(series, value).agg(F.count("*").alias("n"))
-    totals = counted.groupBy(series).agg(F.sum("n").alias("total"))
-    wanted = totals.select(
-        series,
-        F.explode(F.array(*[F.lit(float(p)) for p in fractions])).alias("p"),
-        "total",
-    ).select(
-        series,
-        "p",
-        ((F.col("total") - 1) * F.col("p")).alias("position"),
+    spark = values.sparkSession
+    values = values.filter(F.col("v").isNotNull())
+    counts = values.groupBy("series", _cell(0)).agg(F.count("*").alias("in_cell"))
+    by_cell = Window.partitionBy("series").orderBy("cell0")
+    position = (F.col("total") - 1) * F.col("p")
+    located = (
+        counts.withColumn("upto", F.sum("in_cell").over(by_cell))
+        .withColumn("total", F.sum("in_cell").over(Window.partitionBy("series")))
+        .withColumn("p", F.explode(F.array(*[F.lit(float(p)) for p in fractions])))
+        .withColumn("position", position)
+        .withColumn("rank", F.explode(F.array(F.floor("position"), F.ceil("position"))))
+        .filter((F.col("rank") < F.col("upto")) & (F.col("rank") >= F.col("upto") - F.col("in_cell")))
+        .withColumn("below", F.col("upto") - F.col("in_cell"))
+        .select("series", "p", "position", "rank", "below", "in_cell", "cell0")
+        .distinct()
     )
-    targets = wanted.select(
-        series,
-        "p",
-        "position",
-        F.explode(
-            F.array_distinct(F.array(F.floor("position"), F.ceil("position")))
-        ).alias("rank"),
-    ).withColumn("below", F.lit(0).cast("bigint"))
-
-    path: list[str] = []
-    live = counted
-    for level, scale in enumerate(_LEVEL_SCALES):
-        cell = f"cell{level}"
-        live = live.withColumn(cell, F.floor(F.col(value) * F.lit(scale)).cast("bigint"))
-        if path:
-            # A handful of rows: two ranks per fraction and series.
-            keep = targets.select(series, *path).distinct()
-            live = live.join(F.broadcast(keep), [series, *path])
-        cells = live.groupBy(series, *path, cell).agg(F.sum("n").alias("in_cell"))
-        running = Window.partitionBy(series, *path).orderBy(cell)
-        upto = cells.withColumn("upto", F.sum("in_cell").over(running))
-        targets = (
-            upto.join(F.broadcast(targets), [series, *path])
-            .filter(
-                (F.col("rank") < F.col("below") + F.col("upto"))
-                & (F.col("rank") >= F.col("below") + F.col("upto") - F.col("in_cell"))
-            )
-            .select(
-                series,
-                "p",
-                "position",
-                "rank",
-                (F.col("below") + F.col("upto") - F.col("in_cell")).alias("below"),
-                *path,
-                cell,
-            )
+    level = 0
+    # Two rows per fraction and series.
+    targets = spark.createDataFrame(located.collect(), located.schema)
+    while level + 1 < len(_LEVEL_SCALES) and (
+        targets.filter(F.col("in_cell") > _SMALL_CELL).limit(1).count()
+    ):
+        level += 1
+        cells = (
+            _inside(values, targets, level - 1)
+            .groupBy("series", *_paths(level - 1), _cell(level))
+            .agg(F.count("*").alias("in_cell"))
         )
-        path.append(cell)
+        located = _locate(cells, targets, level - 1, f"cell{level}", "in_cell").select(
+            "series", "p", "position", "rank",
+            (F.col("below") + F.col("upto") - F.col("in_cell")).alias("below"),
+            "in_cell", *_paths(level),
+        )
+        targets = spark.createDataFrame(located.collect(), located.schema)
 
-    last = live.join(F.broadcast(targets.select(series, *path).distinct()), [series, *path])
-    upto = last.withColumn(
-        "upto", F.sum("n").over(Window.partitionBy(series, *path).orderBy(value))
-    )
-    found = upto.join(F.broadcast(targets), [series, *path]).filter(
-        (F.col("rank") < F.col("below") + F.col("upto"))
-        & (F.col("rank") >= F.col("below") + F.col("upto") - F.col("n"))
-    )
-    ends = found.groupBy(series, "p", "position").agg(
-        F.min_by(value, "rank").alias("lo"), F.max_by(value, "rank").alias("hi")
+    equal_values = (
+        _inside(values, targets, level)
+        .groupBy("series", *_paths(level), "v")
+        .agg(F.count("*").alias("n"))
     )
+    found = _locate(equal_values, targets.drop("in_cell"), level, "v", "n")
+    ends = found.groupBy("series", "p", "position").agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
     weight = F.col("position") - F.floor("position")
     return ends.select(
-        series,
-        "p",
-        F.when(F.col("lo") == F.col("hi"), F.col("lo"))
-        .otherwise(F.col("lo") + (F.col("hi") - F.col("lo")) * weight)
-        .alias("value"),
+        "series", "p", (F.col("lo") + (F.col("hi") - F.col("lo")) * weight).alias("value")
+    )
+
+
+def _inside(values: DataFrame, targets: DataFrame, level: int) -> DataFrame:
+    """The rows in a wanted cell; the wanted cells are a handful of rows."""
+    wanted = targets.select("series", *_paths(level)).distinct()
+    celled = values.select("series", "v", *[_cell(i) for i in range(level + 1)])
+    return celled.join(F.broadcast(wanted), ["series", *_paths(level)])
+
+
+def _locate(counted: DataFrame, targets: DataFrame, level: int, key: str, n: str) -> DataFrame:
+    """Each target's rank placed among the counted keys of its cell."""
+    keys = ["series", *_paths(level)]
+    upto = counted.withColumn("upto", F.sum(n).over(Window.partitionBy(*keys).orderBy(key)))
+    goals = targets.drop("in_cell")
+    offset = F.col("rank") - F.col("below")
+    return upto.join(F.broadcast(goals), keys).filter(
+        (offset < F.col("upto")) & (offset >= F.col("upto") - F.col(n))
     )
 
 

@@ -193,8 +193,9 @@ def _locate(counted: DataFrame, targets: DataFrame, level: int, key: str, n: str
 def extent(cot: DataFrame, as_of: str) -> DataFrame:
     """The map's opening box: 10th to 90th percentile of recent positions.
 
-    The first of 7 days, 90 days and all data that holds any position decides.
-    A box wider than two degrees falls back to a small one around the median.
+    The first of 7 days, 90 days and all data that holds any position decides;
+    without any position there is no row. A box wider than two degrees falls
+    back to a small one around the median.
     """
     now = F.lit(as_of).cast("timestamp")
     windows = (
@@ -202,24 +203,19 @@ def extent(cot: DataFrame, as_of: str) -> DataFrame:
         ("90 days", F.col("servertime") > now - F.expr("INTERVAL '90' DAY")),
         ("all data", F.lit(True)),
     )
-    # One scan: each row names the narrowest window it belongs to.
+    points = cot.filter(real_position())
     narrowest = F.coalesce(*[F.when(test, F.lit(i)) for i, (_, test) in enumerate(windows)])
-    points = cot.filter(real_position()).select(
-        narrowest.alias("narrowest"), "latitude", "longitude"
-    )
-    basis = points.agg(F.min("narrowest").alias("basis_no"))
-    # Windows nest, so the deciding window is the narrowest one with any row,
-    # and its rows are exactly the rows naming it.
-    used = points.join(F.broadcast(basis), F.col("narrowest") == F.col("basis_no")).select(
-        "basis_no",
+    deciding = points.agg(F.min(narrowest)).first()[0]
+    basis, test = windows[deciding if deciding is not None else -1]
+    values = points.filter(test).select(
         F.explode(
             F.array(
                 F.struct(F.lit("lat").alias("series"), F.col("latitude").alias("v")),
                 F.struct(F.lit("lon").alias("series"), F.col("longitude").alias("v")),
             )
-        ).alias("x"),
+        ).alias("x")
     )
-    quantiles = exact_percentiles(used.select("x.series", "x.v"), (0.1, 0.5, 0.9))
+    quantiles = exact_percentiles(values.select("x.series", "x.v"), (0.1, 0.5, 0.9))
     pick = lambda s, p: F.max(
         F.when((F.col("series") == s) & (F.col("p") == p), F.col("value"))
     )
@@ -230,20 +226,19 @@ def extent(cot: DataFrame, as_of: str) -> DataFrame:
         pick("lon", 0.9).alias("east"),
         pick("lat", 0.5).alias("median_lat"),
         pick("lon", 0.5).alias("median_lon"),
-    ).join(F.broadcast(basis), F.col("basis_no").isNotNull())
+    ).filter(F.col("south").isNotNull())
     wide = (F.col("north") - F.col("south") > EXTENT_MAX_SPAN_DEGREES) | (
         F.col("east") - F.col("west") > EXTENT_MAX_SPAN_DEGREES
     )
     half = F.lit(EXTENT_FALLBACK_HALF_SPAN)
     either = lambda name, fallback: F.when(wide, fallback).otherwise(F.col(name)).alias(name)
-    label = F.element_at(F.array(*[F.lit(n) for n, _ in windows]), F.col("basis_no") + 1)
-    narrowed = F.lit(", further narrowed - matching data was too spread out to fit")
+    narrowed = basis + ", further narrowed - matching data was too spread out to fit"
     return box.select(
         either("south", F.col("median_lat") - half),
         either("north", F.col("median_lat") + half),
         either("west", F.col("median_lon") - half),
         either("east", F.col("median_lon") + half),
-        F.when(wide, F.concat(label, narrowed)).otherwise(label).alias("basis"),
+        F.when(wide, narrowed).otherwise(basis).alias("basis"),
     )
 
 

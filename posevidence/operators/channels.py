@@ -110,16 +110,24 @@ class ChannelDecoder:
 
 
 def excluded_channels(available: DataFrame, selected: tuple[int, ...] | None) -> DataFrame:
-    """Channels present but not selected, with the state the answer is in.
+    """One row: the state of the answer and the sorted names left out.
 
-    ``no filter`` returns a single row without a name: nothing was left out on
-    purpose. ``verified`` rows name what was left out (one row without a name
-    when nothing was).
+    ``no filter`` has no names (NULL): nothing was left out on purpose.
+    ``verified`` lists what was present and not selected, possibly nothing
+    (an empty list). A caller whose channel query failed reports ``unknown``.
     """
     if selected is None:
         return available.sparkSession.range(1).select(
-            F.lit("no filter").alias("state"), F.lit(None).cast("string").alias("name")
+            F.lit("no filter").alias("state"), F.lit(None).cast("string").alias("names")
         )
-    chosen = available.filter(~F.col("bitpos").isin([int(c) for c in selected]))
-    state = available.sparkSession.range(1).select(F.lit("verified").alias("state"))
-    return state.join(chosen.select("name"), F.lit(True), "left")
+    left_out = available.filter(~F.col("bitpos").isin([int(c) for c in selected]))
+    return left_out.agg(
+        F.lit("verified").alias("state"),
+        F.array_join(F.sort_array(F.collect_list("name")), ", ").alias("names"),
+    )
+
+
+def excluded_channels_unknown(spark) -> DataFrame:
+    return spark.range(1).select(
+        F.lit("unknown").alias("state"), F.lit(None).cast("string").alias("names")
+    )

@@ -8,6 +8,9 @@ ordered per device.
 
 from __future__ import annotations
 
+import secrets
+from dataclasses import replace
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -177,8 +180,9 @@ def trails(
     Only devices seen in at least two places anywhere in the window are drawn,
     and only their segments of two or more points.
     """
-    from dataclasses import replace
-
+    # Pieces of a line share an id keyed by a secret of this call, so that it
+    # cannot be traced back to a device by hashing known device names.
+    secret = secrets.token_hex(16)
     points = matching_positions(cot, replace(params, channels=None)).select(
         "id", "uid", "servertime", "latitude", "longitude"
     )
@@ -196,9 +200,9 @@ def trails(
     drawn = segment_summary(segmented).filter(F.col("points") >= 2).join(moved, "uid", "left_semi")
     return (
         _numbered_pieces(segmented, "uid", "servertime", "id")
-        .join(drawn.select("uid", "seg_no", "points", "begin"), ["uid", "seg_no"])
+        .join(drawn.select("uid", "seg_no", "points"), ["uid", "seg_no"])
         .select(
-            F.sha2(F.concat_ws("|", "uid", F.col("seg_no"), F.col("begin").cast("string")), 256).alias("line_id"),
+            F.sha2(F.concat_ws("|", F.lit(secret), "uid", F.col("seg_no").cast("string")), 256).alias("line_id"),
             "piece_no",
             "points",
             path_text(F.col("path")).alias("path"),
@@ -275,51 +279,79 @@ def point_features(cot: DataFrame, params: ExportParams) -> DataFrame:
     )
 
 
-def previous_in_slices(
+def neighbour_in_slices(
     rows: DataFrame,
     keys: list[str],
     slice_column: str,
     order: list[str],
     values: list[str],
     prefix: str = "prev_",
+    ahead: bool = False,
 ) -> DataFrame:
-    """``lag`` of ``values`` over keys without a window across all of a key.
+    """``lag`` (or ``lead``) of ``values`` without a window across all of a key.
 
     ``slice_column`` must rise with ``order``. Inside a slice the window gives
-    the previous row; a slice's first row takes the last row of the slice
-    before it, from a summary with one row per slice. ``prefix`` + "row" tells
-    whether there is a previous row at all.
+    the neighbour; a slice's outermost row takes it from the next slice over,
+    through a summary with one row per slice. ``prefix`` + "row" tells whether
+    there is a neighbour at all.
     """
     packed = F.struct(*[F.col(v) for v in values])
+    ordering = F.struct(*[F.col(c) for c in order])
     inner = Window.partitionBy(*keys, slice_column).orderBy(*order)
-    marked = rows.withColumn("__prev", F.lag(packed).over(inner))
-    lasts = rows.groupBy(*keys, slice_column).agg(
-        F.max_by(packed, F.struct(*[F.col(c) for c in order])).alias("__tail")
-    )
     per_key = Window.partitionBy(*keys).orderBy(slice_column)
-    carried = lasts.select(
+    shift, edge = (F.lead, F.min_by) if ahead else (F.lag, F.max_by)
+    marked = rows.withColumn("__near", shift(packed).over(inner))
+    edges = rows.groupBy(*keys, slice_column).agg(edge(packed, ordering).alias("__edge"))
+    carried = edges.select(
         *[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)],
         F.col(slice_column).alias("__s"),
-        F.lag("__tail").over(per_key).alias("__carried"),
+        shift("__edge").over(per_key).alias("__carried"),
     )
-    same = F.col(slice_column) == F.col("__s")
-    for i, k in enumerate(keys):
-        same = same & F.col(k).eqNullSafe(F.col(f"__k{i}"))
-    joined = marked.join(carried, same)
-    previous = F.coalesce("__prev", "__carried")
+    joined = marked.join(carried, _same_slice(keys, slice_column))
+    neighbour = F.coalesce("__near", "__carried")
     return joined.select(
         *[F.col(f"`{c}`") for c in rows.columns],
-        previous.isNotNull().alias(f"{prefix}row"),
-        *[previous[v].alias(f"{prefix}{v}") for v in values],
+        neighbour.isNotNull().alias(f"{prefix}row"),
+        *[neighbour[v].alias(f"{prefix}{v}") for v in values],
     )
 
 
+def number_in_slices(
+    rows: DataFrame, keys: list[str], slice_column: str, order: list[str], place: str, total: str
+) -> DataFrame:
+    """``row_number`` and group size per key, again without a whole-key window."""
+    inner = Window.partitionBy(*keys, slice_column).orderBy(*order)
+    marked = rows.withColumn("__n", F.row_number().over(inner))
+    sizes = rows.groupBy(*keys, slice_column).agg(F.count("*").alias("__size"))
+    whole = Window.partitionBy(*keys)
+    before = whole.orderBy(slice_column).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select(
+        *[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)],
+        F.col(slice_column).alias("__s"),
+        F.coalesce(F.sum("__size").over(before), F.lit(0)).alias("__offset"),
+        F.sum("__size").over(whole).alias("__total"),
+    )
+    joined = marked.join(offsets, _same_slice(keys, slice_column))
+    return joined.select(
+        *[F.col(f"`{c}`") for c in rows.columns],
+        (F.col("__offset") + F.col("__n")).alias(place),
+        F.col("__total").alias(total),
+    )
+
+
+def _same_slice(keys: list[str], slice_column: str) -> Column:
+    same = F.col(slice_column) == F.col("__s")
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"__k{i}"))
+    return same
+
+
 def stationary_repeats(
     points: DataFrame, device: str = "uid", time: str = "servertime", tie: str = "id"
 ) -> DataFrame:
     """Flags a report from the same spot as the device's report before it."""
     sliced = points.withColumn("__slice", time_slice(time))
-    seen = previous_in_slices(sliced, [device], "__slice", [time, tie], ["latitude", "longitude"])
+    seen = neighbour_in_slices(sliced, [device], "__slice", [time, tie], ["latitude", "longitude"])
     repeat = (
         F.col("prev_row")
         & F.col("latitude").eqNullSafe(F.col("prev_latitude"))

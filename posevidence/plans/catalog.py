@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from posevidence.plans import extract_queries, track_queries  # noqa: F401
+from posevidence.plans import extract_queries, shape_queries, track_queries  # noqa: F401
 from posevidence.plans.registry import REGISTRY
 
 __all__ = ["REGISTRY"]

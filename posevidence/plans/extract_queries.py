@@ -247,13 +247,15 @@ q AS (SELECT k, basis, quantile_cont(latitude, 0.1) AS s, quantile_cont(latitude
   quantile_cont(longitude, 0.1) AS w, quantile_cont(longitude, 0.9) AS e,
   quantile_cont(latitude, 0.5) AS mlat, quantile_cont(longitude, 0.5) AS mlon FROM w GROUP BY k, basis),
 f AS (SELECT *, (n - s > 2 OR e - w > 2) AS wide FROM q ORDER BY k LIMIT 1)
-SELECT if(wide, mlat - 0.15::DOUBLE, s) AS south, if(wide, mlat + 0.15::DOUBLE, n) AS north,
-  if(wide, mlon - 0.15::DOUBLE, w) AS west, if(wide, mlon + 0.15::DOUBLE, e) AS east,
+SELECT round(if(wide, mlat - 0.15::DOUBLE, s), 9) AS south, round(if(wide, mlat + 0.15::DOUBLE, n), 9) AS north,
+  round(if(wide, mlon - 0.15::DOUBLE, w), 9) AS west, round(if(wide, mlon + 0.15::DOUBLE, e), 9) AS east,
   basis || if(wide, ', further narrowed - matching data was too spread out to fit', '') AS basis
 FROM f""",
 )
 def extent(t):
-    return aggregates.extent(t["cot"], AS_OF)
+    # The engines interpolate between the same two values in different forms.
+    box = aggregates.extent(t["cot"], AS_OF)
+    return box.select(*[F.round(c, 9).alias(c) for c in ("south", "north", "west", "east")], "basis")
 
 
 @registered(
@@ -328,7 +330,7 @@ def available_channels(t):
 
 @registered(
     "excluded_channels", "J11 U4", "cot channels",
-    f"SELECT 'verified' AS state, name FROM ({_AVAILABLE}) WHERE bitpos NOT IN ({', '.join(map(str, CHECK_CHANNELS))})",
+    f"SELECT 'verified' AS state, coalesce(string_agg(name, ', ' ORDER BY name), '') AS names FROM ({_AVAILABLE}) WHERE bitpos NOT IN ({', '.join(map(str, CHECK_CHANNELS))})",
 )
 def excluded_channels(t):
     return channels.excluded_channels(available_channels(t), CHECK_CHANNELS)

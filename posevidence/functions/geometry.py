@@ -18,9 +18,16 @@ from posevidence.params import EARTH_RADIUS_M, Box
 COLLINEAR = 1e-15
 
 
-def point(lat, lon) -> Column:
-    as_col = lambda v: v if isinstance(v, Column) else F.lit(float(v))
-    return F.struct(as_col(lat).alias("lat"), as_col(lon).alias("lon"))
+def point(lat: Column, lon: Column) -> Column:
+    return F.struct(lat.alias("lat"), lon.alias("lon"))
+
+
+def box_struct(box: Box, name: str = "") -> Column:
+    """A request's box as a value expressions can read."""
+    return F.struct(
+        F.lit(name).alias("name"),
+        *[F.lit(float(getattr(box, side))).alias(side) for side in ("north", "south", "east", "west")],
+    )
 
 
 def haversine_m(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
@@ -92,56 +99,65 @@ def in_polygon(p: Column, vertices: Column) -> Column:
     )
 
 
-def point_in_box(p: Column, box: Box) -> Column:
-    return p["lat"].between(box.south, box.north) & p["lon"].between(box.west, box.east)
+def in_bounds(lat: Column, lon: Column, box: Column) -> Column:
+    return lat.between(box["south"], box["north"]) & lon.between(box["west"], box["east"])
 
 
-def bounds_meet_box(vertices: Column, box: Box) -> Column:
+def bounds_meet_box(vertices: Column, box: Column) -> Column:
     """A cheap necessary condition: the chain's bounds overlap the box."""
-    lats, lons = F.transform(vertices, lambda v: v["lat"]), F.transform(vertices, lambda v: v["lon"])
+    lats, lons = vertices["lat"], vertices["lon"]
     return (
-        (F.array_max(lats) >= box.south)
-        & (F.array_min(lats) <= box.north)
-        & (F.array_max(lons) >= box.west)
-        & (F.array_min(lons) <= box.east)
+        (F.array_max(lats) >= box["south"])
+        & (F.array_min(lats) <= box["north"])
+        & (F.array_max(lons) >= box["west"])
+        & (F.array_min(lons) <= box["east"])
     )
 
 
-def chain_touches_box(vertices: Column, closed: Column, box: Box) -> Column:
+def _corners(box: Column) -> Column:
+    """The box as a closed ring of five points."""
+    n, s, e, w = (box[side] for side in ("north", "south", "east", "west"))
+    return F.array(point(n, w), point(n, e), point(s, e), point(s, w), point(n, w))
+
+
+def chain_touches_box(vertices: Column, closed: Column, box: Column) -> Column:
     """A vertex inside, an edge crossing, or a ring around a corner of the box."""
-    corners = [
-        point(box.north, box.west), point(box.north, box.east),
-        point(box.south, box.east), point(box.south, box.west),
-    ]
-    box_sides = [(corners[i], corners[(i + 1) % 4]) for i in range(4)]
-    crosses = lambda e: reduce(or_, (segments_cross(e["a"], e["b"], c, d) for c, d in box_sides))
+    around = lambda sides: F.exists(
+        edges(vertices),
+        lambda e: F.exists(sides, lambda s: segments_cross(e["a"], e["b"], s["a"], s["b"])),
+    )
     exact = (
-        F.exists(vertices, lambda v: point_in_box(v, box))
-        | F.coalesce(F.exists(edges(vertices), crosses), F.lit(False))
-        | (closed & reduce(or_, (in_polygon(c, vertices) for c in corners)))
+        F.exists(vertices, lambda v: in_bounds(v["lat"], v["lon"], box))
+        | around(edges(_corners(box)))
+        | (closed & F.exists(_corners(box), lambda c: in_polygon(c, vertices)))
     )
     return F.when(bounds_meet_box(vertices, box), exact).otherwise(F.lit(False))
 
 
-def disc_touches_box(lat: Column, lon: Column, radius_m: Column, box: Box) -> Column:
+def disc_touches_box(lat: Column, lon: Column, radius_m: Column, box: Column) -> Column:
     """Distance from the centre to the box's nearest point against the radius."""
-    near_lat = F.least(F.greatest(lat, F.lit(box.south)), F.lit(box.north))
-    near_lon = F.least(F.greatest(lon, F.lit(box.west)), F.lit(box.east))
+    near_lat = F.least(F.greatest(lat, box["south"]), box["north"])
+    near_lon = F.least(F.greatest(lon, box["west"]), box["east"])
     return haversine_m(lat, lon, near_lat, near_lon) <= F.coalesce(radius_m, F.lit(0.0))
 
 
-def touches_box(geometry: Column, box: Box) -> Column:
+def touches_box(geometry: Column, box: Box | Column) -> Column:
     """Whether any part of a parsed geometry touches the box.
 
     An ellipse is tested as the circle of its major radius, which can only
     include more.
     """
-    kind = geometry["kind"]
-    lat, lon = geometry["center_lat"], geometry["center_lon"]
+    box = box_struct(box) if isinstance(box, Box) else box
+    # Bound as values, so that the geometry is read once, not once per mention.
+    return F.exists(F.array(F.struct(geometry.alias("g"), box.alias("b"))), lambda x: _touches(x["g"], x["b"]))
+
+
+def _touches(g: Column, box: Column) -> Column:
+    lat, lon = g["center_lat"], g["center_lon"]
     return (
-        F.when(kind == "point", lat.between(box.south, box.north) & lon.between(box.west, box.east))
-        .when(kind.isin("circle", "ellipse"), disc_touches_box(lat, lon, geometry["radius_m"], box))
-        .when(kind.isin("polygon", "line"), chain_touches_box(geometry["vertices"], geometry["closed"], box))
+        F.when(g["kind"] == "point", in_bounds(lat, lon, box))
+        .when(g["kind"].isin("circle", "ellipse"), disc_touches_box(lat, lon, g["radius_m"], box))
+        .when(g["kind"].isin("polygon", "line"), chain_touches_box(g["vertices"], g["closed"], box))
         .otherwise(F.lit(False))
     )
 

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import sys
 import xml.etree.ElementTree as ET
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -18,6 +20,9 @@ from posevidence.operators.tracks import (
 )
 from posevidence.params import NOT_RECORDED, Box
 
+# The blob reader travels inside the job, so workers need no copy of the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 # The type of a drawn circle, and elements only software writes.
 CIRCLE_TYPE = "u-d-c-c"
 AUTOMATED_FEED_MARKS = ("__nodered",)
@@ -459,10 +464,6 @@ def touched_boxes(parsed: DataFrame, boxes: dict[str, Box]) -> DataFrame:
     The boxes are part of the request; they ride along as expressions, so no
     row is ever paired with a box it does not touch.
     """
-    tests = F.array(
-        *[
-            F.when(geometry.touches_box(F.col("geom"), box), F.lit(name))
-            for name, box in boxes.items()
-        ]
-    )
-    return parsed.select("uid", "id", F.explode(F.array_compact(tests)).alias("box"))
+    named = F.array(*[geometry.box_struct(box, name) for name, box in boxes.items()])
+    touched = F.filter(named, lambda b: geometry.touches_box(F.col("geom"), b))
+    return parsed.select("uid", "id", F.explode(touched["name"]).alias("box"))

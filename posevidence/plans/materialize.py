@@ -1,0 +1,22 @@
+"""Computing a shared intermediate once, in storage that outlives executors."""
+
+from __future__ import annotations
+
+import tempfile
+
+from pyspark.sql import DataFrame
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the cluster's checkpoint folder and go on from there.
+
+    Used where several branches of a plan read the same expensive input, and
+    between rounds of an iteration. The folder is the session's
+    ``spark.checkpoint.dir``; only a session without one, as in tests, gets a
+    temporary folder.
+    """
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        folder = context.getConf().get("spark.checkpoint.dir", None)
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="posevidence-checkpoint-"))
+    return df.checkpoint(eager=True)

@@ -8,6 +8,7 @@ from posevidence.functions import classify, geometry
 from posevidence.operators import results, shapes
 from posevidence.operators.results import manifest as build_manifest
 from posevidence.params import Box
+from posevidence.plans.materialize import settle
 from posevidence.plans.registry import (
     IN_WINDOW,
     attr,
@@ -104,12 +105,17 @@ def _parsed(t):
     return shapes.parse_shapes(_versions(t))
 
 
+def _parsed_once(t):
+    """For plans that read the parsed versions in more than one branch."""
+    return settle(_parsed(t))
+
+
 def _deletions(t):
     return results.shape_deletions(t["mission_change"], P)
 
 
 def _included(t):
-    parsed = _parsed(t)
+    parsed = _parsed_once(t)
     return shapes.included_versions(parsed, shapes.object_fates(parsed, P.box))
 
 
@@ -197,7 +203,7 @@ SELECT 'deleted', uid, kind, cot_type, deleted_at, NULL, '', if(trim(deleted_by)
 FROM newest JOIN removed USING (uid)""",
 )
 def shapes_result(t):
-    parsed = _parsed(t)
+    parsed = _parsed_once(t)
     return shapes.shapes_result(parsed, shapes.object_fates(parsed, P.box), _deletions(t))
 
 
@@ -210,7 +216,7 @@ WHERE kind IS NOT NULL AND uid IN (SELECT uid FROM fates WHERE fate = 'included'
 ORDER BY servertime::VARCHAR, uid, record_id LIMIT 30""",
 )
 def shapes_ordered(t):
-    parsed = _parsed(t)
+    parsed = _parsed_once(t)
     none = _deletions(t).filter(F.lit(False))
     result = shapes.shapes_result(parsed, shapes.object_fates(parsed, P.box), none)
     return shapes.ordered_shapes(result).select("uid", "servertime", "record_id").limit(30)
@@ -291,7 +297,7 @@ WITH {_FACTS}, {_DELETIONS}, {_VALID}
 SELECT uid, id, kind, version_no, version_count, valid_from, valid_to FROM valid""",
 )
 def shape_validity(t):
-    valid = shapes.version_validity(_parsed(t), _deletions(t))
+    valid = shapes.version_validity(_parsed_once(t), _deletions(t))
     return valid.select(
         "uid", "id", F.col("geom.kind").alias("kind"), "version_no", "version_count", "valid_from", "valid_to"
     )
@@ -309,7 +315,7 @@ def shapes_current_at(t):
     moments = results.mission_changes(t["mission_change"], P).select(
         F.col("id").alias("moment_id"), "uid", F.col("ts").alias("at")
     )
-    valid = shapes.version_validity(_parsed(t), _deletions(t)).select(
+    valid = shapes.version_validity(_parsed_once(t), _deletions(t)).select(
         "uid", F.col("id").alias("version_id"), "version_no", "valid_from", "valid_to"
     )
     return shapes.current_at(valid, moments, P.end).drop("valid_from", "valid_to")
@@ -379,7 +385,7 @@ FROM kept JOIN labels USING (uid) LEFT JOIN removed USING (uid) WHERE kind <> 'p
 WINDOW w AS (PARTITION BY uid ORDER BY servertime, id)""",
 )
 def shape_features(t):
-    features = shapes.shape_features(_included(t), _deletions(t))
+    features = shapes.shape_features(settle(_included(t)), _deletions(t))
     return features.withColumn("outline_points", F.size("outline")).drop("outline", "draw_area")
 
 

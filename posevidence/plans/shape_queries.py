@@ -8,7 +8,7 @@ from posevidence.functions import classify, geometry
 from posevidence.operators import results, shapes
 from posevidence.operators.results import manifest as build_manifest
 from posevidence.params import Box
-from posevidence.plans.materialize import settle
+from posevidence.materialize import settle
 from posevidence.plans.registry import (
     IN_WINDOW,
     attr,

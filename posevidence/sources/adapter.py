@@ -225,6 +225,101 @@ SELECT 'fed-' || CAST(o_custkey AS STRING) AS fed_id, 'Fed ' || CAST(o_custkey A
   o_totalprice > 100000 AS remote, o_orderstatus AS details FROM {orders}""",
 }
 
+
+
+def _sha(text: str) -> str:
+    """A SHA-256 call both engines can be given (see ``relation_sql``)."""
+    return f"sha2(/*<*/{text}/*>*/, 256)"
+
+
+_PACKAGE = _sha("'package ' || CAST(o_orderkey - o_orderkey % 10 AS STRING)")
+_CASE = "'CASE-' || CAST(o_custkey % 50 AS STRING)"
+_SCRIPT = "'-- case ' || CAST(o_orderkey - o_orderkey % 10 AS STRING) || ' SELECT 1;'"
+_KIND = """CASE o_orderkey % 10 WHEN 0 THEN 'package' WHEN 1 THEN 'recheck-fetch' WHEN 2 THEN 'recheck'
+  WHEN 3 THEN 'companion' WHEN 4 THEN 'locations' WHEN 5 THEN 'preview' WHEN 6 THEN 'package'
+  WHEN 7 THEN 'recheck' WHEN 8 THEN 'audit-download'
+  ELSE CASE WHEN o_custkey % 5 = 0 THEN 'case-correction' ELSE 'recheck-issued' END END"""
+
+RELATIONS["export_log"] = f"""
+SELECT o_orderkey + 1 AS id,
+  CAST(o_orderdate AS STRING) AS ts_utc, CAST(o_orderdate AS STRING) || ' UTC' AS ts_local,
+  'authenticated: user' || CAST(o_custkey % 9 AS STRING) AS actor, '10.0.0.' || CAST(o_custkey % 200 AS STRING) AS client_ip,
+  CASE WHEN o_orderkey % 10 = 8 THEN NULL WHEN o_orderkey % 10 = 5 THEN '' ELSE {_CASE} END AS case_id,
+  {_KIND} AS export_kind,
+  CASE WHEN o_orderkey % 10 = 8 THEN NULL ELSE '2024-01-05T0' || CAST(o_orderkey % 9 AS STRING) || ':00' END AS window_start,
+  CASE WHEN o_orderkey % 10 = 8 THEN NULL ELSE '2024-01-1' || CAST(o_custkey % 9 AS STRING) || 'T12:30' END AS window_end,
+  CAST(39.95 AS DOUBLE) AS north, CAST(39.8 AS DOUBLE) AS south, CAST(-98.5 AS DOUBLE) AS west,
+  CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE o_totalprice END AS east,
+  o_orderkey % 1000 AS record_count,
+  CASE WHEN o_orderkey % 10 = 5 THEN NULL ELSE {_PACKAGE} END AS package_sha256,
+  CASE WHEN o_orderkey % 10 IN (2, 7) THEN 'raw match' WHEN o_orderkey % 4 = 0 THEN 'generated / delivered' ELSE 'generated' END AS outcome,
+  CASE o_orderkey % 10
+    WHEN 0 THEN 'package files: ' || {_sha("'cot ' || CAST(o_orderkey AS STRING)")} || ' CASE-cot.csv, ' || {_sha(_SCRIPT)}
+      || ' CASE-queries.sql, 12ab CASE-bad.csv; source database: cluster ' || CAST(o_custkey % 3 AS STRING) || '; note: first: second'
+    WHEN 4 THEN 'source database: catalog cot/1/' || CAST(o_custkey % 4 AS STRING)
+    WHEN 6 THEN CASE WHEN o_custkey % 3 = 0 THEN 'no list' ELSE 'package files: ' || {_sha("'other ' || CAST(o_orderkey AS STRING)")} || ' CASE-queries.sql' END
+    WHEN 2 THEN 're-check at host' || CAST(o_custkey % 7 AS STRING) || ':/var/r; 3 file(s) hashed on the server; raw table rows match: yes'
+    WHEN 7 THEN 're-check at (not reported); raw table rows match: NO - the hashes differ; raw table rows match: yes'
+    WHEN 3 THEN 'companion recheck.csv for package ' || {_PACKAGE} || '; ' || CAST(o_custkey % 40 AS STRING) || ' of 40 package positions matched it'
+    WHEN 9 THEN CASE o_custkey % 20
+      WHEN 0 THEN 'corrects entry ' || CAST(o_orderkey - 5 AS STRING) || ': case "' || {_CASE} || '" -> "ENTRY-' || CAST(o_custkey % 7 AS STRING) || '"; reason: typo'
+      WHEN 5 THEN 'corrects case "' || {_CASE} || '" -> "CASE-' || CAST((o_custkey * 3) % 50 AS STRING) || '" (4 entries)'
+      WHEN 10 THEN 'corrects case "' || {_CASE} || '" -> "B" -> "C" (1 entries)'
+      WHEN 15 THEN 'corrects case "ENTRY-' || CAST(o_custkey % 7 AS STRING) || '" -> "MOVED"'
+      ELSE 'issued' END
+    ELSE NULL END AS detail,
+  CASE WHEN o_orderkey % 6 = 0 THEN 'video.csv' ELSE NULL END AS files_excluded,
+  CASE WHEN o_orderkey % 7 = 0 THEN 'NATION_3' ELSE NULL END AS channels_excluded,
+  CASE o_orderkey % 4 WHEN 0 THEN 'America/Chicago' WHEN 1 THEN 'UTC' WHEN 2 THEN NULL ELSE 'Not/AZone' END AS window_timezone,
+  CASE WHEN o_custkey % 8 = 0 THEN '=requester ' || CAST(o_custkey AS STRING) ELSE NULL END AS requested_for,
+  '1.20' AS tool_version,
+  CAST(NULL AS STRING) AS prev_hash, CAST(NULL AS STRING) AS row_hash
+FROM {{orders}}"""
+# A file asked about per order: some hashes are known, some are not.
+RELATIONS["asked_files"] = f"""
+SELECT o_orderkey AS file_id,
+  CASE WHEN o_orderstatus = 'P' THEN 'not a hash' WHEN o_orderstatus = 'F' THEN upper({_PACKAGE})
+    ELSE {_sha("'nothing ' || CAST(o_orderkey AS STRING)")} END AS file_hash,
+  TIMESTAMP '2024-01-05 08:00:00' + INTERVAL '1' HOUR * CAST(o_orderkey % 12 AS INT) AS file_min_utc,
+  TIMESTAMP '2024-01-12 00:00:00' + INTERVAL '1' HOUR * CAST(o_custkey % 96 AS INT) AS file_max_utc
+FROM {{orders}}"""
+# One kept script per package, and what a server posted back for it.
+RELATIONS["scripts"] = f"""
+SELECT DISTINCT {_PACKAGE} AS package_sha256, 'CASE' AS case_prefix,
+  {_SCRIPT} AS queries_sql,
+  CASE WHEN (o_orderkey - o_orderkey % 10) % 30 = 20 THEN NULL ELSE {_sha("'raw ' || CAST(o_orderkey - o_orderkey % 10 AS STRING)")} END AS raw_sha256
+FROM {{orders}}"""
+RELATIONS["posted_sums"] = f"""
+SELECT {_PACKAGE} AS package_sha256, o_orderkey AS line_no,
+  CASE o_orderkey % 10 WHEN 0 THEN 'CASE-recheck-cot_router-raw.csv' WHEN 1 THEN 'CASE-queries.sql' ELSE 'CASE-' || CAST(o_orderkey AS STRING) || '.csv' END AS name,
+  CASE WHEN o_orderkey % 10 = 0 AND o_custkey % 4 > 0 THEN {_sha("'raw ' || CAST(o_orderkey AS STRING)")}
+    WHEN o_orderkey % 10 = 1 AND o_custkey % 4 > 0 THEN {_sha(_SCRIPT)}
+    ELSE {_sha("'else ' || CAST(o_orderkey AS STRING)")} END AS sha256
+FROM {{orders}} WHERE o_orderpriority <> '1-URGENT' """
+# The positions as another program exported them: some renumbered, moved a
+# little, moved a lot, shifted in time, or under another name.
+RELATIONS["cot_copy"] = """
+SELECT CASE WHEN event_id % 59 = 0 THEN -event_id ELSE event_id END AS id,
+  'DEV-' || CAST(user_id % 10 AS STRING) AS uid,
+  CASE WHEN user_id % 10 = 6 THEN 'R6' ELSE 'U' || CAST(user_id % 10 AS STRING) END AS callsign,
+  ts + CASE WHEN event_id % 37 = 0 THEN INTERVAL '0.5' SECOND WHEN event_id % 53 = 0 THEN INTERVAL '2' HOUR ELSE INTERVAL '0' SECOND END AS servertime,
+  CAST(39.7 AS DOUBLE) + CAST((event_id * 7919) % 4000 AS DOUBLE) / CAST(10000 AS DOUBLE)
+    + CASE WHEN event_id % 41 = 0 THEN CAST(0.000005 AS DOUBLE) WHEN event_id % 43 = 0 THEN CAST(0.00045 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END AS latitude,
+  CAST(-98.6 AS DOUBLE) + CAST((event_id * 104729) % 6000 AS DOUBLE) / CAST(10000 AS DOUBLE) AS longitude
+FROM {events}"""
+RELATIONS["cot_original"] = """
+SELECT event_id AS id, 'DEV-' || CAST(user_id % 10 AS STRING) AS uid,
+  'U' || CAST(user_id % 10 AS STRING) AS callsign, ts AS servertime,
+  CAST(39.7 AS DOUBLE) + CAST((event_id * 7919) % 4000 AS DOUBLE) / CAST(10000 AS DOUBLE) AS latitude,
+  CAST(-98.6 AS DOUBLE) + CAST((event_id * 104729) % 6000 AS DOUBLE) / CAST(10000 AS DOUBLE) AS longitude,
+  event_type AS channel
+FROM {events}"""
+# Documents as package members, and the hash list written with the package.
+RELATIONS["members"] = "SELECT source AS package, CAST(doc_id AS STRING) AS name, text AS content FROM {documents}"
+RELATIONS["member_list"] = f"""
+SELECT source AS package, CAST(doc_id AS STRING) || CASE WHEN doc_id % 71 = 0 THEN '.old' ELSE '' END AS name,
+  {_sha("text || CASE WHEN lang = 'de' THEN ' ' ELSE '' END")} AS sha256 FROM {{documents}}"""
+
 INPUT_TABLES = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
     "documents", "embeddings", "pages", "benchmark", "labels", "conversations",
@@ -233,9 +328,16 @@ INPUT_TABLES = (
 
 def relation_sql(name: str) -> str:
     """The relation as text for the checking engine, over its registered views."""
-    return RELATIONS[name].format(**{t: t for t in INPUT_TABLES}).replace(
-        "array(lang, source,", "list_value(lang, source,"
-    ).replace("array(source)", "list_value(source)")
+    text = RELATIONS[name].format(**{t: t for t in INPUT_TABLES})
+    spellings = {
+        "array(": "list_value(",
+        "sha2(/*<*/": "sha256(",
+        "/*>*/, 256)": ")",
+        "INTERVAL '0.5' SECOND": "INTERVAL 500 MILLISECOND",
+    }
+    for ours, theirs in spellings.items():
+        text = text.replace(ours, theirs)
+    return text
 
 
 class CheckTables:

@@ -1,22 +1,34 @@
-"""Computing a shared intermediate once, in storage that outlives executors."""
+"""Intermediates kept in storage that outlives executors."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The session's ``spark.checkpoint.dir``; a temporary folder only where
+    the session has none, as in tests."""
+    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if folder is None:
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+    return folder or tempfile.mkdtemp(prefix="posevidence-")
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the cluster's checkpoint folder and go on from there.
+    """Write ``df`` to the shared folder once and go on from there.
 
     Used where several branches of a plan read the same expensive input, and
-    between rounds of an iteration. The folder is the session's
-    ``spark.checkpoint.dir``; only a session without one, as in tests, gets a
-    temporary folder.
+    between rounds of an iteration, where it also cuts the lineage.
     """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        folder = context.getConf().get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="posevidence-checkpoint-"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
+
+
+def new_folder(spark: SparkSession, purpose: str) -> str:
+    """A fresh folder name for a written table or a stream's progress."""
+    return f"{shared_folder(spark).rstrip('/')}/{purpose}-{uuid.uuid4().hex}"

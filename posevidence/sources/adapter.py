@@ -361,6 +361,18 @@ class CheckTables:
             self._cache[key] = self.spark.sql(text, **used)
         return self._cache[key]
 
+    def stream(self, relation: str) -> DataFrame:
+        """The relation over streaming reads of its input tables."""
+        from posevidence.streaming.streams import read_stream
+
+        text = RELATIONS[relation]
+        used = {
+            t: read_stream(self.spark, f"{self.directory}/{t}.parquet", self.input(t).schema)
+            for t in INPUT_TABLES
+            if "{" + t + "}" in text
+        }
+        return self.spark.sql(text, **used)
+
     @cached_property
     def decoder(self):
         from posevidence.operators.channels import ChannelDecoder

@@ -545,6 +545,7 @@ def window_containment(files: DataFrame, log: DataFrame) -> DataFrame:
     inside = (F.col("start_utc") <= F.col("file_min_utc")) & (
         F.col("file_max_utc") <= F.col("end_utc")
     )
+    readable = F.col("start_utc").isNotNull() & F.col("end_utc").isNotNull()
     return asked.join(windows, F.col("file_hash") == F.col("package_sha256")).select(
-        *asked.columns, "id", "start_utc", "end_utc", inside.alias("contained")
+        *asked.columns, "id", "start_utc", "end_utc", F.when(readable, inside).alias("contained")
     )

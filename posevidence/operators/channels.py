@@ -2,22 +2,27 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from posevidence.functions.predicates import mask_bit
-
 # Above this many defined channels the dimension is joined, not inlined.
-INLINE_CHANNELS = 1024
+INLINE_CHANNELS = 256
+# Bits per machine word a mask is cut into.
+_WORD = 62
 
 
 class ChannelDecoder:
     """Adds channel names and numbers to rows that carry a mask.
 
     The channel dimension is dozens of rows. Up to ``INLINE_CHANNELS`` of them
-    are placed in the plan as one constant array and every row is decoded where
-    it stands, without a join or a shuffle. A larger dimension is decoded by
-    exploding the set bits of each distinct mask and joining on the bit.
+    become part of the expression: the stretches of the mask any channel uses
+    are read as words, each channel tests its bit, and every row is decoded
+    where it stands, in generated code, without a join or a shuffle. A larger
+    dimension is decoded by exploding the set bits of each distinct mask and
+    joining on the bit.
     """
 
     def __init__(self, channels: DataFrame):
@@ -25,47 +30,46 @@ class ChannelDecoder:
         rows = self._channels.limit(INLINE_CHANNELS + 1).collect()
         self._inline = None
         if len(rows) <= INLINE_CHANNELS:
-            self._inline = sorted((r.bitpos, r.name) for r in rows if r.bitpos is not None)
-
-    def _constant(self) -> Column:
-        entries = [
-            F.struct(F.lit(b).alias("bitpos"), F.lit(n).cast("string").alias("name"))
-            for b, n in self._inline
-        ]
-        if not entries:
-            return F.array().cast("array<struct<bitpos:int,name:string>>")
-        return F.array(*entries)
-
-    def _set_entries(self, mask: Column) -> Column:
-        """The dimension rows whose bit is set, in bit order, per row."""
-        width = (self._inline[-1][0] + 1) if self._inline else 1
-        # Only the rightmost bits any defined channel uses; bound once per row.
-        tail = F.right(mask, F.lit(width)).cast("binary")
-        per_mask = F.transform(
-            F.array(tail),
-            lambda bits: F.filter(self._constant(), lambda c: mask_bit(bits, c["bitpos"])),
-        )
-        return F.when(mask.isNotNull(), F.element_at(per_mask, 1))
+            self._inline = sorted((r.bitpos, r.name) for r in rows if r.bitpos is not None and r.bitpos >= 0)
+
+    def _with_words(self, df: DataFrame, mask: str) -> DataFrame:
+        """The mask's used stretches as integers, low word first."""
+        used = sorted({b // _WORD for b, _ in self._inline})
+        words = {}
+        for k in used:
+            # Bits [k * _WORD, (k + 1) * _WORD) from the right; a shorter mask
+            # has none of the missing ones.
+            upto = F.right(F.col(mask), F.lit((k + 1) * _WORD))
+            low = F.lit(k * _WORD)
+            bits = F.left(upto, F.greatest(F.length(upto) - low, F.lit(0))) if k else upto
+            words[f"__word{k}"] = F.coalesce(F.conv(bits, 2, 10).try_cast("bigint"), F.lit(0))
+        return df.withColumns(words)
+
+    def _bit(self, bitpos: int) -> Column:
+        return F.getbit(F.col(f"__word{bitpos // _WORD}"), F.lit(bitpos % _WORD)) == 1
+
+    def _any_set(self) -> Column:
+        masks: dict[int, int] = {}
+        for b, _ in self._inline:
+            masks[b // _WORD] = masks.get(b // _WORD, 0) | (1 << b % _WORD)
+        tests = [F.col(f"__word{k}").bitwiseAND(F.lit(m).cast("bigint")) != 0 for k, m in masks.items()]
+        return reduce(or_, tests, F.lit(False))
 
     def add(self, df: DataFrame, mask: str = "groups", numbers: bool = True) -> DataFrame:
         """``channels`` (and ``channel_numbers``), NULL when no bit is set."""
         if self._inline is None:
             return self._add_joined(df, mask, numbers)
-        found = df.withColumn("__set", self._set_entries(F.col(mask)))
-        some = F.size("__set") > 0
-        found = found.withColumn(
-            "channels",
-            F.when(some, F.array_join(F.transform("__set", lambda c: c["name"]), ", ")),
-        )
+
+        def listed(separator: str, texts: list[str]) -> Column:
+            set_ones = [F.when(self._bit(b), F.lit(x)) for (b, _), x in zip(self._inline, texts)]
+            return F.concat_ws(separator, *set_ones)
+
+        found = self._with_words(df, mask)
+        any_set = self._any_set()
+        added = {"channels": F.when(any_set, listed(", ", [n for _, n in self._inline]))}
         if numbers:
-            found = found.withColumn(
-                "channel_numbers",
-                F.when(
-                    some,
-                    F.array_join(F.transform("__set", lambda c: c["bitpos"].cast("string")), ","),
-                ),
-            )
-        return found.drop("__set")
+            added["channel_numbers"] = F.when(any_set, listed(",", [str(b) for b, _ in self._inline]))
+        return found.select(*[F.col(f"`{c}`") for c in df.columns], *[c.alias(n) for n, c in added.items()])
 
     def _add_joined(self, df: DataFrame, mask: str, numbers: bool) -> DataFrame:
         bits = (
@@ -102,10 +106,19 @@ class ChannelDecoder:
                 .distinct()
             )
             return self._channels.join(bits, "bitpos", "left_semi")
+        # One flag per channel, combined map-side to a single row.
+        flags = self._with_words(rows.select(mask), mask).agg(
+            *[F.max(self._bit(b)).alias(f"f{i}") for i, (b, _) in enumerate(self._inline)],
+            F.lit(True).alias("any"),
+        )
+        entries = F.array(
+            *[
+                F.struct(F.lit(b).alias("bitpos"), F.lit(n).cast("string").alias("name"), F.col(f"f{i}").alias("seen"))
+                for i, (b, n) in enumerate(self._inline)
+            ]
+        ).cast("array<struct<bitpos:int,name:string,seen:boolean>>")
         return (
-            rows.select(F.explode(self._set_entries(F.col(mask))).alias("c"))
-            .select("c.bitpos", "c.name")
-            .distinct()
+            flags.select(F.explode(entries).alias("c")).filter(F.col("c.seen")).select("c.bitpos", "c.name")
         )
 
 

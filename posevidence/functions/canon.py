@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import groupby
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -40,9 +42,7 @@ def float_text(value: Column) -> Column:
 def _field_text(df: DataFrame, name: str) -> Column:
     if name not in df.columns:
         return F.lit("")
-    column = F.col(name)
-    kind = dict(df.dtypes)[name]
-    text = float_text(column) if kind in ("double", "float") else column.cast("string")
+    text = F.col(name).cast("string")
     if name == "outcome":
         text = F.replace(text, F.lit(DELIVERED), F.lit(""))
     return F.coalesce(text, F.lit(""))
@@ -50,11 +50,19 @@ def _field_text(df: DataFrame, name: str) -> Column:
 
 def chained_content(df: DataFrame) -> Column:
     """All hashed fields but the previous hash, each after a NUL."""
+    floating = {n for n, kind in df.dtypes if kind in ("double", "float")}
+    runs = [list(run) for _, run in groupby(CHAIN_FIELDS, key=lambda n: n in floating)]
+    texts = [
+        # One copy of the number spelling per run of numbers, not per column.
+        F.transform(
+            F.array(*[F.col(n).cast("double") for n in run]), lambda v: F.coalesce(float_text(v), F.lit(""))
+        )
+        if run[0] in floating
+        else F.array(*[_field_text(df, n) for n in run])
+        for run in runs
+    ]
     nul = F.char(F.lit(0))
-    parts = []
-    for name in CHAIN_FIELDS:
-        parts += [nul, _field_text(df, name)]
-    return F.concat(*parts)
+    return F.concat(nul, F.array_join(F.concat(*texts), "\0"))
 
 
 def row_hash(df: DataFrame, prev_hash: Column) -> Column:

@@ -32,8 +32,13 @@ _SPACE = r"[\s\x1c-\x1f\x85\p{Z}]"
 
 
 def first_group(text: Column, pattern: str) -> Column:
-    """The first match's group 1; NULL without a match, '' for an empty value."""
-    return F.when(text.rlike(pattern), F.regexp_extract(text, pattern, 1))
+    """The first match's group 1; NULL without a match, '' for an empty value.
+
+    Extraction gives '' in both cases, so only an empty result is looked at
+    twice.
+    """
+    found = F.regexp_extract(text, pattern, 1)
+    return F.when(found != "", found).when(text.rlike(pattern), F.lit(""))
 
 
 def detail_attribute(name: str, detail: str = "detail") -> Column:

@@ -509,10 +509,11 @@ def known_zones(spark) -> list[str]:
     return sorted(here & listed if listed else here)
 
 
-def window_in_utc(naive: Column, zone: Column, zones: list[str]) -> Column:
+def window_in_utc(naive: str, zone: str, zones: list[str]) -> Column:
     """Wall-clock text of a zone as UTC; NULL without a zone that is known."""
-    usable = F.when(zone.isin(zones), zone)
-    return F.convert_timezone(usable, F.lit("UTC"), naive.try_cast("timestamp_ntz"))
+    names = ", ".join(f"'{z}'" for z in zones)
+    usable = F.expr(f"CASE WHEN `{zone}` IN ({names}) THEN `{zone}` END")
+    return F.convert_timezone(usable, F.lit("UTC"), F.col(naive).try_cast("timestamp_ntz"))
 
 
 def _asked_hashes(files: DataFrame) -> DataFrame:
@@ -538,8 +539,8 @@ def window_containment(files: DataFrame, log: DataFrame) -> DataFrame:
     windows = log.select(
         "id",
         "package_sha256",
-        window_in_utc(F.col("window_start"), F.col("window_timezone"), zones).alias("start_utc"),
-        window_in_utc(F.col("window_end"), F.col("window_timezone"), zones).alias("end_utc"),
+        window_in_utc("window_start", "window_timezone", zones).alias("start_utc"),
+        window_in_utc("window_end", "window_timezone", zones).alias("end_utc"),
     )
     asked = _asked_hashes(files)
     inside = (F.col("start_utc") <= F.col("file_min_utc")) & (

@@ -126,7 +126,43 @@ def coverage_note(t):
     return compare.coverage_note(compare.compare_positions(*_match(t)))
 
 
-@registered("explain_unmatched", "X7 W7")
+_KEY = "device, servertime, latitude, longitude"
+_EXPLAINED = f"""
+{_MATCHED},
+taken AS (SELECT device, lt AS servertime, la AS latitude, lo AS longitude, sum(n) AS used FROM mutual GROUP BY ALL),
+l_all AS (
+  SELECT o.*, o.free - coalesce(t.used, 0) AS unmatched,
+    lag(o.latitude) OVER w IS NOT DISTINCT FROM o.latitude AND lag(o.longitude) OVER w IS NOT DISTINCT FROM o.longitude AS again
+  FROM l_open o LEFT JOIN taken t USING ({_KEY}) WINDOW w AS (PARTITION BY o.device ORDER BY o.servertime, o.latitude, o.longitude)),
+open AS (SELECT *, if(again, unmatched, least(unmatched, n - 1)) AS repeats FROM l_all WHERE unmatched > 0),
+placed AS (SELECT DISTINCT l.device, l.servertime, l.latitude, l.longitude FROM open l
+  JOIN (SELECT DISTINCT device, latitude, longitude FROM r_spots) r
+  ON r.device = l.device AND r.latitude BETWEEN l.latitude - 0.00002 AND l.latitude + 0.00002 AND {_DISTANCE} <= 1),
+timed AS (SELECT DISTINCT l.device, l.servertime, l.latitude, l.longitude FROM open l JOIN r_spots r
+  ON r.device = l.device AND r.servertime BETWEEN l.servertime - INTERVAL 1 SECOND AND l.servertime + INTERVAL 1 SECOND),
+channels AS (SELECT DISTINCT callsign AS device, servertime, latitude, longitude, channel FROM cot_original),
+used AS (SELECT DISTINCT channel FROM channels JOIN l_all USING ({_KEY}) WHERE unmatched < n),
+unused AS (SELECT {_KEY} FROM channels GROUP BY ALL HAVING NOT bool_or(channel IN (FROM used))),
+lost AS (SELECT device, count(*) AS spots FROM l_all GROUP BY device HAVING sum(n - unmatched) = 0),
+renamed AS (SELECT device, min(other) AS other FROM (
+    SELECT l.device, r.device AS other, count(*) AS found FROM l_all l JOIN r_spots r USING (servertime, latitude, longitude) GROUP BY ALL)
+  JOIN lost USING (device) WHERE found = spots AND other <> device GROUP BY device),
+reasons AS (
+  SELECT device, CASE
+      WHEN o.servertime < (SELECT min(servertime) FROM r_spots) OR o.servertime > (SELECT max(servertime) FROM r_spots) THEN 'outside the time range of the other file'
+      WHEN ({_KEY}) IN (FROM placed) THEN 'same place at another time'
+      WHEN ({_KEY}) IN (FROM timed) THEN 'same time, some metres away'
+      WHEN ({_KEY}) IN (FROM unused) THEN 'on a channel no matched report uses'
+      WHEN renamed.other IS NOT NULL THEN 'device is called ' || renamed.other || ' in the other file'
+      ELSE 'unexplained' END AS reason, unmatched - repeats AS n
+  FROM open o LEFT JOIN renamed USING (device) WHERE unmatched > repeats
+  UNION ALL SELECT device, 'repeats the device''s previous report', repeats FROM open WHERE repeats > 0)"""
+
+
+@registered(
+    "explain_unmatched", "X7 W7", "cot_original cot_copy",
+    f"WITH {_EXPLAINED} SELECT device, reason, CAST(sum(n) AS BIGINT) AS n FROM reasons GROUP BY ALL",
+)
 def explain_unmatched(t):
     original = _device(t["cot_original"])
     _, remaining = _match(t)

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import os
 import re
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from posevidence.materialize import new_folder
@@ -18,6 +20,16 @@ WORD = re.compile(r"[^\x20\x09-\x0D]+")
 WORD_SEPARATORS = "[ \\t\\n\\x0B\\f\\r]+"
 
 
+def importable(spark: SparkSession) -> None:
+    """Let Python workers started from now on import this package from where
+    the driver has it; where it is installed on the workers this adds nothing."""
+    root = str(Path(__file__).resolve().parents[2])
+    environment = spark.sparkContext.environment
+    known = environment.get("PYTHONPATH", "").split(os.pathsep)
+    if root not in known:
+        environment["PYTHONPATH"] = os.pathsep.join([root, *filter(None, known)])
+
+
 def stored(df: DataFrame, purpose: str) -> DataFrame:
     """``df`` written once to the session's shared folder and read from there."""
     path = new_folder(df.sparkSession, purpose)

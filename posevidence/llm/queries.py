@@ -2,21 +2,28 @@
 
 from __future__ import annotations
 
+import functools
 import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from posevidence.llm import sentencepiece_bpe, token_files
+from posevidence.llm import recompression, sentencepiece_bpe, suffix_dedup, token_files
+from posevidence.llm.common import importable
 from posevidence.materialize import new_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 
 def query(build):
-    QUERIES[build.__name__] = build
-    return build
+    @functools.wraps(build)
+    def run(spark, directory):
+        importable(spark)
+        return build(spark, directory)
+
+    QUERIES[build.__name__] = run
+    return run
 
 
 def documents(spark: SparkSession, directory: str) -> DataFrame:
@@ -60,3 +67,19 @@ def op10_token_files(spark, directory):
         F.size("ids").cast("long").alias("n_tokens"),
         token_files.ids_crc32(F.col("ids")).alias("ids_crc32"),
     )
+
+
+@query
+def op3_suffix_dedup(spark, directory):
+    """Bytes of every document outside strings of 100 bytes that stand earlier."""
+    return suffix_dedup.without_repeats(documents(spark, directory), 100).select(
+        "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256")
+    )
+
+
+@query
+def op5_recompression_dedup(spark, directory):
+    """Words of every document outside 50-word windows of earlier documents."""
+    return recompression.without_passages(documents(spark, directory), 50).select(
+        "doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256")
+    )

@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from posevidence.llm import recompression, sentencepiece_bpe, suffix_dedup, token_files
+from posevidence.llm import quality_rules, recompression, sentencepiece_bpe, suffix_dedup, token_files
 from posevidence.llm.common import importable
 from posevidence.materialize import new_folder
 
@@ -83,3 +83,9 @@ def op5_recompression_dedup(spark, directory):
     return recompression.without_passages(documents(spark, directory), 50).select(
         "doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256")
     )
+
+
+@query
+def op7_quality_rules(spark, directory):
+    """Counts and verdict of every document."""
+    return quality_rules.verdicts(documents(spark, directory))

@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from posevidence.llm import quality_rules, recompression, sentencepiece_bpe, suffix_dedup, token_files
+from posevidence.llm import ngram_join, quality_rules, recompression, sentencepiece_bpe, suffix_dedup, token_files
 from posevidence.llm.common import importable
 from posevidence.materialize import new_folder
 
@@ -89,3 +89,9 @@ def op5_recompression_dedup(spark, directory):
 def op7_quality_rules(spark, directory):
     """Counts and verdict of every document."""
     return quality_rules.verdicts(documents(spark, directory))
+
+
+@query
+def op2_ngram_join(spark, directory):
+    """Classes of documents linked by nine tenths of their 3-word shingles."""
+    return ngram_join.near_duplicates(documents(spark, directory), width=3, percent=90)

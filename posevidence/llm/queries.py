@@ -9,8 +9,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from posevidence.llm import ngram_join, quality_rules, recompression, sentencepiece_bpe, suffix_dedup, token_files
-from posevidence.llm.common import importable
+from posevidence.llm import ngram_join, quality_cnn, quality_rules, recompression, sentencepiece_bpe, suffix_dedup, token_files
+from posevidence.llm.common import fold, importable
 from posevidence.materialize import new_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -95,3 +95,13 @@ def op7_quality_rules(spark, directory):
 def op2_ngram_join(spark, directory):
     """Classes of documents linked by nine tenths of their 3-word shingles."""
     return ngram_join.near_duplicates(documents(spark, directory), width=3, percent=90)
+
+
+@query
+def op4_quality_cnn(spark, directory):
+    """Quality scores of every document."""
+    docs = documents(spark, directory).select("doc_id", "text")
+    network = quality_cnn.fit(docs, spark.read.parquet(f"{directory}/labels.parquet"), "quality")
+    return docs.select(
+        "doc_id", (fold(F.col("doc_id"), 3) == 1).alias("held_out"), quality_cnn.score(F.col("text"), network).alias("score")
+    ).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))

@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from posevidence.llm import ngram_join, quality_cnn, quality_rules, recompression, sentencepiece_bpe, suffix_dedup, token_files
+from posevidence.llm import ngram_join, quality_cnn, quality_rules, recompression, sentencepiece_bpe, suffix_dedup, token_files, toxicity
 from posevidence.llm.common import fold, importable
 from posevidence.materialize import new_folder
 
@@ -105,3 +105,18 @@ def op4_quality_cnn(spark, directory):
     return docs.select(
         "doc_id", (fold(F.col("doc_id"), 3) == 1).alias("held_out"), quality_cnn.score(F.col("text"), network).alias("score")
     ).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
+@query
+def op8_toxicity(spark, directory):
+    """Toxicity scores of every document with their evidence."""
+    docs = documents(spark, directory).select("doc_id", "text")
+    examples = toxicity.fit(docs, spark.read.parquet(f"{directory}/labels.parquet"), "toxic")
+    found = docs.select("doc_id", toxicity.judged(F.col("text"), examples).alias("found"))
+    return found.select(
+        "doc_id",
+        (fold(F.col("doc_id"), 3) == 1).alias("held_out"),
+        F.col("found.score").alias("score"),
+        (F.col("found.score") >= 0.7).cast("int").alias("predicted"),
+        F.col("found.nearest").alias("nearest"),
+    )

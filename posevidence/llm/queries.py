@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from posevidence.llm import ngram_join, quality_cnn, quality_rules, recompression, sentencepiece_bpe, suffix_dedup, token_files, toxicity
+from posevidence.llm import decontamination, ngram_join, quality_cnn, quality_rules, recompression, sentencepiece_bpe, suffix_dedup, token_files, toxicity
 from posevidence.llm.common import fold, importable
 from posevidence.materialize import new_folder
 
@@ -120,3 +120,11 @@ def op8_toxicity(spark, directory):
         (F.col("found.score") >= 0.7).cast("int").alias("predicted"),
         F.col("found.nearest").alias("nearest"),
     )
+
+
+@query
+def op9_decontamination(spark, directory):
+    """Benchmark questions that documents hold, re-parameterised ones included."""
+    return decontamination.contaminated(
+        documents(spark, directory), spark.read.parquet(f"{directory}/benchmark.parquet")
+    )

@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from posevidence.llm import decontamination, ngram_join, quality_cnn, quality_rules, recompression, sentencepiece_bpe, suffix_dedup, token_files, toxicity
+from posevidence.llm import decontamination, ngram_join, pitman_yor, quality_cnn, quality_rules, recompression, sentencepiece_bpe, suffix_dedup, token_files, toxicity
 from posevidence.llm.common import fold, importable
 from posevidence.materialize import new_folder
 
@@ -128,3 +128,9 @@ def op9_decontamination(spark, directory):
     return decontamination.contaminated(
         documents(spark, directory), spark.read.parquet(f"{directory}/benchmark.parquet")
     )
+
+
+@query
+def op6_pitman_yor(spark, directory):
+    """Log probabilities of every document under the model and its base."""
+    return pitman_yor.scored(documents(spark, directory))

@@ -16,6 +16,8 @@ itself, so repeated rows keep their bytes. A row without an id is kept whole.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -86,13 +88,18 @@ def _contexts(windows: Windows):
 
 
 def without_repeats(
-    docs: DataFrame, length: int = 100, doc_id: str = "doc_id", text: str = "text", block: int = BLOCK
+    docs: DataFrame, length: int = 100, doc_id: str = "doc_id", text: str = "text", block: int = BLOCK,
+    whole_characters: bool = False, carried: Sequence[str] = (),
 ) -> DataFrame:
-    """(doc_id, kept, n_bytes, n_removed, n_spans): the bytes that stay, one row
-    for each row of ``docs``."""
+    """(doc_id, kept, n_bytes, n_removed, n_spans, *carried): the bytes that
+    stay, one row for each row of ``docs``. With ``whole_characters`` a
+    character stays if one of its bytes does, so what is kept is text."""
     windows = Windows(length, length - GRAM + 1, GRAM, "place", _byte_units, "u1")
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    known = rows.filter(F.col("doc_id").isNotNull())
+    rows = docs.select(
+        F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"),
+        F.struct(F.lit(0).alias("_"), *[F.col(c).alias(f"c{k}") for k, c in enumerate(carried)]).alias("rest"),
+    )
+    known = rows.select("doc_id", "text").filter(F.col("doc_id").isNotNull())
     anchors = known.mapInArrow(_anchors(length), ANCHOR_SCHEMA)
     found = stored(settled_and_open(anchors, windows), "anchors")
     wanted = (
@@ -107,18 +114,25 @@ def without_repeats(
     def cut(batches):
         for batch in batches:
             out = []
-            for text, own in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+            for text, own in zip(batch.column(1).to_pylist(), batch.column(3).to_pylist()):
                 raw = np.frombuffer((text or "").encode("utf-8"), np.uint8)
                 gone = union_mask(own, len(raw))
+                if whole_characters and gone.any():
+                    head = np.flatnonzero((raw & 0xC0) != 0x80)
+                    gone = np.repeat(np.logical_and.reduceat(gone, head), np.diff(np.r_[head, len(raw)]))
                 starts = int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum()) if len(raw) else 0
                 out.append((raw[~gone].tobytes(), len(raw), int(gone.sum()), starts))
             kept, size, removed, runs = zip(*out) if out else ((), (), (), ())
             yield pa.record_batch(
                 [batch.column(0), pa.array(kept, pa.binary()), pa.array(size, pa.int64()),
-                 pa.array(removed, pa.int64()), pa.array(runs, pa.int64())],
-                ["doc_id", "kept", "n_bytes", "n_removed", "n_spans"],
+                 pa.array(removed, pa.int64()), pa.array(runs, pa.int64()), batch.column(2)],
+                ["doc_id", "kept", "n_bytes", "n_removed", "n_spans", "rest"],
             )
 
-    return rows.join(spans, "doc_id", "left").mapInArrow(
-        cut, "doc_id long, kept binary, n_bytes long, n_removed long, n_spans long"
+    rest = rows.schema["rest"].dataType.simpleString()
+    found = rows.join(spans, "doc_id", "left").select("doc_id", "text", "rest", "spans").mapInArrow(
+        cut, f"doc_id long, kept binary, n_bytes long, n_removed long, n_spans long, rest {rest}"
+    )
+    return found.select(
+        "doc_id", "kept", "n_bytes", "n_removed", "n_spans", *[F.col(f"rest.c{k}").alias(c) for k, c in enumerate(carried)]
     )

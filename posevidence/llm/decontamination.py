@@ -238,7 +238,9 @@ def contaminated(
         .filter(F.col("id").isNotNull())
         .distinct()
     )
-    asked = items.mapInArrow(_templates(), WINDOW_SCHEMA)
+    # A question may be shouted; its names are then words like others.
+    shouted = items.withColumn("text", F.upper("text"))
+    asked = items.unionByName(shouted).mapInArrow(_templates(), WINDOW_SCHEMA).distinct()
     bits = spark.sparkContext.broadcast(_bitmap(asked))
     rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text")).filter(F.col("id").isNotNull())
     found = rows.mapInArrow(_templates(bits), WINDOW_SCHEMA)

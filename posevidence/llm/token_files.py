@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import re
 import zlib
-from itertools import chain
+from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +27,8 @@ from posevidence.llm.common import WORD, portions, stored, strings, text_bytes
 
 #: Ids in one block, about.
 BLOCK_IDS = 1 << 18
-WORD_CACHE = 1 << 19
+WORD_CACHE = 1 << 18
+PART_CACHE = 1 << 19
 CACHED_LENGTH = 48
 
 _LENGTHS = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3).astype(np.uint8) + 1
@@ -56,6 +57,22 @@ _LETTERS, _SIGNS, _BLANK = "A-Za-zÀ-ÖØ-öø-ſ", "!-&(-/:-@\\[-`{-~", "\\x20\
 _PARTS = re.compile(
     f"[{_LETTERS}]++(?![^{_BLANK}{_SIGNS}])|[{_SIGNS}]++(?![^{_BLANK}{_LETTERS}])|[^{_BLANK}]+"
 )
+_ASCII_SIGNS = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum() and c != "'")
+
+
+def _cut(word: str) -> Sequence[str]:
+    """Parts that the library encodes apart; it lowers letters itself, so plain
+    ones share a key."""
+    if word.isascii():
+        word = word.lower()
+        core = word.rstrip(_ASCII_SIGNS)
+        if core.isalpha():
+            return (core,) if len(core) == len(word) else (core, word[len(core) :])
+    elif word.isalpha():
+        return (word,)
+    return _PARTS.findall(word)
+
+
 # Surely one word to the library.
 _PLAIN = re.compile(f"[{_LETTERS}]+|[{_SIGNS}]+")
 
@@ -79,23 +96,24 @@ class WordTokenizer:
         for token, number in self.tokenizer.get_vocab(with_added_tokens=True).items():
             self.ends[number] = token.endswith("</w>")
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.words: dict[str, tuple[int, ...]] = {}
-        self.parts: dict[str, tuple[int, ...]] = {}
+        # Ids as bytes of the tokenizer's width, which join without a loop.
+        self.words: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {}
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
+    def encode(self, texts: list[str]) -> list[bytes]:
         split = [WORD.findall(t) for t in texts]
         words = self.words
         if len(words) >= WORD_CACHE:
             words.clear()
-        if len(self.parts) >= WORD_CACHE:
+        if len(self.parts) >= PART_CACHE:
             self.parts.clear()
         odd = {k for k, t in enumerate(texts) if any(s in t for s in self.special)}
         new = {w for k, row in enumerate(split) if k not in odd for w in row if w not in words}
         self._learn(new)
         found = [
-            np.array(self.tokenizer.encode(texts[k], add_special_tokens=False).ids, self.dtype)
+            self._bytes(self.tokenizer.encode(texts[k], add_special_tokens=False).ids)
             if k in odd
-            else np.fromiter(chain.from_iterable(map(words.__getitem__, row)), self.dtype)
+            else b"".join(map(words.__getitem__, row))
             for k, row in enumerate(split)
         ]
         for w in new:
@@ -103,22 +121,27 @@ class WordTokenizer:
                 del words[w]
         return found
 
+    def _bytes(self, ids: list[int]) -> bytes:
+        return np.array(ids, self.dtype).tobytes()
+
     def _learn(self, new: set[str]) -> None:
-        cut = {w: _PARTS.findall(w) for w in new}
+        cut = {w: _cut(w) for w in new}
         parts = self.parts
         missing = list({p for row in cut.values() for p in row if p not in parts})
         plain = [p for p in missing if _PLAIN.fullmatch(p)]
         for k in range(0, len(plain), 1000):
             some = plain[k : k + 1000]
             ids = self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids
-            ends = (np.flatnonzero(self.ends[ids]) + 1).tolist()
+            ids = np.array(ids, self.dtype)
+            ends = ((np.flatnonzero(self.ends[ids]) + 1) * ids.itemsize).tolist()
             if len(ends) == len(some):
-                parts.update(zip(some, (tuple(ids[a:b]) for a, b in zip([0, *ends], ends))))
+                raw = ids.tobytes()
+                parts.update(zip(some, [raw[a:b] for a, b in zip([0, *ends], ends)]))
         rest = [p for p in missing if p not in parts]
         for p, encoding in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)):
-            parts[p] = tuple(encoding.ids)
+            parts[p] = self._bytes(encoding.ids)
         for w, row in cut.items():
-            self.words[w] = parts[row[0]] if len(row) == 1 else tuple(chain.from_iterable(map(parts.__getitem__, row)))
+            self.words[w] = parts[row[0]] if len(row) == 1 else b"".join(map(parts.__getitem__, row))
         for p in missing:
             if len(p) > CACHED_LENGTH:
                 del parts[p]
@@ -138,11 +161,11 @@ def tokenised(docs: DataFrame, path: str, end_id: int | None, doc_id: str = "doc
 
     def encode(batches):
         own = _tokenizer(path)
-        end = np.array([] if end_id is None else [end_id], own.dtype)
+        end = np.array([] if end_id is None else [end_id], own.dtype).tobytes()
         for batch in portions(batches, "text"):
             found = own.encode(strings(batch.column(1)))
             yield pa.record_batch(
-                [batch.column(0), pa.array([np.concatenate([f, end]).tobytes() for f in found], pa.binary())],
+                [batch.column(0), pa.array([f + end for f in found], pa.binary())],
                 ["doc_id", "ids"],
             )
 

@@ -38,7 +38,7 @@ from posevidence.llm.components import components
 #: Documents of one index.
 BLOCK = 512
 #: Weight of probing against merging in the choice of lists set aside.
-PROBE_WEIGHT = 0.05
+PROBE_WEIGHT = 0.01
 
 
 def shingle_names(data: np.ndarray, at: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -132,47 +132,52 @@ class Inverted:
         head = np.flatnonzero(np.r_[True, names[1:] != names[:-1]]) if len(names) else np.zeros(0, np.int64)
         self.keys = names[head]
         self.start = np.r_[head, len(names)]
+        # List and document in one ascending number, for binary search.
+        self.entry = np.repeat(np.arange(len(head)), np.diff(self.start)) * len(sets) + self.owners
 
-    def search(self, query: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-        """Documents that link with the query, and their overlaps."""
+    def search(self, query: np.ndarray, percent: int, wanted: np.ndarray | None = None) -> np.ndarray:
+        """Documents, of those ``wanted``, that link with the query."""
         need = -(-percent * len(query) // 100)
-        nothing = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        nothing = np.zeros(0, np.int64)
         if not len(self.keys) or not need:
             return nothing
         at = np.searchsorted(self.keys, query)
         at = at[self.keys[np.minimum(at, len(self.keys) - 1)] == query]
         if len(at) < need:
             return nothing
-        first, last = self.start[at], self.start[at + 1]
-        by_length = np.argsort(last - first, kind="stable")
-        first, last = first[by_length], last[by_length]
-        longest = int(last[-1] - first[-1])
+        lengths = self.start[at + 1] - self.start[at]
+        by_length = np.argsort(lengths, kind="stable")
+        at, lengths = at[by_length], lengths[by_length]
         # Lists set aside, at most all but one of the needed occurrences.
-        aside = min(need - 1, int(need / (PROBE_WEIGHT * np.log2(longest + 1) + 1)))
+        aside = min(need - 1, int(need / (PROBE_WEIGHT * np.log2(int(lengths[-1]) + 1) + 1)))
         short = len(at) - aside
-        lengths = last[:short] - first[:short]
-        places = np.repeat(first[:short] - np.r_[0, np.cumsum(lengths)[:-1]], lengths) + np.arange(lengths.sum())
+        some = lengths[:short]
+        places = np.repeat(self.start[at[:short]] - np.r_[0, np.cumsum(some)[:-1]], some) + np.arange(some.sum())
         merged = np.sort(self.owners[places], kind="stable")  # merges the sorted lists
         head = np.flatnonzero(np.r_[True, merged[1:] != merged[:-1]])
         count = np.diff(np.r_[head, len(merged)])
         doc = merged[head]
-        within = (count >= need - aside) & (100 * self.sizes[doc] >= percent * len(query)) & (
-            percent * self.sizes[doc] <= 100 * len(query)
-        )
+        sizes = self.sizes[doc]
+        within = (count >= need - aside) & (100 * sizes >= percent * len(query)) & (percent * sizes <= 100 * len(query))
+        if wanted is not None:
+            within &= wanted[doc]
         doc, count = doc[within], count[within]
-        # Probe the long lists, shortest first, while a document can still reach.
-        for k in range(short, len(at)):
-            if not len(doc):
-                return nothing
-            own = self.owners[first[k] : last[k]]
-            spot = np.searchsorted(own, doc)
-            count = count + ((spot < len(own)) & (own[np.minimum(spot, len(own) - 1)] == doc))
-            left = len(at) - 1 - k
-            alive = count + left >= need
-            if not alive.all():
-                doc, count = doc[alive], count[alive]
-        linked = 100 * count >= percent * (len(query) + self.sizes[doc] - count)
-        return doc[linked], count[linked]
+        linked = []
+        # Probe the long lists, shortest first, as long as a document is open.
+        k, step = short, 8
+        while len(doc):
+            enough = 100 * count >= percent * (len(query) + self.sizes[doc] - count)
+            if enough.any():
+                linked.append(doc[enough])
+            open_ = ~enough & (count + (len(at) - k) >= need)
+            doc, count = doc[open_], count[open_]
+            if not len(doc) or k == len(at):
+                break
+            asked = at[k : k + step, None] * len(self.sizes) + doc
+            spot = np.minimum(np.searchsorted(self.entry, asked), len(self.entry) - 1)
+            count = count + (self.entry[spot] == asked).sum(axis=0)
+            k, step = min(k + step, len(at)), 4 * step
+        return np.concatenate(linked) if linked else nothing
 
 
 def signatures(docs: DataFrame, width: int, percent: int) -> DataFrame:
@@ -264,7 +269,7 @@ def search_from_one(rows: DataFrame, percent: int) -> DataFrame:
             a, b = [], []
             for k, q in enumerate(asks):
                 if q:
-                    found, _ = index.search(sets[k], percent)
+                    found = index.search(sets[k], percent)
                     a += [ids[k]] * len(found)
                     b += [ids[members[f]] for f in found]
             if a:
@@ -274,39 +279,41 @@ def search_from_one(rows: DataFrame, percent: int) -> DataFrame:
 
 
 def search_in_full(rows: DataFrame, percent: int) -> DataFrame:
-    """Links between a block's two sides that are in different components, of
-    which one for each pair of components is enough.
-
-    ``rows``: (group, block, side, doc_id, component, shingles); side 0 is
-    searched in itself, or against side 1 where the block has one.
+    """Links between documents of different components, of which one for each
+    pair of components is enough.
+
+    ``rows``: (group, block, side, apart, doc_id, component, shingles). A block
+    searches its documents in each other, or side 1 against side 0 where it has
+    both. Of two linked documents one at least is outside any one component: so
+    only documents outside ``apart`` ask, or outside the block's largest
+    component where that is NULL.
     """
 
     def search(batches):
         for group in _by_key(batches, 2):
             ids = group.column("doc_id").to_numpy()
-            component = group.column("component").to_numpy()
+            _, component = np.unique(group.column("component").to_numpy(), return_inverse=True)
+            outside = np.array([c != a for c, a in zip(*(group.column(n).to_pylist() for n in ("component", "apart")))])
+            if group.column("apart").null_count:
+                outside = component != np.bincount(component).argmax()
             side = group.column("side").to_numpy()
             sets = _sets(group.column("shingles"))
-            asked = np.flatnonzero(side == 0)
-            indexed = np.flatnonzero(side == 1) if (side == 1).any() else asked
-            index = Inverted([sets[k] for k in indexed])
-            root = {c: c for c in component.tolist()}
-
-            def top(c):
-                while root[c] != c:
-                    root[c] = root[root[c]]
-                    c = root[c]
-                return c
-
+            label = component.copy()
             a, b = [], []
-            for k in asked:
-                for f in index.search(sets[k], percent)[0]:
-                    other = indexed[f]
-                    x, y = top(component[k]), top(component[other])
-                    if x != y:
-                        root[x] = y
-                        a.append(ids[k])
-                        b.append(ids[other])
+            sides = (0, 1) if (side == 1).any() else (0,)
+            for against in sides:
+                indexed = np.flatnonzero(side == against)
+                asking = np.flatnonzero(outside & (side == sides[-1] - against))
+                if not len(asking):
+                    continue
+                index = Inverted([sets[k] for k in indexed])
+                for k in asking:
+                    for f in index.search(sets[k], percent, label[indexed] != label[k]):
+                        other = indexed[f]
+                        if label[other] != label[k]:
+                            label[label == label[other]] = label[k]
+                            a.append(ids[k])
+                            b.append(ids[other])
             if a:
                 yield _links(a, b)
 
@@ -384,22 +391,23 @@ def near_duplicates(
         .filter(F.col("low") < F.col("high"))
     )
     several = stored(
-        several.groupBy("who", "n").agg(F.min("part").alias("part")).select(
-            "part", F.ceil(F.col("n") / F.lit(block)).cast("int").alias("blocks")
-        ),
+        several.groupBy("who", "n").agg(F.min("part").alias("part"), F.min("low").alias("low"))
+        .withColumn("blocks", F.ceil(F.col("n") / F.lit(block)).cast("int"))
+        .select("part", "blocks", F.when(F.col("blocks") > 1, F.col("low")).alias("apart")),
         "open-groups",
     )
     members = open_groups.join(several, "part").withColumn("own", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
     # Block (i, j) searches the documents of i against those of j.
     members = members.select(
-        F.col("part").alias("group"), F.col("class").alias("doc_id"), "component", "own", "blocks",
+        F.col("part").alias("group"), F.col("class").alias("doc_id"), "component", "own", "blocks", "apart",
         F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"),
     ).select(
         "group", (F.least("own", "other") * F.col("blocks") + F.greatest("own", "other")).alias("block"),
-        F.when(F.col("own") > F.col("other"), 1).otherwise(0).alias("side"), "doc_id", "component",
+        F.when(F.col("own") > F.col("other"), 1).otherwise(0).alias("side"), "apart",
+        "doc_id", "component",
     )
     full = search_in_full(
-        members.join(sets, "doc_id").select("group", "block", "side", "doc_id", "component", "shingles"), percent
+        members.join(sets, "doc_id").select("group", "block", "side", "apart", "doc_id", "component", "shingles"), percent
     )
     found = components(same.unionByName(star).unionByName(full))
     return (

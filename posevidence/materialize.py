@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -9,12 +10,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``; a temporary folder only where
-    the session has none, as in tests."""
+    """The session's ``spark.checkpoint.dir``; a temporary folder only where the
+    session has none and one machine does all the work, as in tests."""
     folder = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if folder is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
-    return folder or tempfile.mkdtemp(prefix="posevidence-")
+    if folder is None:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="posevidence-")
+    return folder
 
 
 def settle(df: DataFrame) -> DataFrame:

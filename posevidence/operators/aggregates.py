@@ -102,8 +102,6 @@ def quality_summary(cot: DataFrame, params: ExportParams) -> DataFrame:
 # Each level splits a cell of the one before; the last is finer than the
 # spacing of doubles at map scale, so a final cell holds a handful of values.
 _LEVEL_SCALES = (1e2, 1e6, 1e10, 1e14)
-# A cell with at most this many rows is sorted as it is.
-_SMALL_CELL = 200_000
 
 
 def _cell(level: int) -> Column:
@@ -120,8 +118,8 @@ def exact_percentiles(values: DataFrame, fractions: tuple[float, ...]) -> DataFr
     For a few series of degree-sized numbers, of any length. Rows are counted
     per fixed-width cell, which combines map-side to a bounded number of cells;
     the cells that hold a wanted rank (two per fraction and series) are then
-    looked into, by finer cells until they are small. No task and no driver
-    step ever holds a column. Locating the cells runs one or two narrow jobs
+    looked into by finer and finer cells. No task and no driver
+    step ever holds a column. Locating the cells runs a narrow job for each level
     when this is called; the result itself is lazy.
     """
     spark = values.sparkSession
@@ -143,9 +141,7 @@ def exact_percentiles(values: DataFrame, fractions: tuple[float, ...]) -> DataFr
     level = 0
     # Two rows per fraction and series.
     targets = spark.createDataFrame(located.collect(), located.schema)
-    while level + 1 < len(_LEVEL_SCALES) and (
-        targets.filter(F.col("in_cell") > _SMALL_CELL).limit(1).count()
-    ):
+    while level + 1 < len(_LEVEL_SCALES):
         level += 1
         cells = (
             _inside(values, targets, level - 1)

@@ -26,8 +26,6 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 ID_SLICE = 100_000
 PAGE_SIZE = 25
 RECENT_IDENTITY_ROWS = 50
-# Above this many corrections they are folded by joins, not on the driver.
-DRIVER_CORRECTIONS = 10_000
 
 # What is withheld from a hash lookup, the sortable columns, the
 # kinds that are exports, and the texts of corrections and chain failures.
@@ -173,33 +171,12 @@ def parse_corrections(log: DataFrame) -> DataFrame:
     )
 
 
-def resolve_corrections(corrections: DataFrame, driver_limit: int = DRIVER_CORRECTIONS) -> DataFrame:
+def resolve_corrections(corrections: DataFrame) -> DataFrame:
     """(entry_id, case, effective): where each corrected entry or case now reads.
 
-    Later renames carry along what already points at the old name. Corrections
-    are typed by people; a usual number of them is folded on the driver, a
-    larger one by following the renames with joins.
+    Later renames carry along what already points at the old name: every
+    start repeatedly takes the next rename of its current name.
     """
-    rows = corrections.orderBy("id").limit(driver_limit + 1).collect()
-    if len(rows) > driver_limit:
-        return _resolve_by_joins(corrections)
-    entries: dict[int, str] = {}
-    cases: dict[str, str] = {}
-    for row in rows:
-        if row.entry_id is not None:
-            entries[row.entry_id] = row.new
-            continue
-        for known in (cases, entries):
-            known.update({k: row.new for k, v in known.items() if v == row.old})
-        cases[row.old] = row.new
-    resolved = [(k, None, v) for k, v in entries.items()] + [(None, k, v) for k, v in cases.items()]
-    return corrections.sparkSession.createDataFrame(
-        resolved, "entry_id bigint, case string, effective string"
-    )
-
-
-def _resolve_by_joins(corrections: DataFrame) -> DataFrame:
-    """The same, by repeatedly taking the next rename of the current name."""
     renames = settle(corrections.filter(F.col("entry_id").isNull()).select("id", "old", "new"))
     newest = F.max_by(F.struct("id", "new"), "id").alias("n")
     start_entries = corrections.filter(F.col("entry_id").isNotNull()).groupBy("entry_id").agg(newest)

@@ -8,8 +8,6 @@ from operator import or_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Above this many defined channels the dimension is joined, not inlined.
-INLINE_CHANNELS = 256
 # Bits per machine word a mask is cut into.
 _WORD = 62
 
@@ -17,20 +15,20 @@ _WORD = 62
 class ChannelDecoder:
     """Adds channel names and numbers to rows that carry a mask.
 
-    The channel dimension is dozens of rows. Up to ``INLINE_CHANNELS`` of them
-    become part of the expression: the stretches of the mask any channel uses
-    are read as words, each channel tests its bit, and every row is decoded
-    where it stands, in generated code, without a join or a shuffle. A larger
-    dimension is decoded by exploding the set bits of each distinct mask and
-    joining on the bit.
+    The channel dimension has an entry for a bit of the mask, so it is never
+    longer than a mask is wide. It becomes part of the expression: the stretches
+    of the mask any channel uses are read as words, each channel tests its bit,
+    and every row is decoded where it stands, in generated code, without a join
+    or a shuffle. Entries that share a bit are listed in the order of their
+    names; an entry without a name adds its number only.
     """
 
     def __init__(self, channels: DataFrame):
-        self._channels = channels.select(F.col("bitpos").cast("int").alias("bitpos"), "name")
-        rows = self._channels.limit(INLINE_CHANNELS + 1).collect()
-        self._inline = None
-        if len(rows) <= INLINE_CHANNELS:
-            self._inline = sorted((r.bitpos, r.name) for r in rows if r.bitpos is not None and r.bitpos >= 0)
+        rows = channels.select(F.col("bitpos").cast("int").alias("bitpos"), "name").collect()
+        self._inline = sorted(
+            ((r.bitpos, r.name) for r in rows if r.bitpos is not None and r.bitpos >= 0),
+            key=lambda c: (c[0], c[1] is None, c[1] or ""),
+        )
 
     def _with_words(self, df: DataFrame, mask: str) -> DataFrame:
         """The mask's used stretches as integers, low word first."""
@@ -57,11 +55,8 @@ class ChannelDecoder:
 
     def add(self, df: DataFrame, mask: str = "groups", numbers: bool = True) -> DataFrame:
         """``channels`` (and ``channel_numbers``), NULL when no bit is set."""
-        if self._inline is None:
-            return self._add_joined(df, mask, numbers)
-
         def listed(separator: str, texts: list[str]) -> Column:
-            set_ones = [F.when(self._bit(b), F.lit(x)) for (b, _), x in zip(self._inline, texts)]
+            set_ones = [F.when(self._bit(b), F.lit(x).cast("string")) for (b, _), x in zip(self._inline, texts)]
             return F.concat_ws(separator, *set_ones)
 
         found = self._with_words(df, mask)
@@ -71,41 +66,8 @@ class ChannelDecoder:
             added["channel_numbers"] = F.when(any_set, listed(",", [str(b) for b, _ in self._inline]))
         return found.select(*[F.col(f"`{c}`") for c in df.columns], *[c.alias(n) for n, c in added.items()])
 
-    def _add_joined(self, df: DataFrame, mask: str, numbers: bool) -> DataFrame:
-        bits = (
-            df.select(F.col(mask).alias("__mask"))
-            .distinct()
-            .select("__mask", F.posexplode(F.split(F.reverse("__mask"), "")).alias("bitpos", "bit"))
-            .filter(F.col("bit") == "1")
-        )
-        decoded = (
-            bits.join(self._channels, "bitpos")
-            .groupBy("__mask")
-            .agg(F.array_sort(F.collect_list(F.struct("bitpos", "name"))).alias("__set"))
-            .select(
-                "__mask",
-                F.array_join(F.transform("__set", lambda c: c["name"]), ", ").alias("channels"),
-                F.array_join(
-                    F.transform("__set", lambda c: c["bitpos"].cast("string")), ","
-                ).alias("channel_numbers"),
-            )
-        )
-        if not numbers:
-            decoded = decoded.drop("channel_numbers")
-        return df.join(decoded, F.col(mask) == F.col("__mask"), "left").drop("__mask")
-
     def present(self, rows: DataFrame, mask: str = "groups") -> DataFrame:
         """The channels at least one row carries, as (bitpos, name)."""
-        if self._inline is None:
-            bits = (
-                rows.select(F.col(mask).alias("__mask"))
-                .distinct()
-                .select(F.posexplode(F.split(F.reverse("__mask"), "")).alias("bitpos", "bit"))
-                .filter(F.col("bit") == "1")
-                .select("bitpos")
-                .distinct()
-            )
-            return self._channels.join(bits, "bitpos", "left_semi")
         # One flag per channel, combined map-side to a single row.
         flags = self._with_words(rows.select(mask), mask).agg(
             *[F.max(self._bit(b)).alias(f"f{i}") for i, (b, _) in enumerate(self._inline)],
@@ -128,19 +90,20 @@ def excluded_channels(available: DataFrame, selected: tuple[int, ...] | None) ->
     ``no filter`` has no names (NULL): nothing was left out on purpose.
     ``verified`` lists what was present and not selected, possibly nothing
     (an empty list). A caller whose channel query failed reports ``unknown``.
+    ``names`` is an array, since a name may hold any separator.
     """
     if selected is None:
         return available.sparkSession.range(1).select(
-            F.lit("no filter").alias("state"), F.lit(None).cast("string").alias("names")
+            F.lit("no filter").alias("state"), F.lit(None).cast("array<string>").alias("names")
         )
     left_out = available.filter(~F.col("bitpos").isin([int(c) for c in selected]))
     return left_out.agg(
         F.lit("verified").alias("state"),
-        F.array_join(F.sort_array(F.collect_list("name")), ", ").alias("names"),
+        F.sort_array(F.collect_list("name")).alias("names"),
     )
 
 
 def excluded_channels_unknown(spark) -> DataFrame:
     return spark.range(1).select(
-        F.lit("unknown").alias("state"), F.lit(None).cast("string").alias("names")
+        F.lit("unknown").alias("state"), F.lit(None).cast("array<string>").alias("names")
     )

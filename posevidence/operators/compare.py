@@ -30,7 +30,6 @@ COMPARED_FIELDS = ("servertime", "latitude", "longitude", "uid", "callsign")
 # A cell of latitude a little over the place tolerance.
 _CELL_DEGREES = 1e-5
 # At most this many names are put in a membership test as constants.
-_INLINE_NAMES = 1000
 
 
 # ---------------------------------------------------------------------------

@@ -131,10 +131,15 @@ def positions_on_channels(t):
 
 @registered(
     "positions_no_channel_selected", "F6", "cot",
-    "SELECT id, uid FROM cot WHERE FALSE",
+    f"SELECT cot_type, count(*) AS matching, 0 AS selected FROM cot WHERE {MATCHING} GROUP BY cot_type",
 )
 def positions_no_channel_selected(t):
-    return results.matching_positions(t["cot"], NO_CHANNELS).select("id", "uid")
+    """Matching positions of each type, and those of them that no channel selects."""
+    every = results.matching_positions(t["cot"], P).groupBy("cot_type").agg(F.count("*").alias("matching"))
+    none = results.matching_positions(t["cot"], NO_CHANNELS).groupBy("cot_type").agg(F.count("*").alias("selected"))
+    return every.join(none, "cot_type", "left").select(
+        "cot_type", "matching", F.coalesce("selected", F.lit(0)).cast("int").alias("selected")
+    )
 
 
 @registered(
@@ -333,7 +338,8 @@ def available_channels(t):
     f"SELECT 'verified' AS state, coalesce(string_agg(name, ', ' ORDER BY name), '') AS names FROM ({_AVAILABLE}) WHERE bitpos NOT IN ({', '.join(map(str, CHECK_CHANNELS))})",
 )
 def excluded_channels(t):
-    return channels.excluded_channels(available_channels(t), CHECK_CHANNELS)
+    found = channels.excluded_channels(available_channels(t), CHECK_CHANNELS)
+    return found.withColumn("names", F.array_join("names", ", "))
 
 
 @registered(

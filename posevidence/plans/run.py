@@ -84,7 +84,7 @@ def write_extract(
             sinks.write_guarded_csv(df.observe(written, F.count(F.lit(1)).alias("n")), target)
             counts[name] = written.get["n"]
         except Exception as e:  # noqa: BLE001 - recorded per result
-            failures[name] = f"{type(e).__name__}: {str(e)[:300]}"
+            failures[name] = f"{type(e).__name__}: {e}"
     left_out = [] if included is None else [n for n in OPTIONAL_RESULTS if n not in included]
     if params.channels is None:
         state, names = "no filter", None
@@ -95,7 +95,7 @@ def write_extract(
                 results.matching_positions(tables["cot_router"], replace(params, channels=None))
             )
             row = excluded_channels(present, params.channels).first()
-            state, names = row.state, [n for n in row.names.split(", ") if n]
+            state, names = row.state, row.names
         except Exception:  # noqa: BLE001 - unknown is an answer of its own
             state, names = "unknown", None
     return sinks.run_manifest(spark, counts, failures, left_out, state, names)

@@ -217,8 +217,9 @@ SELECT ts AS created_ts, user_id AS client_endpoint_id, length(event_type) AS co
   'v' || CAST(event_id % 4 AS STRING) AS client_version, {_MASK.format('event_id')} AS groups
 FROM {{events}}""",
     "fed_event_kind_pl": """
-SELECT CAST(substr(o_orderpriority, 1, 1) AS INT) AS id, min(o_orderpriority) AS event_kind
-FROM {orders} WHERE o_orderpriority <> '5-LOW' GROUP BY CAST(substr(o_orderpriority, 1, 1) AS INT)""",
+SELECT CASE WHEN o_orderpriority = '5-LOW' THEN 50 ELSE CAST(substr(o_orderpriority, 1, 1) AS INT) END AS id,
+  min(o_orderpriority) AS event_kind
+FROM {orders} GROUP BY CASE WHEN o_orderpriority = '5-LOW' THEN 50 ELSE CAST(substr(o_orderpriority, 1, 1) AS INT) END""",
     "fed_event": """
 SELECT 'fed-' || CAST(o_custkey AS STRING) AS fed_id, 'Fed ' || CAST(o_custkey AS STRING) AS fed_name,
   CAST(substr(o_orderpriority, 1, 1) AS INT) AS event_kind_id, o_orderdate AS event_time,

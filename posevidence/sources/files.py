@@ -17,9 +17,8 @@ from pyspark.sql import functions as F
 # The readers travel inside the job, so workers need no copy of the package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-# A checksum line, and the size a posted list may have.
+# Fixed value: a checksum line.
 SUM_LINE = r"^([0-9a-f]{64}) [ *](\S+)$"
-SUMS_MAX_BYTES = 64 * 1024
 
 
 def read_hash_list(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
@@ -27,28 +26,29 @@ def read_hash_list(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame
 
     Blank lines are skipped, names lose their folders and of equal names the
     later line counts. One line that is not a checksum line rejects its file,
-    as do a list without lines and one over the size limit.
+    as does a list without lines. Lists are read line by line, whatever their
+    length; ``line_no`` orders the lines of a file. Spark passes over files of
+    no bytes, so they have no state.
     """
-    whole = (
-        spark.read.format("binaryFile")
-        .load(path)
+    file = F.col("_metadata.file_path").alias("file")
+    # Names of the files only; no content is read here.
+    whole = spark.read.format("binaryFile").load(path).select(file)
+    lines = (
+        spark.read.text(path)
         .select(
-            F.col("path").alias("file"),
-            (F.col("length") > SUMS_MAX_BYTES).alias("too_large"),
-            F.when(F.col("length") <= SUMS_MAX_BYTES, F.col("content").cast("string")).alias("text"),
+            file,
+            F.struct(
+                F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row")
+            ).alias("line_no"),
+            F.trim("value").alias("line"),
         )
-    )
-    lines = (
-        whole.select("file", F.posexplode(F.split("text", r"\r\n|\r|\n")).alias("line_no", "line"))
-        .withColumn("line", F.trim("line"))
         .filter(F.col("line") != "")
         .withColumn("good", F.col("line").rlike(SUM_LINE))
     )
     per_file = lines.groupBy("file").agg(F.count("*").alias("lines"), F.count_if(~F.col("good")).alias("bad"))
     states = whole.join(per_file, "file", "left").select(
         "file",
-        F.when(F.col("too_large"), "too large")
-        .when(F.col("lines").isNull(), "empty")
+        F.when(F.col("lines").isNull(), "empty")
         .when(F.col("bad") > 0, "not a checksum list")
         .otherwise("read")
         .alias("state"),

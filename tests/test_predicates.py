@@ -57,35 +57,37 @@ def wide_masks(spark, width=32768):
     return spark.createDataFrame(rows, "id int, groups string"), spark.createDataFrame(dim, "bitpos int, name string")
 
 
-def test_decode_inline_and_joined_agree_on_wide_masks(spark, monkeypatch):
+def test_decoding_wide_masks(spark):
     rows, dim = wide_masks(spark)
-    inline = ChannelDecoder(dim)
-    monkeypatch.setattr("posevidence.operators.channels.INLINE_CHANNELS", 2)
-    joined = ChannelDecoder(dim)
-    assert inline._inline is not None and joined._inline is None
-    expected = {
+    decoder = ChannelDecoder(dim)
+    found = {r.id: (r.channels, r.channel_numbers) for r in decoder.add(rows).collect()}
+    assert found == {
         1: ("zero, five, three hundred", "0,5,300"), 2: (None, None), 3: ("last", "32767"),
         4: (None, None), 5: ("zero", "0"),
     }
-    for decoder in (inline, joined):
-        found = {r.id: (r.channels, r.channel_numbers) for r in decoder.add(rows).collect()}
-        assert found == expected
-        present = sorted(tuple(r) for r in decoder.present(rows).select("bitpos", "name").collect())
-        assert present == [(0, "zero"), (5, "five"), (300, "three hundred"), (32767, "last")]
+    present = sorted(tuple(r) for r in decoder.present(rows).select("bitpos", "name").collect())
+    assert present == [(0, "zero"), (5, "five"), (300, "three hundred"), (32767, "last")]
+
+
+def test_decoding_three_hundred_channels(spark):
+    """Two of them share a bit, of which one has no name."""
+    dim = spark.createDataFrame([(b, f"c{b:03}") for b in range(300)] + [(9, None), (9, "a nine")], "bitpos int, name string")
+    mask = "".join("1" if b in (9, 150, 299) else "0" for b in range(299, -1, -1))
+    rows = spark.createDataFrame([(1, mask), (2, "0" * 300)], "id int, groups string")
+    found = {r.id: r.channels for r in ChannelDecoder(dim).add(rows).collect()}
+    assert found == {1: "a nine, c009, c150, c299", 2: None}
 
 
 def test_excluded_channels_keeps_its_states_apart(spark):
     present = spark.createDataFrame([(1, "b"), (2, "a"), (3, "c")], "bitpos int, name string")
     assert tuple(excluded_channels(present, None).first()) == ("no filter", None)
-    assert tuple(excluded_channels(present, (1,)).first()) == ("verified", "a, c")
-    assert tuple(excluded_channels(present, (1, 2, 3)).first()) == ("verified", "")
+    assert tuple(excluded_channels(present, (1,)).first()) == ("verified", ["a", "c"])
+    assert tuple(excluded_channels(present, (1, 2, 3)).first()) == ("verified", [])
 
 
-@pytest.mark.parametrize("small_cell", [200_000, 1])
-def test_exact_percentiles_against_brute_force(spark, monkeypatch, small_cell):
+def test_exact_percentiles_against_brute_force(spark):
     import random
 
-    monkeypatch.setattr(aggregates, "_SMALL_CELL", small_cell)
     rng = random.Random(7)
     lat = [rng.uniform(-90, 90) for _ in range(500)] + [12.25] * 300 + [1e-9 * i for i in range(100)]
     lon = [rng.uniform(-180, 180) for _ in range(401)]

@@ -18,12 +18,10 @@ from posevidence.llm.queries import tokenizer_file
 def pass_quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules of their language and source accept."""
     importable(spark)
-    counts = stored(quality_rules.measured(docs.select("lang", "source", "text")).drop("text"), "quality-counts")
-    return (
-        quality_rules.judged(quality_rules.measured(docs), quality_rules.fences(counts))
-        .filter("kept")
-        .select(*docs.columns)
-    )
+    # Written with its texts, so the verdict's filter reads counts and does not
+    # work them out again inside its condition.
+    counted = stored(quality_rules.measured(docs), "quality-counts")
+    return quality_rules.judged(counted, quality_rules.fences(counted)).filter("kept").select(*docs.columns)
 
 
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -26,12 +26,12 @@ def settle(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder once and go on from there.
 
     Used where several branches of a plan read the same expensive input, and
-    between rounds of an iteration, where it also cuts the lineage.
+    between rounds of an iteration, where it also cuts the lineage and gives the
+    next round the size of what was written instead of a guess.
     """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint(eager=True)
+    path = new_folder(df.sparkSession, "settled")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def new_folder(spark: SparkSession, purpose: str) -> str:

@@ -27,9 +27,11 @@ SCRIPT_FILE = "-queries.sql"
 
 COMPARED_FIELDS = ("servertime", "latitude", "longitude", "uid", "callsign")
 
-# A cell of latitude a little over the place tolerance.
-_CELL_DEGREES = 1e-5
-# At most this many names are put in a membership test as constants.
+# A little over the place tolerance in degrees of latitude. Cells, and stretches
+# of time, are ten times wider than the reach, so few rows lie near an edge.
+_REACH_DEGREES = 1e-5
+_CELL_DEGREES = 1e-4
+_STRETCH_US = 10_000_000 * TIME_TOLERANCE_S
 
 
 # ---------------------------------------------------------------------------
@@ -89,11 +91,25 @@ def spots(positions: DataFrame, n: str = "n") -> DataFrame:
     return positions.groupBy(*_SPOT).agg(F.count("*").alias(n))
 
 
+def labelled(positions: DataFrame) -> DataFrame:
+    """``device``: the callsign, or the uid of a report without one."""
+    return positions.withColumn("device", F.coalesce("callsign", "uid")).drop("callsign")
+
+
+def _lon_cells(lat_cell: Column) -> Column:
+    """Cells around the globe at a latitude cell; both sides of a join agree on
+    it, and counting cells modulo it joins the two sides of the 180th meridian."""
+    lat = F.least(F.abs((lat_cell + 0.5) * F.lit(_CELL_DEGREES)), F.lit(89.99))
+    return F.greatest(F.floor(F.cos(F.radians(lat)) * F.lit(360 / _CELL_DEGREES)), F.lit(1)).cast("bigint")
+
+
+def _lon_step(lon: Column, cells: Column) -> Column:
+    return F.floor((lon + 180) / F.lit(360.0) * cells).cast("bigint")
+
+
 def _lon_cell(lon: Column, lat_cell: Column) -> Column:
-    """Cells widen towards the poles; the width depends on the latitude cell
-    alone, so both sides of a join agree on it."""
-    shrink = F.cos(F.radians(F.least(F.abs((lat_cell * F.lit(_CELL_DEGREES))), F.lit(89.99))))
-    return F.floor(lon / (F.lit(_CELL_DEGREES) / shrink)).cast("bigint")
+    cells = _lon_cells(lat_cell)
+    return F.pmod(_lon_step(lon, cells), cells)
 
 
 def _lat_cell(lat: Column) -> Column:
@@ -101,30 +117,44 @@ def _lat_cell(lat: Column) -> Column:
 
 
 def _near_cells() -> Column:
-    """The nine cells within reach of a row's own place."""
-    return F.flatten(
-        F.transform(
-            F.sequence(_lat_cell(F.col("latitude")) - 1, _lat_cell(F.col("latitude")) + 1),
-            lambda a: F.transform(
-                F.sequence(_lon_cell(F.col("longitude"), a) - 1, _lon_cell(F.col("longitude"), a) + 1),
-                lambda b: F.struct(a.alias("a"), b.alias("b")),
-            ),
-        )
-    )
+    """The cells within reach of a row's own place: one, or more near an edge."""
+    lat, lon = F.col("latitude"), F.col("longitude")
+    reach = F.lit(_REACH_DEGREES) / F.cos(F.radians(F.least(F.abs(lat) + _REACH_DEGREES, F.lit(89.99))))
+    # Next to a pole a metre may be any number of degrees.
+    reach = F.when(F.abs(lat) > 89.98, 180.0).otherwise(reach)
+
+    def row(a: Column) -> Column:
+        cells = _lon_cells(a)
+        first, last = _lon_step(lon - reach, cells), _lon_step(lon + reach, cells)
+        steps = F.sequence(first, F.least(last, first + cells - 1))
+        return F.transform(steps, lambda b: F.struct(a.alias("a"), F.pmod(b, cells).alias("b")))
+
+    return F.flatten(F.transform(F.sequence(_lat_cell(lat - _REACH_DEGREES), _lat_cell(lat + _REACH_DEGREES)), row))
+
+
+def _stretch(micros: Column) -> Column:
+    return F.floor(micros / F.lit(_STRETCH_US)).cast("bigint")
 
 
 def _second(time: str) -> Column:
-    return F.floor(F.unix_micros(F.col(time)) / F.lit(1_000_000 * TIME_TOLERANCE_S)).cast("bigint")
+    return _stretch(F.unix_micros(F.col(time)))
+
+
+def _near_seconds(time: str) -> Column:
+    micros, reach = F.unix_micros(F.col(time)), F.lit(1_000_000 * TIME_TOLERANCE_S)
+    return F.sequence(_stretch(micros - reach), _stretch(micros + reach))
 
 
 def match_positions(left: DataFrame, right: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Matched pairs of spots, and both sides' spots with what is left of them.
 
     Every report is used once. Equal spots are matched first, by count. What
-    remains is matched nearest first, in the order of time gap, distance, then
-    the spots themselves: in each round, pairs that are the best choice of both
-    their ends are taken, which gives the same pairs as taking all pairs one by
-    one in that order. Returns (pairs, remaining): pairs hold ``n`` matches and
+    remains is matched nearest first, in the order of time gap in steps of 10 ms,
+    distance in steps of 1 cm, then a digest of both spots: in each round, pairs
+    that are the best choice of both their ends are taken, which gives the same
+    pairs as taking all pairs one by one in that order. Among equal gaps and
+    distances the digest decides, so a long chain of them is settled in about as
+    many rounds as its length has digits, not one after another. Returns (pairs, remaining): pairs hold ``n`` matches and
     their distance; remaining holds ``side``, the spot, its reports ``n`` and
     how many of them are ``unmatched``.
     """
@@ -145,7 +175,7 @@ def match_positions(left: DataFrame, right: DataFrame) -> tuple[DataFrame, DataF
         *_SPOT, spot.alias("r"), (F.col("r_n") - equal).alias("r_left")
     )
 
-    reach = left_open.withColumn("s", F.explode(F.sequence(_second("servertime") - 1, _second("servertime") + 1))).withColumn(
+    reach = left_open.withColumn("s", F.explode(_near_seconds("servertime"))).withColumn(
         "c", F.explode(_near_cells())
     )
     reach = reach.select("device", "s", F.col("c.a").alias("a"), F.col("c.b").alias("b"), "l", "l_left")
@@ -161,7 +191,13 @@ def match_positions(left: DataFrame, right: DataFrame) -> tuple[DataFrame, DataF
         reach.join(placed, ["device", "s", "a", "b"])
         .select("device", "l", "r", "l_left", "r_left", gap_us.alias("gap_us"), distance.alias("distance_m"))
         .filter((F.col("gap_us") <= TIME_TOLERANCE_S * 1_000_000) & (F.col("distance_m") <= PLACE_TOLERANCE_M))
-        .withColumn("choice", F.struct("gap_us", "distance_m", "l", "r"))
+        .withColumn(
+            "choice",
+            F.struct(
+                F.floor(F.col("gap_us") / 10_000).alias("gap"), F.floor(F.col("distance_m") * 100).alias("distance"),
+                F.xxhash64("l", "r").alias("digest"), "l", "r",
+            ),
+        )
     )
     pairs = settle(pairs)
     taken = []
@@ -303,7 +339,7 @@ def explain_unmatched(
     timed = right_spots.select(
         F.col("device").alias("r_device"), F.col("servertime").alias("r_time"), _second("servertime").alias("s")
     ).distinct()
-    in_reach = others.withColumn("q", F.explode(F.sequence(_second("servertime") - 1, _second("servertime") + 1)))
+    in_reach = others.withColumn("q", F.explode(_near_seconds("servertime")))
     gap = F.abs(F.unix_micros("servertime") - F.unix_micros("r_time"))
     same_time = (
         in_reach.join(

@@ -71,8 +71,8 @@ def id_summary(t):
 _DISTANCE = """2 * 6371008.8 * asin(sqrt(sin(radians(r.latitude - l.latitude) / 2) ** 2
   + cos(radians(l.latitude)) * cos(radians(r.latitude)) * sin(radians(r.longitude - l.longitude) / 2) ** 2))"""
 _MATCHED = f"""
-l_spots AS (SELECT callsign AS device, servertime, latitude, longitude, count(*) AS n FROM cot_original GROUP BY ALL),
-r_spots AS (SELECT callsign AS device, servertime, latitude, longitude, count(*) AS n FROM cot_copy GROUP BY ALL),
+l_spots AS (SELECT coalesce(callsign, uid) AS device, servertime, latitude, longitude, count(*) AS n FROM cot_original GROUP BY ALL),
+r_spots AS (SELECT coalesce(callsign, uid) AS device, servertime, latitude, longitude, count(*) AS n FROM cot_copy GROUP BY ALL),
 exact AS (SELECT l.device, l.servertime, l.latitude, l.longitude, least(l.n, r.n) AS n FROM l_spots l JOIN r_spots r
   USING (device, servertime, latitude, longitude)),
 l_open AS (SELECT l.*, l.n - coalesce(e.n, 0) AS free FROM l_spots l LEFT JOIN exact e USING (device, servertime, latitude, longitude)),
@@ -88,7 +88,7 @@ mutual AS (
 
 
 def _device(df):
-    return df.withColumnRenamed("callsign", "device")
+    return compare.labelled(df)
 
 
 def _match(t):
@@ -99,8 +99,8 @@ _TABLE = f"""
 {_MATCHED},
 found AS (SELECT device, n, 0.0::DOUBLE AS d FROM exact UNION ALL SELECT device, n, d FROM mutual),
 tally AS (SELECT device, CAST(sum(n) AS BIGINT) AS matched, max(d) AS dist FROM found GROUP BY device),
-l_count AS (SELECT callsign AS device, count(*) AS n FROM cot_original GROUP BY 1),
-r_count AS (SELECT callsign AS device, count(*) AS n FROM cot_copy GROUP BY 1),
+l_count AS (SELECT coalesce(callsign, uid) AS device, count(*) AS n FROM cot_original GROUP BY 1),
+r_count AS (SELECT coalesce(callsign, uid) AS device, count(*) AS n FROM cot_copy GROUP BY 1),
 tabled AS (SELECT device, coalesce(l.n, 0) AS left_count, coalesce(r.n, 0) AS right_count,
   coalesce(l.n, 0) - coalesce(t.matched, 0) AS only_left, coalesce(r.n, 0) - coalesce(t.matched, 0) AS only_right,
   coalesce(t.matched, 0) AS matched, round(t.dist, 4) AS max_distance_m
@@ -140,7 +140,7 @@ placed AS (SELECT DISTINCT l.device, l.servertime, l.latitude, l.longitude FROM
   ON r.device = l.device AND r.latitude BETWEEN l.latitude - 0.00002 AND l.latitude + 0.00002 AND {_DISTANCE} <= 1),
 timed AS (SELECT DISTINCT l.device, l.servertime, l.latitude, l.longitude FROM open l JOIN r_spots r
   ON r.device = l.device AND r.servertime BETWEEN l.servertime - INTERVAL 1 SECOND AND l.servertime + INTERVAL 1 SECOND),
-channels AS (SELECT DISTINCT callsign AS device, servertime, latitude, longitude, channel FROM cot_original),
+channels AS (SELECT DISTINCT coalesce(callsign, uid) AS device, servertime, latitude, longitude, channel FROM cot_original),
 used AS (SELECT DISTINCT channel FROM channels JOIN l_all USING ({_KEY}) WHERE unmatched < n),
 unused AS (SELECT {_KEY} FROM channels GROUP BY ALL HAVING NOT bool_or(channel IN (FROM used))),
 lost AS (SELECT device, count(*) AS spots FROM l_all GROUP BY device HAVING sum(n - unmatched) = 0),

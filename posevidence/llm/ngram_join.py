@@ -14,10 +14,11 @@ a partner may share with it. Names that several documents left make groups:
 
 1. Documents with one and the same set are one class; its smallest id stands
    for it.
-2. In every group the smallest id is searched against the others. A group of
-   near copies is linked by this alone, with one link for each member.
-3. Only groups that are still in several components are searched in full, in
-   blocks; groups with the same members are searched once.
+2. In every group the smallest id is searched against the others and then
+   leaves it. A group of near copies is linked by this alone, with one link for
+   each member. A group whose rest is in several components gets another round.
+3. Only groups that are then still in several components are searched in full,
+   in blocks; groups with the same members are searched once.
 
 So no link between different components is missed, and no group's pairs are
 listed. NULL, empty and blank texts have no shingles and link with nothing; a
@@ -37,6 +38,8 @@ from posevidence.llm.components import components
 
 #: Documents of one index.
 BLOCK = 512
+#: Rounds in which groups are searched from their smallest document left.
+STAR_ROUNDS = 2
 #: Weight of probing against merging in the choice of lists set aside.
 PROBE_WEIGHT = 0.01
 
@@ -180,43 +183,86 @@ class Inverted:
         return np.concatenate(linked) if linked else nothing
 
 
-def signatures(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """(doc_id, n_shingles, whole, parts) of every row, in input order."""
-    parts = Parts(percent)
+def _wholes(shingles: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """A name of every set; 0 for the empty one."""
+    sizes = np.diff(offsets)
+    total = np.zeros(len(sizes), np.uint64)
+    full = np.flatnonzero(sizes)
+    if len(full):
+        total[full] = mix(np.add.reduceat(mix(shingles), offsets[full]) + sizes[full].astype(np.uint64))
+    return total
+
 
-    def sign(batches):
+def _named(docs: DataFrame, width: int, rows, schema: str) -> DataFrame:
+    def name(batches):
         for batch in portions(batches, "text", 1 << 20):
             data, at = text_bytes(batch.column(1))
             shingles, offsets = shingle_names(data, at, width)
-            names, ends = parts.names(shingles, offsets)
-            sizes = np.diff(offsets)
-            total = np.zeros(len(sizes), np.uint64)
-            full = np.flatnonzero(sizes)
-            if len(full):
-                total[full] = np.add.reduceat(mix(shingles), offsets[full])
-            yield pa.record_batch(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(total.view(np.int64)),
-                 pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(names.view(np.int64)))],
-                ["doc_id", "n_shingles", "whole", "parts"],
-            )
+            yield rows(batch.column(0), shingles, offsets)
+
+    return docs.mapInArrow(name, schema)
+
+
+def set_names(docs: DataFrame, width: int) -> DataFrame:
+    """(doc_id, n_shingles, whole) of every row; equal sets have equal wholes."""
+
+    def rows(ids, shingles, offsets):
+        return pa.record_batch(
+            [ids, pa.array(np.diff(offsets), pa.int64()), pa.array(_wholes(shingles, offsets).view(np.int64))],
+            ["doc_id", "n_shingles", "whole"],
+        )
+
+    return _named(docs, width, rows, "doc_id long, n_shingles long, whole long")
+
+
+def part_names(docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """(part, whole): the parts that every set leaves."""
+    parts = Parts(percent)
 
-    return docs.mapInArrow(sign, "doc_id long, n_shingles long, whole long, parts array<long>")
+    def rows(ids, shingles, offsets):
+        names, ends = parts.names(shingles, offsets)
+        wholes = np.repeat(_wholes(shingles, offsets), np.diff(ends))
+        return pa.record_batch([pa.array(names.view(np.int64)), pa.array(wholes.view(np.int64))], ["part", "whole"])
+
+    return _named(docs, width, rows, "part long, whole long")
+
+
+def shared_parts(rows: DataFrame) -> DataFrame:
+    """The distinct (part, whole) rows of parts that several sets left, in one
+    pass over sorted rows that remembers one of them."""
+
+    def walk(batches):
+        held, known = None, False  # the last row, and whether its part has others
+        for batch in batches:
+            part, whole = (batch.column(k).to_numpy() for k in range(2))
+            if held is not None:
+                part, whole = np.r_[held[0], part], np.r_[held[1], whole]
+            if not len(part):
+                continue
+            keep = np.r_[True, (part[1:] != part[:-1]) | (whole[1:] != whole[:-1])]
+            part, whole = part[keep], whole[keep]
+            same = part[1:] == part[:-1]
+            several = np.r_[known, same] | np.r_[same, False]
+            out = np.flatnonzero(several[:-1])
+            if len(out):
+                yield pa.record_batch([pa.array(part[out]), pa.array(whole[out])], ["part", "whole"])
+            held, known = (part[-1], whole[-1]), bool(np.r_[known, same][-1])
+        if held is not None and known:
+            yield pa.record_batch([pa.array([held[0]]), pa.array([held[1]])], ["part", "whole"])
+
+    return rows.repartition("part").sortWithinPartitions("part", "whole").mapInArrow(walk, "part long, whole long")
 
 
 def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
-    """(doc_id, shingles): sorted distinct names, as little-endian 64-bit values."""
+    """(whole, shingles): sorted distinct names, as little-endian 64-bit values."""
 
-    def make(batches):
-        for batch in portions(batches, "text", 1 << 20):
-            data, at = text_bytes(batch.column(1))
-            shingles, offsets = shingle_names(data, at, width)
-            yield pa.record_batch(
-                [batch.column(0),
-                 pa.array([shingles[a:b].astype("<u8").tobytes() for a, b in zip(offsets, offsets[1:])], pa.binary())],
-                ["doc_id", "shingles"],
-            )
+    def rows(ids, shingles, offsets):
+        sets = [shingles[a:b].astype("<u8").tobytes() for a, b in zip(offsets, offsets[1:])]
+        return pa.record_batch(
+            [pa.array(_wholes(shingles, offsets).view(np.int64)), pa.array(sets, pa.binary())], ["whole", "shingles"]
+        )
 
-    return docs.mapInArrow(make, "doc_id long, shingles binary")
+    return _named(docs, width, rows, "whole long, shingles binary")
 
 
 def _by_key(batches, keys: int):
@@ -257,11 +303,11 @@ def _links(a: list, b: list) -> pa.RecordBatch:
 
 
 def search_from_one(rows: DataFrame, percent: int) -> DataFrame:
-    """Links of a group's query document. ``rows``: (group, block, query, doc_id, shingles)."""
+    """Links of a group's query document. ``rows``: (group, block, query, whole, shingles)."""
 
     def search(batches):
         for group in _by_key(batches, 2):
-            ids = group.column("doc_id").to_pylist()
+            ids = group.column("whole").to_pylist()
             asks = group.column("query").to_pylist()
             sets = _sets(group.column("shingles"))
             members = [k for k, q in enumerate(asks) if not q]
@@ -282,7 +328,7 @@ def search_in_full(rows: DataFrame, percent: int) -> DataFrame:
     """Links between documents of different components, of which one for each
     pair of components is enough.
 
-    ``rows``: (group, block, side, apart, doc_id, component, shingles). A block
+    ``rows``: (group, block, side, apart, whole, component, shingles). A block
     searches its documents in each other, or side 1 against side 0 where it has
     both. Of two linked documents one at least is outside any one component: so
     only documents outside ``apart`` ask, or outside the block's largest
@@ -291,7 +337,7 @@ def search_in_full(rows: DataFrame, percent: int) -> DataFrame:
 
     def search(batches):
         for group in _by_key(batches, 2):
-            ids = group.column("doc_id").to_numpy()
+            ids = group.column("whole").to_numpy()
             _, component = np.unique(group.column("component").to_numpy(), return_inverse=True)
             outside = np.array([c != a for c, a in zip(*(group.column(n).to_pylist() for n in ("component", "apart")))])
             if group.column("apart").null_count:
@@ -320,96 +366,84 @@ def search_in_full(rows: DataFrame, percent: int) -> DataFrame:
     return rows.repartition("group", "block").sortWithinPartitions("group", "block").mapInArrow(search, LINK)
 
 
+def _star_links(pairs: DataFrame, sets: DataFrame, percent: int, block: int) -> DataFrame:
+    """Links of each ``group`` with the ``whole`` rows beside it."""
+    pairs = stored(pairs, "star-pairs")
+    counts = pairs.groupBy("group").agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("blocks"))
+    members = pairs.join(counts, "group").select(
+        "group", F.pmod(F.xxhash64("whole"), F.col("blocks")).cast("int").alias("block"), F.lit(False).alias("query"), "whole"
+    )
+    asking = counts.select(
+        "group", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"),
+        F.lit(True).alias("query"), F.col("group").alias("whole"),
+    )
+    rows = members.unionByName(asking).join(sets, "whole").select("group", "block", "query", "whole", "shingles")
+    return stored(search_from_one(rows, percent), "links")
+
+
 def near_duplicates(
     docs: DataFrame, width: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text", block: int = BLOCK
 ) -> DataFrame:
     """(doc_id, n_shingles, component_id), one row for each row of ``docs``."""
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    signed = stored(signatures(rows, width, percent), "signatures")
-    sized = signed.filter((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
+    known = rows.filter(F.col("doc_id").isNotNull())
+    signed = stored(set_names(rows, width), "set-names")
 
     # 1. Classes of equal sets.
-    classes = sized.groupBy("n_shingles", "whole").agg(F.min("doc_id").alias("class"))
-    class_of = stored(
-        sized.select("doc_id", "n_shingles", "whole")
-        .join(classes, ["n_shingles", "whole"])
-        .select("doc_id", "class")
-        .distinct(),
-        "classes",
-    )
-    same = class_of.select(F.col("doc_id").alias("a"), F.col("class").alias("b"))
-
-    # 2. Groups of documents with a part in common, each searched from its smallest.
-    left = sized.select("doc_id", F.explode("parts").alias("part"))
-    groups = left.groupBy("part").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"))
-    groups = groups.filter(F.col("least") < F.col("most")).select("part", "least")
-    shared = stored(left.join(groups, "part"), "shared-parts")
-    as_class = class_of.select(F.col("doc_id"), F.col("class"))
-    pairs = (
-        shared.select("least", "doc_id")
-        .distinct()
-        .join(as_class, "doc_id")
-        .select(F.col("least").alias("doc_id"), F.col("class").alias("member"))
-        .join(as_class, "doc_id")
-        .select(F.col("class").alias("group"), F.col("member").alias("doc_id"))
-        .filter(F.col("group") != F.col("doc_id"))
-        .distinct()
-    )
-    pairs = stored(pairs, "star-pairs")
-    needed = pairs.select("doc_id").unionByName(pairs.select(F.col("group").alias("doc_id"))).distinct()
+    sized = signed.filter((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
+    class_of = stored(sized.groupBy("whole").agg(F.min("doc_id").alias("class")), "classes")
+    same = sized.join(class_of, "whole").select(F.col("doc_id").alias("a"), F.col("class").alias("b"))
+
+    def by_class(links):
+        """Links of wholes as links of documents."""
+        a = class_of.select(F.col("whole").alias("a"), F.col("class").alias("class_a"))
+        b = class_of.select(F.col("whole").alias("b"), F.col("class").alias("class_b"))
+        return links.join(a, "a").join(b, "b").select(F.col("class_a").alias("a"), F.col("class_b").alias("b"))
+
+    # 2. Groups of sets with a part in common, each searched from its smallest.
+    groups = stored(shared_parts(part_names(known, width, percent)), "shared-parts")
+    needed = groups.select("whole").distinct().join(class_of, "whole").select(F.col("class").alias("doc_id"))
     sets = stored(
-        shingle_sets(rows.join(needed, "doc_id", "left_semi"), width).dropDuplicates(["doc_id", "shingles"]), "sets"
+        shingle_sets(known.join(needed, "doc_id", "left_semi"), width)
+        .groupBy("whole").agg(F.first("shingles").alias("shingles")),
+        "sets",
     )
-    counts = pairs.groupBy("group").agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("blocks"))
-    members = pairs.join(counts, "group").select(
-        "group", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int").alias("block"), F.lit(False).alias("query"), "doc_id"
-    )
-    asking = counts.select(
-        "group", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"),
-        F.lit(True).alias("query"), F.col("group").alias("doc_id"),
-    )
-    star = stored(search_from_one(
-        members.unionByName(asking).join(sets, "doc_id").select("group", "block", "query", "doc_id", "shingles"), percent
-    ), "links")
+    links = same
+    for _ in range(STAR_ROUNDS):
+        least = groups.groupBy("part").agg(F.min("whole").alias("group"))
+        others = groups.select("part", "whole").join(least, "part").filter(F.col("whole") != F.col("group"))
+        links = links.unionByName(by_class(_star_links(others.select("group", "whole").distinct(), sets, percent, block)))
+        # The smallest has been compared with all; the others go on if they are
+        # still in several components.
+        at = class_of.join(components(links), F.col("class") == F.col("node"), "left").select(
+            "whole", F.coalesce("component", "class").alias("component")
+        )
+        others = others.select("part", "whole").join(at, "whole")
+        several = others.groupBy("part").agg(F.min("component").alias("low"), F.max("component").alias("high"))
+        several = several.filter(F.col("low") < F.col("high")).select("part", "low")
+        groups = stored(others.join(several, "part"), "open-groups")
 
     # 3. Groups that are still in several components, searched in full.
-    joined = components(same.unionByName(star))
-    at = class_of.join(joined, class_of["class"] == joined["node"], "left").select(
-        "doc_id", "class", F.coalesce("component", "class").alias("component")
-    )
-    open_groups = (
-        shared.join(at, "doc_id")
-        .select("part", "class", "component")
-        .distinct()
-    )
     several = (
-        open_groups.groupBy("part")
-        .agg(
-            F.min("component").alias("low"), F.max("component").alias("high"),
-            F.sum(F.xxhash64("class").cast("decimal(38,0)")).alias("who"), F.count("*").alias("n"),
-        )
-        .filter(F.col("low") < F.col("high"))
-    )
-    several = stored(
-        several.groupBy("who", "n").agg(F.min("part").alias("part"), F.min("low").alias("low"))
+        groups.groupBy("part")
+        .agg(F.first("low").alias("low"), F.sum(F.col("whole").cast("decimal(38,0)")).alias("who"), F.count("*").alias("n"))
+        .groupBy("who", "n").agg(F.min("part").alias("part"), F.min("low").alias("low"))
         .withColumn("blocks", F.ceil(F.col("n") / F.lit(block)).cast("int"))
-        .select("part", "blocks", F.when(F.col("blocks") > 1, F.col("low")).alias("apart")),
-        "open-groups",
+        .select("part", "blocks", F.when(F.col("blocks") > 1, F.col("low")).alias("apart"))
     )
-    members = open_groups.join(several, "part").withColumn("own", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
-    # Block (i, j) searches the documents of i against those of j.
+    members = groups.drop("low").join(several, "part").withColumn("own", F.pmod(F.xxhash64("whole"), F.col("blocks")).cast("int"))
+    # Block (i, j) searches the sets of i against those of j.
     members = members.select(
-        F.col("part").alias("group"), F.col("class").alias("doc_id"), "component", "own", "blocks", "apart",
+        F.col("part").alias("group"), "whole", "component", "own", "blocks", "apart",
         F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"),
     ).select(
         "group", (F.least("own", "other") * F.col("blocks") + F.greatest("own", "other")).alias("block"),
-        F.when(F.col("own") > F.col("other"), 1).otherwise(0).alias("side"), "apart",
-        "doc_id", "component",
+        F.when(F.col("own") > F.col("other"), 1).otherwise(0).alias("side"), "apart", "whole", "component",
     )
     full = search_in_full(
-        members.join(sets, "doc_id").select("group", "block", "side", "apart", "doc_id", "component", "shingles"), percent
+        members.join(sets, "whole").select("group", "block", "side", "apart", "whole", "component", "shingles"), percent
     )
-    found = components(same.unionByName(star).unionByName(full))
+    found = components(links.unionByName(by_class(full)))
     return (
         signed.select("doc_id", "n_shingles")
         .join(found, F.col("doc_id") == F.col("node"), "left")

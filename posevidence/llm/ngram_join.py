@@ -17,8 +17,12 @@ a partner may share with it. Names that several documents left make groups:
 2. In every group the smallest id is searched against the others and then
    leaves it. A group of near copies is linked by this alone, with one link for
    each member. A group whose rest is in several components gets another round.
-3. Only groups that are then still in several components are searched in full,
-   in blocks; groups with the same members are searched once.
+3. In groups that are then still in several components all sets that are not
+   of one component are compared, in blocks, by parity sketches; groups with the
+   same members once. What a sketch cannot exclude is searched as in 2.
+
+A sketch holds the parities of a set's shingles in buckets: each parity in which
+two sets differ is a shingle that they do not share, so it excludes no link.
 
 So no link between different components is missed, and no group's pairs are
 listed. NULL, empty and blank texts have no shingles and link with nothing; a
@@ -28,6 +32,8 @@ node, linked by the sets of all its rows; a row without an id has no component.
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -193,6 +199,32 @@ def _wholes(shingles: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return total
 
 
+def _sketch(shingles: np.ndarray) -> bytes:
+    """Parities of the shingles' counts in buckets, two or more buckets for each."""
+    size = 64
+    while size < 2 * len(shingles):
+        size *= 2
+    return np.packbits(np.bincount((shingles % np.uint64(size)).astype(np.int64), minlength=size) & 1).tobytes()
+
+
+def _folded(sketch: bytes, size: int) -> int:
+    """The sketch of the same set with fewer buckets, as one number."""
+    bits, value = 8 * len(sketch), int.from_bytes(sketch, "big")
+    # Bucket b stands at bit bits - 1 - b; halving the number joins b and b + half.
+    while bits > size:
+        bits //= 2
+        value = (value >> bits) ^ (value & ((1 << bits) - 1))
+    return value
+
+
+def _may_link(a: int, b: int, n_a: int, n_b: int, percent: int) -> bool:
+    """False only where two sets surely do not link: every bucket whose parity
+    differs holds a shingle that the other set lacks."""
+    return 100 * min(n_a, n_b) >= percent * max(n_a, n_b) and (a ^ b).bit_count() <= (100 - percent) * (n_a + n_b) // (
+        100 + percent
+    )
+
+
 def _named(docs: DataFrame, width: int, rows, schema: str) -> DataFrame:
     def name(batches):
         for batch in portions(batches, "text", 1 << 20):
@@ -204,15 +236,17 @@ def _named(docs: DataFrame, width: int, rows, schema: str) -> DataFrame:
 
 
 def set_names(docs: DataFrame, width: int) -> DataFrame:
-    """(doc_id, n_shingles, whole) of every row; equal sets have equal wholes."""
+    """(doc_id, n_shingles, whole, sketch) of every row; equal sets have equal wholes."""
 
     def rows(ids, shingles, offsets):
+        sketches = [_sketch(shingles[a:b]) for a, b in zip(offsets, offsets[1:])]
         return pa.record_batch(
-            [ids, pa.array(np.diff(offsets), pa.int64()), pa.array(_wholes(shingles, offsets).view(np.int64))],
-            ["doc_id", "n_shingles", "whole"],
+            [ids, pa.array(np.diff(offsets), pa.int64()), pa.array(_wholes(shingles, offsets).view(np.int64)),
+             pa.array(sketches, pa.binary())],
+            ["doc_id", "n_shingles", "whole", "sketch"],
         )
 
-    return _named(docs, width, rows, "doc_id long, n_shingles long, whole long")
+    return _named(docs, width, rows, "doc_id long, n_shingles long, whole long, sketch binary")
 
 
 def part_names(docs: DataFrame, width: int, percent: int) -> DataFrame:
@@ -324,51 +358,65 @@ def search_from_one(rows: DataFrame, percent: int) -> DataFrame:
     return rows.repartition("group", "block").sortWithinPartitions("group", "block").mapInArrow(search, LINK)
 
 
-def search_in_full(rows: DataFrame, percent: int) -> DataFrame:
-    """Links between documents of different components, of which one for each
-    pair of components is enough.
+def pairs_in_full(rows: DataFrame, percent: int) -> DataFrame:
+    """(group, whole): sets of different components that may link by their sketches.
 
-    ``rows``: (group, block, side, apart, whole, component, shingles). A block
-    searches its documents in each other, or side 1 against side 0 where it has
-    both. Of two linked documents one at least is outside any one component: so
-    only documents outside ``apart`` ask, or outside the block's largest
-    component where that is NULL.
+    ``rows``: (group, block, side, apart, whole, component, n_shingles, sketch).
+    A block compares its sets with each other, or its sides where it has both.
+    Of two linked sets one at least is outside any one component: so only sets
+    outside ``apart`` ask, or outside the block's largest component where that
+    is NULL.
     """
 
-    def search(batches):
+    def compare(batches):
         for group in _by_key(batches, 2):
-            ids = group.column("whole").to_numpy()
-            _, component = np.unique(group.column("component").to_numpy(), return_inverse=True)
-            outside = np.array([c != a for c, a in zip(*(group.column(n).to_pylist() for n in ("component", "apart")))])
-            if group.column("apart").null_count:
-                outside = component != np.bincount(component).argmax()
-            side = group.column("side").to_numpy()
-            sets = _sets(group.column("shingles"))
-            label = component.copy()
-            a, b = [], []
-            sides = (0, 1) if (side == 1).any() else (0,)
-            for against in sides:
-                indexed = np.flatnonzero(side == against)
-                asking = np.flatnonzero(outside & (side == sides[-1] - against))
-                if not len(asking):
+            wholes, sizes = group.column("whole").to_pylist(), group.column("n_shingles").to_pylist()
+            component = group.column("component").to_pylist()
+            apart, side = group.column("apart").to_pylist(), group.column("side").to_pylist()
+            if apart[0] is None:
+                apart = [Counter(component).most_common(1)[0][0]] * len(wholes)
+            raw = group.column("sketch").to_pylist()
+            least = 8 * min(map(len, raw))
+            sketches = [_folded(r, least) for r in raw]
+            both = 0 < sum(side) < len(side)
+            found = set()
+            for k in range(len(wholes)):
+                if component[k] == apart[k]:
                     continue
-                index = Inverted([sets[k] for k in indexed])
-                for k in asking:
-                    for f in index.search(sets[k], percent, label[indexed] != label[k]):
-                        other = indexed[f]
-                        if label[other] != label[k]:
-                            label[label == label[other]] = label[k]
-                            a.append(ids[k])
-                            b.append(ids[other])
-            if a:
-                yield _links(a, b)
+                for j in range(len(wholes)):
+                    if (
+                        component[j] != component[k]
+                        and (side[j] != side[k] or not both)
+                        and _may_link(sketches[k], sketches[j], sizes[k], sizes[j], percent)
+                    ):
+                        found.add((min(wholes[k], wholes[j]), max(wholes[k], wholes[j])))
+            if found:
+                a, b = zip(*sorted(found))
+                yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["group", "whole"])
+
+    return (
+        rows.repartition("group", "block")
+        .sortWithinPartitions("group", "block")
+        .mapInArrow(compare, "group long, whole long")
+    )
 
-    return rows.repartition("group", "block").sortWithinPartitions("group", "block").mapInArrow(search, LINK)
 
+def _star_links(pairs: DataFrame, class_of: DataFrame, sets: DataFrame, percent: int, block: int) -> DataFrame:
+    """Links of each ``group`` with the ``whole`` rows beside it. Only pairs that
+    may link by their sketches are searched with their sets."""
 
-def _star_links(pairs: DataFrame, sets: DataFrame, percent: int, block: int) -> DataFrame:
-    """Links of each ``group`` with the ``whole`` rows beside it."""
-    pairs = stored(pairs, "star-pairs")
+    @F.arrow_udf("boolean")
+    def may_link(a: pa.Array, n_a: pa.Array, b: pa.Array, n_b: pa.Array) -> pa.Array:
+        out = []
+        for x, n_x, y, n_y in zip(*(c.to_pylist() for c in (a, n_a, b, n_b))):
+            size = 8 * min(len(x), len(y))
+            out.append(_may_link(_folded(x, size), _folded(y, size), n_x, n_y, percent))
+        return pa.array(out, pa.bool_())
+
+    one = class_of.select(F.col("whole").alias("group"), F.col("sketch").alias("sketch_a"), F.col("n_shingles").alias("n_a"))
+    two = class_of.select("whole", F.col("sketch").alias("sketch_b"), F.col("n_shingles").alias("n_b"))
+    near = pairs.join(one, "group").join(two, "whole").filter(may_link("sketch_a", "n_a", "sketch_b", "n_b"))
+    pairs = stored(near.select("group", "whole"), "star-pairs")
     counts = pairs.groupBy("group").agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("blocks"))
     members = pairs.join(counts, "group").select(
         "group", F.pmod(F.xxhash64("whole"), F.col("blocks")).cast("int").alias("block"), F.lit(False).alias("query"), "whole"
@@ -391,7 +439,12 @@ def near_duplicates(
 
     # 1. Classes of equal sets.
     sized = signed.filter((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
-    class_of = stored(sized.groupBy("whole").agg(F.min("doc_id").alias("class")), "classes")
+    class_of = stored(
+        sized.groupBy("whole").agg(
+            F.min("doc_id").alias("class"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch")
+        ),
+        "classes",
+    )
     same = sized.join(class_of, "whole").select(F.col("doc_id").alias("a"), F.col("class").alias("b"))
 
     def by_class(links):
@@ -412,10 +465,10 @@ def near_duplicates(
     for _ in range(STAR_ROUNDS):
         least = groups.groupBy("part").agg(F.min("whole").alias("group"))
         others = groups.select("part", "whole").join(least, "part").filter(F.col("whole") != F.col("group"))
-        links = links.unionByName(by_class(_star_links(others.select("group", "whole").distinct(), sets, percent, block)))
+        links = links.unionByName(by_class(_star_links(others.select("group", "whole").distinct(), class_of, sets, percent, block)))
         # The smallest has been compared with all; the others go on if they are
         # still in several components.
-        at = class_of.join(components(links), F.col("class") == F.col("node"), "left").select(
+        at = class_of.select("whole", "class").join(components(links), F.col("class") == F.col("node"), "left").select(
             "whole", F.coalesce("component", "class").alias("component")
         )
         others = others.select("part", "whole").join(at, "whole")
@@ -440,9 +493,13 @@ def near_duplicates(
         "group", (F.least("own", "other") * F.col("blocks") + F.greatest("own", "other")).alias("block"),
         F.when(F.col("own") > F.col("other"), 1).otherwise(0).alias("side"), "apart", "whole", "component",
     )
-    full = search_in_full(
-        members.join(sets, "whole").select("group", "block", "side", "apart", "whole", "component", "shingles"), percent
+    left_over = pairs_in_full(
+        members.join(class_of.select("whole", "n_shingles", "sketch"), "whole").select(
+            "group", "block", "side", "apart", "whole", "component", "n_shingles", "sketch"
+        ),
+        percent,
     )
+    full = _star_links(left_over.distinct(), class_of, sets, percent, block)
     found = components(links.unionByName(by_class(full)))
     return (
         signed.select("doc_id", "n_shingles")

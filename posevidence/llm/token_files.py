@@ -17,6 +17,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Sequence
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -27,8 +28,8 @@ from posevidence.llm.common import WORD, portions, stored, strings, text_bytes
 
 #: Ids in one block, about.
 BLOCK_IDS = 1 << 18
-WORD_CACHE = 1 << 18
-PART_CACHE = 1 << 19
+WORD_CACHE = 1 << 17
+PART_CACHE = 3 << 17
 CACHED_LENGTH = 48
 
 _LENGTHS = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3).astype(np.uint8) + 1
@@ -60,6 +61,14 @@ _PARTS = re.compile(
 _ASCII_SIGNS = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum() and c != "'")
 
 
+# White space of ``str.split`` beyond what separates words here.
+_OTHER_BLANKS = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+
+
+def _words(text: str) -> list[str]:
+    return WORD.findall(text) if _OTHER_BLANKS.search(text) else text.split()
+
+
 def _cut(word: str) -> Sequence[str]:
     """Parts that the library encodes apart; it lowers letters itself, so plain
     ones share a key."""
@@ -101,14 +110,14 @@ class WordTokenizer:
         self.parts: dict[str, bytes] = {}
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [WORD.findall(t) for t in texts]
+        split = [_words(t) for t in texts]
         words = self.words
         if len(words) >= WORD_CACHE:
             words.clear()
         if len(self.parts) >= PART_CACHE:
             self.parts.clear()
         odd = {k for k, t in enumerate(texts) if any(s in t for s in self.special)}
-        new = {w for k, row in enumerate(split) if k not in odd for w in row if w not in words}
+        new = set(chain.from_iterable(row for k, row in enumerate(split) if k not in odd)).difference(words)
         self._learn(new)
         found = [
             self._bytes(self.tokenizer.encode(texts[k], add_special_tokens=False).ids)
@@ -177,6 +186,7 @@ def id_counts(tokens: DataFrame, dtype: np.dtype) -> DataFrame:
     """How often each id occurs: (id, n)."""
 
     def count(batches):
+        _tokenizers.clear()  # its caches are of no more use to this worker
         counts = np.zeros(0, np.int64)
         for batch in batches:
             data, _ = text_bytes(batch.column(0))
@@ -207,6 +217,7 @@ def write_ids(
     def blocks(batches):
         from pyspark import TaskContext
 
+        _tokenizers.clear()
         ranks = shared.value
         part = TaskContext.get().partitionId()
         held: list[tuple[int | None, np.ndarray]] = []

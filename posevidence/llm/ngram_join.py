@@ -456,11 +456,8 @@ def near_duplicates(
     # 2. Groups of sets with a part in common, each searched from its smallest.
     groups = stored(shared_parts(part_names(known, width, percent)), "shared-parts")
     needed = groups.select("whole").distinct().join(class_of, "whole").select(F.col("class").alias("doc_id"))
-    sets = stored(
-        shingle_sets(known.join(needed, "doc_id", "left_semi"), width)
-        .groupBy("whole").agg(F.first("shingles").alias("shingles")),
-        "sets",
-    )
+    # Repeated rows of one id bring their set twice, and at most a link twice.
+    sets = stored(shingle_sets(known.join(needed, "doc_id", "left_semi"), width), "sets")
     links = same
     for _ in range(STAR_ROUNDS):
         least = groups.groupBy("part").agg(F.min("whole").alias("group"))

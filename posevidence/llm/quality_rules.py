@@ -2,10 +2,10 @@
 
 Fixed rules reject what no corpus wants. For the rest, each rate of a document
 is held against fences of its language and source: quartiles from mergeable
-quantile sketches, widened by three times their distance. A rate inside its
-``slack`` is never rejected, so a group whose documents are all alike rejects
-none of them for small differences. Everything is built from DataFrame
-functions; no text leaves its row.
+quantile sketches, widened by three times their distance. They are widened by a
+rate's ``step`` at least, so a group whose documents are all alike rejects none
+of them for small differences; there is no bound that all groups share.
+Everything is built from DataFrame functions; no text leaves its row.
 
 NULL and empty texts have no words and fail the fixed rules. A NULL language or
 source is a group like any other. Rows are judged one by one: repeated rows and
@@ -23,12 +23,13 @@ from posevidence.llm.common import WORD_SEPARATORS, stored
 ACCURACY = 1000
 #: Fences lie this many quartile distances outside the quartiles.
 REACH = 3.0
-#: (rate, lower slack, upper slack): values between are never rejected.
+#: (rate, whether it may also be too low, step): the least distance of a fence
+#: from its quartile.
 RATES = (
-    ("symbol_rate", None, 0.25),
-    ("dup_line_rate", None, 0.5),
-    ("repeat_rate", None, 0.1),
-    ("mean_word_chars", 2.0, 16.0),
+    ("symbol_rate", False, 0.05),
+    ("dup_line_rate", False, 0.1),
+    ("repeat_rate", False, 0.05),
+    ("mean_word_chars", True, 0.5),
 )
 _WINDOW = 5
 
@@ -116,11 +117,12 @@ def fences(counts: DataFrame, groups: tuple[str, ...] = ("lang", "source")) -> D
         .agg(*[F.percentile_approx(r, [0.25, 0.75], ACCURACY).alias(f"_{r}") for r, _, _ in RATES])
     )
     bounds = {}
-    for rate, low, high in RATES:
+    for rate, low, step in RATES:
         q1, q3 = F.col(f"_{rate}")[0], F.col(f"_{rate}")[1]
-        if low is not None:
-            bounds[f"least_{rate}"] = F.least(q1 - REACH * (q3 - q1), F.lit(low))
-        bounds[f"most_{rate}"] = F.greatest(q3 + REACH * (q3 - q1), F.lit(high))
+        reach = F.greatest(REACH * (q3 - q1), F.lit(step))
+        if low:
+            bounds[f"least_{rate}"] = q1 - reach
+        bounds[f"most_{rate}"] = q3 + reach
     return sketched.select(*groups, *[v.alias(k) for k, v in bounds.items()])
 
 
@@ -133,7 +135,7 @@ def judged(counts: DataFrame, bounds: DataFrame, groups: tuple[str, ...] = ("lan
         on = same if on is None else on & same
     inside = F.lit(True)
     for rate, low, _ in RATES:
-        if low is not None:
+        if low:
             inside &= F.coalesce(F.col(rate) >= F.col(f"least_{rate}"), F.lit(True))
         inside &= F.coalesce(F.col(rate) <= F.col(f"most_{rate}"), F.lit(True))
     extra = [c for c in renamed.columns] + [r for r, _, _ in RATES]

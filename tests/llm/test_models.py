@@ -50,6 +50,21 @@ def test_fences_follow_each_group(make_docs, words):
     assert kept == {r[0] for r in plain + marked} | {201}
 
 
+def test_fences_alone_reject(make_docs, words):
+    """Rates that other groups hold throughout, and that no fixed bound meets."""
+    def text(k, times=1, lines=1):
+        own = [w * times for w in words(k, 60)]
+        return "\n".join([*(" ".join(own[i : i + 3]) for i in range(0, 60, 3)), *["same line"] * lines])
+
+    plain = [(k, text(k), "en", "web") for k in range(40)]
+    long = [(100 + k, text(k, times=2), "de", "web") for k in range(40)]
+    listed = [(200 + k, text(k, lines=6), "en", "lists") for k in range(40)]
+    stray = [(300, text(300, times=2), "en", "web"), (301, text(301), "de", "web"), (302, text(302, lines=6), "en", "web")]
+    found = quality_rules.verdicts(make_docs(plain + long + listed + stray)).collect()
+    assert not any(r["base_failed"] for r in found)
+    assert {r["doc_id"] for r in found if not r["kept"]} == {300, 301, 302}
+
+
 def test_quality_rules_of_an_empty_table(make_docs):
     assert quality_rules.verdicts(make_docs([])).count() == 0
 

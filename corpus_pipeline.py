@@ -46,7 +46,7 @@ def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark question."""
     importable(spark)
-    held = decontamination.contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    held = decontamination.contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), every=True)
     return docs.join(held.select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
 
 

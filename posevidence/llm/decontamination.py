@@ -14,10 +14,15 @@ the benchmark's windows set; a larger benchmark lets more windows through to
 the join and changes no result.
 
 NULL and empty texts have no tokens. A question with fewer tokens than a window
-is one window, met by texts of just those tokens; windows with fewer literal tokens than half are not used, so a
-question of placeholders only is not looked for. Rows with equal ids are one
-document; rows without an id are not reported. Repeated benchmark rows count
-once.
+is one template, met by texts of just those tokens if half of them are literal.
+With ``every`` all other places and windows are searched too: short questions
+anywhere in a document, as templates where they have as many literal tokens as
+a window must have, and by their own values whatever they have; and windows
+with fewer literal tokens than half by the values in their slots. A copy of any
+question is so found, however short it is and whatever it consists of; a
+question of one common word is in every document that has the word. Without
+``every`` these are left out. Rows with equal ids are one document; rows without
+an id are not reported. Repeated benchmark rows count once.
 """
 
 from __future__ import annotations
@@ -27,11 +32,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from posevidence.llm.common import _BYTES, _LOWER, _POWERS, mix, portions, text_bytes
+from posevidence.llm.common import _BYTES, _LOWER, _POWERS, mix, pair_hash, portions, text_bytes
 from posevidence.llm.repeats import doubled, spread
 
 WINDOW = 8
 LEAST_COVER = 0.5
+#: Kinds of windows: templates; templates of short questions that may stand
+#: anywhere; windows of values.
+TEMPLATE, PART, VALUES = range(3)
 #: Bits of the bitmap: 16 MB, whatever the benchmark's size.
 BITMAP_BITS = 27
 _CHUNK_BITS = 15
@@ -54,13 +62,13 @@ _JOINT = np.zeros(256, bool)
 _JOINT[[ord(c) for c in ".,:/"]] = True
 
 
-def _token_names(data, starts, ends):
+def _token_names(data, starts, ends, inside=None):
     place = np.arange(len(data)) - np.repeat(np.r_[0, starts], np.diff(np.r_[0, starts, len(data)]))
     lower = _LOWER[data]
     # Two-byte capitals of Latin letters with accents.
     lower[1:][(data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] <= 0x9E)] += 0x20
     value = _BYTES[lower] * (_POWERS[place & 63] + (place >> 6).astype(np.uint64))
-    value[~_INSIDE[data]] = 0
+    value[~(_INSIDE[data] if inside is None else inside)] = 0
     return mix(np.add.reduceat(value, starts) + (ends - starts).astype(np.uint64))
 
 
@@ -144,10 +152,52 @@ def _windows(names, before):
     return window[good], first[good], width[first][good], text[first][good]
 
 
-WINDOW_SCHEMA = "window long, id long, at int, width int, n_tokens int, slots array<string>"
+def _values(data, starts, ends):
+    """Names of tokens by their own letters and digits, lower case; a number's
+    points and commas belong to it."""
+    if not len(starts):
+        return np.zeros(0, np.uint64)
+    step = np.zeros(len(data) + 1, np.int8)
+    step[starts] += 1
+    step[ends] -= 1
+    return _token_names(data, starts, ends, np.cumsum(step)[:-1] > 0)
+
+
+def _cut(names, before, widths):
+    """Windows of the given widths at every place: width, names, first tokens, texts."""
+    text = np.repeat(np.arange(len(before) - 1), np.diff(before))
+    left = before[text + 1] - np.arange(len(names))
+    window = mix(names)
+    for width in range(1, min(max(widths, default=0), len(names)) + 1):
+        if width > 1:
+            window = pair_hash(window[:-1], names[width - 1 :])
+        if width in widths:
+            first = np.flatnonzero(left[: len(window)] >= width)
+            yield width, window[first], first, text[first]
+
+
+def _others(names, values, before, widths=None):
+    """The windows that ``every`` adds, with their kinds: of questions, or of
+    documents where the widths of the questions' windows of each kind are given."""
+    sizes = np.diff(before)
+    slots = np.concatenate([[0], np.cumsum(_is_slot(names))])
+    every = {PART: range(1, WINDOW), VALUES: range(1, WINDOW + 1)}
+    for kind, own in ((PART, names), (VALUES, values)):
+        for width, window, first, text in _cut(own, before, (widths or every)[kind]):
+            literal = width - (slots[first + width] - slots[first])
+            good = literal >= WINDOW // 2 if kind == PART else np.ones(len(first), bool)
+            if widths is None:
+                good &= np.minimum(sizes[text], WINDOW) == width
+                if kind == VALUES:
+                    good &= (sizes[text] < WINDOW) | (2 * literal < width)
+            window = mix(window ^ np.uint64(kind << 8 | width))
+            yield window[good], first[good], np.full(int(good.sum()), width), text[good], np.full(int(good.sum()), kind)
+
+
+WINDOW_SCHEMA = "window long, id long, at int, width int, kind int, n_tokens int, slots array<string>"
 
 
-def _templates(bits=None):
+def _templates(bits=None, every=False, widths=None):
     """Windows of texts; with a bitmap, only those it lets through."""
 
     def make(batches):
@@ -155,24 +205,31 @@ def _templates(bits=None):
         for batch in portions(batches, "text", 1 << 20):
             data, at = text_bytes(batch.column(1))
             names, starts, ends, before = canonical(data, at)
-            window, first, width, text = _windows(names, before)
+            plain = _windows(names, before)
+            parts = [(*plain, np.full(len(plain[0]), TEMPLATE))]
+            if every:
+                wanted = widths is None or widths[VALUES]
+                parts += _others(names, _values(data, starts, ends) if wanted else names, before, widths)
             if bitmap is not None:
-                place = window >> np.uint64(64 - BITMAP_BITS)
-                seen = (bitmap[(place >> np.uint64(3)).astype(np.int64)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 == 1
-                window, first, width, text = window[seen], first[seen], width[seen], text[seen]
+                for n, part in enumerate(parts):
+                    place = part[0] >> np.uint64(64 - BITMAP_BITS)
+                    seen = (bitmap[(place >> np.uint64(3)).astype(np.int64)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 == 1
+                    parts[n] = tuple(column[seen] for column in part)
+            window, first, width, text, kind = (np.concatenate(column) for column in zip(*parts))
             slot = _is_slot(names)
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             values = []
-            for f, w in zip(first.tolist(), width.tolist()):
+            for f, w, own in zip(first.tolist(), width.tolist(), (kind == VALUES).tolist()):
                 values.append([
-                    data[starts[k] : ends[k]].tobytes().decode("utf-8", "replace").lower() if slot[k] else None
+                    data[starts[k] : ends[k]].tobytes().decode("utf-8", "replace").lower() if own or slot[k] else None
                     for k in range(f, f + w)
                 ])
             yield pa.record_batch(
                 [pa.array(window.view(np.int64)), pa.array(ids[text], pa.int64()),
                  pa.array((first - before[text]).astype(np.int32)), pa.array(width.astype(np.int32)),
+                 pa.array(kind.astype(np.int32)),
                  pa.array(np.diff(before)[text].astype(np.int32)), pa.array(values, pa.list_(pa.string()))],
-                ["window", "id", "at", "width", "n_tokens", "slots"],
+                ["window", "id", "at", "width", "kind", "n_tokens", "slots"],
             )
 
     return make
@@ -229,7 +286,7 @@ def _consistent(rows: list[dict]) -> tuple[int, bool]:
 
 def contaminated(
     docs: DataFrame, benchmark: DataFrame, least_cover: float = LEAST_COVER, doc_id: str = "doc_id",
-    text: str = "text", item_id: str = "item_id", item_text: str = "text",
+    text: str = "text", item_id: str = "item_id", item_text: str = "text", every: bool = False,
 ) -> DataFrame:
     """(doc_id, item_id, n_covered, n_tokens, exact): questions that documents hold."""
     spark = docs.sparkSession
@@ -240,17 +297,21 @@ def contaminated(
     )
     # A question may be shouted; its names are then words like others.
     shouted = items.withColumn("text", F.upper("text"))
-    asked = items.unionByName(shouted).mapInArrow(_templates(), WINDOW_SCHEMA).distinct()
+    asked = items.unionByName(shouted).mapInArrow(_templates(every=every), WINDOW_SCHEMA).distinct()
+    widths: dict[int, set[int]] = {PART: set(), VALUES: set()}
+    if every:
+        for row in asked.filter(F.col("kind") != TEMPLATE).select("kind", "width").distinct().collect():
+            widths[row["kind"]].add(row["width"])
     bits = spark.sparkContext.broadcast(_bitmap(asked))
     rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text")).filter(F.col("id").isNotNull())
-    found = rows.mapInArrow(_templates(bits), WINDOW_SCHEMA)
-    met = found.select("window", F.col("id").alias("doc_id"), "at", "width", "slots").join(
+    found = rows.mapInArrow(_templates(bits, every, widths), WINDOW_SCHEMA)
+    met = found.select("window", F.col("id").alias("doc_id"), "at", "width", "kind", "slots").join(
         asked.select(
-            "window", F.col("id").alias("item_id"), F.col("at").alias("item_at"), F.col("width").alias("item_width"),
+            "window", F.col("kind").alias("item_kind"), F.col("id").alias("item_id"), F.col("at").alias("item_at"), F.col("width").alias("item_width"),
             "n_tokens", F.col("slots").alias("item_slots"),
         ),
         "window",
-    ).filter(F.col("width") == F.col("item_width"))
+    ).filter((F.col("width") == F.col("item_width")) & (F.col("kind") == F.col("item_kind")))
 
     def judge(batches):
         held, last = [], None

@@ -202,6 +202,29 @@ def test_contamination(spark, make_docs, words):
     assert decontamination.contaminated(make_docs(rows), bench.limit(0)).count() == 0
 
 
+def test_query_finds_short_and_slot_rich_questions(spark, make_docs, words, shared_dir):
+    numbers, people = "12 13 14 15 16 17 18 19 20 21", "Ann Bob Carl Dora Emil Fay Gus Hal Ida 3.50"
+    bench = spark.createDataFrame(
+        [(1, "What is the capital of France?"), (2, numbers), (3, people), (4, "7 + 5"), (5, "Quito"), (6, "?!")],
+        "item_id long, text string",
+    )
+    fill = lambda k: " ".join(words(k, 30))
+    rows = [
+        (1, f"{fill(1)} What is the capital of France? {fill(2)}"),
+        (2, f"{fill(3)} what is the capital of spain {fill(4)} What is the capital of Spain?"),
+        (3, f"{fill(5)} {numbers} {fill(6)}"), (4, numbers), (5, numbers.replace("15", "51")),
+        (6, f"{fill(7)} {people}. {fill(8)}"), (7, people.lower()), (8, people.replace("3.50", "3,50").replace("Dora", "Dan")),
+        (9, f"{fill(9)} 7 + 5 {fill(10)}"), (10, f"{fill(11)} 5 + 7 {fill(12)}"), (11, f"{fill(13)} QUITO"), (12, "Lima ?!"),
+        (13, "France"), (14, ""), (15, None), (None, numbers),
+    ]
+    folder = f"{shared_dir}/short-questions"
+    make_docs(rows).write.parquet(f"{folder}/documents.parquet")
+    bench.write.parquet(f"{folder}/benchmark.parquet")
+    found = {(r["doc_id"], r["item_id"]): r for r in QUERIES["op9_decontamination"](spark, folder).collect()}
+    assert set(found) == {(1, 1), (2, 1), (3, 2), (4, 2), (6, 3), (7, 3), (9, 4), (11, 5)}
+    assert found[1, 1]["exact"] and not found[2, 1]["exact"] and found[3, 2]["n_covered"] == 10
+
+
 def test_slots_correspond_one_to_one():
     def row(at, item_at, item, doc):
         return {"at": at, "item_at": item_at, "item_slots": item, "slots": doc}

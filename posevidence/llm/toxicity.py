@@ -1,16 +1,16 @@
 """Toxicity by the nearest labelled examples under TF-IDF cosine.
 
-Every text is a TF-IDF vector over evidence terms, words that labelled examples
-hold more or less often than chance by label, and one constant term that keeps
-a single mention apart from many. The examples nearest to a text by cosine vote
-with a weight that falls with their distance; the vote is turned into a
-probability by a monotone curve fitted on the examples themselves, each judged
-by the others. The nearest examples are returned as evidence.
-
-The search is exact. Postings of each term are cut into blocks of examples with
-the highest weight in each; blocks are visited by falling bound, and the search
-ends when no block can hold a nearer example (ties go to the example that comes
-first). NULL and empty texts have the constant term only.
+Every text is a TF-IDF vector over all terms of the labelled examples; terms that
+no example holds can meet none and do not count. Document frequencies are those
+of the whole corpus. A term's weight grows with the log-likelihood ratio of the
+term and the label; none is left out for it. The examples nearest to a text by
+cosine vote with a weight that falls with their distance; the vote is turned
+into a probability by a monotone curve fitted on the examples themselves, each
+judged by the others. The nearest examples are returned as evidence.
+
+The search is exact: all postings of a text's terms are summed, those of terms
+that many examples hold as whole rows. Ties go to the example that comes first.
+NULL and empty texts, and those of unknown terms only, have cosine 0 with all.
 
 The examples are a sample of labelled rows, bounded by ``SAMPLE_ROWS`` and
 ``SAMPLE_BYTES``, so the index that is sent to every task is bounded as well;
@@ -35,12 +35,8 @@ SAMPLE_ROWS = 6000
 SAMPLE_BYTES = 1 << 15
 NEAREST = 25
 EVIDENCE = 3
-#: Least log-likelihood ratio of a term and the label.
-ASSOCIATION = 20.0
-#: Examples in a block.
-BLOCK = 64
-_CONSTANT = 2.0
-_VECTOR_CACHE = 1 << 16
+#: Terms that one in so many examples holds are kept as rows over all examples.
+COMMON = 16
 _TERM = re.compile(r"\w+")
 
 
@@ -48,22 +44,17 @@ def terms_of(text: str) -> list[str]:
     return _TERM.findall(text.lower())
 
 
-def associated(counts: dict[str, tuple[int, int]], n: tuple[int, int]) -> list[str]:
-    """Terms whose document frequencies depend on the label."""
-    total = n[0] + n[1]
-    kept = []
-    for term, (clean, toxic) in counts.items():
-        seen = clean + toxic
-        ratio = 0.0
-        for observed, share in (
-            (clean, seen * n[0] / total), (toxic, seen * n[1] / total),
-            (n[0] - clean, (total - seen) * n[0] / total), (n[1] - toxic, (total - seen) * n[1] / total),
-        ):
-            if observed:
-                ratio += 2 * observed * np.log(observed / share)
-        if ratio >= ASSOCIATION:
-            kept.append(term)
-    return sorted(kept)
+def association(clean: np.ndarray, toxic: np.ndarray, n: tuple[int, int]) -> np.ndarray:
+    """Log-likelihood ratio of each term's document frequencies and the label."""
+    total, seen = n[0] + n[1], clean + toxic
+    ratio = np.zeros(len(seen))
+    for observed, share in (
+        (clean, seen * n[0] / total), (toxic, seen * n[1] / total),
+        (n[0] - clean, (total - seen) * n[0] / total), (n[1] - toxic, (total - seen) * n[1] / total),
+    ):
+        some = observed > 0
+        ratio[some] += 2 * observed[some] * np.log(observed[some] / share[some])
+    return np.maximum(ratio, 0.0)
 
 
 def monotone(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -87,23 +78,27 @@ def monotone(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Examples:
-    """Labelled examples under a block-max inverted index."""
+    """Labelled examples under an inverted index.
 
-    def __init__(self, ids: list[int], texts: list[str], labels: np.ndarray):
+    ``corpus`` has the number of documents and, by term, how many hold it;
+    without it the examples are the corpus.
+    """
+
+    def __init__(self, ids: list[int], texts: list[str], labels: np.ndarray, corpus: tuple[int, dict[str, int]] | None = None):
         self.ids, self.labels = np.array(ids, np.int64), np.asarray(labels, np.float64)
+        self.count = len(ids)
         bags = [Counter(terms_of(t)) for t in texts]
-        seen: dict[str, list[int]] = {}
+        self.number = {t: k for k, t in enumerate(sorted(set().union(*bags)))}
+        seen = np.zeros((2, len(self.number)))
         for bag, label in zip(bags, self.labels):
-            for term in bag:
-                seen.setdefault(term, [0, 0])[int(label)] += 1
+            seen[int(label), [self.number[t] for t in bag]] += 1
         n = int((self.labels == 0).sum()), int((self.labels == 1).sum())
-        terms = associated({t: tuple(c) for t, c in seen.items()}, n) if all(n) else []
-        self.number = {t: k for k, t in enumerate(terms, 1)}
-        self.idf = np.array([1.0] + [np.log((1 + len(ids)) / (1 + sum(seen[t]))) + 1 for t in terms])
-        self.count = len(ids)
-        self.blocks = -(-max(self.count, 1) // BLOCK)
-        self._index([self.vector(Counter({t: c for t, c in b.items() if t in self.number})) for b in bags])
-        self.cache: dict = {}
+        documents, held = self.count, seen.sum(axis=0)
+        if corpus is not None:
+            documents, held = corpus[0], np.array([corpus[1].get(t, 0) for t in self.number], np.float64)
+        self.idf = np.log((1 + documents) / (1 + held)) + 1
+        self.scale = self.idf * (1 + (association(*seen, n) if all(n) else 0.0))
+        self._index([self.vector(b) for b in bags])
         votes = np.array([
             self._vote(*self.nearest(self._own[k], without=k)) for k in range(self.count)
         ]) if self.count > 1 else np.zeros(0)
@@ -113,50 +108,51 @@ class Examples:
             share = float(self.labels.mean()) if self.count else 0.5
             self.curve = np.array([0.0, 1.0]), np.array([share, share])
 
-    def vector(self, bag: Counter) -> tuple[tuple[int, ...], np.ndarray]:
-        """Term numbers and unit-length weights."""
-        numbers = (0, *sorted(self.number[t] for t in bag))
-        by_number = {self.number[t]: c for t, c in bag.items()}
-        weights = np.array([_CONSTANT] + [(1 + np.log(by_number[k])) * self.idf[k] for k in numbers[1:]])
-        return numbers, weights / np.sqrt((weights**2).sum())
+    def __getstate__(self):
+        return {k: v for k, v in self.__dict__.items() if k not in ("_own", "_rows")}
+
+    def vector(self, bag: Counter) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of the terms that examples hold, and unit-length weights."""
+        known = sorted((self.number[t], c) for t, c in bag.items() if t in self.number)
+        numbers = np.array([k for k, _ in known], np.int64)
+        weights = (1 + np.log(np.array([c for _, c in known], np.float64))) * self.scale[numbers]
+        return numbers, weights / np.sqrt((weights**2).sum()) if len(weights) else weights
 
     def _index(self, vectors: list) -> None:
         self._own = vectors
-        postings: list[list[tuple[int, float]]] = [[] for _ in self.idf]
-        for k, (numbers, weights) in enumerate(vectors):
-            for t, w in zip(numbers, weights):
-                postings[t].append((k, w))
-        self.who = [np.array([k for k, _ in p], np.int64) for p in postings]
-        self.weight = [np.array([w for _, w in p]) for p in postings]
-        edges = np.arange(self.blocks + 1) * BLOCK
-        self.cut = np.array([np.searchsorted(w, edges) for w in self.who]).reshape(len(postings), -1)
-        self.most = np.zeros((len(postings), self.blocks))
-        for t, (who, weight) in enumerate(zip(self.who, self.weight)):
-            np.maximum.at(self.most[t], who // BLOCK, weight)
+        numbers = np.concatenate([np.zeros(0, np.int64), *(k for k, _ in vectors)])
+        order = np.argsort(numbers, kind="stable")
+        self.who = np.repeat(np.arange(self.count), [len(k) for k, _ in vectors])[order]
+        self.weight = np.concatenate([np.zeros(0), *(w for _, w in vectors)])[order]
+        self.cut = np.searchsorted(numbers[order], np.arange(len(self.number) + 1))
+
+    def _row(self, term: int) -> np.ndarray:
+        rows = self.__dict__.setdefault("_rows", {})
+        if term not in rows:
+            own = slice(self.cut[term], self.cut[term + 1])
+            rows[term] = np.zeros(self.count)
+            rows[term][self.who[own]] = self.weight[own]
+        return rows[term]
 
     def nearest(self, vector, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """The nearest examples and their cosines, nearest first."""
         numbers, weights = vector
-        bound = weights @ self.most[list(numbers)]
-        found, cosine = np.zeros(0, np.int64), np.zeros(0)
-        for block in np.lexsort((np.arange(self.blocks), -np.round(bound, 12))):
-            if len(found) == NEAREST:
-                least = cosine[-1]
-                if bound[block] < least - 1e-12:
-                    break
-                if bound[block] <= least + 1e-12 and block > found[-1] // BLOCK:
-                    continue  # could only tie with an example that comes first
-            sums = np.zeros(BLOCK)
-            for t, w in zip(numbers, weights):
-                own = slice(self.cut[t, block], self.cut[t, block + 1])
-                sums[self.who[t][own] - block * BLOCK] += w * self.weight[t][own]
-            here = np.arange(block * BLOCK, min((block + 1) * BLOCK, self.count))
-            here = here[here != without]
-            found = np.concatenate([found, here])
-            cosine = np.concatenate([cosine, np.round(sums[here - block * BLOCK], 12)])
-            order = np.lexsort((found, -cosine))[:NEAREST]
-            found, cosine = found[order], cosine[order]
-        return found, cosine
+        first, sizes = self.cut[numbers], self.cut[numbers + 1] - self.cut[numbers]
+        common = COMMON * sizes >= self.count
+        rare = sizes[~common]
+        at = np.repeat(first[~common] - (np.cumsum(rare) - rare), rare) + np.arange(rare.sum())
+        sums = np.bincount(self.who[at], np.repeat(weights[~common], rare) * self.weight[at], self.count).astype(np.float64)
+        for t, w in zip(numbers[common].tolist(), weights[common].tolist()):
+            sums += w * self._row(t)
+        cosine = np.round(sums, 12)
+        if without >= 0:
+            cosine[without] = -1.0
+        found = np.arange(self.count)
+        if self.count > NEAREST:
+            found = np.flatnonzero(cosine >= np.partition(cosine, -NEAREST)[-NEAREST])
+        found = found[found != without]
+        found = found[np.lexsort((found, -cosine[found]))[:NEAREST]]
+        return found, cosine[found]
 
     def _vote(self, found: np.ndarray, cosine: np.ndarray) -> float:
         if not len(found):
@@ -166,31 +162,42 @@ class Examples:
 
     def judge(self, text: str) -> tuple[float, list[tuple[int, float]]]:
         """The probability that a text is toxic, and its nearest examples."""
-        number = self.number
-        bag = Counter([t for t in terms_of(text) if t in number])
-        key = tuple(sorted(bag.items()))
-        known = self.cache.get(key)
-        if known is None:
-            if len(self.cache) >= _VECTOR_CACHE:
-                self.cache.clear()
-            found, cosine = self.nearest(self.vector(bag))
-            score = float(np.interp(self._vote(found, cosine), *self.curve))
-            known = score, list(zip(self.ids[found[:EVIDENCE]].tolist(), cosine[:EVIDENCE].tolist()))
-            self.cache[key] = known
-        return known
+        found, cosine = self.nearest(self.vector(Counter(terms_of(text))))
+        score = float(np.interp(self._vote(found, cosine), *self.curve))
+        return score, list(zip(self.ids[found[:EVIDENCE]].tolist(), cosine[:EVIDENCE].tolist()))
+
+
+def corpus_counts(docs: DataFrame, terms: list[str]) -> tuple[int, dict[str, int]]:
+    """The number of documents, and how many of them hold each of ``terms``."""
+    shared = docs.sparkSession.sparkContext.broadcast(terms)
+
+    def count(batches):
+        number = {t: k for k, t in enumerate(shared.value, 1)}
+        held = np.zeros(len(number) + 1, np.int64)
+        for batch in batches:
+            held[0] += batch.num_rows
+            for text in strings(batch.column(0)):
+                held[[number[t] for t in set(terms_of(text)) if t in number]] += 1
+        some = np.flatnonzero(held)
+        yield pa.record_batch([pa.array(some), pa.array(held[some])], ["term", "held"])
+
+    found = docs.select("text").mapInArrow(count, "term long, held long").groupBy("term").agg(F.sum("held").alias("held")).collect()
+    held = {r["term"]: r["held"] for r in found}
+    return held.pop(0, 0), {terms[k - 1]: n for k, n in held.items()}
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 3, left_out: int = 1) -> Examples:
     rows = labelled_sample(docs, labels, label, SAMPLE_ROWS, SAMPLE_BYTES, folds, left_out).collect()
     rows.sort(key=lambda r: r["doc_id"])
-    return Examples([r["doc_id"] for r in rows], [r["text"] for r in rows], np.array([r["label"] for r in rows]))
+    texts = [r["text"] for r in rows]
+    corpus = corpus_counts(docs, sorted(set().union(*(terms_of(t) for t in texts))))
+    return Examples([r["doc_id"] for r in rows], texts, np.array([r["label"] for r in rows]), corpus)
 
 
 def judged(text: Column, examples: Examples, shared=None) -> Column:
     """struct(score, nearest): ``nearest`` has the evidence, nearest first."""
     from pyspark.sql import SparkSession
 
-    examples.cache = {}
     shared = shared or SparkSession.active().sparkContext.broadcast(examples)
 
     @F.arrow_udf("struct<score:double,nearest:array<struct<doc_id:bigint,cosine:double>>>")

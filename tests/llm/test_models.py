@@ -163,6 +163,18 @@ def test_nearest_examples_are_exact():
         assert 0 <= score <= 1 and len(evidence) == toxicity.EVIDENCE
 
 
+def test_every_term_of_the_examples_counts(spark, make_docs, words):
+    rows = [(k, " ".join([*words(k, 30), *(["vile"] * (k % 4 == 0)), *(["rarest"] * (k == 80))])) for k in range(120)]
+    docs = make_docs(rows + [(500 + k, "rarest elsewhere") for k in range(50)]).select("doc_id", "text")
+    labels = spark.createDataFrame([(k, int(k % 4 == 0)) for k in range(120)], "doc_id long, toxic int")
+    examples = toxicity.fit(docs, labels)
+    for doc_id in examples.ids.tolist():
+        (first, cosine), *others = examples.judge(rows[doc_id][1])[1]
+        assert first == doc_id and cosine == pytest.approx(1) and all(c < 0.999 for _, c in others)
+    assert 80 in examples.ids and examples.idf[examples.number["rarest"]] == pytest.approx(math.log(171 / 52) + 1)
+    assert examples.judge("zzz rarest")[1][0][0] == 80
+
+
 def test_examples_without_rows():
     for ids, texts, labels in (([], [], []), ([1], ["a"], [1])):
         score, _ = toxicity.Examples(ids, texts, np.array(labels)).judge("a b")

@@ -9,7 +9,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from posevidence.llm import decontamination, ngram_join, pitman_yor, quality_cnn, quality_rules, recompression, sentencepiece_bpe, suffix_dedup, token_files, toxicity
+from posevidence.llm import (
+    decontamination,
+    hard_negatives,
+    ngram_join,
+    pitman_yor,
+    quality_cnn,
+    quality_rules,
+    recompression,
+    secret_scan,
+    sentencepiece_bpe,
+    source_divergence,
+    suffix_dedup,
+    token_files,
+    toxicity,
+)
 from posevidence.llm.common import fold, importable
 from posevidence.materialize import new_folder
 
@@ -134,3 +148,34 @@ def op9_decontamination(spark, directory):
 def op6_pitman_yor(spark, directory):
     """Log probabilities of every document under the model and its base."""
     return pitman_yor.scored(documents(spark, directory))
+
+
+@query
+def op11_secret_scan(spark, directory):
+    """Spans of secrets of every document, and who else holds them."""
+    found = secret_scan.secrets(documents(spark, directory))
+    of = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
+    judged = lambda verdict: F.size(F.filter("spans", lambda s: s["verdict"] == verdict)).cast("long")
+    base = F.filter("spans", lambda s: s["kind"] < 3)
+    return found.select(
+        "doc_id",
+        of(0).alias("n_assign"),
+        of(1).alias("n_access"),
+        of(2).alias("n_hex"),
+        F.sha2(secret_scan.named_spans(base).cast("binary"), 256).alias("base_sha256"),
+        secret_scan.named_spans(F.col("spans")).alias("spans"),
+        judged("live").alias("n_live"),
+        judged("copied").alias("n_copied"),
+    )
+
+
+@query
+def op12_source_divergence(spark, directory):
+    """Distances of the sources of each language, and the terms that mark them."""
+    return source_divergence.audit(documents(spark, directory))
+
+
+@query
+def op13_hard_negatives(spark, directory):
+    """Hard negatives of every anchor and positive."""
+    return hard_negatives.mined(spark.read.parquet(f"{directory}/embeddings.parquet"))

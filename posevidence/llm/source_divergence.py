@@ -226,10 +226,13 @@ def _run_columns(block: int):
 
 def run_columns(rows: DataFrame, block: int = BLOCK) -> DataFrame:
     """(lang, block, length, place, ends, counts): run-length encoded columns."""
+    # Place and count in one number: what the driver samples to cut the ranges is
+    # short, and larger counts only share a place in the order.
+    packed = F.transform("cells", lambda c: F.shiftleft(c["place"].cast("long"), 40) + F.least(c["n"], F.lit((1 << 40) - 1)))
     return (
-        rows.select("lang", "term", "cells")
-        .repartitionByRange("lang", "cells", "term")
-        .sortWithinPartitions("lang", "cells", "term")
+        rows.select("lang", "term", "cells", packed.alias("packed"))
+        .repartitionByRange("lang", "packed", "term")
+        .sortWithinPartitions("lang", "packed", "term")
         .select("lang", F.col("cells.place").alias("places"), F.col("cells.n").alias("counts"))
         .mapInArrow(
             _run_columns(block),

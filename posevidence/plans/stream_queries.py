@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from posevidence.functions.predicates import shape_version_filter
+from posevidence.materialize import new_folder
 from posevidence.operators import results
 from posevidence.plans.registry import IN_BOX, IN_WINDOW, MATCHING, REAL, registered, window_on
 from posevidence.plans.track_queries import GAP, _segments
@@ -10,7 +11,6 @@ from posevidence.sources.adapter import CHECK_PARAMS
 from posevidence.streaming import streams
 
 P = CHECK_PARAMS
-_LATENESS = "INTERVAL 10 MINUTE"
 
 
 @registered(
@@ -18,11 +18,11 @@ _LATENESS = "INTERVAL 10 MINUTE"
     f"""
 WITH {_segments('dense_cot', GAP)},
 sessions AS (SELECT uid, min(servertime) AS begin, max(servertime) AS "end", count(*) AS points FROM numbered GROUP BY uid, seg_no)
-SELECT * FROM sessions WHERE "end" + INTERVAL {GAP} SECOND < (SELECT max(servertime) FROM dense_cot) - {_LATENESS}""",
+SELECT * FROM sessions""",
 )
 def streamed_tracks(t):
     events = t.stream("dense_cot").select("uid", "servertime")
-    return streams.run_appending(streams.session_tracks(events, GAP), "session-tracks")[0]
+    return streams.drained(events, lambda e: streams.session_tracks(e, GAP), "session-tracks")[0]
 
 
 @registered(
@@ -32,11 +32,10 @@ SELECT uid, date_trunc('minute', servertime) AS window_start, count(*) AS total_
   count(*) FILTER (WHERE {REAL}) AS events_with_position, count(*) FILTER (WHERE latitude = 0 AND longitude = 0) AS events_at_0_0,
   count(*) FILTER (WHERE latitude IS NULL) AS events_no_geometry, count(*) FILTER (WHERE {REAL} AND {IN_BOX}) AS events_inside_box,
   count(*) FILTER (WHERE {REAL} AND {IN_BOX}) AS events_exported, count(*) FILTER (WHERE {MATCHING}) AS records
-FROM cot WHERE date_trunc('minute', servertime) + INTERVAL 1 MINUTE <= (SELECT max(servertime) FROM cot) - {_LATENESS}
-GROUP BY 1, 2""",
+FROM cot GROUP BY 1, 2""",
 )
 def streamed_counts(t):
-    return streams.run_appending(streams.window_counts(t.stream("cot"), P), "window-counts")[0]
+    return streams.drained(t.stream("cot"), lambda e: streams.window_counts(e, P), "window-counts")[0]
 
 
 @registered(
@@ -52,4 +51,5 @@ SELECT * FROM v FULL JOIN d USING (uid)""",
 def streamed_latest_shapes(t):
     versions = t.stream("cot").filter(shape_version_filter(P))
     deletions = results.shape_deletions(t.stream("mission_change"), P)
-    return streams.run_complete(streams.latest_shapes(versions, deletions), "latest-shapes")
+    updates = streams.shape_updates(versions, deletions)
+    return streams.latest_shapes(streams.run_updating(updates, new_folder(t.spark, "latest-shapes")))

@@ -8,8 +8,13 @@ spot.
 
 from __future__ import annotations
 
-from functools import reduce
+import sys
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -19,6 +24,8 @@ from posevidence.functions.text import clause_safe
 from posevidence.materialize import settle
 from posevidence.operators.tracks import neighbour_in_slices, time_slice
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 # The tolerances, and the words of the verdicts.
 TIME_TOLERANCE_S = 1
 PLACE_TOLERANCE_M = 1.0
@@ -145,18 +152,113 @@ def _near_seconds(time: str) -> Column:
     return F.sequence(_stretch(micros - reach), _stretch(micros + reach))
 
 
-def match_positions(left: DataFrame, right: DataFrame) -> tuple[DataFrame, DataFrame]:
+# How long a slice of time is in which pairs are settled on their own.
+MATCH_SLICE_S = 600
+
+_EDGE = ["device", "l_t", "l_lat", "l_lon", "r_t", "r_lat", "r_lon", "gap", "distance", "digest", "distance_m"]
+_EDGE_TYPES = (
+    "device string, l_t long, l_lat double, l_lon double, r_t long, r_lat double, r_lon double,"
+    " gap long, distance long, digest long, distance_m double"
+)
+
+
+class _Edges:
+    """Pairs of spots as columns, in the order in which they are chosen."""
+
+    def __init__(self, table: pa.Table):
+        columns = {c: table[c].to_numpy() for c in table.column_names if c != "device"}
+        order = np.lexsort([columns[c] for c in reversed(["gap", "distance", "digest", *_EDGE[1:7]])])
+        self.table = table.take(pa.array(order))
+        self.columns = {c: v[order] for c, v in columns.items()}
+
+    def ends(self, side: str) -> tuple[list, list]:
+        """A number for each pair's spot, and what is left of every spot."""
+        spot = np.rec.fromarrays([self.columns[f"{side}_{c}"] for c in ("t", "lat", "lon")])
+        _, first, number = np.unique(spot, return_index=True, return_inverse=True)
+        return number.tolist(), self.columns[f"{side}_left"][first].tolist()
+
+
+def _settle_pairs(table: pa.Table) -> tuple[pa.Table, list[int], list[int], list[int]]:
+    """Take pairs in order while all that matters is known: (pairs in order,
+    matches of each, what is left of both ends in the end). -1 matches: open,
+    for the pair reaches out of the slice, or a better pair of an end is open."""
+    edges = _Edges(table)
+    (l_of, l_left), (r_of, r_left) = edges.ends("l"), edges.ends("r")
+    l_open, r_open = [False] * len(l_left), [False] * len(r_left)
+    crossing = edges.columns["crossing"].tolist()
+    n = [0] * len(l_of)
+    for e, (i, j) in enumerate(zip(l_of, r_of)):
+        if not l_left[i] or not r_left[j]:
+            continue
+        if crossing[e] or l_open[i] or r_open[j]:
+            l_open[i] = r_open[j] = True
+            n[e] = -1
+            continue
+        n[e] = taken = min(l_left[i], r_left[j])
+        l_left[i] -= taken
+        r_left[j] -= taken
+    return edges.table, n, [l_left[i] for i in l_of], [r_left[j] for j in r_of]
+
+
+def _settled_slice(table: pa.Table) -> pa.Table:
+    """The pairs of one (device, slice) that are taken or still open."""
+    ordered, n, l_left, r_left = _settle_pairs(table)
+    found = ordered.select(_EDGE)
+    for name, values in (("l_left", l_left), ("r_left", r_left), ("n", n)):
+        found = found.append_column(name, pa.array(values, pa.int64()))
+    found = found.append_column("crossing", ordered["crossing"])
+    return found.filter(pc.not_equal(found["n"], 0))
+
+
+def _swept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Settle open pairs that come by device and time. Pairs that share no
+    moment share no spot, so only what touches is held together."""
+    def settled(held):
+        ordered, n, _, _ = _settle_pairs(pa.Table.from_batches(held))
+        found = ordered.select(_EDGE).append_column("n", pa.array(n, pa.int64()))
+        yield from found.filter(pc.greater(found["n"], 0)).to_batches()
+
+    held, device, end = [], None, 0
+    for batch in batches:
+        devices = batch.column("device").to_pylist()
+        starts, ends = batch.column("start").to_numpy(), batch.column("end").to_numpy()
+        first = 0
+        for k in range(batch.num_rows):
+            if devices[k] != device or starts[k] > end:
+                if k > first:
+                    held.append(batch.slice(first, k - first))
+                if held:
+                    yield from settled(held)
+                held, first, device, end = [], k, devices[k], ends[k]
+            else:
+                end = max(end, ends[k])
+        held.append(batch.slice(first))
+    if held:
+        yield from settled(held)
+
+
+def _end(side: str) -> list[tuple[str, Column]]:
+    return [
+        ("t", F.unix_micros(f"{side}.servertime")), ("lat", F.col(f"{side}.latitude")), ("lon", F.col(f"{side}.longitude")),
+    ]
+
+
+def match_positions(left: DataFrame, right: DataFrame, slice_seconds: int = MATCH_SLICE_S) -> tuple[DataFrame, DataFrame]:
     """Matched pairs of spots, and both sides' spots with what is left of them.
 
     Every report is used once. Equal spots are matched first, by count. What
     remains is matched nearest first, in the order of time gap in steps of 10 ms,
-    distance in steps of 1 cm, then a digest of both spots: in each round, pairs
-    that are the best choice of both their ends are taken, which gives the same
-    pairs as taking all pairs one by one in that order. Among equal gaps and
-    distances the digest decides, so a long chain of them is settled in about as
-    many rounds as its length has digits, not one after another. Returns (pairs, remaining): pairs hold ``n`` matches and
-    their distance; remaining holds ``side``, the spot, its reports ``n`` and
-    how many of them are ``unmatched``.
+    distance in steps of 1 cm, then a digest of both spots.
+
+    Every (device, slice of time) takes its pairs in that order as far as it can
+    know: a pair across the slice's border, and what hangs on it, stays open.
+    What is open, a little at each border, is then swept through by device in
+    time order, holding only pairs that touch each other. Two passes, whatever
+    the data, give the pairs that taking all one by one would give.
+
+    Returns (pairs, remaining): pairs hold ``n`` matches and their distance;
+    remaining holds ``side``, the spot, its reports ``n`` and how many of them
+    are ``unmatched``.
     """
     merged = settle(
         spots(left, "l_n").join(spots(right, "r_n"), _SPOT, "full_outer").select(
@@ -191,37 +293,55 @@ def match_positions(left: DataFrame, right: DataFrame) -> tuple[DataFrame, DataF
         reach.join(placed, ["device", "s", "a", "b"])
         .select("device", "l", "r", "l_left", "r_left", gap_us.alias("gap_us"), distance.alias("distance_m"))
         .filter((F.col("gap_us") <= TIME_TOLERANCE_S * 1_000_000) & (F.col("distance_m") <= PLACE_TOLERANCE_M))
-        .withColumn(
-            "choice",
-            F.struct(
-                F.floor(F.col("gap_us") / 10_000).alias("gap"), F.floor(F.col("distance_m") * 100).alias("distance"),
-                F.xxhash64("l", "r").alias("digest"), "l", "r",
-            ),
+        .select(
+            "device",
+            *[v.alias(f"{side}_{c}") for side in ("l", "r") for c, v in _end(side)],
+            F.floor(F.col("gap_us") / 10_000).alias("gap"),
+            F.floor(F.col("distance_m") * 100).alias("distance"),
+            F.xxhash64("l", "r").alias("digest"),
+            "distance_m",
+            "l_left",
+            "r_left",
         )
     )
-    pairs = settle(pairs)
-    taken = []
-    while pairs.limit(1).count():
-        best_l = pairs.groupBy("l").agg(F.min("choice").alias("choice"))
-        best_r = pairs.groupBy("r").agg(F.min("choice").alias("choice"))
-        mutual = settle(
-            pairs.join(best_l.select("choice"), "choice", "left_semi")
-            .join(best_r.select("choice"), "choice", "left_semi")
-            .withColumn("n", F.least("l_left", "r_left"))
+    slices = [F.floor(F.col(f"{side}_t") / F.lit(slice_seconds * 1_000_000)) for side in ("l", "r")]
+    first_pass = settle(
+        pairs.withColumn("crossing", slices[0] != slices[1])
+        .withColumn("slice", F.explode(F.array_distinct(F.array(*slices))))
+        .groupBy("device", "slice")
+        .applyInArrow(
+            _settled_slice, f"{_EDGE_TYPES}, l_left long, r_left long, n long, crossing boolean"
         )
-        taken.append(mutual.select("device", "l", "r", "n", "gap_us", "distance_m"))
-        used_l = mutual.select("l", F.col("n").alias("l_used"))
-        used_r = mutual.select("r", F.col("n").alias("r_used"))
-        pairs = settle(
-            pairs.join(used_l, "l", "left")
-            .join(used_r, "r", "left")
-            .withColumn("l_left", F.col("l_left") - F.coalesce("l_used", F.lit(0)))
-            .withColumn("r_left", F.col("r_left") - F.coalesce("r_used", F.lit(0)))
-            .drop("l_used", "r_used")
-            .filter((F.col("l_left") > 0) & (F.col("r_left") > 0))
+    )
+    # A pair across a border is open only if both slices say so.
+    open_pairs = (
+        first_pass.filter(F.col("n") < 0)
+        .groupBy(*_EDGE)
+        .agg(
+            F.min("l_left").alias("l_left"), F.min("r_left").alias("r_left"),
+            F.count("*").alias("seen"), F.first("crossing").alias("crossing"),
         )
-    near = reduce(DataFrame.unionByName, taken) if taken else pairs.select(
-        "device", "l", "r", F.col("l_left").alias("n"), "gap_us", "distance_m"
+        .filter((F.col("seen") == 2) | ~F.col("crossing"))
+        .select(
+            *_EDGE, "l_left", "r_left", F.lit(False).alias("crossing"),
+            F.least("l_t", "r_t").alias("start"), F.greatest("l_t", "r_t").alias("end"),
+        )
+    )
+    second_pass = settle(
+        open_pairs.repartition("device")
+        .sortWithinPartitions("device", "start")
+        .mapInArrow(_swept, f"{_EDGE_TYPES}, n long")
+    )
+    near = first_pass.filter(F.col("n") > 0).select(*_EDGE, "n").unionByName(second_pass)
+    near = near.select(
+        "device", "n", F.abs(F.col("l_t") - F.col("r_t")).alias("gap_us"), "distance_m",
+        *[
+            F.struct(
+                "device", F.timestamp_micros(f"{side}_t").alias("servertime"),
+                F.col(f"{side}_lat").alias("latitude"), F.col(f"{side}_lon").alias("longitude"),
+            ).alias(side)
+            for side in ("l", "r")
+        ],
     )
     used = near.select(F.lit("left").alias("side"), F.col("l").alias("spot"), "n").unionByName(
         near.select(F.lit("right").alias("side"), F.col("r").alias("spot"), "n")

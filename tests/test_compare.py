@@ -93,8 +93,8 @@ def greedy(spark, left, right):
     return out
 
 
-@pytest.mark.parametrize("seed, lat", [(1, 40.0), (2, 0.0), (3, -89.5), (4, 70.0)])
-def test_matching_equals_greedy_over_all_pairs(spark, seed, lat):
+@pytest.mark.parametrize("seed, lat, seconds", [(1, 40.0, 600), (2, 0.0, 1), (3, -89.5, 2), (4, 70.0, 1)])
+def test_matching_equals_greedy_over_all_pairs(spark, seed, lat, seconds):
     rng = random.Random(seed)
     wide = 1 / max(math.cos(math.radians(lat)), 1e-3)
 
@@ -107,7 +107,7 @@ def test_matching_equals_greedy_over_all_pairs(spark, seed, lat):
 
     left, right = cloud(40), cloud(35)
     left += left[:5] * 3
-    pairs, remaining = compare.match_positions(frame(spark, left), frame(spark, right))
+    pairs, remaining = compare.match_positions(frame(spark, left), frame(spark, right), seconds)
     found = Counter()
     for r in pairs.collect():
         found[(r.device, round(r.gap_s, 6), round(r.distance_m, 6))] += r.n
@@ -164,20 +164,39 @@ def test_delimited_line(spark):
 
 
 def test_a_standing_device_half_a_second_late(spark, monkeypatch):
-    """Every report has two partners at the same gap and place; few rounds do."""
-    rounds = []
+    """Every report has two partners at the same gap and place; two passes do."""
+    written = []
     settle = compare.settle
-    monkeypatch.setattr(compare, "settle", lambda df: rounds.append(1) or settle(df))
+    monkeypatch.setattr(compare, "settle", lambda df: written.append(1) or settle(df))
     n = 250
     left = frame(spark, [("S", T0 + timedelta(seconds=k), 10.0, 20.0) for k in range(n)])
     right = frame(spark, [("S", T0 + timedelta(seconds=k + 0.5), 10.0, 20.0) for k in range(n)])
-    pairs, remaining = compare.match_positions(left, right)
+    pairs, remaining = compare.match_positions(left, right, 60)
     open_ = sorted((r.servertime, r.side) for r in remaining.collect() for _ in range(r.unmatched))
     # No two reports left over could have been matched.
     assert all((b[0] - a[0]).total_seconds() > 1 or a[1] == b[1] for a, b in zip(open_, open_[1:]))
     assert pairs.agg(F.sum("n")).first()[0] * 2 + len(open_) == 2 * n
     assert {(r.gap_s, r.distance_m) for r in pairs.collect()} == {(0.5, 0.0)}
-    assert len(rounds) <= 2 + 2 * 10
+    assert len(written) == 3
+
+
+@pytest.mark.parametrize("seconds", [600, 7])
+def test_chains_of_strictly_falling_gaps(spark, seconds):
+    """Each pair is better than the one before it, over many slices and for two
+    devices; only the last one of a chain can be taken at once."""
+    left, right = [], []
+    for device, first in (("A", 0), ("B", 40)):
+        at, gap = T0 + timedelta(seconds=first), 990_000
+        for k in range(90):
+            (left if k % 2 == 0 else right).append((device, at, 10.0, 20.0))
+            at += timedelta(microseconds=gap)
+            gap -= 10_000
+    left.append(left[-1])
+    pairs, remaining = compare.match_positions(frame(spark, left), frame(spark, right), seconds)
+    found = Counter()
+    for r in pairs.collect():
+        found[(r.device, round(r.gap_s, 6), round(r.distance_m, 6))] += r.n
+    assert found == greedy(spark, left, right)
 
 
 def test_both_sides_of_the_meridian_and_the_pole(spark):

@@ -99,91 +99,94 @@ def quality_summary(cot: DataFrame, params: ExportParams) -> DataFrame:
 # Exact percentiles without gathering a column in one task
 # ---------------------------------------------------------------------------
 
-# Each level splits a cell of the one before; the last is finer than the
-# spacing of doubles at map scale, so a final cell holds a handful of values.
-_LEVEL_SCALES = (1e2, 1e6, 1e10, 1e14)
-
-
-def _cell(level: int) -> Column:
-    return F.floor(F.col("v") * F.lit(_LEVEL_SCALES[level])).cast("bigint").alias(f"cell{level}")
+# A sketch's ranks are right to within one in so many rows; brackets reach over
+# twice that. What a bracket holds is put in order in so many cells.
+SKETCH_ACCURACY = 10_000
+BRACKET_CELLS = 4096
+
+
+def _sketch(value: Column, fractions: tuple[float, ...]) -> Column:
+    """How many values, and for every fraction two of them that bracket it."""
+    reach = 2 / SKETCH_ACCURACY
+    asked = [min(max(p + d, 0.0), 1.0) for p in fractions for d in (-reach, reach)]
+    return F.struct(
+        F.count(value).alias("n"), F.min(value).alias("least"), F.max(value).alias("most"),
+        F.percentile_approx(value, asked, SKETCH_ACCURACY).alias("brackets"),
+    )
 
 
-def _paths(level: int) -> list[str]:
-    return [f"cell{i}" for i in range(level + 1)]
+def _targets(series: str, sketch, fractions: tuple[float, ...]) -> list[tuple]:
+    """(series, p, position, lo, hi): where each fraction lies among n values,
+    and values that hold it between them."""
+    found = []
+    for k, p in enumerate(fractions):
+        position = (sketch["n"] - 1) * p
+        # At the ends a sketch has no room to err into.
+        near = (sketch["n"] + 1) * 2 / SKETCH_ACCURACY + 2
+        lo = sketch["least"] if position <= near else sketch["brackets"][2 * k]
+        hi = sketch["most"] if position >= sketch["n"] - 1 - near else sketch["brackets"][2 * k + 1]
+        found.append((series, float(p), float(position), float(lo), float(hi)))
+    return found
 
 
-def exact_percentiles(values: DataFrame, fractions: tuple[float, ...]) -> DataFrame:
-    """Interpolated percentiles of ``v`` per ``series``: (series, p, value).
+def _selected(values: DataFrame, targets: list[tuple]) -> DataFrame:
+    """(series, p, value): one scan of (series, v) that counts what lies below a
+    bracket and keeps, as counted values, what lies inside.
 
-    For a few series of degree-sized numbers, of any length. Rows are counted
-    per fixed-width cell, which combines map-side to a bounded number of cells;
-    the cells that hold a wanted rank (two per fraction and series) are then
-    looked into by finer and finer cells. No task and no driver
-    step ever holds a column. Locating the cells runs a narrow job for each level
-    when this is called; the result itself is lazy.
+    Inside values are counted in cells of their bracket, so neither a tie nor a
+    wide bracket gathers in one task. ``targets`` are a few rows of literals.
     """
-    spark = values.sparkSession
-    values = values.filter(F.col("v").isNotNull())
-    counts = values.groupBy("series", _cell(0)).agg(F.count("*").alias("in_cell"))
-    by_cell = Window.partitionBy("series").orderBy("cell0")
-    position = (F.col("total") - 1) * F.col("p")
-    located = (
-        counts.withColumn("upto", F.sum("in_cell").over(by_cell))
-        .withColumn("total", F.sum("in_cell").over(Window.partitionBy("series")))
-        .withColumn("p", F.explode(F.array(*[F.lit(float(p)) for p in fractions])))
-        .withColumn("position", position)
-        .withColumn("rank", F.explode(F.array(F.floor("position"), F.ceil("position"))))
-        .filter((F.col("rank") < F.col("upto")) & (F.col("rank") >= F.col("upto") - F.col("in_cell")))
-        .withColumn("below", F.col("upto") - F.col("in_cell"))
-        .select("series", "p", "position", "rank", "below", "in_cell", "cell0")
-        .distinct()
-    )
-    level = 0
-    # Two rows per fraction and series.
-    targets = spark.createDataFrame(located.collect(), located.schema)
-    while level + 1 < len(_LEVEL_SCALES):
-        level += 1
-        cells = (
-            _inside(values, targets, level - 1)
-            .groupBy("series", *_paths(level - 1), _cell(level))
-            .agg(F.count("*").alias("in_cell"))
-        )
-        located = _locate(cells, targets, level - 1, f"cell{level}", "in_cell").select(
-            "series", "p", "position", "rank",
-            (F.col("below") + F.col("upto") - F.col("in_cell")).alias("below"),
-            "in_cell", *_paths(level),
+    def of(target):
+        series, p, position, lo, hi = target
+        v, wide = F.col("v"), hi - lo
+        cell = F.floor((v - lo) / F.lit(wide if wide > 0 else 1.0) * (BRACKET_CELLS - 1)).cast("int")
+        return F.when(
+            (F.col("series") == series) & (v <= hi),
+            F.struct(
+                F.lit(series).alias("series"), F.lit(p).alias("p"), F.lit(position).alias("position"),
+                F.when(v < lo, F.lit(-1)).otherwise(cell).alias("cell"), F.when(v >= lo, v).alias("v"),
+            ),
         )
-        targets = spark.createDataFrame(located.collect(), located.schema)
 
-    equal_values = (
-        _inside(values, targets, level)
-        .groupBy("series", *_paths(level), "v")
+    goal = ["series", "p", "position"]
+    counted = (
+        values.filter(F.col("v").isNotNull())
+        .select(F.explode(F.array_compact(F.array(*[of(t) for t in targets]))).alias("x"))
+        .groupBy(*[F.col(f"x.{c}").alias(c) for c in (*goal, "cell", "v")])
         .agg(F.count("*").alias("n"))
     )
-    found = _locate(equal_values, targets.drop("in_cell"), level, "v", "n")
-    ends = found.groupBy("series", "p", "position").agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
-    weight = F.col("position") - F.floor("position")
-    return ends.select(
-        "series", "p", (F.col("lo") + (F.col("hi") - F.col("lo")) * weight).alias("value")
+    by_cell = Window.partitionBy(*goal).orderBy("cell")
+    cells = counted.groupBy(*goal, "cell").agg(F.sum("n").alias("in_cell"))
+    cells = cells.withColumn("before", F.sum("in_cell").over(by_cell) - F.col("in_cell"))
+    wanted = (
+        cells.withColumn("rank", F.explode(F.array(F.floor("position"), F.ceil("position"))))
+        .filter((F.col("rank") >= F.col("before")) & (F.col("rank") < F.col("before") + F.col("in_cell")))
+        .select(*goal, "cell", "before", "rank")
+        .distinct()
     )
+    in_cell = Window.partitionBy(*goal, "cell", "rank").orderBy("v")
+    found = (
+        counted.join(wanted, [*goal, "cell"])
+        .withColumn("upto", F.col("before") + F.sum("n").over(in_cell))
+        .filter((F.col("rank") < F.col("upto")) & (F.col("rank") >= F.col("upto") - F.col("n")))
+    )
+    weight = F.col("position") - F.floor("position")
+    ends = found.groupBy(*goal).agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
+    return ends.select("series", "p", (F.col("lo") + (F.col("hi") - F.col("lo")) * weight).alias("value"))
 
 
-def _inside(values: DataFrame, targets: DataFrame, level: int) -> DataFrame:
-    """The rows in a wanted cell; the wanted cells are a handful of rows."""
-    wanted = targets.select("series", *_paths(level)).distinct()
-    celled = values.select("series", "v", *[_cell(i) for i in range(level + 1)])
-    return celled.join(F.broadcast(wanted), ["series", *_paths(level)])
-
+def exact_percentiles(values: DataFrame, fractions: tuple[float, ...]) -> DataFrame:
+    """Interpolated percentiles of ``v`` per ``series``: (series, p, value).
 
-def _locate(counted: DataFrame, targets: DataFrame, level: int, key: str, n: str) -> DataFrame:
-    """Each target's rank placed among the counted keys of its cell."""
-    keys = ["series", *_paths(level)]
-    upto = counted.withColumn("upto", F.sum(n).over(Window.partitionBy(*keys).orderBy(key)))
-    goals = targets.drop("in_cell")
-    offset = F.col("rank") - F.col("below")
-    return upto.join(F.broadcast(goals), keys).filter(
-        (offset < F.col("upto")) & (offset >= F.col("upto") - F.col(n))
-    )
+    For a few series of any length. A quantile sketch, the one job that runs
+    while the plan is made, brackets every wanted rank; the plan then scans once
+    more and is exact.
+    """
+    sketches = values.groupBy("series").agg(_sketch(F.col("v"), fractions).alias("s")).collect()
+    targets = [t for r in sketches if r["s"]["n"] for t in _targets(r["series"], r["s"], fractions)]
+    if not targets:
+        return values.select("series", F.lit(0.0).alias("p"), F.col("v").alias("value")).limit(0)
+    return _selected(values, targets)
 
 
 def extent(cot: DataFrame, as_of: str) -> DataFrame:
@@ -199,19 +202,25 @@ def extent(cot: DataFrame, as_of: str) -> DataFrame:
         ("90 days", F.col("servertime") > now - F.expr("INTERVAL '90' DAY")),
         ("all data", F.lit(True)),
     )
+    fractions = (0.1, 0.5, 0.9)
+    axes = {"lat": "latitude", "lon": "longitude"}
     points = cot.filter(real_position())
-    narrowest = F.coalesce(*[F.when(test, F.lit(i)) for i, (_, test) in enumerate(windows)])
-    deciding = points.agg(F.min(narrowest)).first()[0]
-    basis, test = windows[deciding if deciding is not None else -1]
-    values = points.filter(test).select(
-        F.explode(
-            F.array(
-                F.struct(F.lit("lat").alias("series"), F.col("latitude").alias("v")),
-                F.struct(F.lit("lon").alias("series"), F.col("longitude").alias("v")),
-            )
-        ).alias("x")
-    )
-    quantiles = exact_percentiles(values.select("x.series", "x.v"), (0.1, 0.5, 0.9))
+    # One scan sketches all three windows; the first with a position decides.
+    sketches = points.agg(
+        *[
+            _sketch(F.when(test, F.col(column)), fractions).alias(f"{series}{k}")
+            for k, (_, test) in enumerate(windows)
+            for series, column in axes.items()
+        ]
+    ).first()
+    deciding = next((k for k in range(len(windows)) if sketches[f"lat{k}"]["n"]), None)
+    if deciding is None:
+        return cot.sparkSession.createDataFrame([], "south double, north double, west double, east double, basis string")
+    basis, test = windows[deciding]
+    series = F.array(*[F.struct(F.lit(s).alias("series"), F.col(c).alias("v")) for s, c in axes.items()])
+    values = points.filter(test).select(F.explode(series).alias("x")).select("x.series", "x.v")
+    targets = [t for s in axes for t in _targets(s, sketches[f"{s}{deciding}"], fractions)]
+    quantiles = _selected(values, targets)
     pick = lambda s, p: F.max(
         F.when((F.col("series") == s) & (F.col("p") == p), F.col("value"))
     )

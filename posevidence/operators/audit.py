@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import string
 import sys
 import zoneinfo
 from collections.abc import Iterator
@@ -10,21 +11,26 @@ from functools import reduce
 from operator import or_
 
 import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from posevidence.functions.canon import DELIVERED, chained_content, row_hash
 from posevidence.functions.text import guard_row
+from posevidence.materialize import new_folder, settle
+from posevidence.operators.sequences import carried
 from posevidence.operators.tracks import neighbour_in_slices
-from posevidence.materialize import settle
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 # Ids per slice when rows are put in id order.
 ID_SLICE = 100_000
 PAGE_SIZE = 25
+# Ranges of a page index; a page puts one of them in order.
+PAGE_RANGES = 64
 RECENT_IDENTITY_ROWS = 50
 
 # What is withheld from a hash lookup, the sortable columns, the
@@ -171,45 +177,74 @@ def parse_corrections(log: DataFrame) -> DataFrame:
     )
 
 
-def resolve_corrections(corrections: DataFrame) -> DataFrame:
+def resolve_corrections(corrections: DataFrame, id_slice: int = ID_SLICE) -> DataFrame:
     """(entry_id, case, effective): where each corrected entry or case now reads.
 
-    Later renames carry along what already points at the old name: every
-    start repeatedly takes the next rename of its current name.
+    Later renames carry along what already points at the old name, so a rename
+    is followed by the next rename of its new name. Successors are found by an
+    as-of merge in id slices. A slice follows its chains until they leave it;
+    what is left goes from slice to slice by pointer doubling, in as many rounds
+    as the number of slices that a chain meets has binary digits.
     """
-    renames = settle(corrections.filter(F.col("entry_id").isNull()).select("id", "old", "new"))
-    newest = F.max_by(F.struct("id", "new"), "id").alias("n")
-    start_entries = corrections.filter(F.col("entry_id").isNotNull()).groupBy("entry_id").agg(newest)
-    start_cases = renames.groupBy(F.col("old").alias("case")).agg(newest)
-    state = settle(
-        start_entries.unionByName(start_cases, allowMissingColumns=True).select(
-            "entry_id", "case", F.col("n.id").alias("at"), F.col("n.new").alias("effective")
-        )
-    )
-    while True:
-        # States and renames of one name in id order: each state takes the
-        # first rename after it. One pass, no pairs.
-        marks = state.select(
-            F.col("effective").alias("name"), F.col("at").alias("seq"), "entry_id", "case", F.lit(None).cast("string").alias("to")
-        ).unionByName(
-            renames.select(F.col("old").alias("name"), F.col("id").alias("seq"), F.col("new").alias("to")),
-            allowMissingColumns=True,
-        )
-        after = Window.partitionBy("name").orderBy("seq").rangeBetween(1, Window.unboundedFollowing)
-        step = F.first(F.when(F.col("to").isNotNull(), F.struct("seq", "to")), ignorenulls=True).over(after)
-        moved = marks.withColumn("step", step).filter(F.col("to").isNull())
-        state = settle(
-            moved.select(
-                "entry_id",
-                "case",
-                F.coalesce("step.seq", "seq").alias("at"),
-                F.coalesce("step.to", "name").alias("effective"),
-                F.col("step").isNotNull().alias("moved"),
-            )
-        )
-        if not state.filter("moved").limit(1).count():
-            return state.select("entry_id", "case", "effective")
-        state = state.drop("moved")
+    corrections = settle(corrections)
+    renames = corrections.filter(F.col("entry_id").isNull()).select("id", "old", "new")
+    entries = (
+        corrections.filter(F.col("entry_id").isNotNull())
+        .groupBy("entry_id")
+        .agg(F.max(F.struct("id", "new")).alias("n"))
+        .select("entry_id", "n.id", "n.new")
+    )
+    # A rename stands before what asks at its own id, so it does not follow itself.
+    marks = renames.select(
+        F.col("old").alias("name"), "id", F.lit(0).alias("asks"), F.col("id").alias("target")
+    ).unionByName(
+        renames.select(F.lit(None).cast("bigint").alias("entry_id"), "id", "new")
+        .unionByName(entries)
+        .select("entry_id", F.col("new").alias("name"), "id", F.lit(1).alias("asks")),
+        allowMissingColumns=True,
+    ).withColumn("slice", F.floor(F.col("id") / F.lit(id_slice)))
+    followed = carried(marks, ["name"], "slice", ["id", "asks"], "target", "next", ahead=True)
+    followed = settle(
+        followed.filter("asks = 1")
+        .select("entry_id", "id", "name", "next", "slice")
+        .groupBy("slice")
+        .applyInArrow(_ends_in_slice, "entry_id long, id long, name string, next long")
+    )
+    ends = _chain_ends(followed.filter(F.col("entry_id").isNull()).select("id", "name", "next"))
+    ends = ends.select(F.col("id").alias("at"), F.col("name").alias("end"))
+    by_entry = (
+        followed.filter(F.col("entry_id").isNotNull())
+        .join(ends, F.col("next") == F.col("at"), "left")
+        .select("entry_id", F.lit(None).cast("string").alias("case"), F.coalesce("end", "name").alias("effective"))
+    )
+    newest = renames.groupBy(F.col("old").alias("case")).agg(F.max("id").alias("id"))
+    by_case = newest.join(ends, F.col("id") == F.col("at")).select(
+        F.lit(None).cast("bigint").alias("entry_id"), "case", F.col("end").alias("effective")
+    )
+    return by_entry.unionByName(by_case)
+
+
+def _ends_in_slice(table: pa.Table) -> pa.Table:
+    """Each row with the name and next rename where its chain leaves the slice;
+    a next one always has a larger id."""
+    rows = sorted(table.to_pylist(), key=lambda r: (r["id"], r["entry_id"] is None), reverse=True)
+    reached = {}
+    for row in rows:
+        row["name"], row["next"] = reached.get(row["next"], (row["name"], row["next"]))
+        if row["entry_id"] is None:
+            reached[row["id"]] = row["name"], row["next"]
+    schema = pa.schema([("entry_id", pa.int64()), ("id", pa.int64()), ("name", pa.string()), ("next", pa.int64())])
+    return pa.Table.from_pylist(rows, schema=schema)
+
+
+def _chain_ends(links: DataFrame) -> DataFrame:
+    """(id, name, next) with the name at the end of each link's chain; every
+    round doubles how far a link has come, until none has a next one."""
+    while not links.filter(F.col("next").isNotNull()).isEmpty():
+        ahead = links.select(F.col("id").alias("__id"), F.col("name").alias("__name"), F.col("next").alias("__next"))
+        moved = links.join(ahead, F.col("next") == F.col("__id"), "left")
+        links = settle(moved.select("id", F.coalesce("__name", "name").alias("name"), F.col("__next").alias("next")))
+    return links
 
 
 def with_effective_case(log: DataFrame, resolved: DataFrame) -> DataFrame:
@@ -242,18 +277,63 @@ def audit_search(effective: DataFrame, text: str) -> DataFrame:
     text = text.strip()
     if not text:
         return effective
-    sought = F.lit(text.lower())
+    # Letters A to Z match in either case, all others as they are written.
+    folded = lambda c: F.translate(c, string.ascii_uppercase, string.ascii_lowercase)
+    sought = folded(F.lit(text))
     fields = ("effective_case_id", "case_id", "actor", "requested_for")
     return effective.filter(
-        reduce(or_, (F.coalesce(F.lower(f).contains(sought), F.lit(False)) for f in fields))
+        reduce(or_, (F.coalesce(folded(F.col(f)).contains(sought), F.lit(False)) for f in fields))
     )
 
 
-def audit_page(rows: DataFrame, page: int = 1, sort: str = "", direction: str = "desc") -> DataFrame:
-    """One page of the log; an unknown sort key falls back to the id."""
+class PageIndex:
+    """Rows dealt into ranges of their order, and how many each range holds.
+
+    A page is found by the counts and read from the range or two it lies in;
+    only that range is put in order, whichever page it is. The index is a
+    written table and serves all pages.
+    """
+
+    def __init__(self, rows: DataFrame, order: list[Column], ranges: int = PAGE_RANGES, size: int = PAGE_SIZE):
+        self._order, self._size, self._columns = order, size, rows.columns
+        spark = rows.sparkSession
+        folder = new_folder(spark, "page-index")
+        dealt = rows.repartitionByRange(ranges, *order).withColumn("__range", F.spark_partition_id())
+        dealt.write.partitionBy("__range").parquet(folder)
+        schema = T.StructType([*rows.schema.fields, T.StructField("__range", T.IntegerType())])
+        self._rows = spark.read.schema(schema).parquet(folder)
+        # One count for each range.
+        counts = dict(self._rows.groupBy("__range").count().collect())
+        self._counts = [counts.get(k, 0) for k in range(ranges)]
+        self.total = sum(self._counts)
+
+    def ranges_of(self, page: int) -> tuple[list[int], int]:
+        """The ranges that a page lies in, and its offset in the first of them."""
+        first = (max(page, 1) - 1) * self._size
+        before, found, offset = 0, [], 0
+        for k, n in enumerate(self._counts):
+            if n and before < first + self._size and before + n > first:
+                if not found:
+                    offset = first - before
+                found.append(k)
+            before += n
+        return found, offset
+
+    def page(self, page: int) -> DataFrame:
+        found, offset = self.ranges_of(page)
+        rows = self._rows.filter(F.col("__range").isin(found)).drop("__range")
+        return rows.orderBy(*self._order).offset(offset).limit(self._size)
+
+
+def page_order(sort: str = "", direction: str = "desc") -> list[Column]:
+    """The order of a listing; an unknown sort key falls back to the id."""
     column = F.col(SORT_COLUMNS.get(sort, "id"))
-    key = column.asc() if direction == "asc" else column.desc()
-    return rows.orderBy(key, F.desc("id")).offset((max(page, 1) - 1) * PAGE_SIZE).limit(PAGE_SIZE)
+    return [column.asc() if direction == "asc" else column.desc(), F.desc("id")]
+
+
+def audit_page(rows: DataFrame, page: int = 1, sort: str = "", direction: str = "desc") -> DataFrame:
+    """One page of the log. To turn pages keep a ``PageIndex``."""
+    return PageIndex(rows, page_order(sort, direction)).page(page)
 
 
 def page_count(rows: DataFrame) -> DataFrame:
@@ -285,7 +365,7 @@ def cases(effective: DataFrame) -> DataFrame:
 
 def case_page(effective: DataFrame, page: int = 1) -> DataFrame:
     """A page of cases, newest activity first."""
-    return cases(effective).orderBy(F.desc("last_id")).offset((max(page, 1) - 1) * PAGE_SIZE).limit(PAGE_SIZE)
+    return PageIndex(cases(effective), [F.desc("last_id"), F.asc("effective_case_id")]).page(page)
 
 
 def case_page_entries(effective: DataFrame, page: int = 1) -> DataFrame:

@@ -10,6 +10,8 @@ from __future__ import annotations
 
 import sys
 from collections.abc import Iterator
+from functools import reduce
+from operator import or_
 
 import numpy as np
 import pyarrow as pa
@@ -162,79 +164,95 @@ _EDGE_TYPES = (
 )
 
 
-class _Edges:
-    """Pairs of spots as columns, in the order in which they are chosen."""
+# Pairs that a task works on at a time, and more only where one group has more.
+_HELD_PAIRS = 50_000
 
-    def __init__(self, table: pa.Table):
-        columns = {c: table[c].to_numpy() for c in table.column_names if c != "device"}
-        order = np.lexsort([columns[c] for c in reversed(["gap", "distance", "digest", *_EDGE[1:7]])])
-        self.table = table.take(pa.array(order))
-        self.columns = {c: v[order] for c, v in columns.items()}
 
-    def ends(self, side: str) -> tuple[list, list]:
-        """A number for each pair's spot, and what is left of every spot."""
-        spot = np.rec.fromarrays([self.columns[f"{side}_{c}"] for c in ("t", "lat", "lon")])
-        _, first, number = np.unique(spot, return_index=True, return_inverse=True)
-        return number.tolist(), self.columns[f"{side}_left"][first].tolist()
-
-
-def _settle_pairs(table: pa.Table) -> tuple[pa.Table, list[int], list[int], list[int]]:
-    """Take pairs in order while all that matters is known: (pairs in order,
-    matches of each, what is left of both ends in the end). -1 matches: open,
-    for the pair reaches out of the slice, or a better pair of an end is open."""
-    edges = _Edges(table)
-    (l_of, l_left), (r_of, r_left) = edges.ends("l"), edges.ends("r")
+def _settle_pairs(table: pa.Table) -> pa.Table:
+    """Take pairs in order while all that matters is known: the pairs taken,
+    with their ``n`` matches, and those that stay open, with -1 and with what is
+    left of their ends. Open is a pair that reaches out of its slice, or one with
+    an end of a better pair that is open. Slices and devices know nothing of each
+    other, so many of them go in one call.
+    """
+    columns = {c: table[c].to_numpy() for c in table.column_names if c != "device"}
+    columns["device"] = pc.index_in(table["device"], pc.unique(table["device"])).to_numpy()
+    order = np.lexsort([columns[c] for c in reversed(["gap", "distance", "digest", *_EDGE[1:7]])])
+    columns = {c: v[order] for c, v in columns.items()}
+
+    def ends(side):
+        names = ["device", "slice", f"{side}_t", f"{side}_lat", f"{side}_lon"]
+        spots = np.lexsort([columns[c] for c in names])
+        new = reduce(or_, (columns[c][spots][1:] != columns[c][spots][:-1] for c in names))
+        number = np.empty(len(spots), np.int64)
+        number[spots] = np.cumsum(np.r_[0, new])
+        left = np.zeros(number.max(initial=-1) + 1, np.int64)
+        left[number] = columns[f"{side}_left"]
+        return number.tolist(), left.tolist()
+
+    (l_of, l_left), (r_of, r_left) = ends("l"), ends("r")
     l_open, r_open = [False] * len(l_left), [False] * len(r_left)
-    crossing = edges.columns["crossing"].tolist()
     n = [0] * len(l_of)
-    for e, (i, j) in enumerate(zip(l_of, r_of)):
+    for e, (i, j, crosses) in enumerate(zip(l_of, r_of, columns["crossing"].tolist())):
         if not l_left[i] or not r_left[j]:
             continue
-        if crossing[e] or l_open[i] or r_open[j]:
+        if crosses or l_open[i] or r_open[j]:
             l_open[i] = r_open[j] = True
             n[e] = -1
             continue
         n[e] = taken = min(l_left[i], r_left[j])
         l_left[i] -= taken
         r_left[j] -= taken
-    return edges.table, n, [l_left[i] for i in l_of], [r_left[j] for j in r_of]
+    found = table.take(pa.array(order))
+    for name, values in (("l_left", [l_left[i] for i in l_of]), ("r_left", [r_left[j] for j in r_of]), ("n", n)):
+        values = pa.array(values, pa.int64())
+        at = found.schema.get_field_index(name)
+        found = found.append_column(name, values) if at < 0 else found.set_column(at, name, values)
+    return found.filter(pc.not_equal(found["n"], 0))
 
 
-def _settled_slice(table: pa.Table) -> pa.Table:
-    """The pairs of one (device, slice) that are taken or still open."""
-    ordered, n, l_left, r_left = _settle_pairs(table)
-    found = ordered.select(_EDGE)
-    for name, values in (("l_left", l_left), ("r_left", r_left), ("n", n)):
-        found = found.append_column(name, pa.array(values, pa.int64()))
-    found = found.append_column("crossing", ordered["crossing"])
-    return found.filter(pc.not_equal(found["n"], 0))
+def _slice_starts(table: pa.Table) -> list[int]:
+    """Where a new slice begins, in rows that come by device and slice."""
+    device = pc.index_in(table["device"], pc.unique(table["device"])).to_numpy()
+    slices = table["slice"].to_numpy()
+    return (np.flatnonzero((device[1:] != device[:-1]) | (slices[1:] != slices[:-1])) + 1).tolist()
+
+
+def _gap_starts(table: pa.Table) -> list[int]:
+    """Where nothing before shares a moment with what follows, by device and
+    time; pairs that share no moment share no spot."""
+    devices, found, end = table["device"].to_pylist(), [], None
+    for k, (start, last) in enumerate(zip(table["start"].to_pylist(), table["end"].to_pylist())):
+        if k and (devices[k] != devices[k - 1] or start > end):
+            found.append(k)
+            end = last
+        end = last if end is None else max(end, last)
+    return found
+
+
+def _settled_runs(starts, columns: list[str]):
+    """Settle rows in order, many groups at a time, none of them cut apart."""
+
+    def settled(table):
+        return _settle_pairs(table).select(columns).to_batches()
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, rows = [], 0
+        for batch in batches:
+            held.append(batch)
+            rows += batch.num_rows
+            if rows < _HELD_PAIRS:
+                continue
+            table = pa.Table.from_batches(held)
+            found = starts(table)
+            if found:
+                yield from settled(table.slice(0, found[-1]))
+                table = table.slice(found[-1])
+            held, rows = table.to_batches(), table.num_rows if found else 0
+        if held:
+            yield from settled(pa.Table.from_batches(held))
 
-def _swept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Settle open pairs that come by device and time. Pairs that share no
-    moment share no spot, so only what touches is held together."""
-    def settled(held):
-        ordered, n, _, _ = _settle_pairs(pa.Table.from_batches(held))
-        found = ordered.select(_EDGE).append_column("n", pa.array(n, pa.int64()))
-        yield from found.filter(pc.greater(found["n"], 0)).to_batches()
-
-    held, device, end = [], None, 0
-    for batch in batches:
-        devices = batch.column("device").to_pylist()
-        starts, ends = batch.column("start").to_numpy(), batch.column("end").to_numpy()
-        first = 0
-        for k in range(batch.num_rows):
-            if devices[k] != device or starts[k] > end:
-                if k > first:
-                    held.append(batch.slice(first, k - first))
-                if held:
-                    yield from settled(held)
-                held, first, device, end = [], k, devices[k], ends[k]
-            else:
-                end = max(end, ends[k])
-        held.append(batch.slice(first))
-    if held:
-        yield from settled(held)
+    return run
 
 
 def _end(side: str) -> list[tuple[str, Column]]:
@@ -308,9 +326,11 @@ def match_positions(left: DataFrame, right: DataFrame, slice_seconds: int = MATC
     first_pass = settle(
         pairs.withColumn("crossing", slices[0] != slices[1])
         .withColumn("slice", F.explode(F.array_distinct(F.array(*slices))))
-        .groupBy("device", "slice")
-        .applyInArrow(
-            _settled_slice, f"{_EDGE_TYPES}, l_left long, r_left long, n long, crossing boolean"
+        .repartition("device", "slice")
+        .sortWithinPartitions("device", "slice")
+        .mapInArrow(
+            _settled_runs(_slice_starts, [*_EDGE, "l_left", "r_left", "n", "crossing"]),
+            f"{_EDGE_TYPES}, l_left long, r_left long, n long, crossing boolean",
         )
     )
     # A pair across a border is open only if both slices say so.
@@ -323,14 +343,14 @@ def match_positions(left: DataFrame, right: DataFrame, slice_seconds: int = MATC
         )
         .filter((F.col("seen") == 2) | ~F.col("crossing"))
         .select(
-            *_EDGE, "l_left", "r_left", F.lit(False).alias("crossing"),
+            *_EDGE, "l_left", "r_left", F.lit(False).alias("crossing"), F.lit(0).alias("slice"),
             F.least("l_t", "r_t").alias("start"), F.greatest("l_t", "r_t").alias("end"),
         )
     )
     second_pass = settle(
         open_pairs.repartition("device")
         .sortWithinPartitions("device", "start")
-        .mapInArrow(_swept, f"{_EDGE_TYPES}, n long")
+        .mapInArrow(_settled_runs(_gap_starts, [*_EDGE, "n"]), f"{_EDGE_TYPES}, n long")
     )
     near = first_pass.filter(F.col("n") > 0).select(*_EDGE, "n").unionByName(second_pass)
     near = near.select(

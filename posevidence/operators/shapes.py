@@ -13,11 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from posevidence.functions import classify, geometry
-from posevidence.operators.tracks import (
-    neighbour_in_slices,
-    number_in_slices,
-    time_slice,
-)
+from posevidence.operators.sequences import carried, placed
+from posevidence.operators.tracks import time_slice
 from posevidence.params import NOT_RECORDED, Box
 
 # The blob reader travels inside the job, so workers need no copy of the package.
@@ -358,42 +355,49 @@ def version_validity(versions: DataFrame, deletions: DataFrame) -> DataFrame:
     ``versions`` are parsed; points are not drawn and take no place in the count.
     """
     drawn = versions.filter(F.col("geom.kind").isNotNull() & (F.col("geom.kind") != "point"))
-    sliced = drawn.withColumn("__slice", time_slice("servertime", 86400))
-    order = ["servertime", "id"]
-    follow = neighbour_in_slices(
-        sliced, ["uid"], "__slice", order, ["servertime"], prefix="next_", ahead=True
+    # An object without a name is one object too.
+    sliced = drawn.withColumns(
+        {"__slice": time_slice("servertime", 86400), "__uid": F.coalesce("uid", F.lit("")), "__named": F.col("uid").isNotNull()}
     )
-    numbered = number_in_slices(follow, ["uid"], "__slice", order, "version_no", "version_count")
+    numbered = placed(sliced, ["__uid", "__named"], "__slice", ["servertime", "id"], ["servertime"])
     return (
         numbered.join(first_deletions(deletions).select("uid", "deleted_at"), "uid", "left")
+        .withColumnsRenamed({"place": "version_no", "total": "version_count"})
         .withColumn("valid_from", F.col("servertime"))
         .withColumn(
             "valid_to", F.when(F.col("next_row"), F.col("next_servertime")).otherwise(F.col("deleted_at"))
         )
-        .drop("__slice", "next_row", "next_servertime")
+        .drop("__slice", "__uid", "__named", "next_row", "next_servertime")
     )
 
 
-def current_at(validity: DataFrame, moments: DataFrame, until: str) -> DataFrame:
+def current_at(validity: DataFrame, moments: DataFrame) -> DataFrame:
     """The version of each asked-for object that was current at each moment.
 
-    ``moments`` holds (uid, at), none later than ``until``. Versions and moments
-    meet on the uid and on the days a version spans, so that one busy object is
-    spread over days.
+    ``moments`` holds (uid, at) and more. Versions and moments are put in one
+    sequence of each object, and the last version before a moment is carried to
+    it; it answers unless it had ended by then. No row is copied.
     """
-    first = F.to_date("valid_from")
-    last = F.least(F.coalesce(F.to_date("valid_to"), F.lit(until).cast("date")), F.lit(until).cast("date"))
-    spread = validity.filter(first <= F.lit(until).cast("date")).withColumn(
-        "__day", F.explode(F.sequence(first, F.greatest(first, last)))
+    columns = [c for c in validity.columns if c != "uid"]
+    asked = [c for c in moments.columns if c not in ("uid", "at")]
+    both = validity.filter(F.col("uid").isNotNull() & F.col("valid_from").isNotNull()).select(
+        "uid", F.col("valid_from").alias("at"), F.lit(0).alias("__kind"), F.struct(*columns).alias("__version")
+    ).unionByName(
+        moments.filter(F.col("uid").isNotNull() & F.col("at").isNotNull()).select(
+            "uid", "at", F.lit(1).alias("__kind"), F.struct(F.lit(1).alias("__"), *asked).alias("__asked")
+        ),
+        allowMissingColumns=True,
     )
-    asked = moments.withColumn("__day", F.to_date("at"))
+    # Of versions of one moment the one that goes on is the last to end.
+    open_end = F.coalesce(F.unix_micros("__version.valid_to"), F.lit((1 << 63) - 1))
+    both = both.withColumns({"__slice": time_slice("at", 86400), "__until": F.when(F.col("__kind") == 0, open_end)})
+    found = carried(both, ["uid"], "__slice", ["at", "__kind", "__until"], "__version", "__current")
+    version = F.col("__current")
     return (
-        asked.join(spread, ["uid", "__day"])
-        .filter(
-            (F.col("valid_from") <= F.col("at"))
-            & (F.col("valid_to").isNull() | (F.col("at") < F.col("valid_to")))
-        )
-        .drop("__day")
+        found.filter(F.col("__kind") == 1)
+        .filter(version["valid_to"].isNull() | (F.col("at") < version["valid_to"]))
+        .filter(version.isNotNull())
+        .select("uid", "at", *[F.col("__asked")[c].alias(c) for c in asked], *[version[c].alias(c) for c in columns])
     )
 
 

@@ -116,10 +116,13 @@ def effective_case(t):
     return audit.effective_log(t["export_log"]).select("id", "case_id", "effective_case_id")
 
 
-_FOUND = f"""
-found AS (SELECT * FROM effective WHERE contains(lower(effective_case_id), '{SEARCHED.lower()}')
-  OR contains(lower(case_id), '{SEARCHED.lower()}') OR contains(lower(actor), '{SEARCHED.lower()}')
-  OR contains(lower(requested_for), '{SEARCHED.lower()}'))"""
+def _folded(column: str) -> str:
+    return f"translate({column}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+_FOUND = "found AS (SELECT * FROM effective WHERE " + " OR ".join(
+    f"contains({_folded(c)}, {_folded(repr(SEARCHED))})" for c in ("effective_case_id", "case_id", "actor", "requested_for")
+) + ")"
 
 
 @registered(

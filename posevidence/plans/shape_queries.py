@@ -318,7 +318,7 @@ def shapes_current_at(t):
     valid = shapes.version_validity(_parsed_once(t), _deletions(t)).select(
         "uid", F.col("id").alias("version_id"), "version_no", "valid_from", "valid_to"
     )
-    return shapes.current_at(valid, moments, P.end).drop("valid_from", "valid_to")
+    return shapes.current_at(valid, moments).drop("valid_from", "valid_to")
 
 
 @registered(

@@ -1,3 +1,5 @@
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -166,3 +168,49 @@ def test_identity_check(spark):
     assert audit.identity_check("cluster 7", recent).first().status == "ok"
     assert audit.identity_check("catalog 7", recent).first().status == "warn"
     assert audit.identity_check("anything", recent.filter("last_id < 0")).first().status == "ok"
+
+
+def renamed(spark, links):
+    """Corrections as (id, entry_id, old, new)."""
+    return spark.createDataFrame(links, "id long, entry_id long, old string, new string")
+
+
+def test_a_long_chain_of_renames_takes_few_rounds(spark, monkeypatch):
+    rounds = []
+    settle = audit.settle
+    monkeypatch.setattr(audit, "settle", lambda df: rounds.append(1) or settle(df))
+    n = 20_000
+    links = [(k, None, f"n{k}", f"n{k + 1}") for k in range(1, n + 1)] + [(n + 1, 7, "x", "n5"), (n + 2, 8, "x", "other")]
+    found = audit.resolve_corrections(renamed(spark, links), id_slice=10).collect()
+    assert {(r.entry_id, r.case): r.effective for r in found} == {(None, f"n{k}"): f"n{n + 1}" for k in range(1, n + 1)} | {(7, None): "n5", (8, None): "other"}
+    assert len(rounds) <= 2 + 16
+
+
+@pytest.mark.parametrize("id_slice", [1000, 3])
+def test_one_name_renamed_again_and_again(spark, id_slice):
+    """Every second rename leaves one hot name, which many others lead to."""
+    links, names = [], {}
+    for k in range(1, 301):
+        old, new = ("hot", f"c{k}") if k % 10 == 0 else (f"a{k % 23}", "hot") if k % 2 else (f"c{k - 8}", "hot")
+        links.append((k, None, old, new))
+        names = {case: new if name == old else name for case, name in names.items()} | {old: new}
+    found = audit.resolve_corrections(renamed(spark, links), id_slice=id_slice).collect()
+    assert {r.case: r.effective for r in found} == names
+
+
+def test_a_page_is_read_from_its_range(spark):
+    rows = spark.range(40_000).select(
+        F.col("id"), F.when(F.col("id") % 3 > 0, F.col("id") % 7).alias("record_count"), F.lit("x").alias("pad")
+    )
+    for sort, direction in (("records", "asc"), ("records", "desc"), ("", "desc")):
+        order = audit.page_order(sort, direction)
+        index = audit.PageIndex(rows, order, ranges=16)
+        assert index.total == 40_000
+        everything = [r.id for r in rows.orderBy(*order).collect()]
+        for page in (1, 2, 777, 1599, 1600, 1601):
+            assert [r.id for r in index.page(page).collect()] == everything[(page - 1) * 25 : page * 25]
+            assert len(index.ranges_of(page)[0]) <= 2
+        plan = index.page(1234)._jdf.queryExecution().executedPlan().toString()
+        # Only the page's range is read, and no other is put in order.
+        assert re.search(r"PartitionFilters: \[[^\]]*__range#\d+ (IN|=)", plan), plan
+    assert audit.PageIndex(rows.limit(0), audit.page_order()).page(1).count() == 0

@@ -59,7 +59,7 @@ def _with_log(log: DataFrame) -> DataFrame:
     return log if "log_id" in log.columns else log.withColumn("log_id", F.lit(""))
 
 
-def verify_chain(log: DataFrame) -> DataFrame:
+def verify_chain(log: DataFrame, id_slice: int = ID_SLICE) -> DataFrame:
     """One row per log: whether its chain holds, and where it first breaks.
 
     Row hashes are recomputed where the rows are. The link test compares each
@@ -72,7 +72,7 @@ def verify_chain(log: DataFrame) -> DataFrame:
         "log_id", "id", "prev_hash", "row_hash", row_hash(log, F.col("prev_hash")).alias("__own")
     )
     chained = hashed.filter(F.col("row_hash").isNotNull()).withColumn(
-        "__slice", F.floor(F.col("id") / F.lit(ID_SLICE))
+        "__slice", F.floor(F.col("id") / F.lit(id_slice))
     )
     linked = neighbour_in_slices(chained, ["log_id"], "__slice", ["id"], ["row_hash"])
     expected = F.coalesce("prev_row_hash", F.lit(""))
@@ -415,25 +415,31 @@ def explode_clauses(log: DataFrame) -> DataFrame:
     )
 
 
-def package_files(log: DataFrame) -> DataFrame:
-    """(id, package_sha256, sha256, name) of each file a row lists; bad hashes go."""
+def _listed_files(log: DataFrame) -> DataFrame:
+    """(id, package_sha256, position, sha256, name) as a row lists them."""
     listed = log.select(
-        "id", "package_sha256", F.explode(F.split(clause(F.col("detail"), "package files"), ", ")).alias("item")
+        "id", "package_sha256", F.posexplode(F.split(clause(F.col("detail"), "package files"), ", ")).alias("position", "item")
     )
     parts = F.split(F.trim("item"), " ", 2)
     return listed.select(
-        "id", "package_sha256", F.get(parts, 0).alias("sha256"), F.get(parts, 1).alias("name")
-    ).filter(F.col("name").isNotNull() & F.col("sha256").rlike(SHA256_TEXT))
+        "id", "package_sha256", "position", F.get(parts, 0).alias("sha256"), F.get(parts, 1).alias("name")
+    ).filter(F.col("name").isNotNull())
+
+
+def package_files(log: DataFrame) -> DataFrame:
+    """(id, package_sha256, sha256, name) of each file a row lists; bad hashes go."""
+    return _listed_files(log).filter(F.col("sha256").rlike(SHA256_TEXT)).drop("position")
 
 
 def script_hash_check(scripts: DataFrame, log: DataFrame) -> DataFrame:
     """Each kept script's hash against the one its newest export row recorded."""
     exports = newest_per_package(log, EXPORT_KINDS)
-    recorded = package_files(exports).select(
-        "package_sha256", F.col("name").alias("__name"), F.col("sha256").alias("recorded_sha256")
+    # The first of equal names in a row's list counts, whatever it gives as hash.
+    recorded = (
+        _listed_files(exports)
+        .groupBy("package_sha256", F.col("name").alias("__name"))
+        .agg(F.min_by("sha256", "position").alias("recorded_sha256"))
     )
-    # The first of equal names in a row's list counts.
-    recorded = recorded.groupBy("package_sha256", "__name").agg(F.min("recorded_sha256").alias("recorded_sha256"))
     kept = scripts.select(
         "package_sha256",
         "case_prefix",

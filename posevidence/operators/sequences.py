@@ -17,9 +17,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
-def _with_summaries(marked: DataFrame, summaries: DataFrame, keys: list[str], slice_column: str) -> DataFrame:
+def with_summaries(marked: DataFrame, summaries: DataFrame, on: list[str]) -> DataFrame:
     """Rows beside their slice's summary, on the partitioning they have."""
-    on = [*keys, slice_column]
     renamed = summaries.withColumnsRenamed({c: f"__on{i}" for i, c in enumerate(on)})
     return marked.join(renamed, reduce(and_, (F.col(c) == F.col(f"__on{i}") for i, c in enumerate(on))))
 
@@ -39,7 +38,7 @@ def carried(
     by_slice = Window.partitionBy(*keys).orderBy(F.desc(slice_column) if ahead else F.asc(slice_column))
     earlier = by_slice.rowsBetween(Window.unboundedPreceding, -1)
     summaries = of_slice.select(*keys, slice_column, F.last("__edge", ignorenulls=True).over(earlier).alias("__far"))
-    return _with_summaries(marked, summaries, keys, slice_column).select(
+    return with_summaries(marked, summaries, [*keys, slice_column]).select(
         *[F.col(f"`{c}`") for c in rows.columns], F.coalesce("__near", "__far").alias(name)
     )
 
@@ -63,7 +62,7 @@ def placed(rows: DataFrame, keys: list[str], slice_column: str, order: list[str]
         F.lead("__edge").over(by_slice).alias("__far"),
     )
     after = F.coalesce("__near", "__far")
-    return _with_summaries(marked, summaries, keys, slice_column).select(
+    return with_summaries(marked, summaries, [*keys, slice_column]).select(
         *[F.col(f"`{c}`") for c in rows.columns],
         (F.col("__before") + F.col("__place")).alias("place"),
         F.col("__total").alias("total"),

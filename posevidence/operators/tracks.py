@@ -1,9 +1,10 @@
 """Tracks: per-device sequences broken where reporting stopped.
 
-A device may hold a large share of all rows, so no window here spans a whole
-device. Rows are ordered inside (device, hour) slices; what crosses a slice
-boundary is carried by one summary row per slice, and only those summaries are
-ordered per device.
+A device may hold a large share of all rows, so none of its rows are put in order
+to find its segments. Rows that share a cell of time no wider than the gap never
+lie in different segments; cells, counted where the rows are, are numbered per
+device, and one row for each slice of time brings the numbers back. Fact rows
+are exchanged once, by (device, slice).
 """
 
 from __future__ import annotations
@@ -18,23 +19,93 @@ from pyspark.sql.window import Window
 from posevidence.functions import classify
 from posevidence.functions.text import detail_attribute
 from posevidence.operators.results import matching_positions
+from posevidence.operators.sequences import with_summaries
 from posevidence.params import GAP_SECONDS, ExportParams
 
 SLICE_SECONDS = 3600
 # The most points one path row carries; a longer segment continues in the next.
 PIECE_POINTS = 5000
 
+# Rows without a time are dealt out by id, so many ids to a slice.
+UNTIMED_ROWS = 100_000
+
 _NO_TIME = -(2**62)
 
 
-def time_slice(time: str, seconds: int = SLICE_SECONDS) -> Column:
-    """The slice a row falls in; rows without a time share one, before all others."""
-    return F.coalesce(
-        F.floor(F.unix_micros(F.col(time)) / F.lit(seconds * 1_000_000)).cast("bigint"),
-        F.lit(_NO_TIME),
+def time_slice(time: str, seconds: int = SLICE_SECONDS, tie: str | None = None) -> Column:
+    """The slice a row falls in. Rows without a time come before all others, in
+    one slice or, with ``tie``, in as many as their ids fill."""
+    untimed = F.lit(_NO_TIME)
+    if tie is not None:
+        untimed += _whole(F.col(tie), UNTIMED_ROWS)
+    return F.coalesce(_whole(F.unix_micros(F.col(time)), seconds * 1_000_000), untimed)
+
+
+def _whole(value: Column, width: int) -> Column:
+    """floor(value / width) of whole numbers, exactly."""
+    return F.call_function("div", value - F.pmod(value, F.lit(width)), F.lit(width))
+
+
+def _sliced(points: DataFrame, gap_seconds: int, device: str, time: str, tie: str, slice_seconds: int) -> DataFrame:
+    cell = _whole(F.unix_micros(F.col(time)), max(gap_seconds * 1_000_000, 1))
+    return points.withColumns(
+        {
+            # A device without a name is one device; plain keys keep a partitioning.
+            "__key": F.coalesce(F.col(device).cast("string"), F.lit("")),
+            "__named": F.col(device).isNotNull(),
+            "__slice": time_slice(time, slice_seconds, tie),
+            "__cell": F.coalesce(cell, F.lit(0).cast("bigint")),
+        }
     )
 
 
+_SLICE = ["__key", "__named", "__slice"]
+
+
+def _segments_of_slices(sliced: DataFrame, gap_seconds: int, time: str) -> DataFrame:
+    """One row per (device, slice): for each of its cells the segment, which is
+    numbered, sized and timed as a whole, and the pieces before the slice's own.
+
+    A device has one cell for each gap of time in which it reported, whatever
+    it reported in it.
+    """
+    gap = F.lit(gap_seconds * 1_000_000)
+    cells = sliced.groupBy(*_SLICE, "__cell").agg(
+        F.min(time).alias("__first"), F.max(time).alias("__last"), F.count("*").alias("__n")
+    )
+    device = Window.partitionBy("__key", "__named")
+    in_order = device.orderBy("__slice", "__cell")
+    silence = F.unix_micros("__first") - F.unix_micros(F.lag("__last").over(in_order))
+    cells = cells.withColumn("__break", F.coalesce((silence > gap).cast("int"), F.lit(0)))
+    so_far = in_order.rowsBetween(Window.unboundedPreceding, 0)
+    cells = cells.withColumn("seg_no", (F.sum("__break").over(so_far) + 1).cast("bigint"))
+    segment = Window.partitionBy("__key", "__named", "seg_no")
+    here = Window.partitionBy("__key", "__named", "seg_no", "__slice")
+    cells = cells.withColumns(
+        {
+            "points": F.sum("__n").over(segment),
+            "begin": F.min("__first").over(segment),
+            "end": F.max("__last").over(segment),
+            "segments": F.max("seg_no").over(device),
+            "__pieces": F.ceil(F.sum("__n").over(here) / F.lit(PIECE_POINTS)),
+            "__opens": F.row_number().over(here.orderBy("__cell")) == 1,
+        }
+    )
+    up_to = segment.orderBy("__slice", "__cell").rowsBetween(Window.unboundedPreceding, 0)
+    all_pieces = F.sum(F.when(F.col("__opens"), F.col("__pieces")).otherwise(0)).over(up_to)
+    cells = cells.withColumn("pieces_before", (all_pieces - F.col("__pieces")).cast("bigint"))
+    found = F.struct("seg_no", "segments", "points", "begin", "end", "pieces_before")
+    return cells.groupBy(*_SLICE).agg(F.map_from_entries(F.collect_list(F.struct("__cell", found))).alias("__segments"))
+
+
+def _segmented(
+    points: DataFrame, gap_seconds: int, device: str, time: str, tie: str, slice_seconds: int = SLICE_SECONDS
+) -> DataFrame:
+    sliced = _sliced(points, gap_seconds, device, time, tie, slice_seconds)
+    found = with_summaries(sliced, _segments_of_slices(sliced, gap_seconds, time), _SLICE)
+    return found.withColumn("__segment", F.col("__segments")[F.col("__cell")])
+
+
 def split_segments(
     points: DataFrame,
     gap_seconds: int = GAP_SECONDS,
@@ -44,76 +115,45 @@ def split_segments(
     slice_seconds: int = SLICE_SECONDS,
 ) -> DataFrame:
     """Adds ``seg_no`` (from 1): a new segment begins after a step strictly
-    longer than the gap. A missing time neither breaks nor is compared.
-
-    ``__slice`` and ``__slice_row`` stay on the rows for operators that build on
-    this partitioning; ``drop_slices`` removes them.
-    """
-    gap = F.lit(gap_seconds * 1_000_000)
-    micros = F.unix_micros(F.col(time))
-    in_slice = Window.partitionBy(device, "__slice").orderBy(time, tie)
-    stepped = (
-        points.withColumn("__slice", time_slice(time, slice_seconds))
-        .withColumn("__before", F.lag(time).over(in_slice))
-        .withColumn("__slice_row", F.row_number().over(in_slice))
-        .withColumn(
-            "__break",
-            F.coalesce((micros - F.unix_micros("__before") > gap).cast("int"), F.lit(0)),
-        )
-    )
-    breaks = F.sum("__break").over(in_slice.rowsBetween(Window.unboundedPreceding, 0))
-    stepped = stepped.withColumn("__breaks", breaks).drop("__before")
-
-    # One row per slice; ordering these per device touches slices, not rows.
-    slices = stepped.groupBy(device, "__slice").agg(
-        F.min(time).alias("__first"), F.max(time).alias("__last"), F.sum("__break").alias("__inner")
-    )
-    by_slice = Window.partitionBy(device).orderBy("__slice")
-    edge = F.coalesce(
-        (F.unix_micros("__first") - F.unix_micros(F.lag("__last").over(by_slice)) > gap).cast("int"),
-        F.lit(0),
-    )
-    starts = (
-        slices.withColumn("__edge", edge)
-        .withColumn(
-            "__base",
-            F.sum(F.col("__edge") + F.col("__inner")).over(
-                by_slice.rowsBetween(Window.unboundedPreceding, 0)
-            )
-            - F.col("__inner"),
-        )
-        .select(F.col(device).alias("__device"), F.col("__slice").alias("__s"), "__base")
-    )
-    joined = stepped.join(
-        starts, stepped[device].eqNullSafe(starts["__device"]) & (stepped["__slice"] == starts["__s"])
-    )
-    return joined.withColumn(
-        "seg_no", (F.col("__base") + F.col("__breaks") + 1).cast("bigint")
-    ).drop("__break", "__breaks", "__device", "__s", "__base")
-
-
-def drop_slices(df: DataFrame) -> DataFrame:
-    return df.drop("__slice", "__slice_row")
+    longer than the gap. A missing time neither breaks nor is compared; rows
+    without one come first."""
+    found = _segmented(points, gap_seconds, device, time, tie, slice_seconds)
+    return found.select(*[F.col(f"`{c}`") for c in points.columns], F.col("__segment.seg_no").alias("seg_no"))
 
 
 def segment_summary(segmented: DataFrame, device: str = "uid", time: str = "servertime") -> DataFrame:
     """One row per segment: number, "i of n", times and size."""
-    per_slice = segmented.groupBy(device, "seg_no", "__slice").agg(
+    segments = segmented.groupBy(device, "seg_no").agg(
         F.count("*").alias("points"), F.min(time).alias("begin"), F.max(time).alias("end")
     )
-    segments = per_slice.groupBy(device, "seg_no").agg(
-        F.sum("points").alias("points"), F.min("begin").alias("begin"), F.max("end").alias("end")
-    )
     of = segments.groupBy(device).agg(F.max("seg_no").alias("segments"))
     return segments.join(of, device)
 
 
-def _path_pieces(segmented: DataFrame, device: str, time: str, tie: str) -> DataFrame:
-    """Ordered points in arrays of bounded size, on the slices' partitioning."""
-    part = F.floor((F.col("__slice_row") - 1) / F.lit(PIECE_POINTS)).alias("__part")
-    return segmented.groupBy(device, "seg_no", "__slice", part).agg(
-        F.sort_array(F.collect_list(F.struct(time, tie, "latitude", "longitude"))).alias("path"),
-        F.count("*").alias("piece_points"),
+def _drawn_pieces(points: DataFrame, gap_seconds: int, device: str, time: str, tie: str) -> DataFrame:
+    """Segments of two or more points, in ordered pieces of bounded size that are
+    numbered within their segment. Rows stay where the segments were found."""
+    drawn = _segmented(points, gap_seconds, device, time, tie).filter(
+        F.col(device).isNotNull() & (F.col("__segment.points") >= 2)
+    ).withColumn("__seg_no", F.col("__segment.seg_no"))
+    place = F.row_number().over(Window.partitionBy(*_SLICE, "__seg_no").orderBy(time, tie))
+    part = F.floor((place - 1) / F.lit(PIECE_POINTS))
+    return (
+        drawn.withColumn("__part", part)
+        .groupBy(*_SLICE, "__seg_no", "__part")
+        .agg(
+            F.first(device).alias(device),
+            F.first("__segment").alias("__segment"),
+            F.sort_array(F.collect_list(F.struct(time, tie, "latitude", "longitude"))).alias("path"),
+            F.count("*").alias("piece_points"),
+        )
+        .select(
+            device,
+            "__segment.*",
+            (F.col("__segment.pieces_before") + F.col("__part") + 1).cast("int").alias("piece_no"),
+            "piece_points",
+            "path",
+        )
     )
 
 
@@ -130,12 +170,6 @@ def path_text(path: Column) -> Column:
     )
 
 
-def _numbered_pieces(segmented: DataFrame, device: str, time: str, tie: str) -> DataFrame:
-    pieces = _path_pieces(segmented, device, time, tie)
-    place = Window.partitionBy(device, "seg_no").orderBy("__slice", "__part")
-    return pieces.withColumn("piece_no", F.row_number().over(place)).drop("__slice", "__part")
-
-
 def track_features(
     points: DataFrame,
     gap_seconds: int = GAP_SECONDS,
@@ -148,41 +182,33 @@ def track_features(
     A path is cut into pieces of at most ``PIECE_POINTS`` points; joined in
     ``piece_no`` order they are the whole line.
     """
-    segmented = split_segments(points, gap_seconds, device, time, tie)
-    summary = segment_summary(segmented, device, time).filter(F.col("points") >= 2)
-    return (
-        _numbered_pieces(segmented, device, time, tie)
-        .join(summary, [device, "seg_no"])
-        .select(
-            device,
-            "seg_no",
-            "segments",
-            F.when(F.col("segments") == 1, "Track")
-            .otherwise(
-                F.concat(F.lit("Track segment "), F.col("seg_no"), F.lit(" of "), F.col("segments"))
-            )
-            .alias("name"),
-            "begin",
-            "end",
-            "points",
-            "piece_no",
-            "piece_points",
-            path_text(F.col("path")).alias("path"),
-        )
+    several = F.concat(F.lit("Track segment "), F.col("seg_no"), F.lit(" of "), F.col("segments"))
+    return _drawn_pieces(points, gap_seconds, device, time, tie).select(
+        device,
+        "seg_no",
+        "segments",
+        F.when(F.col("segments") == 1, "Track").otherwise(several).alias("name"),
+        "begin",
+        "end",
+        "points",
+        "piece_no",
+        "piece_points",
+        path_text(F.col("path")).alias("path"),
     )
 
 
 def trails(
-    cot: DataFrame, params: ExportParams, gap_seconds: int = GAP_SECONDS
+    cot: DataFrame, params: ExportParams, gap_seconds: int = GAP_SECONDS, secret: str | None = None
 ) -> DataFrame:
     """De-identified motion lines: no device, no channel filter.
 
     Only devices seen in at least two places anywhere in the window are drawn,
-    and only their segments of two or more points.
+    and only their segments of two or more points. Pieces of a line share an id
+    keyed by ``secret``, which the caller keeps to itself, so that it cannot be
+    traced back to a device by hashing known device names; without one every
+    call makes its own.
     """
-    # Pieces of a line share an id keyed by a secret of this call, so that it
-    # cannot be traced back to a device by hashing known device names.
-    secret = secrets.token_hex(16)
+    secret = secrets.token_hex(16) if secret is None else secret
     points = matching_positions(cot, replace(params, channels=None)).select(
         "id", "uid", "servertime", "latitude", "longitude"
     )
@@ -196,17 +222,11 @@ def trails(
         .filter((F.col("s") < F.col("n")) | (F.col("w") < F.col("e")))
         .select("uid")
     )
-    segmented = split_segments(points, gap_seconds)
-    drawn = segment_summary(segmented).filter(F.col("points") >= 2).join(moved, "uid", "left_semi")
-    return (
-        _numbered_pieces(segmented, "uid", "servertime", "id")
-        .join(drawn.select("uid", "seg_no", "points"), ["uid", "seg_no"])
-        .select(
-            F.sha2(F.concat_ws("|", F.lit(secret), "uid", F.col("seg_no").cast("string")), 256).alias("line_id"),
-            "piece_no",
-            "points",
-            path_text(F.col("path")).alias("path"),
-        )
+    return _drawn_pieces(points, gap_seconds, "uid", "servertime", "id").join(moved, "uid", "left_semi").select(
+        F.sha2(F.concat_ws("|", F.lit(secret), "uid", F.col("seg_no").cast("string")), 256).alias("line_id"),
+        "piece_no",
+        "points",
+        path_text(F.col("path")).alias("path"),
     )
 
 
@@ -297,60 +317,27 @@ def neighbour_in_slices(
     """
     packed = F.struct(*[F.col(v) for v in values])
     ordering = F.struct(*[F.col(c) for c in order])
-    inner = Window.partitionBy(*keys, slice_column).orderBy(*order)
-    per_key = Window.partitionBy(*keys).orderBy(slice_column)
+    plain = {f"__key{i}": F.coalesce(F.col(k).cast("string"), F.lit("")) for i, k in enumerate(keys)}
+    plain |= {f"__has{i}": F.col(k).isNotNull() for i, k in enumerate(keys)}
+    own = [*plain, slice_column]
+    keyed = rows.withColumns(plain)
     shift, edge = (F.lead, F.min_by) if ahead else (F.lag, F.max_by)
-    marked = rows.withColumn("__near", shift(packed).over(inner))
-    edges = rows.groupBy(*keys, slice_column).agg(edge(packed, ordering).alias("__edge"))
-    carried = edges.select(
-        *[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)],
-        F.col(slice_column).alias("__s"),
-        shift("__edge").over(per_key).alias("__carried"),
-    )
-    joined = marked.join(carried, _same_slice(keys, slice_column))
+    marked = keyed.withColumn("__near", shift(packed).over(Window.partitionBy(*own).orderBy(*order)))
+    edges = keyed.groupBy(*own).agg(edge(packed, ordering).alias("__edge"))
+    carried = edges.select(*own, shift("__edge").over(Window.partitionBy(*plain).orderBy(slice_column)).alias("__carried"))
     neighbour = F.coalesce("__near", "__carried")
-    return joined.select(
+    return with_summaries(marked, carried, own).select(
         *[F.col(f"`{c}`") for c in rows.columns],
         neighbour.isNotNull().alias(f"{prefix}row"),
         *[neighbour[v].alias(f"{prefix}{v}") for v in values],
     )
 
 
-def number_in_slices(
-    rows: DataFrame, keys: list[str], slice_column: str, order: list[str], place: str, total: str
-) -> DataFrame:
-    """``row_number`` and group size per key, again without a whole-key window."""
-    inner = Window.partitionBy(*keys, slice_column).orderBy(*order)
-    marked = rows.withColumn("__n", F.row_number().over(inner))
-    sizes = rows.groupBy(*keys, slice_column).agg(F.count("*").alias("__size"))
-    whole = Window.partitionBy(*keys)
-    before = whole.orderBy(slice_column).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select(
-        *[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)],
-        F.col(slice_column).alias("__s"),
-        F.coalesce(F.sum("__size").over(before), F.lit(0)).alias("__offset"),
-        F.sum("__size").over(whole).alias("__total"),
-    )
-    joined = marked.join(offsets, _same_slice(keys, slice_column))
-    return joined.select(
-        *[F.col(f"`{c}`") for c in rows.columns],
-        (F.col("__offset") + F.col("__n")).alias(place),
-        F.col("__total").alias(total),
-    )
-
-
-def _same_slice(keys: list[str], slice_column: str) -> Column:
-    same = F.col(slice_column) == F.col("__s")
-    for i, k in enumerate(keys):
-        same = same & F.col(k).eqNullSafe(F.col(f"__k{i}"))
-    return same
-
-
 def stationary_repeats(
     points: DataFrame, device: str = "uid", time: str = "servertime", tie: str = "id"
 ) -> DataFrame:
     """Flags a report from the same spot as the device's report before it."""
-    sliced = points.withColumn("__slice", time_slice(time))
+    sliced = points.withColumn("__slice", time_slice(time, tie=tie))
     seen = neighbour_in_slices(sliced, [device], "__slice", [time, tie], ["latitude", "longitude"])
     repeat = (
         F.col("prev_row")

@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from posevidence.functions import classify
 from posevidence.functions.canon import CHAIN_FIELDS, row_hash
 from posevidence.materialize import settle
 from posevidence.operators import audit
+from posevidence.operators.sequences import placed
+from posevidence.operators.tracks import neighbour_in_slices
 from posevidence.plans.registry import registered
 
 SEARCHED = "ENTRY"
@@ -73,6 +76,55 @@ def verify_chain(t):
     return audit.verify_chain(chained.withColumn("actor", edited))
 
 
+@registered(
+    "tampered_chain", "W8 L1", "export_log",
+    f"""
+WITH {_NUMBERED},
+said AS (
+  SELECT *, CAST(split_part(log_id, '-', 2) AS INT) % 4 AS way, lead(id) OVER (PARTITION BY log_id ORDER BY id) AS next_id
+  FROM numbered WHERE log_id LIKE 'CASE-%'),
+breaks AS (
+  SELECT log_id, min(CASE way
+    WHEN 0 THEN CASE WHEN n = 8 THEN id END
+    WHEN 1 THEN CASE WHEN n = 11 AND next_id IS NOT NULL THEN id END
+    WHEN 2 THEN CASE WHEN n = 5 AND next_id > id + 1 THEN id + 1 END
+    ELSE CASE WHEN n = 9 THEN id END END) AS broken_id, any_value(way) AS way, max(n) AS n FROM said GROUP BY log_id)
+SELECT log_id, broken_id IS NULL AS ok, broken_id,
+  CASE WHEN broken_id IS NULL THEN NULL WHEN way = 3 THEN 'row content does not match its recorded hash (the row was edited)'
+    ELSE 'prev_hash does not match the previous chained row (a row was removed, inserted or reordered before this one)' END AS reason
+FROM breaks""",
+)
+def tampered_chain(t):
+    """In every log one row is removed, inserted, edited or two change places."""
+    logs = _logs(t).filter(F.col("log_id").like("CASE-%"))
+    sliced = settle(audit.chain_append(logs)).withColumn("slice", F.floor(F.col("id") / 1000))
+    rows = placed(sliced, ["log_id"], "slice", ["id"], ["id"])
+    back = neighbour_in_slices(rows, ["log_id"], "slice", ["id"], ["id"])
+    way = F.split("log_id", "-")[1].cast("int") % 4
+    place, after = F.col("place"), F.col("next_id")
+    swapped = (
+        F.when((way == 1) & (place == 11) & after.isNotNull(), after)
+        .when((way == 1) & (place == 12), F.col("prev_id"))
+        .otherwise(F.col("id"))
+    )
+    kept = back.filter(~((way == 0) & (place == 7))).withColumns(
+        {"id": swapped, "actor": F.when((way == 3) & (place == 9), "edited").otherwise(F.col("actor"))}
+    )
+    forged = back.filter((way == 2) & (place == 5) & (after > F.col("id") + 1)).withColumn("id", F.col("id") + 1)
+    found = audit.verify_chain(kept.unionByName(forged).select(*logs.columns, "prev_hash", "row_hash"), id_slice=1000)
+    return found.select("log_id", "ok", "broken_id", "reason")
+
+
+@registered(
+    "source_identity_texts", "P28", "source_rows",
+    """
+SELECT id, CASE WHEN coalesce(cluster_id, '') <> '' THEN 'cluster ' || cluster_id
+  WHEN coalesce(catalog_id, '') <> '' THEN 'catalog ' || catalog_id ELSE '' END AS identity FROM source_rows""",
+)
+def source_identity_texts(t):
+    return t["source_rows"].select("id", classify.source_identity(F.col("cluster_id"), F.col("catalog_id")).alias("identity"))
+
+
 # --- corrections ------------------------------------------------------------
 
 _ENTRY = audit.CORRECTS_ENTRY
@@ -245,11 +297,15 @@ _PLACE = "CASE WHEN starts_with({0}, 're-check at ') THEN split_part(substr({0},
 @registered(
     "script_hash_check", "L10", "export_log scripts",
     f"""
-WITH {_LISTED}, {_NEWEST_EXPORT}
-SELECT s.package_sha256, s.case_prefix, sha256(queries_sql) AS actual_sha256, r.sha256 AS recorded_sha256,
-  CASE WHEN r.sha256 IS NULL THEN 'not recorded' WHEN r.sha256 = sha256(queries_sql) THEN 'match' ELSE 'mismatch' END AS state
-FROM scripts s LEFT JOIN (SELECT l.* FROM listed l JOIN export e ON e.id = l.id WHERE name = 'CASE-queries.sql') r
-  ON r.package_sha256 = s.package_sha256""",
+WITH {_NEWEST_EXPORT},
+recorded AS (
+  SELECT package_sha256, split_part(list_filter(
+    string_split(regexp_extract(detail, '(?:^|; )package files: ([^;]+)', 1), ', '),
+    lambda x: split_part(x, ' ', 2) = 'CASE-queries.sql')[1], ' ', 1) AS sha256
+  FROM export)
+SELECT s.package_sha256, s.case_prefix, sha256(queries_sql) AS actual_sha256, nullif(r.sha256, '') AS recorded_sha256,
+  CASE WHEN coalesce(r.sha256, '') = '' THEN 'not recorded' WHEN r.sha256 = sha256(queries_sql) THEN 'match' ELSE 'mismatch' END AS state
+FROM scripts s LEFT JOIN recorded r ON r.package_sha256 = s.package_sha256""",
 )
 def script_hash_check(t):
     return audit.script_hash_check(t["scripts"], t["export_log"])

@@ -31,8 +31,7 @@ numbered AS (
     f"WITH {_segments('dense_cot', GAP)} SELECT id, uid, servertime, seg_no FROM numbered",
 )
 def track_segments(t):
-    segmented = tracks.split_segments(t["dense_cot"].select("id", "uid", "servertime"), GAP)
-    return tracks.drop_slices(segmented)
+    return tracks.split_segments(t["dense_cot"].select("id", "uid", "servertime"), GAP)
 
 
 @registered(
@@ -40,7 +39,7 @@ def track_segments(t):
     f"WITH {_segments('cot', 300)} SELECT id, uid, servertime, seg_no FROM numbered",
 )
 def track_segments_default_gap(t):
-    return tracks.drop_slices(tracks.split_segments(t["cot"].select("id", "uid", "servertime")))
+    return tracks.split_segments(t["cot"].select("id", "uid", "servertime"))
 
 
 _LINE = "string_agg(printf('%.6f %.6f', longitude, latitude), ', ' ORDER BY servertime, id)"
@@ -72,11 +71,12 @@ WITH {_segments('dense_cot', GAP, MATCHING)},
 movers AS (SELECT uid FROM numbered GROUP BY uid HAVING count(DISTINCT (latitude, longitude)) >= 2),
 lines AS (SELECT uid, seg_no, count(*) AS points FROM numbered WHERE uid IN (FROM movers) GROUP BY ALL HAVING count(*) >= 2),
 pieces AS (SELECT uid, seg_no, date_trunc('hour', servertime) AS hr, {_LINE} AS path FROM numbered GROUP BY ALL)
-SELECT CAST(row_number() OVER (PARTITION BY uid, seg_no ORDER BY hr) AS INT) AS piece_no, points, path
+SELECT sha256('check|' || uid || '|' || seg_no) AS line_id,
+  CAST(row_number() OVER (PARTITION BY uid, seg_no ORDER BY hr) AS INT) AS piece_no, points, path
 FROM lines JOIN pieces USING (uid, seg_no)""",
 )
 def trails(t):
-    return tracks.trails(t["dense_cot"], P, GAP).drop("line_id")
+    return tracks.trails(t["dense_cot"], P, GAP, secret="check")
 
 
 @registered(

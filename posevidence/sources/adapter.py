@@ -255,8 +255,10 @@ SELECT o_orderkey + 1 AS id,
   CASE WHEN o_orderkey % 10 = 5 THEN NULL ELSE {_PACKAGE} END AS package_sha256,
   CASE WHEN o_orderkey % 10 IN (2, 7) THEN 'raw match' WHEN o_orderkey % 4 = 0 THEN 'generated / delivered' ELSE 'generated' END AS outcome,
   CASE o_orderkey % 10
-    WHEN 0 THEN 'package files: ' || {_sha("'cot ' || CAST(o_orderkey AS STRING)")} || ' CASE-cot.csv, ' || {_sha(_SCRIPT)}
-      || ' CASE-queries.sql, 12ab CASE-bad.csv; source database: cluster ' || CAST(o_custkey % 3 AS STRING) || '; note: first: second'
+    WHEN 0 THEN 'package files: ' || {_sha("'cot ' || CAST(o_orderkey AS STRING)")} || ' CASE-cot.csv, '
+      || CASE WHEN o_custkey % 5 = 2 THEN 'ffff CASE-queries.sql, ' ELSE '' END || {_sha(_SCRIPT)} || ' CASE-queries.sql, '
+      || CASE WHEN o_custkey % 5 = 1 THEN {_sha("'later ' || CAST(o_orderkey AS STRING)")} || ' CASE-queries.sql, ' ELSE '' END
+      || '12ab CASE-bad.csv; source database: cluster ' || CAST(o_custkey % 3 AS STRING) || '; note: first: second'
     WHEN 4 THEN 'source database: catalog cot/1/' || CAST(o_custkey % 4 AS STRING)
     WHEN 6 THEN CASE WHEN o_custkey % 3 = 0 THEN 'no list' ELSE 'package files: ' || {_sha("'other ' || CAST(o_orderkey AS STRING)")} || ' CASE-queries.sql' END
     WHEN 2 THEN 're-check at host' || CAST(o_custkey % 7 AS STRING) || ':/var/r; 3 file(s) hashed on the server; raw table rows match: yes'
@@ -290,13 +292,23 @@ SELECT DISTINCT {_PACKAGE} AS package_sha256, 'CASE' AS case_prefix,
   {_SCRIPT} AS queries_sql,
   CASE WHEN (o_orderkey - o_orderkey % 10) % 30 = 20 THEN NULL ELSE {_sha("'raw ' || CAST(o_orderkey - o_orderkey % 10 AS STRING)")} END AS raw_sha256
 FROM {{orders}}"""
+# What a source says of itself; either part may be missing or empty.
+RELATIONS["source_rows"] = """
+SELECT o_orderkey AS id,
+  CASE o_orderkey % 4 WHEN 0 THEN CAST(o_custkey AS STRING) WHEN 1 THEN '' ELSE NULL END AS cluster_id,
+  CASE o_orderkey % 3 WHEN 0 THEN NULL WHEN 1 THEN '' ELSE 'cot/1/' || CAST(o_custkey % 4 AS STRING) END AS catalog_id
+FROM {orders}"""
+# Some packages post under a name that nobody keeps a script of, and some lists
+# lack the raw file or name the script in another way.
 RELATIONS["posted_sums"] = f"""
-SELECT {_PACKAGE} AS package_sha256, o_orderkey AS line_no,
-  CASE o_orderkey % 10 WHEN 0 THEN 'CASE-recheck-cot_router-raw.csv' WHEN 1 THEN 'CASE-queries.sql' ELSE 'CASE-' || CAST(o_orderkey AS STRING) || '.csv' END AS name,
+SELECT CASE WHEN (o_orderkey - o_orderkey % 10) % 70 = 30 THEN {_sha("'unknown ' || CAST(o_orderkey - o_orderkey % 10 AS STRING)")} ELSE {_PACKAGE} END AS package_sha256,
+  o_orderkey AS line_no,
+  CASE WHEN o_orderkey % 10 = 0 AND o_custkey % 9 <> 5 THEN 'CASE-recheck-cot_router-raw.csv'
+    WHEN o_orderkey % 10 = 1 AND o_custkey % 9 <> 7 THEN 'CASE-queries.sql' ELSE 'CASE-' || CAST(o_orderkey AS STRING) || '.csv' END AS name,
   CASE WHEN o_orderkey % 10 = 0 AND o_custkey % 4 > 0 THEN {_sha("'raw ' || CAST(o_orderkey AS STRING)")}
     WHEN o_orderkey % 10 = 1 AND o_custkey % 4 > 0 THEN {_sha(_SCRIPT)}
     ELSE {_sha("'else ' || CAST(o_orderkey AS STRING)")} END AS sha256
-FROM {{orders}} WHERE o_orderpriority <> '1-URGENT' """
+FROM {{orders}}"""
 # The positions as another program exported them: some renumbered, moved a
 # little, moved a lot, shifted in time, or under another name.
 RELATIONS["cot_copy"] = """

@@ -214,3 +214,19 @@ def test_a_page_is_read_from_its_range(spark):
         # Only the page's range is read, and no other is put in order.
         assert re.search(r"PartitionFilters: \[[^\]]*__range#\d+ (IN|=)", plan), plan
     assert audit.PageIndex(rows.limit(0), audit.page_order()).page(1).count() == 0
+
+
+def test_the_first_of_equal_names_counts(spark):
+    import hashlib
+
+    script = "SELECT 1;"
+    own, other = hashlib.sha256(script.encode()).hexdigest(), "0" * 64
+    rows = [
+        ("C", "package", "o", f"package files: {own} P-queries.sql, {other} P-queries.sql"),
+        ("C", "package", "o", f"package files: {other} P-queries.sql, {own} P-queries.sql"),
+        ("C", "package", "o", f"package files: ffff P-queries.sql, {own} P-queries.sql"),
+    ]
+    df = log(spark, rows).withColumn("package_sha256", F.concat(F.lit("p"), F.col("id").cast("string")))
+    scripts = spark.createDataFrame([(f"p{k}", "P", script) for k in (1, 2, 3, 4)], "package_sha256 string, case_prefix string, queries_sql string")
+    found = {r.package_sha256: (r.state, r.recorded_sha256) for r in audit.script_hash_check(scripts, df).collect()}
+    assert found == {"p1": ("match", own), "p2": ("mismatch", other), "p3": ("mismatch", "ffff"), "p4": ("not recorded", None)}

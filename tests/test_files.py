@@ -146,3 +146,27 @@ def test_a_whole_extract(spark, tmp_path):
     broken = {**tables, "fed_event": tables["fed_event"].withColumn("event_kind_id", F.expr("raise_error('no such table')"))}
     failed = write_extract(broken, params, str(tmp_path / "y"), ["federation"]).first()
     assert set(failed.failures) == {"federation"} and "manifest" in failed.counts
+
+
+def test_a_failure_while_shapes_are_planned_stops_nothing_else(spark, tmp_path, monkeypatch):
+    from posevidence.operators import shapes
+    from posevidence.plans.run import PACKAGE_RESULTS, write_package
+    from posevidence.sources.adapter import AS_OF, CHECK_PARAMS, CheckTables
+    from posevidence.sources.files import read_hash_list, read_package_members
+
+    t = CheckTables(spark, "/root/testdata/sf0.001")
+    names = {"cot_router": "cot", "groups": "channels"}
+    tables = {w: t[names.get(w, w)] for w in ("cot_router", "groups", "mission_change", "video_connections", "fed_event", "fed_event_kind_pl")}
+    whole = write_package(tables, CHECK_PARAMS, str(tmp_path / "p"), ["shapes", "video", "federation"], AS_OF).first()
+    # Census tables that are not there are counted as unavailable, not as a failure.
+    assert whole.failures == {} and set(whole.counts) == {"shapes", "video", "federation", "manifest", *PACKAGE_RESULTS}
+    listed = {r.name: r.sha256 for r in read_hash_list(spark, str(tmp_path / "p/hashes"))[0].select("name", "sha256").collect()}
+    members = read_package_members(spark, str(tmp_path / "p/package")).select("name", "sha256").collect()
+    assert {r.sha256 for r in members if not r.name.startswith(("_", "."))} == set(listed.values())
+
+    def broken(versions):
+        raise ValueError("no shape today")
+
+    monkeypatch.setattr(shapes, "parse_shapes", broken)
+    failed = write_package(tables, CHECK_PARAMS, str(tmp_path / "q"), ["shapes", "federation"]).first()
+    assert failed.failures == {"shapes": "ValueError: no shape today"} and {"federation", "manifest", "raw_rows"} <= set(failed.counts)

@@ -1,10 +1,11 @@
 import random
+import re
 from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
 
-from posevidence.operators import tracks
+from posevidence.operators import sequences, tracks
 from posevidence.params import ExportParams
 
 T0 = datetime(2026, 1, 1, 10, 0, 0)
@@ -77,7 +78,7 @@ def test_neighbours_and_numbers_against_plain_windows(spark):
     order = ["servertime", "id"]
     back = tracks.neighbour_in_slices(df, ["uid"], "s", order, ["latitude"])
     ahead = tracks.neighbour_in_slices(df, ["uid"], "s", order, ["latitude"], prefix="next_", ahead=True)
-    placed = tracks.number_in_slices(df, ["uid"], "s", order, "no", "of")
+    placed = sequences.placed(df, ["uid"], "s", order, ["latitude"])
     from pyspark.sql.window import Window
 
     w = Window.partitionBy("uid").orderBy(*order)
@@ -86,4 +87,58 @@ def test_neighbours_and_numbers_against_plain_windows(spark):
         F.count("*").over(Window.partitionBy("uid")).alias("of")).collect()}
     assert {r.id: r.prev_latitude for r in back.collect()} == {i: r.b for i, r in plain.items()}
     assert {r.id: r.next_latitude for r in ahead.collect()} == {i: r.a for i, r in plain.items()}
-    assert {r.id: (r.no, r.of) for r in placed.collect()} == {i: (r.n, r.of) for i, r in plain.items()}
+    placed = {r.id: r for r in placed.collect()}
+    assert {i: r.next_latitude for i, r in placed.items()} == {i: r.a for i, r in plain.items()}
+    assert {i: (r.place, r.total) for i, r in placed.items()} == {i: (r.n, r.of) for i, r in plain.items()}
+
+
+def fact_exchanges(df):
+    """Exchanges of rows that no aggregate has summed up before."""
+    plan = df._jdf.queryExecution().executedPlan().toString().split("\n")
+    depth = [len(re.match(r"[\s:+\-]*", line).group()) for line in plan]
+    found = 0
+    for k, line in enumerate(plan):
+        if "Exchange hashpartitioning" in line:
+            end = next((j for j in range(k + 1, len(plan)) if depth[j] <= depth[k]), len(plan))
+            found += not any("Aggregate" in x for x in plan[k + 1 : end])
+    return found
+
+
+def test_rows_are_exchanged_once(spark, tmp_path):
+    path = str(tmp_path / "p.parquet")
+    frame(spark, [(i, "A", T0 + timedelta(seconds=i), 1.0 * i, 2.0) for i in range(50)]).write.parquet(path)
+    points = spark.read.parquet(path)
+    threshold = "spark.sql.autoBroadcastJoinThreshold"
+    spark.conf.set(threshold, "-1")
+    try:
+        assert fact_exchanges(tracks.track_features(points)) == 1
+        assert fact_exchanges(tracks.split_segments(points)) == 1
+        assert fact_exchanges(tracks.stationary_repeats(points)) == 1
+    finally:
+        spark.conf.unset(threshold)
+
+
+def test_one_device_with_all_rows_is_many_tasks(spark):
+    n = 200_000
+    points = spark.range(n).selectExpr(
+        "id", "'A' AS uid", "IF(id % 2 = 0, timestamp_micros(1700000000000000 + id * 1000000), NULL) AS servertime",
+        "1.0D * id AS latitude", "2.0D AS longitude",
+    )
+    sliced = tracks._sliced(points, 300, "uid", "servertime", "id", 3600)
+    sizes = sorted(r["count"] for r in sliced.groupBy("__key", "__named", "__slice").count().collect())
+    assert sizes[-1] <= tracks.UNTIMED_ROWS // 2 + 1 and len(sizes) > 50
+    found = tracks.split_segments(points)
+    assert found.count() == n and found.filter("seg_no <> 1").count() == 0
+
+
+def test_missing_times_in_many_slices(spark, monkeypatch):
+    monkeypatch.setattr(tracks, "UNTIMED_ROWS", 3)
+    monkeypatch.setattr(tracks, "PIECE_POINTS", 2)
+    rows = [(i, "A", None, float(i), 1.0) for i in range(10)] + [(50 + i, "A", T0 + timedelta(hours=i), 60.0 + i, 1.0) for i in range(3)]
+    found = {r.id: r.seg_no for r in tracks.split_segments(frame(spark, rows)).collect()}
+    assert found == {i: 1 for i in range(10)} | {50: 1, 51: 2, 52: 3}
+    lines = sorted((r.piece_no, r.path) for r in tracks.track_features(frame(spark, rows)).collect())
+    assert ", ".join(p for _, p in lines) == ", ".join(f"1.000000 {float(i):.6f}" for i in [*range(10), 60])
+    assert [k for k, _ in lines] == list(range(1, len(lines) + 1))
+    repeats = {r.id: r.stationary_repeat for r in tracks.stationary_repeats(frame(spark, [(i, "A", None, i // 2 / 1.0, 1.0) for i in range(8)])).collect()}
+    assert repeats == {i: i % 2 == 1 for i in range(8)}

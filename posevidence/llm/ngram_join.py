@@ -413,9 +413,14 @@ def _star_links(pairs: DataFrame, class_of: DataFrame, sets: DataFrame, percent:
             out.append(_may_link(_folded(x, size), _folded(y, size), n_x, n_y, percent))
         return pa.array(out, pa.bool_())
 
-    one = class_of.select(F.col("whole").alias("group"), F.col("sketch").alias("sketch_a"), F.col("n_shingles").alias("n_a"))
+    # Sets of too different a size cannot link. They go before any sketch is
+    # moved, so that only pairs of like size carry one.
+    size = class_of.select(F.col("whole").alias("group"), F.col("n_shingles").alias("n_a"))
     two = class_of.select("whole", F.col("sketch").alias("sketch_b"), F.col("n_shingles").alias("n_b"))
-    near = pairs.join(one, "group").join(two, "whole").filter(may_link("sketch_a", "n_a", "sketch_b", "n_b"))
+    one = class_of.select(F.col("whole").alias("group"), F.col("sketch").alias("sketch_a"))
+    like = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
+    near = pairs.join(size, "group").join(two, "whole").filter(like)
+    near = near.join(one, "group").filter(may_link("sketch_a", "n_a", "sketch_b", "n_b"))
     pairs = stored(near.select("group", "whole"), "star-pairs")
     counts = pairs.groupBy("group").agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("blocks"))
     members = pairs.join(counts, "group").select(

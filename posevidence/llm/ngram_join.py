@@ -413,14 +413,9 @@ def _star_links(pairs: DataFrame, class_of: DataFrame, sets: DataFrame, percent:
             out.append(_may_link(_folded(x, size), _folded(y, size), n_x, n_y, percent))
         return pa.array(out, pa.bool_())
 
-    # Sets of too different a size cannot link. They go before any sketch is
-    # moved, so that only pairs of like size carry one.
-    size = class_of.select(F.col("whole").alias("group"), F.col("n_shingles").alias("n_a"))
+    one = class_of.select(F.col("whole").alias("group"), F.col("sketch").alias("sketch_a"), F.col("n_shingles").alias("n_a"))
     two = class_of.select("whole", F.col("sketch").alias("sketch_b"), F.col("n_shingles").alias("n_b"))
-    one = class_of.select(F.col("whole").alias("group"), F.col("sketch").alias("sketch_a"))
-    like = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
-    near = pairs.join(size, "group").join(two, "whole").filter(like)
-    near = near.join(one, "group").filter(may_link("sketch_a", "n_a", "sketch_b", "n_b"))
+    near = pairs.join(one, "group").join(two, "whole").filter(may_link("sketch_a", "n_a", "sketch_b", "n_b"))
     pairs = stored(near.select("group", "whole"), "star-pairs")
     counts = pairs.groupBy("group").agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("blocks"))
     members = pairs.join(counts, "group").select(
@@ -459,21 +454,26 @@ def near_duplicates(
         return links.join(a, "a").join(b, "b").select(F.col("class_a").alias("a"), F.col("class_b").alias("b"))
 
     # 2. Groups of sets with a part in common, each searched from its smallest.
-    groups = stored(shared_parts(part_names(known, width, percent)), "shared-parts")
+    sizes = class_of.select("whole", "n_shingles")
+    groups = stored(shared_parts(part_names(known, width, percent)).join(sizes, "whole"), "shared-parts")
     needed = groups.select("whole").distinct().join(class_of, "whole").select(F.col("class").alias("doc_id"))
     # Repeated rows of one id bring their set twice, and at most a link twice.
     sets = stored(shingle_sets(known.join(needed, "doc_id", "left_semi"), width), "sets")
     links = same
     for _ in range(STAR_ROUNDS):
-        least = groups.groupBy("part").agg(F.min("whole").alias("group"))
-        others = groups.select("part", "whole").join(least, "part").filter(F.col("whole") != F.col("group"))
-        links = links.unionByName(by_class(_star_links(others.select("group", "whole").distinct(), class_of, sets, percent, block)))
+        least = groups.groupBy("part").agg(F.min(F.struct("whole", "n_shingles")).alias("first"))
+        least = least.select("part", F.col("first.whole").alias("group"), F.col("first.n_shingles").alias("n_group"))
+        others = groups.select("part", "whole", "n_shingles").join(least, "part").filter(F.col("whole") != F.col("group"))
+        # Sets of too different a size cannot link, and go before a sketch is moved.
+        like = 100 * F.least("n_shingles", "n_group") >= percent * F.greatest("n_shingles", "n_group")
+        pairs = others.filter(like).select("group", "whole").distinct()
+        links = links.unionByName(by_class(_star_links(pairs, class_of, sets, percent, block)))
         # The smallest has been compared with all; the others go on if they are
         # still in several components.
         at = class_of.select("whole", "class").join(components(links), F.col("class") == F.col("node"), "left").select(
             "whole", F.coalesce("component", "class").alias("component")
         )
-        others = others.select("part", "whole").join(at, "whole")
+        others = others.select("part", "whole", "n_shingles").join(at, "whole")
         several = others.groupBy("part").agg(F.min("component").alias("low"), F.max("component").alias("high"))
         several = several.filter(F.col("low") < F.col("high")).select("part", "low")
         groups = stored(others.join(several, "part"), "open-groups")
@@ -486,7 +486,7 @@ def near_duplicates(
         .withColumn("blocks", F.ceil(F.col("n") / F.lit(block)).cast("int"))
         .select("part", "blocks", F.when(F.col("blocks") > 1, F.col("low")).alias("apart"))
     )
-    members = groups.drop("low").join(several, "part").withColumn("own", F.pmod(F.xxhash64("whole"), F.col("blocks")).cast("int"))
+    members = groups.drop("low", "n_shingles").join(several, "part").withColumn("own", F.pmod(F.xxhash64("whole"), F.col("blocks")).cast("int"))
     # Block (i, j) searches the sets of i against those of j.
     members = members.select(
         F.col("part").alias("group"), "whole", "component", "own", "blocks", "apart",

@@ -19,18 +19,26 @@ def pass_quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     """Documents that the rules of their language and source accept."""
     importable(spark)
     # Written with its texts, so the verdict's filter reads counts and does not
-    # work them out again inside its condition.
-    counted = stored(quality_rules.measured(docs), "quality-counts")
-    return quality_rules.judged(counted, quality_rules.fences(counted)).filter("kept").select(*docs.columns)
+    # work them out again inside its condition. The row rides in one column, whose
+    # name no count has, so that columns of the documents clash with none.
+    rows = docs.select("text", "lang", "source", F.struct(*docs.columns).alias("_document"))
+    counted = stored(quality_rules.measured(rows).drop("text"), "quality-counts")
+    kept = quality_rules.judged(counted, quality_rules.fences(counted)).filter("kept")
+    return kept.select(*[F.col("_document").getField(c).alias(c) for c in docs.columns])
 
 
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents linked by four fifths of their 5-word shingles, the one with
-    the smallest id; of rows with equal ids one."""
+    the smallest id; of rows with equal ids the one with the least text,
+    then lang, source and n_chars."""
     importable(spark)
     found = ngram_join.near_duplicates(docs, width=5, percent=80)
     first = found.filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    one = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    # Which of several rows stays must not hang on the order in which they come.
+    place = F.struct("text", "lang", "source", "n_chars")
+    row = F.struct(*docs.columns)
+    one = docs.join(first, "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by(row, place).alias("_row"))
+    one = one.select(*[F.col("_row").getField(c).alias(c) for c in docs.columns])
     return one.unionByName(docs.filter(F.col("doc_id").isNull())).select(*docs.columns)
 
 
@@ -46,7 +54,7 @@ def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark question."""
     importable(spark)
-    held = decontamination.contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), every=True)
+    held = decontamination.contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return docs.join(held.select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
 
 

@@ -15,14 +15,13 @@ the join and changes no result.
 
 NULL and empty texts have no tokens. A question with fewer tokens than a window
 is one template, met by texts of just those tokens if half of them are literal.
-With ``every`` all other places and windows are searched too: short questions
-anywhere in a document, as templates where they have as many literal tokens as
-a window must have, and by their own values whatever they have; and windows
-with fewer literal tokens than half by the values in their slots. A copy of any
-question is so found, however short it is and whatever it consists of; a
-question of one common word is in every document that has the word. Without
-``every`` these are left out. Rows with equal ids are one document; rows without
-an id are not reported. Repeated benchmark rows count once.
+All other places and windows are searched too: short questions anywhere in a
+document, as templates where they have as many literal tokens as a window must
+have, and by their own values whatever they have; and windows with fewer literal
+tokens than half by the values in their slots. A copy of any question is so
+found, however short it is and whatever it consists of; a question of one common
+word is in every document that has the word. Rows with equal ids are one
+document; rows without an id are not reported. Repeated benchmark rows count once.
 """
 
 from __future__ import annotations
@@ -177,13 +176,13 @@ def _cut(names, before, widths):
 
 
 def _others(names, values, before, widths=None):
-    """The windows that ``every`` adds, with their kinds: of questions, or of
+    """Windows of short questions and of values, with their kinds: of questions, or of
     documents where the widths of the questions' windows of each kind are given."""
     sizes = np.diff(before)
     slots = np.concatenate([[0], np.cumsum(_is_slot(names))])
-    every = {PART: range(1, WINDOW), VALUES: range(1, WINDOW + 1)}
+    all_widths = {PART: range(1, WINDOW), VALUES: range(1, WINDOW + 1)}
     for kind, own in ((PART, names), (VALUES, values)):
-        for width, window, first, text in _cut(own, before, (widths or every)[kind]):
+        for width, window, first, text in _cut(own, before, (widths or all_widths)[kind]):
             literal = width - (slots[first + width] - slots[first])
             good = literal >= WINDOW // 2 if kind == PART else np.ones(len(first), bool)
             if widths is None:
@@ -197,7 +196,7 @@ def _others(names, values, before, widths=None):
 WINDOW_SCHEMA = "window long, id long, at int, width int, kind int, n_tokens int, slots array<string>"
 
 
-def _templates(bits=None, every=False, widths=None):
+def _templates(bits=None, widths=None):
     """Windows of texts; with a bitmap, only those it lets through."""
 
     def make(batches):
@@ -207,9 +206,8 @@ def _templates(bits=None, every=False, widths=None):
             names, starts, ends, before = canonical(data, at)
             plain = _windows(names, before)
             parts = [(*plain, np.full(len(plain[0]), TEMPLATE))]
-            if every:
-                wanted = widths is None or widths[VALUES]
-                parts += _others(names, _values(data, starts, ends) if wanted else names, before, widths)
+            wanted = widths is None or widths[VALUES]
+            parts += _others(names, _values(data, starts, ends) if wanted else names, before, widths)
             if bitmap is not None:
                 for n, part in enumerate(parts):
                     place = part[0] >> np.uint64(64 - BITMAP_BITS)
@@ -286,7 +284,7 @@ def _consistent(rows: list[dict]) -> tuple[int, bool]:
 
 def contaminated(
     docs: DataFrame, benchmark: DataFrame, least_cover: float = LEAST_COVER, doc_id: str = "doc_id",
-    text: str = "text", item_id: str = "item_id", item_text: str = "text", every: bool = False,
+    text: str = "text", item_id: str = "item_id", item_text: str = "text",
 ) -> DataFrame:
     """(doc_id, item_id, n_covered, n_tokens, exact): questions that documents hold."""
     spark = docs.sparkSession
@@ -297,14 +295,13 @@ def contaminated(
     )
     # A question may be shouted; its names are then words like others.
     shouted = items.withColumn("text", F.upper("text"))
-    asked = items.unionByName(shouted).mapInArrow(_templates(every=every), WINDOW_SCHEMA).distinct()
+    asked = items.unionByName(shouted).mapInArrow(_templates(), WINDOW_SCHEMA).distinct()
     widths: dict[int, set[int]] = {PART: set(), VALUES: set()}
-    if every:
-        for row in asked.filter(F.col("kind") != TEMPLATE).select("kind", "width").distinct().collect():
-            widths[row["kind"]].add(row["width"])
+    for row in asked.filter(F.col("kind") != TEMPLATE).select("kind", "width").distinct().collect():
+        widths[row["kind"]].add(row["width"])
     bits = spark.sparkContext.broadcast(_bitmap(asked))
     rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text")).filter(F.col("id").isNotNull())
-    found = rows.mapInArrow(_templates(bits, every, widths), WINDOW_SCHEMA)
+    found = rows.mapInArrow(_templates(bits, widths), WINDOW_SCHEMA)
     met = found.select("window", F.col("id").alias("doc_id"), "at", "width", "kind", "slots").join(
         asked.select(
             "window", F.col("kind").alias("item_kind"), F.col("id").alias("item_id"), F.col("at").alias("item_at"), F.col("width").alias("item_width"),

@@ -207,7 +207,7 @@ def test_contamination(spark, make_docs, words):
         (10, QUESTION), (10, QUESTION), (11, f"{fill(8)} short item of five {fill(9)}"),
     ]
     found = {(r["doc_id"], r["item_id"]): r for r in decontamination.contaminated(make_docs(rows), bench).collect()}
-    assert set(found) == {(1, 1), (2, 1), (3, 1), (8, 2), (10, 1)}
+    assert set(found) == {(1, 1), (2, 1), (3, 1), (8, 2), (9, 5), (10, 1), (11, 2)}
     assert found[1, 1]["exact"] and not found[2, 1]["exact"]
     none = make_docs([])
     assert decontamination.contaminated(none, bench).count() == 0

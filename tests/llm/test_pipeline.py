@@ -81,6 +81,27 @@ def test_rows_without_ids_and_repeated_rows(spark, make_docs, hard_rows):
         assert stage(spark, docs.limit(0), TABLES).count() == 0
 
 
+def test_rules_leave_columns_of_any_name_alone(spark):
+    names = ("kept", "base_failed", "n_lines", "n_words", "symbol_rate", "_words", "_lang", "_document", "most_symbol_rate")
+    docs = spark.read.parquet(f"{TABLES}/documents.parquet")
+    wide = docs.select("*", *[F.concat(F.lit(n), F.col("doc_id").cast("string")).alias(n) for n in names])
+    found = corpus_pipeline.pass_quality_rules(spark, wide, TABLES)
+    assert found.columns == wide.columns
+    plain = corpus_pipeline.pass_quality_rules(spark, docs, TABLES)
+    expected = {r["doc_id"] for r in plain.collect()}
+    rows = found.collect()
+    assert {r["doc_id"] for r in rows} == expected and len(rows) == plain.count()
+    assert all(r[n] == f"{n}{r['doc_id']}" for r in rows for n in names)
+
+
+def test_least_of_rows_with_one_id_stays(spark, make_docs, words):
+    texts = [" ".join(words(k, 40)) for k in (11, 12, 13)]
+    for order in (texts, texts[::-1]):
+        docs = make_docs([(1, t) for t in order] + [(2, None), (2, texts[0])]).repartition(3)
+        found = corpus_pipeline.one_of_near_copies(spark, docs, TABLES).filter("doc_id = 1").collect()
+        assert [r["text"] for r in found] == [min(texts)] and set(found[0].asDict()) == set(docs.columns)
+
+
 def test_run(spark, stages):
     found = corpus_pipeline.run(spark, TABLES)
     assert found.agg(F.sum("n_tokens")).first()[0] == sum(r["n_tokens"] for r in stages[5])

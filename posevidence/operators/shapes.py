@@ -4,13 +4,13 @@ from __future__ import annotations
 
 import sys
 import xml.etree.ElementTree as ET
-from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from posevidence.functions import classify, geometry
 from posevidence.operators.sequences import carried, placed
@@ -59,6 +59,9 @@ DETAIL_SCHEMA = T.StructType(
     ]
 )
 
+_EMPTY_TEXTS = ("vertices_text", "callsign", "creator_uid", "creator_callsign", "creator_time")
+_ARROW_DETAIL = to_arrow_type(DETAIL_SCHEMA)
+
 
 def _number(text, convert=float):
     try:
@@ -82,7 +85,7 @@ def _vertex(text: str | None) -> tuple[float, float] | None:
 def read_detail(text: str | None) -> dict:
     """Drawing facts of one detail blob; a blob that will not parse has none."""
     facts = dict.fromkeys(DETAIL_SCHEMA.names)
-    facts.update(vertices=[], vertices_text="", callsign="", creator_uid="", creator_callsign="", creator_time="")
+    facts.update(vertices=[], **dict.fromkeys(_EMPTY_TEXTS, ""))
     try:
         root = ET.fromstring(text) if text else None
     except ET.ParseError:
@@ -115,14 +118,155 @@ def read_detail(text: str | None) -> dict:
 
 
 def _detail_udf():
-    @F.pandas_udf(DETAIL_SCHEMA)
-    def parse(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield pd.DataFrame([read_detail(v) for v in batch], columns=DETAIL_SCHEMA.names, dtype=object)
+    @F.arrow_udf(DETAIL_SCHEMA)
+    def parse(texts: pa.Array) -> pa.Array:
+        # What was read natively comes as NULL and costs nothing here.
+        return pa.array([None if t is None else read_detail(t) for t in texts.to_pylist()], _ARROW_DETAIL)
 
     return parse
 
 
+# ---------------------------------------------------------------------------
+# Blobs that Spark's own XML reader can read
+# ---------------------------------------------------------------------------
+
+# Attributes are told from elements by a prefix that no blob uses.
+_AT = "at__"
+
+
+def _elements(*attributes: str, **inner: str) -> str:
+    fields = [f"{_AT}{a}:string" for a in attributes] + [f"{k}:{v}" for k, v in inner.items()]
+    return f"array<struct<{','.join(fields)}>>"
+
+
+_LINKS = _elements("point")
+_READ = {
+    "link": _LINKS,
+    "shape": _elements(ellipse=_elements("major", "minor", "angle"), link=_LINKS),
+    "strokeColor": _elements("value"),
+    "color": _elements("argb", "value"),
+    "fillColor": _elements("value"),
+    "strokeWeight": _elements("value"),
+    "contact": _elements("callsign"),
+    "creator": _elements("uid", "callsign", "time"),
+    **{mark: _elements("present") for mark in AUTOMATED_FEED_MARKS},
+}
+_UNREADABLE = "__unreadable"
+_XML_SCHEMA = f"struct<{','.join(f'{k}:{v}' for k, v in _READ.items())},{_UNREADABLE}:string>"
+_XML_OPTIONS = {
+    "mode": "PERMISSIVE",
+    "columnNameOfCorruptRecord": _UNREADABLE,
+    "attributePrefix": _AT,
+    "ignoreSurroundingSpaces": "false",
+}
+
+# What the two readers see differently: declarations, comments and sections,
+# namespaces and prefixes, two characters that are none, and names in another
+# case, which Spark does not tell apart. One pattern each, as each begins with a
+# character that is quickly looked for.
+_NAMES = "|".join([*_READ, "ellipse"])
+_ATTRIBUTES = "point|major|minor|angle|value|argb|callsign|uid|time"
+_SPECIAL_TEXTS = ("<!", "<?", "xmlns", "<" + _AT, "\ufffe", "\uffff")
+_SPECIAL_PATTERNS = (
+    r"""</?[^\s>"'=]*:""",
+    r"""\s[^\s="'<>]*:[^\s="'<>]*\s*=\s*["']""",
+    rf"<(?!(?:{_NAMES})[\s/>])(?iu:{_NAMES})[\s/>]",
+    rf"\s(?!(?:{_ATTRIBUTES})\s*=)(?iu:{_ATTRIBUTES})\s*=",
+)
+_OPENED, _CLOSED, _NOTHING = "<detail>", "</detail>", "<detail/>"
+# Numbers both runtimes read alike, and degrees that are shown as they are written,
+# but for zeros at their end.
+_PLAIN_NUMBER = r"^[+-]?(?:[0-9]+(?:\.[0-9]*)?|\.[0-9]+)(?:[eE][+-]?[0-9]+)?$"
+_PLAIN_INTEGER = r"^-?[0-9]{1,18}$"
+_DEGREES = r"-?(?!0\.0000)(?:0|[1-9][0-9]{0,2})\.[0-9]{1,11}"
+_CLOSING_ZEROS = r"(\.[0-9]+?)0+(?=,|$)"
+_PLAIN_POINT = rf"^{_DEGREES},{_DEGREES}(?:,.*)?$"
+
+
+def _readable_blob(text: Column) -> Column:
+    """Whether the blob is one root from end to end, with nothing special in it."""
+    good = (
+        text.startswith(_OPENED)
+        & text.endswith(_CLOSED)
+        & (F.instr(text, _CLOSED) == F.length(text) - (len(_CLOSED) - 1))
+    )
+    for special in _SPECIAL_TEXTS:
+        good &= ~text.contains(special)
+    for special in _SPECIAL_PATTERNS:
+        good &= ~text.rlike(special)
+    return good
+
+
+def _facts(xml: Column, text: Column) -> tuple[Column, Column]:
+    """(whether every value is plain, the drawing facts) of a blob read as XML."""
+    first = lambda elements, name: F.get(elements, F.lit(0))[_AT + name]
+    absent = lambda value: F.coalesce(value, F.lit("")) == ""
+    points = F.filter(F.transform(xml["link"], lambda e: e[_AT + "point"]), lambda p: p.isNotNull())
+    points = F.coalesce(points, F.array().cast("array<string>"))
+    no_shapes = F.array().cast(_READ["shape"])
+    drawn = F.coalesce(xml["shape"], no_shapes)
+    ellipses = F.flatten(F.filter(F.transform(drawn, lambda e: e["ellipse"]), lambda e: e.isNotNull()))
+    inner = F.flatten(F.filter(F.transform(drawn, lambda e: e["link"]), lambda e: e.isNotNull()))
+    numbers = {
+        "radius_m": first(ellipses, "major"),
+        "minor_m": first(ellipses, "minor"),
+        "angle_deg": first(ellipses, "angle"),
+        "stroke_weight": first(xml["strokeWeight"], "value"),
+    }
+    own = first(xml["strokeColor"], "value")
+    dropped = F.coalesce(F.nullif(first(xml["color"], "argb"), F.lit("")), first(xml["color"], "value"))
+    stroke = F.when(absent(own), dropped).otherwise(own)
+    fill = first(xml["fillColor"], "value")
+    plain = (
+        # Every link is one of those read, and those in shapes only name styles.
+        (F.regexp_count(text, F.lit(r"<link[\s/>]")) == F.size(F.coalesce(xml["link"], F.array().cast(_LINKS))) + F.size(inner))
+        & F.forall(inner, lambda e: e[_AT + "point"].isNull())
+        & F.forall(points, lambda p: p.rlike(_PLAIN_POINT))
+    )
+    for value in numbers.values():
+        plain &= absent(value) | value.rlike(_PLAIN_NUMBER)
+    for value in (stroke, fill):
+        plain &= absent(value) | value.rlike(_PLAIN_INTEGER)
+    degree = lambda p, k: F.get(F.split(p, ","), F.lit(k)).try_cast("double")
+    vertices = F.transform(points, lambda p: F.struct(degree(p, 0).alias("lat"), degree(p, 1).alias("lon")))
+    marks = [F.when(xml[m].isNotNull(), F.lit(m)) for m in AUTOMATED_FEED_MARKS]
+    values = {
+        "vertices": vertices,
+        "vertices_text": F.array_join(
+            F.transform(points, lambda p: F.regexp_replace(F.substring_index(p, ",", 2), _CLOSING_ZEROS, "$1")), " "
+        ),
+        **{name: value.try_cast("double") for name, value in numbers.items()},
+        "stroke_argb": stroke.try_cast("bigint"),
+        "fill_argb": fill.try_cast("bigint"),
+        "callsign": F.coalesce(first(xml["contact"], "callsign"), F.lit("")),
+        "creator_uid": F.coalesce(first(xml["creator"], "uid"), F.lit("")),
+        "creator_callsign": F.coalesce(first(xml["creator"], "callsign"), F.lit("")),
+        "creator_time": F.coalesce(first(xml["creator"], "time"), F.lit("")),
+        "feed_mark": marks[0] if len(marks) == 1 else F.coalesce(*marks),
+    }
+    return plain, F.struct(*[values[name].alias(name) for name in DETAIL_SCHEMA.names]).cast(DETAIL_SCHEMA)
+
+
+def with_facts(rows: DataFrame, text: str, name: str) -> DataFrame:
+    """Adds the facts of each blob as ``name``: read by Spark's XML functions
+    where they surely agree with the parser, by the parser for the rest; a blob
+    that is NULL, empty or an empty element has none."""
+    blob = F.col(text)
+    read = rows.withColumn("__xml", F.when(_readable_blob(blob), F.from_xml(blob, _XML_SCHEMA, _XML_OPTIONS)))
+    plain, facts = _facts(F.col("__xml"), blob)
+    native = F.col("__xml").isNotNull() & F.col(f"__xml.{_UNREADABLE}").isNull() & plain
+    read = read.withColumn("__native", F.when(native, facts))
+    empty = F.struct(
+        *[
+            (F.lit("") if n in _EMPTY_TEXTS else F.array() if n == "vertices" else F.lit(None)).alias(n)
+            for n in DETAIL_SCHEMA.names
+        ]
+    ).cast(DETAIL_SCHEMA)
+    rest = F.when(F.col("__native").isNull() & ~blob.isin("", _NOTHING), blob)
+    parsed = read.withColumn("__parsed", _detail_udf()(rest))
+    return parsed.withColumn(name, F.coalesce("__native", "__parsed", empty)).drop("__xml", "__native", "__parsed")
+
+
 def geometry_of(detail: Column, cot_type: Column, lat: Column, lon: Column) -> Column:
     """Kind and extent from the parsed facts; NULL kind when nothing is drawable."""
     v = detail["vertices"]
@@ -159,8 +303,9 @@ def v_type() -> str:
 
 
 def parse_shapes(versions: DataFrame) -> DataFrame:
-    """Adds ``geom`` to shape versions. Only the blob crosses to Python."""
-    parsed = versions.withColumn("__facts", _detail_udf()(F.col("raw_detail")))
+    """Adds ``geom`` to shape versions. Only blobs that Spark's XML reader might
+    see otherwise cross to Python."""
+    parsed = with_facts(versions, "raw_detail", "__facts")
     return parsed.withColumn(
         "geom",
         geometry_of(F.col("__facts"), F.col("cot_type"), F.col("latitude"), F.col("longitude")),

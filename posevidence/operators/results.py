@@ -28,6 +28,7 @@ from posevidence.functions.text import (
     redact_first_credentials,
 )
 from posevidence.operators.channels import ChannelDecoder
+from posevidence.operators.sequences import PIECE, distinct_in_pieces
 from posevidence.params import ExportParams
 
 # The order each result is written in; ties are settled by an id so that the
@@ -213,6 +214,12 @@ def manifest(cot: DataFrame, params: ExportParams) -> DataFrame:
     )
 
 
+def seen_in_pieces(cot: DataFrame, params: ExportParams, keys: tuple[str, ...] = ("uid",), size: int = PIECE) -> DataFrame:
+    """The manifest's ``callsign_seen`` for keys of any number of callsigns."""
+    rows = cot.filter(in_window("servertime", params)).select(*keys, detail_attribute("callsign").alias("callsign"))
+    return distinct_in_pieces(rows, list(keys), "callsign", size)
+
+
 def shape_versions(cot: DataFrame, params: ExportParams, decoder: ChannelDecoder) -> DataFrame:
     return decoder.add(cot.filter(shape_version_filter(params))).select(
         "id",

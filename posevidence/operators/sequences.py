@@ -16,6 +16,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from posevidence.materialize import settle
+
+# Values in one cell at most, where they are handed out in pieces.
+PIECE = 1000
+
 
 def with_summaries(marked: DataFrame, summaries: DataFrame, on: list[str]) -> DataFrame:
     """Rows beside their slice's summary, on the partitioning they have."""
@@ -69,3 +74,31 @@ def placed(rows: DataFrame, keys: list[str], slice_column: str, order: list[str]
         after.isNotNull().alias("next_row"),
         *[after[v].alias(f"next_{v}") for v in following],
     )
+
+
+def distinct_in_pieces(rows: DataFrame, keys: list[str], value: str, size: int = PIECE, separator: str = " ") -> DataFrame:
+    """Each key's distinct values in binary order, cut into pieces from 1: the
+    keys, ``piece``, ``n_values``, ``first_value``, ``last_value`` and ``seen``.
+
+    No cell holds more than ``size`` values, however many a key has. Values are
+    made distinct where the rows are; slices are ranges of (key, value), written
+    once, since they must be the same wherever they are read. A key may be NULL;
+    a key without a value has no piece.
+    """
+    known = [F.col(f"`{k}`").isNotNull().alias(f"__known{i}") for i, k in enumerate(keys)]
+    shown = [F.col(f"`{k}`").alias(f"__key{i}") for i, k in enumerate(keys)]
+    filled = [F.coalesce(F.col(f"`{k}`").cast("string"), F.lit("")).alias(f"__text{i}") for i, k in enumerate(keys)]
+    by = [f"__{part}{i}" for i in range(len(keys)) for part in ("known", "text")]
+    found = rows.filter(F.col(f"`{value}`").isNotNull()).select(*known, *shown, *filled, F.col(f"`{value}`").alias("__value"))
+    ranges = found.distinct().repartitionByRange(*by, "__value").withColumn("__slice", F.spark_partition_id())
+    numbered = placed(settle(ranges), by, "__slice", ["__value"], ["__value"])
+    piece = F.floor((F.col("place") - 1) / size) + 1
+    pieces = numbered.groupBy(*by, piece.cast("long").alias("piece")).agg(
+        *[F.first(f"__key{i}").alias(f"__key{i}") for i in range(len(keys))],
+        F.count("*").alias("n_values"),
+        F.min("__value").alias("first_value"),
+        F.max("__value").alias("last_value"),
+        F.array_join(F.array_sort(F.collect_list("__value")), separator).alias("seen"),
+    )
+    named = [F.col(f"__key{i}").alias(k) for i, k in enumerate(keys)]
+    return pieces.select(*named, "piece", "n_values", "first_value", "last_value", "seen")

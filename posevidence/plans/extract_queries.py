@@ -60,6 +60,24 @@ SELECT *,
 FROM rolled"""
 
 
+def _pieces_check(key: str, size: int) -> str:
+    return f"""
+WITH seen AS (SELECT DISTINCT {key}, {attr('callsign')} AS callsign FROM cot WHERE {IN_WINDOW}),
+placed AS (SELECT *, (row_number() OVER (PARTITION BY {key} ORDER BY callsign) - 1) // {size} + 1 AS piece FROM seen WHERE callsign IS NOT NULL)
+SELECT {key}, CAST(piece AS BIGINT) AS piece, count(*) AS n_values, min(callsign) AS first_value, max(callsign) AS last_value,
+  string_agg(callsign, ' ' ORDER BY callsign) AS seen FROM placed GROUP BY {key}, piece"""
+
+
+@registered("callsigns_of_devices", "A5", "cot", _pieces_check("uid", results.PIECE))
+def callsigns_of_devices(t):
+    return results.seen_in_pieces(t["cot"], P)
+
+
+@registered("callsigns_of_types", "A5", "cot", _pieces_check("cot_type", 7))
+def callsigns_of_types(t):
+    return results.seen_in_pieces(t["cot"], P, ("cot_type",), 7)
+
+
 @registered("manifest", "A2 P14 P15 A5 A6 F1 F2 F3 S1", "cot", _MANIFEST_CHECK % "TRUE")
 def manifest(t):
     return results.manifest(t["cot"], P)

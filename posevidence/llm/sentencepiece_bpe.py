@@ -10,7 +10,8 @@ pieces are read back from the end of the table.
 
 No piece holds a space mark or most punctuation after a letter. The text is
 cut there into segments; a segment's pieces do not depend on its neighbours,
-and recurring segments are kept in a bounded cache.
+and recurring words and segments are kept in bounded caches, their ids as bytes of
+the model's width, which join without a loop.
 
 NULL and empty texts give no ids; no text is cut, whatever its length.
 """
@@ -18,7 +19,6 @@ NULL and empty texts give no ids; no text is cut, whatever its length.
 from __future__ import annotations
 
 import re
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -50,6 +50,8 @@ class PrefixTable:
             elif not (model.is_control(i) or model.is_unknown(i) or model.is_unused(i)):
                 self.ids[piece] = i
                 self.score[piece] = model.get_score(i)
+        self.dtype = np.dtype("<u2" if len(self.pieces) <= 1 << 16 else "<u4")
+        self.packed = {p: self._bytes([i]) for p, i in self.ids.items()}
         self.unknown = model.unk_id()
         self.silent = {i for i in range(len(self.pieces)) if model.is_control(i)}
         if any(SPACE in p.lstrip(SPACE) for p in self.ids):
@@ -85,17 +87,20 @@ class PrefixTable:
 
     def merged(self, text: str) -> list[str]:
         """Greedy merging, best score and then leftmost first; for short texts."""
-        parts = list(text)
-        score = self.score
-        while len(parts) > 1:
-            best, at = None, -1
-            for k in range(len(parts) - 1):
-                s = score.get(parts[k] + parts[k + 1])
-                if s is not None and (best is None or s > best):
-                    best, at = s, k
-            if at < 0:
-                return parts
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+        parts, score, none = list(text), self.score, -np.inf
+        gains = [score.get(a + b, none) for a, b in zip(parts, parts[1:])]
+        while gains:
+            best = max(gains)
+            if best == none:
+                break
+            k = gains.index(best)
+            joined = parts[k] + parts.pop(k + 1)
+            parts[k] = joined
+            del gains[k]
+            if k:
+                gains[k - 1] = score.get(parts[k - 1] + joined, none)
+            if k < len(gains):
+                gains[k] = score.get(joined + parts[k + 1], none)
         return parts
 
     def stays(self, left: str, right: str) -> bool:
@@ -134,32 +139,35 @@ class PrefixTable:
                 last[k] = segment[k - 1]
         return last
 
-    def encode_segment(self, segment: str) -> tuple[int, ...]:
+    def _bytes(self, ids: list[int]) -> bytes:
+        return np.array(ids, self.dtype).tobytes()
+
+    def encode_segment(self, segment: str) -> bytes:
         last = self.last_pieces(segment)
+        packed = self.packed
         found, at = [], len(segment)
         while at:
             piece = last[at]
             at -= len(piece)
-            number = self.ids.get(piece)
-            if number is not None:
-                found.append(number)
-            elif self.bytes:
-                found.extend(self.bytes[b] for b in reversed(piece.encode("utf-8")))
-            else:
-                found.append(self.unknown)
-        return tuple(reversed(found))
-
-    def encode_word(self, word: str) -> tuple[int, ...]:
+            own = packed.get(piece)
+            if own is None:
+                # Without byte pieces a character stands for itself and is unknown.
+                own = self._bytes([self.bytes[b] for b in piece.encode("utf-8")] if self.bytes else [self.unknown])
+            found.append(own)
+        found.reverse()
+        return b"".join(found)
+
+    def encode_word(self, word: str) -> bytes:
         parts = self.segments.findall(word)
         if len(parts) == 1:
-            return self.encode_segment(word)
-        return tuple(chain.from_iterable(map(self.segment_ids.__getitem__, parts)))
+            return self.segment_ids[word]
+        return b"".join(map(self.segment_ids.__getitem__, parts))
 
     def encode(self, text: str) -> np.ndarray:
         if not text:
-            return np.zeros(0, np.int32)
+            return np.zeros(0, self.dtype)
         words = self.words.findall(SPACE + text.replace(" ", SPACE))
-        return np.fromiter(chain.from_iterable(map(self.word_ids.__getitem__, words)), np.int32)
+        return np.frombuffer(b"".join(map(self.word_ids.__getitem__, words)), self.dtype)
 
 
 class _Cache(dict):
@@ -168,7 +176,7 @@ class _Cache(dict):
     def __init__(self, make):
         self.make = make
 
-    def __missing__(self, key: str) -> tuple[int, ...]:
+    def __missing__(self, key: str) -> bytes:
         ids = self.make(key)
         if len(key) <= CACHED_LENGTH:
             if len(self) >= CACHE:
@@ -253,7 +261,7 @@ def ids_of(text: Column, model_path: str) -> Column:
         own = table(model_path)
         found = [own.encode(t) for t in strings(texts)]
         offsets = np.cumsum([0, *map(len, found)])
-        flat = np.concatenate(found) if found else np.zeros(0, np.int32)
+        flat = np.concatenate(found).astype(np.int32) if found else np.zeros(0, np.int32)
         return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat, pa.int32()))
 
     return encode(text)

@@ -16,21 +16,22 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Sequence
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from posevidence.llm.common import WORD, portions, stored, strings, text_bytes
+from posevidence.llm.common import portions, stored, text_bytes
 
 #: Ids in one block, about.
 BLOCK_IDS = 1 << 18
-WORD_CACHE = 1 << 17
+#: Bound of the cache of one worker process, in entries; longer parts are not kept.
 PART_CACHE = 3 << 17
 CACHED_LENGTH = 48
+#: New parts that the library encodes as one text.
+TOGETHER = 1000
 
 _LENGTHS = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3).astype(np.uint8) + 1
 
@@ -53,46 +54,24 @@ def unpack(control: bytes, data: bytes, count: int) -> np.ndarray:
     return out.view("<u4").ravel()
 
 
-# Runs of letters, or of signs, that the next character surely ends.
 _LETTERS, _SIGNS, _BLANK = "A-Za-zÀ-ÖØ-öø-ſ", "!-&(-/:-@\\[-`{-~", "\\x20\\x09-\\x0D"
+# Surely one part to the library, and surely two.
+_ONE, _TWO = f"^(?:[{_LETTERS}]+|[{_SIGNS}]+)$", f"^[{_LETTERS}]+[{_SIGNS}]+$"
+_TAIL = "".join(c for c in map(chr, range(33, 127)) if re.match(f"[{_SIGNS}]", c))
+# Runs of letters, or of signs, that the next character surely ends.
 _PARTS = re.compile(
     f"[{_LETTERS}]++(?![^{_BLANK}{_SIGNS}])|[{_SIGNS}]++(?![^{_BLANK}{_LETTERS}])|[^{_BLANK}]+"
 )
-_ASCII_SIGNS = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum() and c != "'")
-
-
-# White space of ``str.split`` beyond what separates words here.
-_OTHER_BLANKS = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
-
-
-def _words(text: str) -> list[str]:
-    return WORD.findall(text) if _OTHER_BLANKS.search(text) else text.split()
-
-
-def _cut(word: str) -> Sequence[str]:
-    """Parts that the library encodes apart; it lowers letters itself, so plain
-    ones share a key."""
-    if word.isascii():
-        word = word.lower()
-        core = word.rstrip(_ASCII_SIGNS)
-        if core.isalpha():
-            return (core,) if len(core) == len(word) else (core, word[len(core) :])
-    elif word.isalpha():
-        return (word,)
-    return _PARTS.findall(word)
-
-
-# Surely one word to the library.
-_PLAIN = re.compile(f"[{_LETTERS}]+|[{_SIGNS}]+")
 
 
 class WordTokenizer:
     """A tokenizer of the tokenizers library that ends words at white space and
     between letters and signs.
 
-    Words and their parts are encoded once and kept in bounded caches; the
-    library encodes those not yet seen, many in one call. Texts that hold a
-    special token's string go to it whole.
+    Arrow finds the distinct words of a portion, and their distinct parts where
+    the library surely cuts a word into letters and signs. Parts not yet kept are
+    encoded by the library, many in one call; their ids are kept in a bounded
+    cache. Texts that hold a special token's string go to the library whole.
     """
 
     def __init__(self, path: str):
@@ -106,54 +85,77 @@ class WordTokenizer:
             self.ends[number] = token.endswith("</w>")
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         # Ids as bytes of the tokenizer's width, which join without a loop.
-        self.words: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {}
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        split = [_words(t) for t in texts]
-        words = self.words
-        if len(words) >= WORD_CACHE:
-            words.clear()
-        if len(self.parts) >= PART_CACHE:
-            self.parts.clear()
-        odd = {k for k, t in enumerate(texts) if any(s in t for s in self.special)}
-        new = set(chain.from_iterable(row for k, row in enumerate(split) if k not in odd)).difference(words)
-        self._learn(new)
-        found = [
-            self._bytes(self.tokenizer.encode(texts[k], add_special_tokens=False).ids)
-            if k in odd
-            else b"".join(map(words.__getitem__, row))
-            for k, row in enumerate(split)
-        ]
-        for w in new:
-            if len(w) > CACHED_LENGTH:
-                del words[w]
-        return found
+    def encode(self, texts: list[str] | pa.Array) -> list[bytes]:
+        """The ids of each text; of a NULL text, none."""
+        texts = pc.fill_null(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()), "")
+        odd, whole = pa.array(np.zeros(len(texts), bool)), {}
+        for token in self.special:
+            odd = pc.or_(odd, pc.match_substring(texts, token))
+        if pc.any(odd).as_py():
+            for k in np.flatnonzero(odd.to_numpy(zero_copy_only=False)).tolist():
+                whole[k] = self._bytes(self.tokenizer.encode(texts[k].as_py(), add_special_tokens=False).ids)
+            texts = pc.if_else(odd, "", texts)
+        split = pc.ascii_split_whitespace(texts)
+        coded = split.flatten().dictionary_encode()
+        ids, ends = _taken(*self._words(coded.dictionary), coded.indices.to_numpy())
+        raw, cut = ids.tobytes(), (ends[split.offsets.to_numpy()] * self.dtype.itemsize).tolist()
+        return [whole.get(k) or raw[a:b] for k, (a, b) in enumerate(zip(cut, cut[1:]))]
+
+    def _words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of words end to end, and how many each has."""
+        two = pc.match_substring_regex(words, _TWO)
+        # The library lowers letters itself, so plain ones share a key.
+        plain = pc.or_(two, pc.match_substring_regex(words, _ONE))
+        core = pc.if_else(two, pc.ascii_rtrim(words, _TAIL), words)
+        tail = pc.if_else(two, pc.replace_substring_regex(words, f"^[{_LETTERS}]+", ""), "")
+        coded = pa.concat_arrays([pc.if_else(plain, pc.ascii_lower(core), core), tail]).dictionary_encode()
+        flat, sizes = self._learned(coded.dictionary.to_pylist())
+        at = coded.indices.to_numpy().reshape(2, -1).T.ravel()
+        ids, ends = _taken(flat, sizes, at)
+        return ids, np.diff(ends[::2])
+
+    def _learned(self, distinct: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        parts = self.parts
+        if len(parts) >= PART_CACHE:
+            parts.clear()
+        self._learn([p for p in distinct if p not in parts])
+        known = [parts[p] for p in distinct]
+        for p in distinct:
+            if len(p) > CACHED_LENGTH:
+                del parts[p]
+        sizes = np.fromiter(map(len, known), np.int64, len(known)) // self.dtype.itemsize
+        return np.frombuffer(b"".join(known), self.dtype), sizes
 
     def _bytes(self, ids: list[int]) -> bytes:
         return np.array(ids, self.dtype).tobytes()
 
-    def _learn(self, new: set[str]) -> None:
-        cut = {w: _cut(w) for w in new}
-        parts = self.parts
-        missing = list({p for row in cut.values() for p in row if p not in parts})
-        plain = [p for p in missing if _PLAIN.fullmatch(p)]
-        for k in range(0, len(plain), 1000):
-            some = plain[k : k + 1000]
+    def _learn(self, new: list[str]) -> None:
+        one = pc.match_substring_regex(pa.array(new, pa.string()), _ONE).to_numpy(zero_copy_only=False)
+        plain = [new[i] for i in np.flatnonzero(one).tolist()]
+        for k in range(0, len(plain), TOGETHER):
+            some = plain[k : k + TOGETHER]
             ids = self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids
             ids = np.array(ids, self.dtype)
             ends = ((np.flatnonzero(self.ends[ids]) + 1) * ids.itemsize).tolist()
+            # None has fewer than one end, so equal numbers mean one for each.
             if len(ends) == len(some):
                 raw = ids.tobytes()
-                parts.update(zip(some, [raw[a:b] for a, b in zip([0, *ends], ends)]))
-        rest = [p for p in missing if p not in parts]
-        for p, encoding in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)):
-            parts[p] = self._bytes(encoding.ids)
-        for w, row in cut.items():
-            self.words[w] = parts[row[0]] if len(row) == 1 else b"".join(map(parts.__getitem__, row))
-        for p in missing:
-            if len(p) > CACHED_LENGTH:
-                del parts[p]
+                self.parts.update(zip(some, [raw[a:b] for a, b in zip([0, *ends], ends)]))
+        cut = {p: _PARTS.findall(p) for p in new if p not in self.parts}
+        apart = list({p for row in cut.values() for p in row})
+        found = self.tokenizer.encode_batch_fast(apart, add_special_tokens=False)
+        ids = {p: self._bytes(encoding.ids) for p, encoding in zip(apart, found)}
+        for p, row in cut.items():
+            self.parts[p] = b"".join(map(ids.__getitem__, row))
+
+
+def _taken(flat: np.ndarray, sizes: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The entries numbered ``at`` of a ragged array end to end, and their bounds."""
+    taken = sizes[at]
+    ends = np.r_[0, np.cumsum(taken)]
+    return flat[np.repeat((np.cumsum(sizes) - sizes)[at] - ends[:-1], taken) + np.arange(ends[-1])], ends
 
 
 _tokenizers: dict[str, WordTokenizer] = {}
@@ -172,7 +174,7 @@ def tokenised(docs: DataFrame, path: str, end_id: int | None, doc_id: str = "doc
         own = _tokenizer(path)
         end = np.array([] if end_id is None else [end_id], own.dtype).tobytes()
         for batch in portions(batches, "text"):
-            found = own.encode(strings(batch.column(1)))
+            found = own.encode(batch.column(1))
             yield pa.record_batch(
                 [batch.column(0), pa.array([f + end for f in found], pa.binary())],
                 ["doc_id", "ids"],

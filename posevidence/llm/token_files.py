@@ -54,7 +54,8 @@ def unpack(control: bytes, data: bytes, count: int) -> np.ndarray:
     return out.view("<u4").ravel()
 
 
-_LETTERS, _SIGNS, _BLANK = "A-Za-zÀ-ÖØ-öø-ſ", "!-&(-/:-@\\[-`{-~", "\\x20\\x09-\\x0D"
+# Not the dotted capital I: lowered, its dot is a sign that joins those after it.
+_LETTERS, _SIGNS, _BLANK = "A-Za-zÀ-ÖØ-öø-įı-ſ", "!-&(-/:-@\\[-`{-~", "\\x20\\x09-\\x0D"
 # Surely one part to the library, and surely two.
 _ONE, _TWO = f"^(?:[{_LETTERS}]+|[{_SIGNS}]+)$", f"^[{_LETTERS}]+[{_SIGNS}]+$"
 _TAIL = "".join(c for c in map(chr, range(33, 127)) if re.match(f"[{_SIGNS}]", c))
@@ -269,8 +270,8 @@ def write_ids(
     )
 
 
-def read_ids(spark: SparkSession, folder: str) -> DataFrame:
-    """(doc_id, start, ids): every document's ids and how many precede them."""
+def _opened(spark: SparkSession, folder: str, schema: str, shown) -> DataFrame:
+    """Rows of ``shown(doc_ids, starts, ids, offsets)`` for every block."""
     ranks = spark.read.parquet(f"{folder}/ranks").orderBy("rank").collect()
     shared = spark.sparkContext.broadcast(np.array([r["id"] for r in ranks], np.uint32))
     blocks = spark.read.parquet(f"{folder}/blocks")
@@ -288,18 +289,35 @@ def read_ids(spark: SparkSession, folder: str) -> DataFrame:
                 ids = id_of[unpack(row["control"], row["data"], row["n"])] if row["n"] else np.zeros(0, np.uint32)
                 counts = np.array(row["counts"], np.int64)
                 offsets = np.concatenate([[0], np.cumsum(counts)])
-                yield pa.record_batch(
-                    [
-                        pa.array(row["doc_ids"], pa.int64()),
-                        pa.array(starts[row["part"]] + row["before"] + offsets[:-1], pa.int64()),
-                        pa.ListArray.from_arrays(
-                            pa.array(offsets, pa.int32()), pa.array(ids.astype(np.int32), pa.int32())
-                        ),
-                    ],
-                    ["doc_id", "start", "ids"],
-                )
-
-    return blocks.mapInArrow(open_blocks, "doc_id long, start long, ids array<int>")
+                before = starts[row["part"]] + row["before"] + offsets[:-1]
+                yield shown(pa.array(row["doc_ids"], pa.int64()), pa.array(before, pa.int64()), ids, offsets)
+
+    return blocks.mapInArrow(open_blocks, schema)
+
+
+def read_ids(spark: SparkSession, folder: str) -> DataFrame:
+    """(doc_id, start, ids): every document's ids and how many precede them."""
+
+    def shown(doc_ids, starts, ids, offsets):
+        lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids.astype(np.int32), pa.int32()))
+        return pa.record_batch([doc_ids, starts, lists], ["doc_id", "start", "ids"])
+
+    return _opened(spark, folder, "doc_id long, start long, ids array<int>", shown)
+
+
+def read_checksums(spark: SparkSession, folder: str) -> DataFrame:
+    """(doc_id, start, n_tokens, ids_crc32) of the ids that ``read_ids`` gives,
+    taken where a block is opened, so that no id leaves the task."""
+
+    def shown(doc_ids, starts, ids, offsets):
+        raw, cut = memoryview(ids.astype("<u4")).cast("B"), (4 * offsets).tolist()
+        crcs = [zlib.crc32(raw[a:b]) for a, b in zip(cut, cut[1:])]
+        return pa.record_batch(
+            [doc_ids, starts, pa.array(np.diff(offsets), pa.int64()), pa.array(crcs, pa.int64())],
+            ["doc_id", "start", "n_tokens", "ids_crc32"],
+        )
+
+    return _opened(spark, folder, "doc_id long, start long, n_tokens long, ids_crc32 long", shown)
 
 
 def ids_crc32(ids: Column) -> Column:

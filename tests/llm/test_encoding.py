@@ -71,6 +71,17 @@ def test_words_equal_the_library():
         assert np.frombuffer(found, own.dtype).tolist() == library.encode(text, add_special_tokens=False).ids
 
 
+def test_words_of_letters_and_signs_are_cut_as_the_library_cuts_them():
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(WORDS)
+    own = token_files.WordTokenizer(WORDS)
+    texts = ["Straße,Straße!! İstanbul, İ. ŉ ſ; Kelvin", "Å, é.", "don't. DON'T'", None, "", "a-b a- -b --", "Zoo, " * 3000]
+    for _ in range(2):  # the second time from the cache
+        for text, found in zip(texts, own.encode(texts)):
+            assert np.frombuffer(found, own.dtype).tolist() == library.encode(text or "", add_special_tokens=False).ids
+
+
 def test_packed_values_come_back():
     r = np.random.default_rng(3)
     for n in (0, 1, 3, 4, 5, 1000):
@@ -87,6 +98,10 @@ def test_files_hold_all_ids_in_order(spark, make_docs, hard_rows, shared_dir):
     folder = f"file://{shared_dir}/files"
     token_files.write_ids(make_docs(hard_rows).repartition(3), folder, WORDS, end_id=2)
     found = token_files.read_ids(spark, folder).withColumn("crc", token_files.ids_crc32(F.col("ids"))).collect()
+    sums = token_files.read_checksums(spark, folder).collect()
+    assert sorted((r["doc_id"] is not None, r["doc_id"] or 0, r["start"], len(r["ids"]), r["crc"]) for r in found) == sorted(
+        (r["doc_id"] is not None, r["doc_id"] or 0, r["start"], r["n_tokens"], r["ids_crc32"]) for r in sums
+    )
     found.sort(key=lambda r: r["start"])
     order = sorted(hard_rows, key=lambda r: (r[0] is not None, r[0] or 0))
     start = 0
@@ -103,6 +118,7 @@ def test_files_of_an_empty_table(spark, make_docs, shared_dir):
     folder = f"file://{shared_dir}/none"
     token_files.write_ids(make_docs([]), folder, WORDS, end_id=2)
     assert token_files.read_ids(spark, folder).count() == 0
+    assert token_files.read_checksums(spark, folder).count() == 0
 
 
 def test_digests_of_the_query(spark):

@@ -1,3 +1,4 @@
+import random
 import re
 
 import numpy as np
@@ -162,3 +163,13 @@ def test_components(spark):
     found = {r["node"]: r["component"] for r in components(edges).collect()}
     assert found == {1: 1, 2: 1, 3: 1, 20: 1, 7: 7, 8: 7, 9: 7}
     assert components(edges.limit(0)).count() == 0
+
+
+def test_components_of_long_paths_settle(spark):
+    order = list(range(90))
+    random.Random(2).shuffle(order)
+    edges = list(zip(order, order[1:60])) + list(zip(order[60:], order[61:])) + [(order[3], order[3])]
+    found = components(spark.createDataFrame(edges, "a long, b long"))
+    least = {n: min(order[:60]) for n in order[:60]} | {n: min(order[60:]) for n in order[60:]}
+    assert {r["node"]: r["component"] for r in found.collect()} == least
+    assert components(spark.createDataFrame([], "a long, b long")).count() == 0

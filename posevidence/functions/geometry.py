@@ -6,6 +6,7 @@ Points are structs (lat, lon); chains and rings are arrays of them.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from functools import reduce
 from operator import or_
 
@@ -18,6 +19,12 @@ from posevidence.params import EARTH_RADIUS_M, Box
 COLLINEAR = 1e-15
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is worked out once, however often ``use`` mentions
+    it; written out at every mention, a plan grows by that factor at each level."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def point(lat: Column, lon: Column) -> Column:
     return F.struct(lat.alias("lat"), lon.alias("lon"))
 
@@ -185,22 +192,27 @@ def ellipse_ring(
 
 def ring_area(vertices: Column) -> Column:
     """Shoelace area in square degrees, 0 for fewer than three vertices."""
-    twice = F.aggregate(
-        edges(vertices),
-        F.lit(0.0),
-        lambda acc, e: acc + (e["a"]["lon"] * e["b"]["lat"] - e["b"]["lon"] * e["a"]["lat"]),
-    )
-    return F.when(F.size(vertices) >= 3, F.abs(twice) / 2).otherwise(F.lit(0.0))
+
+    def area(v: Column) -> Column:
+        twice = F.aggregate(
+            edges(v),
+            F.lit(0.0),
+            lambda acc, e: acc + (e["a"]["lon"] * e["b"]["lat"] - e["b"]["lon"] * e["a"]["lat"]),
+        )
+        return F.when(F.size(v) >= 3, F.abs(twice) / 2).otherwise(F.lit(0.0))
+
+    return bound(vertices, area)
 
 
 def footprint_area(geometry: Column) -> Column:
     """What orders shapes for drawing: ring or ellipse area, 0 for the rest."""
-    ring = ellipse_ring(
-        geometry["center_lat"], geometry["center_lon"], geometry["radius_m"],
-        geometry["minor_m"], geometry["angle_deg"], n=16,
-    )
-    return (
-        F.when(geometry["kind"] == "polygon", ring_area(geometry["vertices"]))
-        .when(geometry["kind"].isin("circle", "ellipse"), ring_area(ring))
-        .otherwise(F.lit(0.0))
-    )
+
+    def area(g: Column) -> Column:
+        ring = ellipse_ring(g["center_lat"], g["center_lon"], g["radius_m"], g["minor_m"], g["angle_deg"], n=16)
+        return (
+            F.when(g["kind"] == "polygon", ring_area(g["vertices"]))
+            .when(g["kind"].isin("circle", "ellipse"), ring_area(ring))
+            .otherwise(F.lit(0.0))
+        )
+
+    return bound(geometry, area)

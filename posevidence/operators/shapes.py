@@ -252,10 +252,13 @@ def with_facts(rows: DataFrame, text: str, name: str) -> DataFrame:
     where they surely agree with the parser, by the parser for the rest; a blob
     that is NULL, empty or an empty element has none."""
     blob = F.col(text)
-    read = rows.withColumn("__xml", F.when(_readable_blob(blob), F.from_xml(blob, _XML_SCHEMA, _XML_OPTIONS)))
-    plain, facts = _facts(F.col("__xml"), blob)
-    native = F.col("__xml").isNotNull() & F.col(f"__xml.{_UNREADABLE}").isNull() & plain
-    read = read.withColumn("__native", F.when(native, facts))
+
+    def native(xml: Column) -> Column:
+        plain, facts = _facts(xml, blob)
+        return F.when(xml.isNotNull() & xml[_UNREADABLE].isNull() & plain, facts)
+
+    xml = F.when(_readable_blob(blob), F.from_xml(blob, _XML_SCHEMA, _XML_OPTIONS))
+    read = rows.withColumn("__native", geometry.bound(xml, native))
     empty = F.struct(
         *[
             (F.lit("") if n in _EMPTY_TEXTS else F.array() if n == "vertices" else F.lit(None)).alias(n)
@@ -264,7 +267,7 @@ def with_facts(rows: DataFrame, text: str, name: str) -> DataFrame:
     ).cast(DETAIL_SCHEMA)
     rest = F.when(F.col("__native").isNull() & ~blob.isin("", _NOTHING), blob)
     parsed = read.withColumn("__parsed", _detail_udf()(rest))
-    return parsed.withColumn(name, F.coalesce("__native", "__parsed", empty)).drop("__xml", "__native", "__parsed")
+    return parsed.withColumn(name, F.coalesce("__native", "__parsed", empty)).drop("__native", "__parsed")
 
 
 def geometry_of(detail: Column, cot_type: Column, lat: Column, lon: Column) -> Column:
@@ -306,10 +309,12 @@ def parse_shapes(versions: DataFrame) -> DataFrame:
     """Adds ``geom`` to shape versions. Only blobs that Spark's XML reader might
     see otherwise cross to Python."""
     parsed = with_facts(versions, "raw_detail", "__facts")
-    return parsed.withColumn(
-        "geom",
-        geometry_of(F.col("__facts"), F.col("cot_type"), F.col("latitude"), F.col("longitude")),
-    ).drop("__facts", "raw_detail")
+    # Facts are bound, so that a filter on ``geom`` takes them into its condition
+    # once and not at every mention.
+    geom = geometry.bound(
+        F.col("__facts"), lambda d: geometry_of(d, F.col("cot_type"), F.col("latitude"), F.col("longitude"))
+    )
+    return parsed.withColumn("geom", geom).drop("__facts", "raw_detail")
 
 
 def object_fates(parsed: DataFrame, box: Box, include_feed_shapes: bool = False) -> DataFrame:

@@ -1,3 +1,4 @@
+import hashlib
 import re
 
 import pytest
@@ -230,3 +231,17 @@ def test_the_first_of_equal_names_counts(spark):
     scripts = spark.createDataFrame([(f"p{k}", "P", script) for k in (1, 2, 3, 4)], "package_sha256 string, case_prefix string, queries_sql string")
     found = {r.package_sha256: (r.state, r.recorded_sha256) for r in audit.script_hash_check(scripts, df).collect()}
     assert found == {"p1": ("match", own), "p2": ("mismatch", other), "p3": ("mismatch", "ffff"), "p4": ("not recorded", None)}
+
+
+def test_long_logs_are_chained_through_packs_of_slices(spark):
+    rows = [(f"C{i % 2}" if i % 9 else "", "package", "generated", f"row {i}; é" * (i % 5)) for i in range(700)]
+    new = log(spark, rows).withColumn("log_id", F.col("case_id"))
+    # Packs end within a slice, with a slice, and with a log.
+    got = {r.id: (r.prev_hash, r.row_hash) for r in audit.chain_append(new.repartition(5), id_slice=300).collect()}
+    content = {r.id: (r.log_id, r.c) for r in new.select("id", "log_id", audit.chained_content(new).alias("c")).collect()}
+    last, expected = {}, {}
+    for i, (log_id, text) in sorted(content.items()):
+        before = last.get(log_id, "")
+        last[log_id] = hashlib.sha256((before + text).encode("utf-8")).hexdigest()
+        expected[i] = before, last[log_id]
+    assert got == expected

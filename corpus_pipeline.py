@@ -23,7 +23,10 @@ def pass_quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     # name no count has, so that columns of the documents clash with none.
     rows = docs.select("text", "lang", "source", F.struct(*docs.columns).alias("_document"))
     counted = stored(quality_rules.measured(rows).drop("text"), "quality-counts")
-    kept = quality_rules.judged(counted, quality_rules.fences(counted)).filter("kept")
+    # Fences are written too: by their written size the join knows from the start
+    # whether they can be handed to every task, and no text is moved to meet them.
+    bounds = stored(quality_rules.fences(counted), "quality-fences")
+    kept = quality_rules.judged(counted, bounds).filter("kept")
     return kept.select(*[F.col("_document").getField(c).alias(c) for c in docs.columns])
 
 

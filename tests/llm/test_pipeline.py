@@ -105,3 +105,22 @@ def test_least_of_rows_with_one_id_stays(spark, make_docs, words):
 def test_run(spark, stages):
     found = corpus_pipeline.run(spark, TABLES)
     assert found.agg(F.sum("n_tokens")).first()[0] == sum(r["n_tokens"] for r in stages[5])
+
+
+def test_fences_come_to_the_texts(spark, tmp_path):
+    """Where fences are small and documents are not, no document is moved to meet them."""
+    letters = F.concat_ws(" ", *[F.substring(F.sha2(F.concat("id", F.lit(f"/{k}")), 256), 1, 9) for k in range(12)])
+    rows = spark.range(3000).select(
+        F.col("id").alias("doc_id"), letters.alias("text"), F.lit("en").alias("lang"), F.lit("web").alias("source"),
+        F.length(letters).cast("long").alias("n_chars"),
+    )
+    rows.write.parquet(f"{tmp_path}/documents.parquet")
+    default = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "30000")
+    try:
+        kept = corpus_pipeline.pass_quality_rules(spark, spark.read.parquet(f"{tmp_path}/documents.parquet"), str(tmp_path))
+        plan = kept._jdf.queryExecution().sparkPlan().toString()
+        assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+        assert 0 < kept.count() <= 3000
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", default)

@@ -13,8 +13,12 @@ context, all units of all windows that may have chosen it.
    these are fetched, once each, and their windows compared.
 
 Contexts with one nearest name are compared in one task as long as there are
-few; where there are more, their windows are grouped by name instead, so no
-name's contexts need to meet in one task.
+few. Where there are more, a round deals each context out twice, for either half
+of its windows, by the longer strings that all windows of a half share. There
+the first step is done again: of halves that are equal as a whole the first goes
+on, and only if its name has others. Rounds go on while a name has many, at the
+most until a half is one window, which is then its own name. So a context makes
+two rows in a round, and no name's contexts need to meet in one task.
 
 Names are 64-bit digests; two agree by chance only where both the nearest name,
 by which rows are dealt out, and the second name do.
@@ -24,12 +28,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from posevidence.llm.common import stored
+
 #: Contexts compared at once in one task.
 BLOCK = 4096
 
@@ -116,22 +123,23 @@ ANCHOR_SCHEMA = "near long, whole long, doc_id long, at int"
 
 
 def settled_and_open(anchors: DataFrame, windows: Windows) -> DataFrame:
-    """(doc_id, at, near, settled): contexts that stand earlier as a whole, and
-    the first of each context whose nearest units have another context too."""
+    """The rows of contexts that stand earlier as a whole, which are ``settled``,
+    and of the first of each context whose nearest units have another context too.
+
+    ``anchors``: (near, whole, doc_id, at), and columns that are taken along.
+    """
     by_place = windows.earlier == "place"
 
     def walk(batches):
         carried, known_before = None, False
         for batch in batches:
-            near, whole, doc = (batch.column(k).to_numpy() for k in range(3))
-            at = batch.column(3).to_numpy()
+            if not batch.num_rows:
+                continue
             held = 0
             if carried is not None:
-                held = len(carried[0])
-                near, whole, doc, at = (np.concatenate([a, b]) for a, b in zip(carried, (near, whole, doc, at)))
-            n = len(near)
-            if not n:
-                continue
+                held = carried.num_rows
+                batch = pa.Table.from_batches([carried, batch]).combine_chunks().to_batches()[0]
+            near, whole, doc, at = (batch.column(k).to_numpy() for k in range(4))
             new_near = np.r_[True, near[1:] != near[:-1]]
             new_class = new_near | np.r_[True, whole[1:] != whole[:-1]]
             starts = np.flatnonzero(new_class)
@@ -150,24 +158,23 @@ def settled_and_open(anchors: DataFrame, windows: Windows) -> DataFrame:
             covered[:held] = False
             keep = np.flatnonzero(opened | covered)
             if len(keep):
-                yield _rows(doc[keep], at[keep], near[keep], covered[keep])
-            wait = np.flatnonzero(is_first & last)
-            carried = near[wait], whole[wait], doc[wait], at[wait]
+                yield _marked(batch.take(pa.array(keep)), covered[keep])
+            carried = batch.take(pa.array(np.flatnonzero(is_first & last)))
             known_before = bool(before[-1])
         if carried is not None and known_before:
-            yield _rows(carried[2], carried[3], carried[0], np.zeros(len(carried[0]), bool))
+            yield _marked(carried, np.zeros(carried.num_rows, bool))
 
+    columns = [f"{f.name} {f.dataType.simpleString()}" for f in anchors.schema]
     return (
         anchors.repartition("near")
         .sortWithinPartitions("near", "whole", "doc_id", "at")
-        .mapInArrow(walk, "doc_id long, at int, near long, settled boolean")
+        .mapInArrow(walk, ", ".join([*columns, "settled boolean"]))
+        .drop("whole")
     )
 
 
-def _rows(doc, at, near, settled):
-    return pa.record_batch(
-        [pa.array(doc), pa.array(at), pa.array(near), pa.array(settled)], ["doc_id", "at", "near", "settled"]
-    )
+def _marked(rows: pa.RecordBatch, settled: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([*rows.columns, pa.array(settled)], [*rows.schema.names, "settled"])
 
 
 CONTEXT_SCHEMA = "near long, doc_id long, at int, n_units int, units binary"
@@ -178,11 +185,6 @@ def compared(contexts: DataFrame, windows: Windows, block: int = BLOCK) -> DataF
 
     ``units`` holds the units of a context, zero outside its document.
     """
-    counts = contexts.groupBy("near").agg(F.count("*").alias("n"))
-    many = counts.filter(F.col("n") > block).select("near")
-    few = contexts.join(many, "near", "left_anti")
-    crowded = contexts.join(many, "near", "left_semi")
-
     def refine(batches):
         held, size, last = [], 0, None
         for batch in batches:
@@ -204,52 +206,81 @@ def compared(contexts: DataFrame, windows: Windows, block: int = BLOCK) -> DataF
         if held:
             yield from _spans(held, windows)
 
-    def name(batches):
-        for batch in batches:
-            near, doc, at, n, names = _columns(batch, windows)
-            j = np.arange(windows.count)
-            ok = (at[:, None] + j >= 0) & (at[:, None] + j + windows.length <= n[:, None])
-            digest = np.zeros((len(near), windows.count), np.uint64)
-            for depth in _depths(windows):
-                digest = spread(digest * _STEPS[3] + names[:, depth : depth + windows.count])
-            row, col = np.nonzero(ok)
-            yield pa.record_batch(
-                [pa.array(near[row]), pa.array(digest[row, col].view(np.int64)), pa.array(doc[row]),
-                 pa.array((at[row] + col).astype(np.int32))],
-                ["near", "window", "doc_id", "first"],
+    # Windows lo to hi of a context; at first all.
+    open_ = contexts.withColumns({"lo": F.lit(0), "hi": F.lit(windows.count - 1)})
+    few, whole = [], []
+    for _ in range((windows.count - 1).bit_length()):
+        counts = open_.groupBy("near").agg(F.count("*").alias("n"))
+        many = stored(counts.filter(F.col("n") > block).select("near"), "crowded")
+        if many.isEmpty():
+            break
+        few.append(open_.join(many, "near", "left_anti").select(open_.columns))
+        crowded = open_.join(many, "near", "left_semi").select(open_.columns)
+        halves = crowded.mapInArrow(_halves(windows), f"near long, whole long, {_HALF_SCHEMA}")
+        found = stored(settled_and_open(halves, windows), "halves")
+        whole.append(
+            found.filter("settled").select(
+                "doc_id",
+                F.greatest(F.col("at") + F.col("lo"), F.lit(0)).alias("first"),
+                F.least(F.col("at") + F.col("hi") + windows.length, F.col("n_units")).alias("last"),
             )
-
+        )
+        open_ = found.filter(~F.col("settled")).select(open_.columns)
+    few.append(open_)
     spans = (
-        few.repartition("near")
+        reduce(DataFrame.unionByName, few)
+        .repartition("near")
         .sortWithinPartitions("near")
         .mapInArrow(refine, "doc_id long, first int, last int")
     )
-    named = crowded.mapInArrow(name, "near long, window long, doc_id long, first int")
-    order = F.struct("doc_id", "first") if windows.earlier == "place" else F.struct("doc_id")
-    earliest = named.groupBy("near", "window").agg(F.min(order).alias("earliest"))
-    grouped = (
-        named.join(earliest, ["near", "window"])
-        .filter(order > F.col("earliest"))
-        .select("doc_id", "first", (F.col("first") + windows.length).alias("last"))
-    )
-    return spans.unionByName(grouped)
+    return reduce(DataFrame.unionByName, whole, spans)
+
 
+_HALF_SCHEMA = "doc_id long, at int, n_units int, units binary, lo int, hi int"
 
-def _depths(windows: Windows) -> list[int]:
-    """Offsets at which names of the first depth cover a window."""
-    d = windows.first_depth
-    return [*range(0, windows.length - d, d), windows.length - d]
 
+def _halves(windows: Windows):
+    """A context's rows for either half of its windows, dealt by a name of the
+    units that all windows of a half share."""
 
-def _columns(batch, windows):
-    """The columns of a context batch; of its units, the name of the
-    ``first_depth`` units from each place on."""
+    def halve(batches):
+        for batch in batches:
+            for start in range(0, batch.num_rows, 1024):
+                rows = batch.slice(start, 1024)
+                _, doc, at, n, names = _units(rows, windows)
+                levels, size, step = {1: names}, 1, 0
+                while 2 * size <= min(32, windows.length):
+                    levels[2 * size] = doubled(levels[size], size, step)
+                    size, step = 2 * size, step + 1
+                levels = {k: v.T for k, v in levels.items()}
+                lows, highs = (rows.column(k).to_numpy() for k in (5, 6))
+                for lo, hi in sorted(set(zip(lows.tolist(), highs.tolist()))):
+                    middle = (lo + hi) // 2
+                    for a, b in {(lo, middle), (min(middle + 1, hi), hi)}:
+                        held = (np.maximum(a, -at) <= np.minimum(b, n - windows.length - at)) & (lows == lo) & (highs == hi)
+                        own = np.flatnonzero(held)
+                        shared = span_names(levels, np.array([b]), windows.length - (b - a))[0]
+                        near = spread(shared[own] * _STEPS[4] + np.uint64(a))
+                        whole = span_names(levels, np.array([a]), windows.length + (b - a))[0][own]
+                        taken = rows.take(pa.array(own))
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array(near.view(np.int64)), pa.array(whole.view(np.int64)),
+                             *(taken.column(k) for k in range(1, 5)),
+                             pa.array(np.full(len(own), a, np.int32)), pa.array(np.full(len(own), b, np.int32))],
+                            ["near", "whole", "doc_id", "at", "n_units", "units", "lo", "hi"],
+                        )
+
+    return halve
+
+
+def _units(batch, windows):
+    """The columns of a context batch; of its units, their names."""
     near, doc, at, n = (batch.column(k).to_numpy() for k in range(4))
     units = np.frombuffer(b"".join(batch.column(4).to_pylist()), windows.unit_type)
     names = windows.unit_names(units.reshape(len(near), windows.context))
     place = at[:, None] + np.arange(windows.context)
     names = np.where((place >= 0) & (place < n[:, None]), names, np.uint64(1))
-    return near, doc, at.astype(np.int64), n.astype(np.int64), depth_names(names, windows.first_depth)
+    return near, doc, at.astype(np.int64), n.astype(np.int64), names
 
 
 def context_rows(doc_id: int, units: np.ndarray, wanted: list, windows: Windows) -> pa.RecordBatch:
@@ -296,10 +327,12 @@ def _bucket_pointers(names, windows):
 
 def _spans(held, windows):
     batch = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-    near, doc, at, n, names = _columns(batch, windows)
-    bucket = _bucket_pointers(names, windows)
+    _, doc, at, n, names = _units(batch, windows)
+    bucket = _bucket_pointers(depth_names(names, windows.first_depth), windows)
     j = np.arange(windows.count)
     ok = (at[:, None] + j >= 0) & (at[:, None] + j + windows.length <= n[:, None])
+    lo, hi = (batch.column(k).to_numpy()[:, None] for k in (5, 6))
+    ok &= (j >= lo) & (j <= hi)
     row, col = np.nonzero(ok)
     group, first = bucket[row, col], at[row] + col
     order = np.lexsort((first, doc[row], group))

@@ -1,10 +1,13 @@
 import random
 import re
+import time
+from pathlib import Path
 
 import numpy as np
 import pytest
 
-from posevidence.llm import ngram_join, recompression, suffix_dedup
+from posevidence.llm import ngram_join, recompression, repeats, suffix_dedup
+from posevidence.llm.common import stored
 from posevidence.llm.components import components
 from tests_llm_reference import bytes_removed, linked, shingles
 
@@ -173,3 +176,42 @@ def test_components_of_long_paths_settle(spark):
     least = {n: min(order[:60]) for n in order[:60]} | {n: min(order[60:]) for n in order[60:]}
     assert {r["node"]: r["component"] for r in found.collect()} == least
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_crowded_contexts_make_two_rows_a_round(spark, make_docs, words):
+    """Not one for each of their windows; copies of a half go after its first."""
+    windows = repeats.Windows(100, 69, 32, "place", suffix_dedup._byte_units, "u1")
+    passage = " ".join(words(50, 70)).encode()[:100]
+    left = [" ".join(words(60 + k, 20)).encode()[-34:] for k in range(8)]
+    # The gram stands at 68 of a context; right of it all have the same bytes.
+    contexts = [(7, k, 0, 168, left[k] + passage + passage[:34], 0, 68) for k in range(8)]
+    schema = f"{repeats.CONTEXT_SCHEMA}, lo int, hi int"
+    halves = spark.createDataFrame([(*c[:4], bytearray(c[4]), *c[5:]) for c in contexts], schema).mapInArrow(
+        repeats._halves(windows), f"near long, whole long, {repeats._HALF_SCHEMA}"
+    )
+    rows = halves.collect()
+    assert sorted((r["lo"], r["hi"]) for r in rows) == [(0, 34)] * 8 + [(35, 68)] * 8
+    assert len({r["near"] for r in rows}) == 2
+    assert len({r["whole"] for r in rows if r["lo"] == 35}) == 1
+    found = repeats.settled_and_open(halves, windows).collect()
+    assert sorted(r["doc_id"] for r in found if r["lo"] == 35) == list(range(1, 8))
+    assert all(r["settled"] == (r["lo"] == 35) for r in found)
+    spans = repeats.compared(spark.createDataFrame([(*c[:4], bytearray(c[4])) for c in contexts], repeats.CONTEXT_SCHEMA), windows, 3)
+    covered = {d: set() for d in range(8)}
+    for r in spans.collect():
+        covered[r["doc_id"]] |= set(range(r["first"], r["last"]))
+    assert covered[0] == set() and all(covered[d] >= set(range(34, 168)) for d in range(1, 8))
+
+
+def test_nothing_shuffled_stays_once_written(spark):
+    def files():
+        folders = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()
+        return {p for f in folders for p in Path(f.getPath()).rglob("shuffle_*.data")}
+
+    before = files()
+    rows = stored(spark.range(0, 100_000, 1, 4).repartition("id").groupBy("id").count(), "written")
+    end = time.time() + 20
+    while files() - before and time.time() < end:
+        time.sleep(0.2)
+    assert not files() - before
+    assert rows.count() == 100_000

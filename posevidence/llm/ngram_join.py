@@ -33,10 +33,11 @@ node, linked by the sets of all its rows; a row without an id has no component.
 from __future__ import annotations
 
 from collections import Counter
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from posevidence.llm.common import mix, pair_hash, portions, stored, text_bytes, word_names, word_spans
@@ -46,6 +47,9 @@ from posevidence.llm.components import components
 BLOCK = 512
 #: Rounds in which groups are searched from their smallest document left.
 STAR_ROUNDS = 2
+#: Turns in which groups are compared in full; what one turn shuffles is gone
+#: before the next begins.
+TURNS = 4
 #: Weight of probing against merging in the choice of lists set aside.
 PROBE_WEIGHT = 0.01
 
@@ -217,6 +221,17 @@ def _folded(sketch: bytes, size: int) -> int:
     return value
 
 
+def _half_sketch(column: str) -> Column:
+    """Sketches with half their buckets, of 64 at least."""
+
+    @F.arrow_udf("binary")
+    def half(sketches: pa.Array) -> pa.Array:
+        sizes = [(raw, max(64, 4 * len(raw))) for raw in sketches.to_pylist()]
+        return pa.array([_folded(raw, size).to_bytes(size // 8, "big") for raw, size in sizes], pa.binary())
+
+    return half(column)
+
+
 def _may_link(a: int, b: int, n_a: int, n_b: int, percent: int) -> bool:
     """False only where two sets surely do not link: every bucket whose parity
     differs holds a shingle that the other set lacks."""
@@ -401,9 +416,10 @@ def pairs_in_full(rows: DataFrame, percent: int) -> DataFrame:
     )
 
 
-def _star_links(pairs: DataFrame, class_of: DataFrame, sets: DataFrame, percent: int, block: int) -> DataFrame:
+def _star_links(pairs: DataFrame, class_of: DataFrame, known: DataFrame, width: int, percent: int, block: int) -> DataFrame:
     """Links of each ``group`` with the ``whole`` rows beside it. Only pairs that
-    may link by their sketches are searched with their sets."""
+    may link by their sketches are searched with their sets, which are made from
+    the texts of ``known`` anew: kept for all calls they are larger than the texts."""
 
     @F.arrow_udf("boolean")
     def may_link(a: pa.Array, n_a: pa.Array, b: pa.Array, n_b: pa.Array) -> pa.Array:
@@ -425,7 +441,11 @@ def _star_links(pairs: DataFrame, class_of: DataFrame, sets: DataFrame, percent:
         "group", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"),
         F.lit(True).alias("query"), F.col("group").alias("whole"),
     )
-    rows = members.unionByName(asking).join(sets, "whole").select("group", "block", "query", "whole", "shingles")
+    rows = members.unionByName(asking)
+    needed = rows.select("whole").distinct().join(class_of, "whole").select(F.col("class").alias("doc_id"))
+    # Repeated rows of one id bring their set twice, and at most a link twice.
+    sets = shingle_sets(known.join(needed, "doc_id", "left_semi"), width)
+    rows = rows.join(sets, "whole").select("group", "block", "query", "whole", "shingles")
     return stored(search_from_one(rows, percent), "links")
 
 
@@ -456,9 +476,6 @@ def near_duplicates(
     # 2. Groups of sets with a part in common, each searched from its smallest.
     sizes = class_of.select("whole", "n_shingles")
     groups = stored(shared_parts(part_names(known, width, percent)).join(sizes, "whole"), "shared-parts")
-    needed = groups.select("whole").distinct().join(class_of, "whole").select(F.col("class").alias("doc_id"))
-    # Repeated rows of one id bring their set twice, and at most a link twice.
-    sets = stored(shingle_sets(known.join(needed, "doc_id", "left_semi"), width), "sets")
     links = same
     for _ in range(STAR_ROUNDS):
         least = groups.groupBy("part").agg(F.min(F.struct("whole", "n_shingles")).alias("first"))
@@ -467,7 +484,7 @@ def near_duplicates(
         # Sets of too different a size cannot link, and go before a sketch is moved.
         like = 100 * F.least("n_shingles", "n_group") >= percent * F.greatest("n_shingles", "n_group")
         pairs = others.filter(like).select("group", "whole").distinct()
-        links = links.unionByName(by_class(_star_links(pairs, class_of, sets, percent, block)))
+        links = links.unionByName(by_class(_star_links(pairs, class_of, known, width, percent, block)))
         # The smallest has been compared with all; the others go on if they are
         # still in several components.
         at = class_of.select("whole", "class").join(components(links), F.col("class") == F.col("node"), "left").select(
@@ -487,21 +504,29 @@ def near_duplicates(
         .select("part", "blocks", F.when(F.col("blocks") > 1, F.col("low")).alias("apart"))
     )
     members = groups.drop("low", "n_shingles").join(several, "part").withColumn("own", F.pmod(F.xxhash64("whole"), F.col("blocks")).cast("int"))
-    # Block (i, j) searches the sets of i against those of j.
-    members = members.select(
-        F.col("part").alias("group"), "whole", "component", "own", "blocks", "apart",
-        F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"),
-    ).select(
-        "group", (F.least("own", "other") * F.col("blocks") + F.greatest("own", "other")).alias("block"),
-        F.when(F.col("own") > F.col("other"), 1).otherwise(0).alias("side"), "apart", "whole", "component",
-    )
-    left_over = pairs_in_full(
-        members.join(class_of.select("whole", "n_shingles", "sketch"), "whole").select(
-            "group", "block", "side", "apart", "whole", "component", "n_shingles", "sketch"
-        ),
-        percent,
-    )
-    full = _star_links(left_over.distinct(), class_of, sets, percent, block)
+    members = stored(members, "open-members")
+    # What moves to the blocks is half a sketch; what it leaves meets whole ones.
+    half = stored(class_of.select("whole", "n_shingles", _half_sketch("sketch").alias("sketch")), "half-sketches")
+    turns = []
+    for turn in range(TURNS):
+        some = members.filter(F.pmod(F.xxhash64("part"), F.lit(TURNS)) == turn)
+        # Block (i, j) searches the sets of i against those of j.
+        some = some.select(
+            F.col("part").alias("group"), "whole", "component", "own", "blocks", "apart",
+            F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"),
+        ).select(
+            "group", (F.least("own", "other") * F.col("blocks") + F.greatest("own", "other")).alias("block"),
+            F.when(F.col("own") > F.col("other"), 1).otherwise(0).alias("side"), "apart", "whole", "component",
+        )
+        found = pairs_in_full(
+            some.join(half, "whole").select(
+                "group", "block", "side", "apart", "whole", "component", "n_shingles", "sketch"
+            ),
+            percent,
+        )
+        turns.append(stored(found.distinct(), "open-pairs"))
+    left_over = reduce(DataFrame.unionByName, turns)
+    full = _star_links(left_over.distinct(), class_of, known, width, percent, block)
     found = components(links.unionByName(by_class(full)))
     return (
         signed.select("doc_id", "n_shingles")

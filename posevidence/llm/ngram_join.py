@@ -392,19 +392,24 @@ def pairs_in_full(rows: DataFrame, percent: int) -> DataFrame:
                 apart = [Counter(component).most_common(1)[0][0]] * len(wholes)
             raw = group.column("sketch").to_pylist()
             least = 8 * min(map(len, raw))
-            sketches = [_folded(r, least) for r in raw]
+            bits = np.frombuffer(b"".join(_folded(r, least).to_bytes(least // 8, "big") for r in raw), np.uint64)
+            bits, size = bits.reshape(len(raw), -1), np.array(sizes, np.int64)
+            _, kind = np.unique(component, return_inverse=True)
+            sides = np.array(side)
             both = 0 < sum(side) < len(side)
             found = set()
             for k in range(len(wholes)):
                 if component[k] == apart[k]:
                     continue
-                for j in range(len(wholes)):
-                    if (
-                        component[j] != component[k]
-                        and (side[j] != side[k] or not both)
-                        and _may_link(sketches[k], sketches[j], sizes[k], sizes[j], percent)
-                    ):
-                        found.add((min(wholes[k], wholes[j]), max(wholes[k], wholes[j])))
+                # As _may_link, for all sets of the block at once.
+                like = 100 * np.minimum(size, size[k]) >= percent * np.maximum(size, size[k])
+                like &= kind != kind[k]
+                if both:
+                    like &= sides != sides[k]
+                near = np.flatnonzero(like)
+                differ = np.bitwise_count(bits[near] ^ bits[k]).sum(axis=1, dtype=np.int64)
+                for j in near[differ <= (100 - percent) * (size[near] + size[k]) // (100 + percent)].tolist():
+                    found.add((min(wholes[k], wholes[j]), max(wholes[k], wholes[j])))
             if found:
                 a, b = zip(*sorted(found))
                 yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["group", "whole"])

@@ -14,12 +14,16 @@ a partner may share with it. Names that several documents left make groups:
 
 1. Documents with one and the same set are one class; its smallest id stands
    for it.
-2. In every group the smallest id is searched against the others and then
-   leaves it. A group of near copies is linked by this alone, with one link for
-   each member. A group whose rest is in several components gets another round.
+2. In every group the set that meets most others in its groups is searched
+   against the others and then leaves it: of near copies that is one in their
+   middle, mostly the text that they were made from. A group of near copies is
+   linked by this alone, with one link for each member. A group whose rest is in
+   several components gets another round.
 3. In groups that are then still in several components all sets that are not
    of one component are compared, in blocks, by parity sketches; groups with the
-   same members once. What a sketch cannot exclude is searched as in 2.
+   same members once. A block gives each set that a sketch cannot exclude once,
+   not its pairs; those sets are searched in their block, which gives no more
+   links than join its components.
 
 A sketch holds the parities of a set's shingles in buckets: each parity in which
 two sets differ is a shingle that they do not share, so it excludes no link.
@@ -45,7 +49,7 @@ from posevidence.llm.components import components
 
 #: Documents of one index.
 BLOCK = 512
-#: Rounds in which groups are searched from their smallest document left.
+#: Rounds in which groups are searched from the set left that meets most others.
 STAR_ROUNDS = 2
 #: Turns in which groups are compared in full; what one turn shuffles is gone
 #: before the next begins.
@@ -203,12 +207,18 @@ def _wholes(shingles: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return total
 
 
+def _parities(shingles: np.ndarray, size: int) -> np.ndarray:
+    """Parities of the shingles' counts in ``size`` buckets, 64 in a number."""
+    count = np.bincount((shingles % np.uint64(size)).astype(np.int64), minlength=size)
+    return np.packbits(count & 1).view(np.uint64)
+
+
 def _sketch(shingles: np.ndarray) -> bytes:
     """Parities of the shingles' counts in buckets, two or more buckets for each."""
     size = 64
     while size < 2 * len(shingles):
         size *= 2
-    return np.packbits(np.bincount((shingles % np.uint64(size)).astype(np.int64), minlength=size) & 1).tobytes()
+    return _parities(shingles, size).tobytes()
 
 
 def _folded(sketch: bytes, size: int) -> int:
@@ -373,8 +383,9 @@ def search_from_one(rows: DataFrame, percent: int) -> DataFrame:
     return rows.repartition("group", "block").sortWithinPartitions("group", "block").mapInArrow(search, LINK)
 
 
-def pairs_in_full(rows: DataFrame, percent: int) -> DataFrame:
-    """(group, whole): sets of different components that may link by their sketches.
+def open_in_full(rows: DataFrame, percent: int) -> DataFrame:
+    """(group, block, whole, component): the sets of every block that may link,
+    by their sketches, with one of another component.
 
     ``rows``: (group, block, side, apart, whole, component, n_shingles, sketch).
     A block compares its sets with each other, or its sides where it has both.
@@ -385,40 +396,95 @@ def pairs_in_full(rows: DataFrame, percent: int) -> DataFrame:
 
     def compare(batches):
         for group in _by_key(batches, 2):
-            wholes, sizes = group.column("whole").to_pylist(), group.column("n_shingles").to_pylist()
+            size = group.column("n_shingles").to_numpy()
             component = group.column("component").to_pylist()
-            apart, side = group.column("apart").to_pylist(), group.column("side").to_pylist()
-            if apart[0] is None:
-                apart = [Counter(component).most_common(1)[0][0]] * len(wholes)
+            apart, sides = group.column("apart")[0].as_py(), group.column("side").to_numpy()
+            if apart is None:
+                apart = Counter(component).most_common(1)[0][0]
             raw = group.column("sketch").to_pylist()
             least = 8 * min(map(len, raw))
             bits = np.frombuffer(b"".join(_folded(r, least).to_bytes(least // 8, "big") for r in raw), np.uint64)
-            bits, size = bits.reshape(len(raw), -1), np.array(sizes, np.int64)
+            bits = bits.reshape(len(raw), -1)
             _, kind = np.unique(component, return_inverse=True)
-            sides = np.array(side)
-            both = 0 < sum(side) < len(side)
-            found = set()
-            for k in range(len(wholes)):
-                if component[k] == apart[k]:
+            both = 0 < sides.sum() < len(sides)
+            open_ = np.zeros(len(raw), bool)
+            for k in range(len(raw)):
+                if component[k] == apart:
                     continue
-                # As _may_link, for all sets of the block at once.
-                like = 100 * np.minimum(size, size[k]) >= percent * np.maximum(size, size[k])
-                like &= kind != kind[k]
+                near = kind != kind[k]
                 if both:
-                    like &= sides != sides[k]
-                near = np.flatnonzero(like)
-                differ = np.bitwise_count(bits[near] ^ bits[k]).sum(axis=1, dtype=np.int64)
-                for j in near[differ <= (100 - percent) * (size[near] + size[k]) // (100 + percent)].tolist():
-                    found.add((min(wholes[k], wholes[j]), max(wholes[k], wholes[j])))
-            if found:
-                a, b = zip(*sorted(found))
-                yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["group", "whole"])
+                    near &= sides != sides[k]
+                near = _near(bits, size, k, percent, near)
+                open_[near] = True
+                open_[k] |= len(near) > 0
+            if open_.any():
+                found = group.select(["group", "block", "whole", "component"]).filter(pa.array(open_))
+                yield from found.combine_chunks().to_batches()
 
     return (
         rows.repartition("group", "block")
         .sortWithinPartitions("group", "block")
-        .mapInArrow(compare, "group long, whole long")
+        .mapInArrow(compare, "group long, block int, whole long, component long")
+    )
+
+
+def _near(bits: np.ndarray, size: np.ndarray, k: int, percent: int, of: np.ndarray) -> np.ndarray:
+    """The sets ``of`` a block that may link with its set ``k``; as ``_may_link``, for all at once."""
+    near = np.flatnonzero(of & (100 * np.minimum(size, size[k]) >= percent * np.maximum(size, size[k])))
+    differ = np.bitwise_count(bits[near] ^ bits[k]).sum(axis=1, dtype=np.int64)
+    return near[differ <= (100 - percent) * (size[near] + size[k]) // (100 + percent)]
+
+
+def search_in_blocks(rows: DataFrame, percent: int) -> DataFrame:
+    """Links that join the components of every block, none between sets that
+    others of its links join. ``rows``: (group, block, whole, component, shingles)."""
+
+    def search(batches):
+        for group in _by_key(batches, 2):
+            wholes, sets = group.column("whole").to_pylist(), _sets(group.column("shingles"))
+            _, kind = np.unique(group.column("component").to_numpy(), return_inverse=True)
+            size = np.array([len(s) for s in sets], np.int64)
+            wide = max(64, 1 << int(4 * size.max()).bit_length())
+            index, bits = Inverted(sets), None
+            a, b = [], []
+            for k in np.flatnonzero(kind != np.bincount(kind).argmax()).tolist():
+                other = kind != kind[k]
+                if not other.any():
+                    break
+                if bits is None:
+                    bits = np.stack([_parities(s, wide) for s in sets])
+                near = _near(bits, size, k, percent, other)
+                if not len(near):
+                    continue
+                wanted = np.zeros(len(sets), bool)
+                wanted[near] = True
+                for f in index.search(sets[k], percent, wanted).tolist():
+                    if kind[f] != kind[k]:
+                        a.append(wholes[k])
+                        b.append(wholes[f])
+                        kind[kind == kind[f]] = kind[k]
+            if a:
+                yield _links(a, b)
+
+    return rows.repartition("group", "block").sortWithinPartitions("group", "block").mapInArrow(search, LINK)
+
+
+def _block_links(rows: DataFrame, class_of: DataFrame, known: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links of the blocks of ``open_in_full``. Blocks with the same sets are
+    searched once; their sets are made from the texts of ``known`` anew."""
+    once = (
+        rows.groupBy("group", "block")
+        .agg(F.sum(F.col("whole").cast("decimal(38,0)")).alias("who"), F.count("*").alias("n"))
+        .groupBy("who", "n").agg(F.min(F.struct("group", "block")).alias("first"))
+        .select("first.group", "first.block")
     )
+    rows = stored(rows.join(once, ["group", "block"]), "open-blocks")
+    needed = rows.select("whole").distinct().join(class_of, "whole").select(F.col("class").alias("doc_id"))
+    # One set of a name, though repeated rows of an id bring theirs again.
+    sets = shingle_sets(known.join(needed, "doc_id", "left_semi"), width)
+    sets = sets.groupBy("whole").agg(F.first("shingles").alias("shingles"))
+    rows = rows.join(sets, "whole").select("group", "block", "whole", "component", "shingles")
+    return stored(search_in_blocks(rows, percent), "links")
 
 
 def _star_links(pairs: DataFrame, class_of: DataFrame, known: DataFrame, width: int, percent: int, block: int) -> DataFrame:
@@ -478,24 +544,27 @@ def near_duplicates(
         b = class_of.select(F.col("whole").alias("b"), F.col("class").alias("class_b"))
         return links.join(a, "a").join(b, "b").select(F.col("class_a").alias("a"), F.col("class_b").alias("b"))
 
-    # 2. Groups of sets with a part in common, each searched from its smallest.
-    sizes = class_of.select("whole", "n_shingles")
-    groups = stored(shared_parts(part_names(known, width, percent)).join(sizes, "whole"), "shared-parts")
+    # 2. Groups of sets with a part in common, each searched from one in the middle.
+    shared = stored(shared_parts(part_names(known, width, percent)), "shared-parts")
+    # How many rows a set meets in its groups; any order would lose no link.
+    met = shared.join(shared.groupBy("part").agg(F.count("*").alias("met")), "part").groupBy("whole").agg(F.sum("met").alias("met"))
+    sizes = class_of.select("whole", "n_shingles").join(met, "whole")
+    groups = stored(shared.join(sizes, "whole"), "met-parts")
     links = same
     for _ in range(STAR_ROUNDS):
-        least = groups.groupBy("part").agg(F.min(F.struct("whole", "n_shingles")).alias("first"))
-        least = least.select("part", F.col("first.whole").alias("group"), F.col("first.n_shingles").alias("n_group"))
-        others = groups.select("part", "whole", "n_shingles").join(least, "part").filter(F.col("whole") != F.col("group"))
+        middle = groups.groupBy("part").agg(F.max(F.struct("met", "whole", "n_shingles")).alias("first"))
+        middle = middle.select("part", F.col("first.whole").alias("group"), F.col("first.n_shingles").alias("n_group"))
+        others = groups.select("part", "whole", "n_shingles", "met").join(middle, "part").filter(F.col("whole") != F.col("group"))
         # Sets of too different a size cannot link, and go before a sketch is moved.
         like = 100 * F.least("n_shingles", "n_group") >= percent * F.greatest("n_shingles", "n_group")
         pairs = others.filter(like).select("group", "whole").distinct()
         links = links.unionByName(by_class(_star_links(pairs, class_of, known, width, percent, block)))
-        # The smallest has been compared with all; the others go on if they are
+        # This one has been compared with all; the others go on if they are
         # still in several components.
         at = class_of.select("whole", "class").join(components(links), F.col("class") == F.col("node"), "left").select(
             "whole", F.coalesce("component", "class").alias("component")
         )
-        others = others.select("part", "whole", "n_shingles").join(at, "whole")
+        others = others.select("part", "whole", "n_shingles", "met").join(at, "whole")
         several = others.groupBy("part").agg(F.min("component").alias("low"), F.max("component").alias("high"))
         several = several.filter(F.col("low") < F.col("high")).select("part", "low")
         groups = stored(others.join(several, "part"), "open-groups")
@@ -508,9 +577,9 @@ def near_duplicates(
         .withColumn("blocks", F.ceil(F.col("n") / F.lit(block)).cast("int"))
         .select("part", "blocks", F.when(F.col("blocks") > 1, F.col("low")).alias("apart"))
     )
-    members = groups.drop("low", "n_shingles").join(several, "part").withColumn("own", F.pmod(F.xxhash64("whole"), F.col("blocks")).cast("int"))
+    members = groups.drop("low", "n_shingles", "met").join(several, "part").withColumn("own", F.pmod(F.xxhash64("whole"), F.col("blocks")).cast("int"))
     members = stored(members, "open-members")
-    # What moves to the blocks is half a sketch; what it leaves meets whole ones.
+    # What moves to the blocks is half a sketch; what it leaves is searched by its sets.
     half = stored(class_of.select("whole", "n_shingles", _half_sketch("sketch").alias("sketch")), "half-sketches")
     turns = []
     for turn in range(TURNS):
@@ -523,15 +592,14 @@ def near_duplicates(
             "group", (F.least("own", "other") * F.col("blocks") + F.greatest("own", "other")).alias("block"),
             F.when(F.col("own") > F.col("other"), 1).otherwise(0).alias("side"), "apart", "whole", "component",
         )
-        found = pairs_in_full(
+        found = open_in_full(
             some.join(half, "whole").select(
                 "group", "block", "side", "apart", "whole", "component", "n_shingles", "sketch"
             ),
             percent,
         )
-        turns.append(stored(found.distinct(), "open-pairs"))
-    left_over = reduce(DataFrame.unionByName, turns)
-    full = _star_links(left_over.distinct(), class_of, known, width, percent, block)
+        turns.append(stored(found, "open-sets"))
+    full = _block_links(reduce(DataFrame.unionByName, turns), class_of, known, width, percent)
     found = components(links.unionByName(by_class(full)))
     return (
         signed.select("doc_id", "n_shingles")

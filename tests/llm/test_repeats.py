@@ -125,6 +125,80 @@ def test_join_against_brute_force(make_docs, hard_rows, words, width, percent, b
         assert row["component_id"] == (None if row["doc_id"] is None else expected[row["doc_id"]])
 
 
+def rows_written(monkeypatch):
+    """How many rows each written table has, by its purpose."""
+    written = {}
+
+    def counted(df, purpose):
+        found = stored(df, purpose)
+        written.setdefault(purpose, []).append(found.count())
+        return found
+
+    monkeypatch.setattr(ngram_join, "stored", counted)
+    return written
+
+
+def test_near_copies_that_do_not_link_are_not_listed_in_pairs(make_docs, words, monkeypatch):
+    # Two copies differ in 16 of 142 shingles each, one too many for a link; the
+    # first 20 have their last word from the one before, and link with it.
+    base, rows = words(75, 146), []
+    for k in range(100):
+        own = list(base)
+        own[20], own[60], own[100], own[145] = f"one{k}", f"two{k}", f"three{k}", f"end{k // 2 if k < 20 else k}"
+        rows.append((1 + k, " ".join(own)))
+    expected = linked(rows, 5, 80)
+    assert len(set(expected.values())) == 90
+    written = rows_written(monkeypatch)
+    found = ngram_join.near_duplicates(make_docs(rows).repartition(3), 5, 80).collect()
+    assert {r["doc_id"]: r["component_id"] for r in found} == expected
+    assert sum(written["star-pairs"]) < 4 * len(rows) and sum(written["links"]) < 4 * len(rows)
+    assert sum(written["open-sets"]) <= written["open-members"][0]
+
+
+def test_near_copies_are_linked_from_the_text_they_were_made_from(make_docs, words, monkeypatch):
+    base, rows, r = words(75, 146), [], random.Random(7)
+    for k in range(60):
+        own = list(base)
+        for n, at in enumerate(r.sample(range(5, 140), 1 + k % 3)):
+            own[at] = f"edit{k}x{n}"
+        rows.append((1 + k, " ".join(own)))
+    rows.append((900, " ".join(base)))
+    expected = linked(rows, 5, 80)
+    assert set(expected.values()) == {1}
+    written = rows_written(monkeypatch)
+    found = ngram_join.near_duplicates(make_docs(rows).repartition(3), 5, 80).collect()
+    assert {r["doc_id"]: r["component_id"] for r in found} == expected
+    assert written["open-groups"][0] == 0 and written["links"][0] < 4 * len(rows)
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_links_of_a_block_join_what_pairs_join(spark, seed):
+    """Sets of one block, some already of one component, and repeated blocks."""
+    r = np.random.default_rng(seed)
+    base = np.sort(r.choice(1 << 40, 120, replace=False)).astype(np.uint64)
+    sets = [
+        np.unique(np.r_[base[r.random(120) > 0.06], r.choice(1 << 40, 3).astype(np.uint64)]) for _ in range(40)
+    ]
+    component = [k if k % 5 else 0 for k in range(40)]
+    rows = [(g, 0, k, component[k], sets[k].tobytes()) for g in (1, 2) for k in range(40)]
+    schema = "group long, block int, whole long, component long, shingles binary"
+    found = ngram_join.search_in_blocks(spark.createDataFrame(rows, schema).repartition(3), 80).collect()
+
+    def joined(pairs):
+        root = list(component)
+        for a, b in pairs:
+            old, new = max(root[a], root[b]), min(root[a], root[b])
+            root = [new if x == old else x for x in root]
+        return root
+
+    every = [
+        (a, b) for a in range(40) for b in range(a)
+        if 100 * len(np.intersect1d(sets[a], sets[b])) >= 80 * len(np.union1d(sets[a], sets[b]))
+    ]
+    assert joined([(f["a"], f["b"]) for f in found]) == joined(every)
+    assert len(found) == 2 * (len(set(component)) - len(set(joined(every))))
+
+
 def test_search_finds_what_counting_finds():
     r = np.random.default_rng(2)
     base = np.sort(r.choice(1 << 40, 300, replace=False)).astype(np.uint64)

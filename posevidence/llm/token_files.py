@@ -27,7 +27,8 @@ from posevidence.llm.common import portions, stored, text_bytes
 
 #: Ids in one block, about.
 BLOCK_IDS = 1 << 18
-#: Bound of the cache of one worker process, in entries; longer parts are not kept.
+#: Bound of the cache of one worker process, in entries, in two halves: where the
+#: newer is full the older goes, and what was used since stays. Longer parts are not kept.
 PART_CACHE = 3 << 17
 CACHED_LENGTH = 48
 #: New parts that the library encodes as one text.
@@ -87,6 +88,7 @@ class WordTokenizer:
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         # Ids as bytes of the tokenizer's width, which join without a loop.
         self.parts: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def encode(self, texts: list[str] | pa.Array) -> list[bytes]:
         """The ids of each text; of a NULL text, none."""
@@ -112,18 +114,27 @@ class WordTokenizer:
         core = pc.if_else(two, pc.ascii_rtrim(words, _TAIL), words)
         tail = pc.if_else(two, pc.replace_substring_regex(words, f"^[{_LETTERS}]+", ""), "")
         coded = pa.concat_arrays([pc.if_else(plain, pc.ascii_lower(core), core), tail]).dictionary_encode()
-        flat, sizes = self._learned(coded.dictionary.to_pylist())
+        flat, sizes = self._learned(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
         at = coded.indices.to_numpy().reshape(2, -1).T.ravel()
         ids, ends = _taken(flat, sizes, at)
         return ids, np.diff(ends[::2])
 
     def _learned(self, distinct: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.parts) >= PART_CACHE // 2:
+            self.older, self.parts = self.parts, {}
         parts = self.parts
-        if len(parts) >= PART_CACHE:
-            parts.clear()
-        self._learn([p for p in distinct if p not in parts])
-        known = [parts[p] for p in distinct]
-        for p in distinct:
+        known = list(map(parts.get, distinct))
+        lacking = [k for k, ids in enumerate(known) if ids is None]
+        new = []
+        for k in lacking:
+            if (ids := self.older.get(distinct[k])) is None:
+                new.append(distinct[k])
+            else:
+                parts[distinct[k]] = ids
+        self._learn(new)
+        for k in lacking:
+            known[k] = parts[distinct[k]]
+        for p in new:
             if len(p) > CACHED_LENGTH:
                 del parts[p]
         sizes = np.fromiter(map(len, known), np.int64, len(known)) // self.dtype.itemsize

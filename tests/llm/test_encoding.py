@@ -82,6 +82,23 @@ def test_words_of_letters_and_signs_are_cut_as_the_library_cuts_them():
             assert np.frombuffer(found, own.dtype).tolist() == library.encode(text or "", add_special_tokens=False).ids
 
 
+def test_words_in_use_outlast_a_full_cache(monkeypatch):
+    """A word of every portion is encoded once, however many others pass by."""
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(token_files, "PART_CACHE", 40)
+    library, own = Tokenizer.from_file(WORDS), token_files.WordTokenizer(WORDS)
+    learn, learned = own._learn, []
+    monkeypatch.setattr(own, "_learn", lambda new: (learned.extend(new), learn(new)))
+    for k in range(12):
+        texts = [f"often seen, {'l' * 60} " + " ".join("abcdefghij"[k % 7] * (n + 1) for n in range(9)) + f" p{'q' * k}", None]
+        found = own.encode(texts)
+        assert np.frombuffer(found[0], own.dtype).tolist() == library.encode(texts[0], add_special_tokens=False).ids
+        assert found[1] == b"" and len(own.parts) + len(own.older) <= 40 + 2 * 16
+    assert learned.count("often") == 1 and learned.count("seen") == 1
+    assert learned.count("l" * 60) == 12
+
+
 def test_packed_values_come_back():
     r = np.random.default_rng(3)
     for n in (0, 1, 3, 4, 5, 1000):

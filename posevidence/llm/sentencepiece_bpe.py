@@ -10,8 +10,10 @@ pieces are read back from the end of the table.
 
 No piece holds a space mark or most punctuation after a letter. The text is
 cut there into segments; a segment's pieces do not depend on its neighbours,
-and recurring words and segments are kept in bounded caches, their ids as bytes of
-the model's width, which join without a loop.
+and recurring words and segments are kept in one bounded cache, their ids as bytes
+of the model's width, which join without a loop. The cache forgets what has not
+been used for long; it goes, with the table, where another operator begins in the
+worker process, which lives on through the stages that follow.
 
 NULL and empty texts give no ids; no text is cut, whatever its length.
 """
@@ -25,12 +27,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from posevidence.llm.common import strings
+from posevidence.llm.common import kept_by, strings
 
 SPACE = "▁"
 #: Bounds of the caches of one worker process, in entries.
-CACHE = 1 << 19
-PAIR_CACHE = 1 << 20
+CACHE = 1 << 20
+PAIR_CACHE = 1 << 19
 #: Longer segments are encoded without being kept.
 CACHED_LENGTH = 48
 
@@ -63,20 +65,19 @@ class PrefixTable:
                 self.automaton.add_word(piece, piece)
         self.automaton.make_automaton()
         self.words, self.segments = self._cuts()
-        self.compatible: dict[tuple[str, str], bool] = {}
-        self.segment_ids = _Cache(self.encode_segment)
-        self.word_ids = _Cache(self.encode_word)
+        self.compatible = _Cache(self._stays, PAIR_CACHE)
+        self.word_ids = _Cache(self.encode_word, CACHE, CACHED_LENGTH)
 
     def _cuts(self) -> tuple[re.Pattern, re.Pattern]:
         """Patterns of the words of a text, and of the segments of a word.
 
-        A word begins with its space marks; a character that no longer piece
-        holds stands alone. Within a word, signs that no piece holds after a
+        A word begins with its blanks, which stand for space marks; a character
+        that no longer piece holds stands alone. Within a word, signs that no piece holds after a
         letter begin a segment.
         """
         joined = {c for p in self.ids if len(p) > 1 for c in p}
         lone = "".join(re.escape(c) for c in "\n\t\r" if c not in joined)
-        words = f"{SPACE}*[^{SPACE}{lone}]+|{SPACE}+" + (f"|[{lone}]" if lone else "")
+        words = f" *[^ {lone}]+| +" + (f"|[{lone}]" if lone else "")
         after_letter = {b for p in self.ids for a, b in zip(p, p[1:]) if a.isalpha()}
         letters = "".join(sorted(c for c in {*"".join(self.ids)} if c.isalpha() and ord(c) < 1 << 16))
         cut = "".join(re.escape(c) for c in "!#$%&*,.;:?|" if c not in after_letter)
@@ -103,15 +104,9 @@ class PrefixTable:
                 gains[k] = score.get(joined + parts[k + 1], none)
         return parts
 
-    def stays(self, left: str, right: str) -> bool:
+    def _stays(self, pair: tuple[str, str]) -> bool:
         """Whether two neighbouring pieces, encoded together, stay two."""
-        known = self.compatible.get((left, right))
-        if known is None:
-            if len(self.compatible) >= PAIR_CACHE:
-                self.compatible.clear()
-            known = self.merged(left + right) == [left, right]
-            self.compatible[left, right] = known
-        return known
+        return self.merged(pair[0] + pair[1]) == [*pair]
 
     def last_pieces(self, segment: str) -> list[str]:
         """For every prefix of the segment, its last piece."""
@@ -130,7 +125,7 @@ class PrefixTable:
             if start:
                 before = last[start]
                 known = compatible.get((before, piece))
-                if not (self.stays(before, piece) if known is None else known):
+                if not (compatible[before, piece] if known is None else known):
                     continue
             last[end] = piece
             reached = end
@@ -158,31 +153,50 @@ class PrefixTable:
         return b"".join(found)
 
     def encode_word(self, word: str) -> bytes:
-        parts = self.segments.findall(word)
+        marked = word.replace(" ", SPACE)
+        parts = self.segments.findall(marked)
         if len(parts) == 1:
-            return self.segment_ids[word]
-        return b"".join(map(self.segment_ids.__getitem__, parts))
+            return self.encode_segment(marked)
+        kept, found = self.word_ids, []
+        for part in parts:
+            key = part.replace(SPACE, " ")
+            ids = kept.get(key)
+            found.append(kept.made(key, self.encode_segment, part) if ids is None else ids)
+        return b"".join(found)
 
     def encode(self, text: str) -> np.ndarray:
         if not text:
             return np.zeros(0, self.dtype)
-        words = self.words.findall(SPACE + text.replace(" ", SPACE))
+        # Words are kept with blanks for space marks, which take half the memory.
+        words = self.words.findall(" " + text.replace(SPACE, " "))
         return np.frombuffer(b"".join(map(self.word_ids.__getitem__, words)), self.dtype)
 
 
 class _Cache(dict):
-    """Results of a function, as many as a worker process may keep."""
-
-    def __init__(self, make):
-        self.make = make
-
-    def __missing__(self, key: str) -> bytes:
-        ids = self.make(key)
-        if len(key) <= CACHED_LENGTH:
-            if len(self) >= CACHE:
+    """Results of a function, as many as a worker process may keep: at most ``most``.
+
+    Where half of them are new, those that were not asked for since the last time
+    that this was so are forgotten. Keys longer than ``longest`` are not kept.
+    """
+
+    def __init__(self, make, most: int, longest: int = 1 << 30):
+        self.make, self.most, self.longest = make, most, longest
+        self.before: dict = {}
+
+    def __missing__(self, key):
+        return self.made(key, self.make, key)
+
+    def made(self, key, make, of):
+        """The result for a key that is not held now: ``make(of)``."""
+        found = self.before.get(key)
+        if found is None:
+            found = make(of)
+        if len(key) <= self.longest:
+            if len(self) >= self.most // 2:
+                self.before = dict(self)
                 self.clear()
-            self[key] = ids
-        return ids
+            self[key] = found
+        return found
 
 
 class Decoder:
@@ -243,14 +257,12 @@ def _characters(run: bytearray) -> str:
     return "".join(out)
 
 
-_tables: dict[str, PrefixTable] = {}
-
-
 def table(model_path: str) -> PrefixTable:
     """One table for each worker process."""
-    if model_path not in _tables:
-        _tables[model_path] = PrefixTable(model_path)
-    return _tables[model_path]
+    tables = kept_by("sentencepiece")
+    if model_path not in tables:
+        tables[model_path] = PrefixTable(model_path)
+    return tables[model_path]
 
 
 def ids_of(text: Column, model_path: str) -> Column:

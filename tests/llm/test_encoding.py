@@ -1,12 +1,15 @@
 import hashlib
 import random
+import weakref
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from posevidence.llm import sentencepiece_bpe, token_files
+from posevidence.llm.common import portions
 from posevidence.llm.queries import tokenizer_file
 
 MODEL = tokenizer_file("piece_bpe_32k.model")
@@ -51,6 +54,32 @@ def test_every_prefix_has_the_last_piece_of_its_encoding():
             assert last[k] == own.merged(segment[:k])[-1]
 
 
+def test_the_cache_forgets_and_encodes_the_same(monkeypatch):
+    import sentencepiece
+
+    library = sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    monkeypatch.setattr(sentencepiece_bpe, "CACHE", 16)
+    monkeypatch.setattr(sentencepiece_bpe, "PAIR_CACHE", 16)
+    own = sentencepiece_bpe.PrefixTable(MODEL)
+    for text in odd_texts():
+        assert own.encode("often " + text).tolist() == library.encode("often " + text)
+        for cache in (own.word_ids, own.compatible):
+            assert len(cache) + len(cache.before) <= 16
+    made = []
+    cache = sentencepiece_bpe._Cache(lambda key: made.append(key) or key, 16)
+    for k in range(100):
+        assert cache["often"] == "often" and cache[str(k)] == str(k)
+    assert made.count("often") == 1
+
+
+def test_another_operator_in_the_process_ends_the_table():
+    own = weakref.ref(sentencepiece_bpe.table(MODEL))
+    assert sentencepiece_bpe.table(MODEL) is own()
+    batch = pa.record_batch([pa.array(["a text"])], ["text"])
+    assert list(portions([batch], "text")) == [batch]
+    assert own() is None
+
+
 def test_encoded_and_decoded_columns(make_docs, hard_rows):
     docs = make_docs(hard_rows)
     found = sentencepiece_bpe.decoded(sentencepiece_bpe.encoded(docs, MODEL), MODEL).collect()

@@ -8,9 +8,11 @@ that the short ones brought within reach of T.
 
 Which documents meet in one search is settled by parts. Two linked sets of at
 most S shingles differ in H = (100 - percent) * 2S / (100 + percent) shingles
-at most, so of H + 1 parts of their shingles, dealt by name, one is the same in
-both. Every document leaves one name for each part, for the two size bands that
-a partner may share with it. Names that several documents left make groups:
+at most, so of H + 1 + s parts of their shingles, dealt by name, s + 1 are the
+same in both. Every document leaves one name for each part, for the two size bands
+that a partner may share with it, and does without the s of them that most
+documents left: parts of no shingle or a common passage, whose groups would grow
+with the corpus. Names that several documents then left make groups:
 
 1. Documents with one and the same set are one class; its smallest id stands
    for it.
@@ -43,12 +45,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from posevidence.llm.common import mix, pair_hash, portions, stored, text_bytes, word_names, word_spans
 from posevidence.llm.components import components
 
 #: Documents of one index.
 BLOCK = 512
+#: Of so many shingles that two linked sets may differ in, one is a part more.
+SPARE_OF = 4
 #: Rounds in which groups are searched from the set left that meets most others.
 STAR_ROUNDS = 2
 #: Turns in which groups are compared in full; what one turn shuffles is gone
@@ -94,10 +99,15 @@ class Parts:
         self.ends = np.array(ends)
         # A level joins a band and the next one.
         differ = (100 - percent) * 2 * self.ends[1:] // (100 + percent)
-        #: Parts of at most two shingles are left out if a set has few of them.
-        self.spare = differ // 8
+        #: Two linked sets have one part more than these in common, at least.
+        self.spare = differ // SPARE_OF + 1
         self.parts = differ + 1 + self.spare
 
+    def spares(self, sizes: np.ndarray, odd: np.ndarray) -> np.ndarray:
+        """How many parts a set of that size can do without, on its ``odd`` or even level."""
+        band = np.searchsorted(self.ends, sizes)
+        return self.spare[np.maximum(band - ((band & 1) != odd), 0)]
+
     def names(self, shingles: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Part names of every text, both levels, and their n + 1 offsets."""
         sizes = np.diff(at)
@@ -123,15 +133,11 @@ class Parts:
                 total[slot_s[heads]] = np.add.reduceat(value_s, heads)
             whose = np.repeat(np.arange(len(sizes)), np.where(used, parts, 0))
             index = np.arange(base[-1]) - base[whose]
-            small = count <= 2
-            few = np.bincount(whose[small], minlength=len(sizes)) <= self.spare[np.maximum(level, 0)]
-            keep = ~(small & few[whose])
-            name = pair_hash(
-                total + count.astype(np.uint64),
-                (level[whose].astype(np.uint64) << np.uint64(40)) + index.astype(np.uint64),
-            )
-            found.append(name[keep])
-            owners.append(whose[keep])
+            own_level = level[whose].astype(np.uint64)
+            name = pair_hash(total + count.astype(np.uint64), (own_level << np.uint64(40)) + index.astype(np.uint64))
+            # The last bit tells a set's two levels apart.
+            found.append((name & ~np.uint64(1)) | (own_level & np.uint64(1)))
+            owners.append(whose)
         name, whose = np.concatenate(found), np.concatenate(owners)
         order = np.argsort(whose, kind="stable")
         return name[order], np.searchsorted(whose[order], np.arange(len(sizes) + 1))
@@ -312,6 +318,28 @@ def shared_parts(rows: DataFrame) -> DataFrame:
     return rows.repartition("part").sortWithinPartitions("part", "whole").mapInArrow(walk, "part long, whole long")
 
 
+def rarest_parts(shared: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
+    """(part, whole, n_shingles, met): of the ``shared`` parts of every set those
+    that fewest sets left; ``met`` is how many left it.
+
+    Two linked sets have one part more than the spare ones in common on a level.
+    Put in one order, the rarest of these has all spare ones behind it, so it is
+    among what is left of both when each does without its most crowded ones.
+    ``sizes``: (whole, n_shingles).
+    """
+    parts = Parts(percent)
+
+    @F.arrow_udf("long")
+    def spare(sizes: pa.Array, odd: pa.Array) -> pa.Array:
+        return pa.array(parts.spares(sizes.to_numpy(), odd.to_numpy()), pa.int64())
+
+    met = shared.groupBy("part").agg(F.count("*").alias("met"))
+    level = F.col("part").bitwiseAND(1)
+    crowded_first = Window.partitionBy("whole", level).orderBy(F.desc("met"), "part")
+    rows = shared.join(met, "part").join(sizes, "whole").withColumn("__place", F.row_number().over(crowded_first))
+    return rows.filter(F.col("__place") > spare("n_shingles", level)).select("part", "whole", "n_shingles", "met")
+
+
 def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
     """(whole, shingles): sorted distinct names, as little-endian 64-bit values."""
 
@@ -546,10 +574,10 @@ def near_duplicates(
 
     # 2. Groups of sets with a part in common, each searched from one in the middle.
     shared = stored(shared_parts(part_names(known, width, percent)), "shared-parts")
+    rare = stored(rarest_parts(shared, class_of.select("whole", "n_shingles"), percent), "rare-parts")
     # How many rows a set meets in its groups; any order would lose no link.
-    met = shared.join(shared.groupBy("part").agg(F.count("*").alias("met")), "part").groupBy("whole").agg(F.sum("met").alias("met"))
-    sizes = class_of.select("whole", "n_shingles").join(met, "whole")
-    groups = stored(shared.join(sizes, "whole"), "met-parts")
+    met = rare.groupBy("whole").agg(F.sum("met").alias("met"))
+    groups = stored(rare.drop("met").join(met, "whole"), "met-parts")
     links = same
     for _ in range(STAR_ROUNDS):
         middle = groups.groupBy("part").agg(F.max(F.struct("met", "whole", "n_shingles")).alias("first"))

@@ -170,6 +170,17 @@ def test_near_copies_are_linked_from_the_text_they_were_made_from(make_docs, wor
     assert written["open-groups"][0] == 0 and written["links"][0] < 4 * len(rows)
 
 
+def test_unlike_texts_do_not_meet_for_what_most_have(make_docs, words, monkeypatch):
+    # Parts without a shingle, and of one passage, are the same in many texts.
+    passage = words(79, 12)
+    rows = [(1 + k, " ".join(words(2000 + k, 60) + passage * (k % 2))) for k in range(300)]
+    expected = linked(rows, 5, 80)
+    written = rows_written(monkeypatch)
+    found = ngram_join.near_duplicates(make_docs(rows).repartition(3), 5, 80).collect()
+    assert {r["doc_id"]: r["component_id"] for r in found} == expected
+    assert written["shared-parts"][0] > len(rows) and written["open-members"][0] < len(rows) // 10
+
+
 @pytest.mark.parametrize("seed", [1, 2, 3])
 def test_links_of_a_block_join_what_pairs_join(spark, seed):
     """Sets of one block, some already of one component, and repeated blocks."""
@@ -234,6 +245,23 @@ def test_linked_sets_share_a_part():
                 assert len(np.intersect1d(names[at[0] : at[1]], names[at[1] : at[2]]))
 
 
+def test_linked_sets_share_more_parts_than_they_can_do_without():
+    r = np.random.default_rng(8)
+    for percent in (60, 80, 90):
+        parts = ngram_join.Parts(percent)
+        for size in (5, 9, 12, 30, 200, 900):
+            own = r.integers(1, 1 << 60, size, dtype=np.uint64)
+            # As many shingles changed as a link bears.
+            other = np.r_[own[: -(-2 * percent * size // (100 + percent))], own[:0]]
+            other = np.r_[other, r.integers(1, 1 << 60, size - len(other), dtype=np.uint64)]
+            both = len(np.intersect1d(own, other))
+            assert 100 * both >= percent * (2 * size - both)
+            names, at = parts.names(np.r_[own, other], np.array([0, size, 2 * size]))
+            shared = np.intersect1d(names[at[0] : at[1]], names[at[1] : at[2]])
+            for odd in {int(n & np.uint64(1)) for n in names}:
+                assert (shared & np.uint64(1) == odd).sum() > parts.spares(np.array([size]), np.array([odd]))[0]
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(1, 2), (2, 3), (9, 8), (8, 7), (5, 5), (3, 1), (20, 3)], "a long, b long")
     found = {r["node"]: r["component"] for r in components(edges).collect()}

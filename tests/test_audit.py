@@ -245,3 +245,32 @@ def test_long_logs_are_chained_through_packs_of_slices(spark):
         last[log_id] = hashlib.sha256((before + text).encode("utf-8")).hexdigest()
         expected[i] = before, last[log_id]
     assert got == expected
+
+
+def test_tampering_writes_the_log_once_and_moves_places_only(spark, monkeypatch):
+    """The rows that change are found among rows of a key and an id."""
+    from posevidence.functions.canon import CHAIN_FIELDS
+    from posevidence.plans import audit_queries
+
+    written = []
+
+    def settled(df):
+        written.append(df.columns)
+        return settle(df)
+
+    settle = audit_queries.settle
+    monkeypatch.setattr(audit_queries, "settle", settled)
+    texts = [c for c in CHAIN_FIELDS if c not in ("north", "south", "west", "east", "record_count")]
+    rows = [
+        (100 * (k // 20) + 7 * (k % 20), *[f"CASE-{k // 20}" if c == "case_id" else f"{c} {k}" for c in texts], k, None, None)
+        for k in range(80)
+    ]
+    schema = "id long, " + ", ".join(f"{c} string" for c in texts) + ", record_count int, prev_hash string, row_hash string"
+    log = spark.createDataFrame([*rows, (1, *rows[0][1:5], "OTHER", *rows[0][6:])], schema)
+    found = {r["log_id"]: (r["ok"], r["broken_id"], r["reason"]) for r in audit_queries.tampered_chain({"export_log": log}).collect()}
+    link, content = audit_queries.audit.BROKEN_LINK, audit_queries.audit.BROKEN_CONTENT
+    assert found == {
+        "CASE-0": (False, 49, link), "CASE-1": (False, 170, link), "CASE-2": (False, 229, link), "CASE-3": (False, 356, content),
+    }
+    assert sum("detail" in columns for columns in written) == 1
+    assert sorted(written[-1]) == ["edited", "forged", "new_id", "removed", "row"]

@@ -4,10 +4,12 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from posevidence.llm import decontamination, pitman_yor, quality_cnn, quality_rules, toxicity
+from posevidence.llm.common import text_bytes, word_names, word_spans
 from posevidence.llm.labelled import labelled_sample
 from posevidence.llm.queries import QUERIES
 
@@ -276,6 +278,61 @@ def test_base_score_against_brute_force(make_docs, hard_rows):
     assert pitman_yor.scored(make_docs([])).count() == 0
 
 
+def test_score_against_brute_force(make_docs, hard_rows, words):
+    """Every token is a restaurant of its own, whatever its digest, and its
+    totals are those of all buckets."""
+    rows = hard_rows + [(100 + k, " ".join(words(60, 30 + k)[k:] + words(61 + k % 3, 20))) for k in range(30)]
+    found = pitman_yor.scored(make_docs(rows).repartition(3)).select("doc_id", "score").collect()
+    known = sorted({w for _, t, *_ in rows for w in WORD.findall(t or "")})
+    data, at = text_bytes(pa.array(known))
+    names = dict(zip(known, word_names(data, *word_spans(data, at)[:2], lower=True).tolist()))
+    end = int(pitman_yor._END)
+    assert len({(n >> 7) % 4096 for n in names.values()}) < len(set(names.values()))
+    key = lambda d: "" if d is None else str(d)
+    texts = [(key(d), [names[w] for w in WORD.findall(t or "")] + [end]) for d, t, *_ in rows]
+    bigrams = lambda own: list(zip(own, [end, *own[:-1]]))
+    cells = Counter(b for d, own in texts if zlib.crc32(d.encode()) % 5 != 1 for b in bigrams(own))
+    of_word, customers = Counter(w for w, _ in cells), Counter()
+    for (_, c), n in cells.items():
+        customers[c] += n
+    once, twice = (sum(n == k for n in cells.values()) for k in (1, 2))
+    root_once, root_twice = (sum(n == k for n in of_word.values()) for k in (1, 2))
+    discounts = [min(max(a / (a + 2 * b), 0.05), 0.95) for a, b in ((once, twice), (root_once, root_twice))]
+    tables, root, seats, parents = Counter(c for _, c in cells), float(len(of_word)), {}, {}
+    for sweeps, keep, seed in ((pitman_yor.BURN_IN, 1, 1), (pitman_yor.BURN_IN + pitman_yor.SAMPLES, pitman_yor.SAMPLES, 2)):
+        before, whole, roots = dict(tables), float(sum(tables.values())), 0.0
+        for bucket in range(pitman_yor.LEAST_BUCKETS):
+            own = sorted(b for b in cells if int(pitman_yor._bucket(np.array([b[0]], np.uint64), pitman_yor.LEAST_BUCKETS)[0]) == bucket)
+            met = sorted({c for _, c in own})
+            totals = pitman_yor.Totals(
+                np.array([customers[c] for c in met], float), np.array([before[c] for c in met], float), root, len(of_word),
+                *discounts, all_tables=whole,
+            )
+            if own:
+                head, sat, parent, root_sat = pitman_yor._sampled(
+                    np.array([w for w, _ in own], np.uint64), np.array([met.index(c) for _, c in own]),
+                    np.array([cells[b] for b in own]), totals, sweeps, keep, seed + bucket,
+                )
+                seats |= dict(zip(own, sat))
+                parents |= dict(zip([own[k][0] for k in head], parent))
+                roots += root_sat
+        if seed == 1:
+            tables = Counter()
+            for (_, c), n in seats.items():
+                tables[c] += n
+            root = roots
+    unknown = float(totals.parent(0.0, 0.0))
+
+    def log_p(w, c):
+        cell = cells[w, c] - discounts[0] * seats[w, c] if (w, c) in cells else 0.0
+        return math.log10((cell + (1 + discounts[0] * before.get(c, 0)) * parents.get(w, unknown)) / (1 + customers[c]))
+
+    expected = sorted((d, sum(log_p(*b) for b in bigrams(own))) for d, own in texts)
+    got = sorted((key(r["doc_id"]), r["score"]) for r in found)
+    assert [d for d, _ in got] == [d for d, _ in expected]
+    assert [s for _, s in got] == pytest.approx([s for _, s in expected], rel=1e-9)
+
+
 def test_model_beats_single_tokens(make_docs, words):
     """Texts that follow a pattern of neighbours; held-out texts follow it too."""
     r = np.random.default_rng(6)
